@@ -41,7 +41,7 @@ def resample_by_catalog(panel: DataFrame, catalog: DataFrame, method: str = "avg
     freq = F.coalesce("freq", F.lit(default_freq))
     unit = F.when(freq == "d", "day").when(freq == "q", "quarter").otherwise("month")
     dated = attach(panel, catalog.select(SERIES, "freq"), [SERIES], salt_by=[PANEL, TS]).withColumn(
-        "_period", F.date_trunc(unit, F.col(TS)).cast("date")
+        "_period", F.call_function("date_trunc", unit, F.col(TS)).cast("date")
     )
     return (
         dated.groupBy(PANEL, SERIES, "_period").agg(_period_value(method).alias(VALUE)).withColumnRenamed("_period", TS)
