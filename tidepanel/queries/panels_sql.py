@@ -50,8 +50,8 @@ PANELS = {
                      / cast(count(*) as double), 6) as agg_mse
         from part group by 2""",
 }
-PANELS["f1m"] = f"select panel_id, series_id, ts, value / 1e6 as value from ({PANELS['f1']})"
-PANELS["f2m"] = f"select panel_id, series_id, ts, value / 1e6 as value from ({PANELS['f2']})"
+PANELS["f1m"] = f"select panel_id, series_id, ts, value / 1000003e0 as value from ({PANELS['f1']})"
+PANELS["f2m"] = f"select panel_id, series_id, ts, value / 1000003e0 as value from ({PANELS['f2']})"
 
 
 def month_grid_sql(panel: str) -> str:

@@ -488,7 +488,7 @@ def _full(agg: str, n: int) -> str:
 
 @query("rolling_mean", sql(f"select panel_id, series_id, ts, round({_full('avg', 7)}, 8) + 0.0 as rolling_mean from f2m", "f2m"))
 def rolling_mean(spark, d):
-    out = transform.rolling(warehouse.nations_in_millions(spark, d), window=7)
+    out = transform.rolling(warehouse.scaled_nations(spark, d), window=7)
     return rounded(out.drop(VALUE), 8, "rolling_mean")
 
 
@@ -502,17 +502,17 @@ _DETREND_DIFF = sql(
 
 @query("rolling_detrend", _DETREND)
 def rolling_detrend(spark, d):
-    return rounded(transform.detrend(warehouse.nations_in_millions(spark, d)), 8)
+    return rounded(transform.detrend(warehouse.scaled_nations(spark, d)), 8)
 
 
 @query("rolling_detrend_diff", _DETREND_DIFF)
 def rolling_detrend_diff(spark, d):
-    return rounded(transform.detrend(warehouse.nations_in_millions(spark, d), then_difference=True), 8)
+    return rounded(transform.detrend(warehouse.scaled_nations(spark, d), then_difference=True), 8)
 
 
 @query("rolling_detrend_diff_blocked", _DETREND_DIFF)
 def rolling_detrend_diff_blocked(spark, d):
-    panel = warehouse.nations_in_millions(spark, d)
+    panel = warehouse.scaled_nations(spark, d)
     return rounded(transform.detrend(panel, then_difference=True, block_days=BLOCK_DAYS), 8)
 
 
@@ -525,7 +525,7 @@ def rolling_detrend_diff_blocked(spark, d):
     ),
 )
 def rolling_stats(spark, d):
-    out = transform.rolling(warehouse.nations_in_millions(spark, d), window=12, std="rolling_std")
+    out = transform.rolling(warehouse.scaled_nations(spark, d), window=12, std="rolling_std")
     return rounded(out, 10, "rolling_mean", "rolling_std")
 
 
@@ -551,12 +551,12 @@ _DF0 = sql(
 
 @query("df_lag0", _DF0)
 def df_lag0(spark, d):
-    return rounded(stationarity.lag0(warehouse.nations_in_millions(spark, d)), 6, "adf_stat")
+    return rounded(stationarity.lag0(warehouse.scaled_nations(spark, d)), 6, "adf_stat")
 
 
 @query("df_lag0_blocked", _DF0)
 def df_lag0_blocked(spark, d):
-    return rounded(stationarity.lag0(warehouse.nations_in_millions(spark, d), block_days=BLOCK_DAYS), 6, "adf_stat")
+    return rounded(stationarity.lag0(warehouse.scaled_nations(spark, d), block_days=BLOCK_DAYS), 6, "adf_stat")
 
 
 @query(
@@ -591,13 +591,13 @@ def adf_autolag(spark, d):
 
 @query("adf_autolag_blocked")
 def adf_autolag_blocked(spark, d):
-    report = stationarity.adf_report(warehouse.nations_in_millions(spark, d), block_days=730)
+    report = stationarity.adf_report(warehouse.scaled_nations(spark, d), block_days=730)
     return rounded(report.select(PANEL, SERIES, "adf_stat", "used_lag", "nobs"), 6, "adf_stat")
 
 
 @query("stationarity_report")
 def stationarity_report(spark, d):
-    report = stationarity.adf_report(warehouse.nations_in_millions(spark, d))
+    report = stationarity.adf_report(warehouse.scaled_nations(spark, d))
     return rounded(report, 6, "adf_stat", "p_value", "crit_1", "crit_5", "crit_10")
 
 
@@ -616,13 +616,13 @@ _VARIANT_STEPS = {
 
 @query("choose_transform", sql("select panel_id, series_id, method, round(adf_stat, 6) + 0.0 as adf_stat from c", "f2m", **_VARIANT_STEPS))
 def choose_transform(spark, d):
-    choice = stationarity.choose_transform(warehouse.nations_in_millions(spark, d), statistic="lag0")
+    choice = stationarity.choose_transform(warehouse.scaled_nations(spark, d), statistic="lag0")
     return rounded(choice, 6, "adf_stat")
 
 
 @query("choose_transform_autolag")
 def choose_transform_autolag(spark, d):
-    return rounded(stationarity.choose_transform(warehouse.nations_in_millions(spark, d)), 6, "adf_stat")
+    return rounded(stationarity.choose_transform(warehouse.scaled_nations(spark, d)), 6, "adf_stat")
 
 
 _APPLY = sql(
@@ -638,10 +638,10 @@ _APPLY = sql(
 
 @query("apply_transform", _APPLY)
 def apply_transform(spark, d):
-    return rounded(stationarity.apply_transform(warehouse.nations_in_millions(spark, d), statistic="lag0"), 8)
+    return rounded(stationarity.apply_transform(warehouse.scaled_nations(spark, d), statistic="lag0"), 8)
 
 
 @query("apply_transform_blocked", _APPLY)
 def apply_transform_blocked(spark, d):
-    panel = warehouse.nations_in_millions(spark, d)
+    panel = warehouse.scaled_nations(spark, d)
     return rounded(stationarity.apply_transform(panel, statistic="lag0", block_days=730), 8)

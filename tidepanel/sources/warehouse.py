@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
+# Scale for panels whose statistics are compared after rounding: a prime near a
+# million, so that no scaled sum of cents lies on a rounding boundary.
+SCALE = 1_000_003.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +41,8 @@ def orders_by_priority(spark: SparkSession, sf_dir: str, *, start: str | None =
     ).agg(money("o_totalprice").alias("value"))
 
 
-def orders_in_millions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders_by_priority(spark, sf_dir).withColumn("value", F.col("value") / F.lit(1e6))
+def scaled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_by_priority(spark, sf_dir).withColumn("value", F.col("value") / F.lit(SCALE))
 
 
 def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +71,8 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nations_in_millions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders_by_nation(spark, sf_dir).withColumn("value", F.col("value") / F.lit(1e6))
+def scaled_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_by_nation(spark, sf_dir).withColumn("value", F.col("value") / F.lit(SCALE))
 
 
 def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
