@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.keys import PANEL, ROW_KEY, SERIES, SERIES_KEY, TS, VALUE
@@ -76,30 +76,42 @@ def first_of_month(panel: DataFrame) -> DataFrame:
     return panel.where(F.dayofmonth(TS) == 1)
 
 
-def month_grid(panel: DataFrame) -> DataFrame:
-    """Every month start between the first and last date of a panel, for every
-    series of that panel. Values on other dates are lost, absent ones are NULL."""
-    spans = panel.groupBy(PANEL, SERIES).agg(F.min(TS).alias("_lo"), F.max(TS).alias("_hi"))
-    # Panel bounds come from the one-row-per-series table, and go back to it.
+def _spans(panel: DataFrame) -> DataFrame:
+    """First and last date per series. As in ``panel_dates`` the count lets Spark
+    share the upstream shuffle with the rows joined later."""
+    spans = panel.groupBy(PANEL, SERIES).agg(
+        F.min(TS).alias("_lo"), F.max(TS).alias("_hi"), F.count(VALUE).alias("_c")
+    )
+    return spans.where(F.col("_c") >= 0)
+
+
+def _grid(panel: DataFrame, begin: Column, step: str) -> DataFrame:
+    """Every step from ``begin`` to the last date of a panel, for all its series.
+
+    Panel bounds are made from the one-row-per-series table and go back to it.
+    """
+    spans = _spans(panel)
     bounds = spans.groupBy(PANEL).agg(F.min("_lo").alias("_first"), F.max("_hi").alias("_last"))
-    month = F.trunc("_first", "month")
-    begin = F.when(month < F.col("_first"), F.add_months(month, 1)).otherwise(month)
-    grid = (
+    return (
         attach(spans.select(*SERIES_KEY), bounds, [PANEL], salt_by=[SERIES])
         .withColumn("_begin", begin)
         .where(F.col("_begin") <= F.col("_last"))
-        .select(*SERIES_KEY, F.explode(F.sequence("_begin", "_last", F.expr("interval 1 month"))).alias(TS))
+        .select(*SERIES_KEY, F.explode(F.sequence("_begin", "_last", F.expr(f"interval 1 {step}"))).alias(TS))
     )
+
+
+def month_grid(panel: DataFrame) -> DataFrame:
+    """Every month start between the first and last date of a panel, for every
+    series of that panel. Values on other dates are lost, absent ones are NULL."""
+    month = F.trunc("_first", "month")
+    begin = F.when(month < F.col("_first"), F.add_months(month, 1)).otherwise(month)
+    grid = _grid(panel, begin, "month")
     return grid.join(first_of_month(panel), list(ROW_KEY), "left").select(*ROW_KEY, VALUE)
 
 
 def day_grid(panel: DataFrame) -> DataFrame:
     """As month_grid, with every day of the panel's span."""
-    spans = panel.groupBy(PANEL, SERIES).agg(F.min(TS).alias("_lo"), F.max(TS).alias("_hi"))
-    bounds = spans.groupBy(PANEL).agg(F.min("_lo").alias("_first"), F.max("_hi").alias("_last"))
-    grid = attach(spans.select(*SERIES_KEY), bounds, [PANEL], salt_by=[SERIES]).select(
-        *SERIES_KEY, F.explode(F.sequence("_first", "_last")).alias(TS)
-    )
+    grid = _grid(panel, F.col("_first"), "day")
     return grid.join(panel, list(ROW_KEY), "left").select(*ROW_KEY, VALUE)
 
 

@@ -36,28 +36,30 @@ def available(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return full.groupBy(PANEL).agg(F.sort_array(F.collect_list(place)).alias("usable"))
 
 
-def design_matrix(
-    features: DataFrame, target: DataFrame, names: Sequence[str], *, optional: bool = False
-) -> DataFrame:
+def design_matrix(rows: DataFrame, names: Sequence[str], target: str, *, optional: bool = False) -> DataFrame:
     """(panel_id, split, ts, x, y): named features standardised on the training
-    rows, as one array per date, and the target value.
+    rows, as one array per date, and the target value, all from one long table
+    (panel_id, split, ts, feature, value).
 
     Dates lacking a feature or the target are dropped jointly. With ``optional``
     a feature missing on a date is 0, the training mean; use it only together
     with ``available``, which says which columns may be used.
     """
-    wanted = features.where(F.col("feature").isin(*names)).select(*ROW, "feature", VALUE)
-    scaled = standardise(wanted, keys=(PANEL, "feature"))
+    wanted = rows.where(F.col("feature").isin(*names, target)).select(*ROW, "feature", VALUE)
+    scaled = standardise(wanted.withColumn("_raw", F.col(VALUE)), keys=(PANEL, "feature"))
+    number = F.when(F.col("feature") == target, F.col("_raw")).otherwise(F.col(VALUE))
     # The names bound how many values one date collects.
-    cells = scaled.where(F.col(VALUE).isNotNull()).groupBy(*ROW).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", VALUE))).alias("_m")
+    cells = (
+        scaled.withColumn("_v", number)
+        .where(F.col("_v").isNotNull())
+        .groupBy(*ROW)
+        .agg(F.map_from_entries(F.collect_list(F.struct("feature", "_v"))).alias("_m"))
     )
     cell = lambda f: F.try_element_at(F.col("_m"), f)
     pick = (lambda f: F.coalesce(cell(f), F.lit(0.0))) if optional else cell
     x = F.transform(F.array(*[F.lit(n) for n in names]), pick)
-    y = target.where(F.col(VALUE).isNotNull()).select(*ROW, F.col(VALUE).alias("y"))
-    joined = cells.select(*ROW, x.alias("x")).join(y, list(ROW))
-    return joined.where(~F.exists("x", lambda v: v.isNull()))
+    out = cells.select(*ROW, x.alias("x"), cell(F.lit(target)).alias("y"))
+    return out.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
 
 
 def product_sums(matrix: DataFrame, columns: int) -> DataFrame:

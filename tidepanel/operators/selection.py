@@ -43,14 +43,9 @@ def summed(scores: Column) -> Column:
 
 
 def evaluate(scores: DataFrame, baseline: DataFrame) -> DataFrame:
-    """improvement = baseline - agg_mse, with its status."""
-    joined = attach(scores, baseline.select(PANEL, F.col("agg_mse").alias("_base")), [PANEL], salt_by=["feature"])
-    gain = F.col("_base") - F.col("agg_mse")
-    return (
-        joined.withColumn("improvement", gain)
-        .withColumn("status", F.when(F.col("improvement") > 0, "improved").otherwise("worsened"))
-        .drop("_base")
-    )
+    """A score table against the baseline of its panel: improvement and status."""
+    base = baseline.select(PANEL, F.col("agg_mse").alias("baseline"))
+    return _with_gain(attach(scores, base, [PANEL], salt_by=["feature"]))
 
 
 def top_improving(evaluated: DataFrame, top: int = TOP) -> DataFrame:
@@ -72,19 +67,11 @@ def top_improving(evaluated: DataFrame, top: int = TOP) -> DataFrame:
     )
 
 
-def features_to_drop(dropped: DataFrame, baseline: DataFrame, relative_threshold: float = DROP_THRESHOLD) -> DataFrame:
-    """Label each single-drop score: 'improved' means the feature goes."""
-    base = baseline.select(PANEL, F.col("agg_mse").alias("_base"))
-    joined = attach(dropped, base, [PANEL], salt_by=["feature"])
-    return (
-        joined.withColumns(
-            {
-                "improvement": F.col("_base") - F.col("agg_mse"),
-                "threshold": F.lit(float(relative_threshold)) * F.col("_base"),
-            }
-        )
-        .withColumn("status", F.when(F.col("improvement") > F.col("threshold"), "improved").otherwise("worsened"))
-        .drop("_base")
+def features_to_drop(dropped: DataFrame, relative_threshold: float = DROP_THRESHOLD) -> DataFrame:
+    """Label evaluated single-drop scores: 'improved' means the feature goes, as
+    its removal gains more than the share ``relative_threshold`` of the baseline."""
+    return dropped.withColumn("threshold", F.lit(float(relative_threshold)) * F.col("baseline")).withColumn(
+        "status", F.when(F.col("improvement") > F.col("threshold"), "improved").otherwise("worsened")
     )
 
 
@@ -104,15 +91,25 @@ def improvement_summary(initial: DataFrame, final: DataFrame) -> DataFrame:
 # --- from product sums ----------------------------------------------------------------------
 
 
-def _named(scored: DataFrame, places: str, names: Sequence[str]) -> DataFrame:
-    """One row per scored feature."""
+def _scored_against_base(sums: DataFrame, base: Column, sets: Column, names: Sequence[str], penalties) -> DataFrame:
+    """One row per feature in ``_c`` with its set's error and its gain over the
+    base; the base is scored in the same call, so nothing is joined."""
+    scored = score_sets(sums, F.concat(F.array(base), sets), penalties)
     listed = F.array(*[F.lit(n) for n in names])
-    zipped = F.arrays_zip(F.col(places).alias("place"), F.col("mse").alias("mse"))
-    return scored.select(PANEL, F.explode(zipped).alias("_z")).select(
+    zipped = F.arrays_zip(F.col("_c").alias("place"), F.slice("mse", F.lit(2), F.size("_c")).alias("mse"))
+    rows = scored.select(PANEL, summed(F.get("mse", F.lit(0))).alias("baseline"), F.explode(zipped).alias("_z")).select(
         PANEL,
         F.get(listed, F.col("_z.place")).alias("feature"),
         summed(F.col("_z.mse")).alias("agg_mse"),
         F.col("_z.mse").alias("mse"),
+        "baseline",
+    )
+    return _with_gain(rows)
+
+
+def _with_gain(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("improvement", F.col("baseline") - F.col("agg_mse")).withColumn(
+        "status", F.when(F.col("improvement") > 0, "improved").otherwise("worsened")
     )
 
 
@@ -130,17 +127,18 @@ def baseline_scores(sums: DataFrame, base: Column, penalties: dict[str, float])
 def add_one_scores(
     sums: DataFrame, base: Column, candidates: Column, names: Sequence[str], penalties: dict[str, float]
 ) -> DataFrame:
-    """Error of the base plus each candidate, all from one pass of the rows."""
+    """Base plus each candidate: error, baseline, improvement and status, all from
+    one pass of the rows."""
     chosen = sums.withColumn("_c", F.array_except(candidates, base))
     sets = F.transform("_c", lambda c: F.concat(base, F.array(c)))
-    return _named(score_sets(chosen, sets, penalties), "_c", names)
+    return _scored_against_base(chosen, base, sets, names, penalties)
 
 
 def drop_one_scores(sums: DataFrame, base: Column, names: Sequence[str], penalties: dict[str, float]) -> DataFrame:
-    """Error of the base without each of its features."""
+    """Base without each of its features: error, baseline, improvement, status."""
     chosen = sums.withColumn("_c", base)
     sets = F.transform("_c", lambda c: F.array_remove(F.col("_c"), c))
-    return _named(score_sets(chosen, sets, penalties), "_c", names)
+    return _scored_against_base(chosen, base, sets, names, penalties)
 
 
 def greedy_add(
@@ -168,8 +166,7 @@ def greedy_add(
         state = state.withColumn("usable", every)
     state = cut_lineage(state)
     for _ in range(rounds):
-        scored = add_one_scores(state, F.col("_base"), F.col("usable"), names, penalties)
-        evaluated = evaluate(scored, baseline_scores(state, F.col("_base"), penalties))
+        evaluated = add_one_scores(state, F.col("_base"), F.col("usable"), names, penalties)
         place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature")).cast("int") - 1
         won = top_improving(evaluated, top).groupBy(PANEL).agg(
             F.transform(F.sort_array(F.collect_list(F.struct("rank", place.alias("place")))), lambda w: w["place"]).alias("_won")
@@ -194,39 +191,33 @@ def greedy_add(
 # --- thresholds -----------------------------------------------------------------------------------
 
 
-def thresholds(
-    baseline: DataFrame, low: float = SWEEP_LOW, high: float = SWEEP_HIGH, steps: int = SWEEP_STEPS
-) -> DataFrame:
-    """Evenly spaced relative thresholds per panel, and their absolute values."""
-    at = F.lit(low) + F.col("_i") * F.lit((high - low) / (steps - 1))
-    return (
-        baseline.select(PANEL, F.col("agg_mse").alias("baseline"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_i"))
-        .withColumn("relative_threshold", at)
-        .withColumn("threshold", F.col("relative_threshold") * F.col("baseline"))
-        .drop("_i")
+def threshold_list(
+    baseline: Column, low: float = SWEEP_LOW, high: float = SWEEP_HIGH, steps: int = SWEEP_STEPS
+) -> Column:
+    """Evenly spaced relative thresholds with their absolute values."""
+    at = lambda i: F.lit(low) + i * F.lit((high - low) / (steps - 1))
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(steps - 1)),
+        lambda i: F.struct(at(i).alias("relative_threshold"), (at(i) * baseline).alias("threshold")),
     )
 
 
-def sweep_kept(dropped: DataFrame, baseline: DataFrame, **grid) -> DataFrame:
+def sweep_kept(dropped: DataFrame, **grid) -> DataFrame:
     """Per panel and threshold the features kept by the drop pass, in name order.
 
-    A feature is kept while its improvement does not exceed the threshold.
+    A feature is kept while its improvement does not exceed the threshold. Each
+    evaluated drop score carries its panel's baseline, so its thresholds are made
+    in place.
     """
-    gains = evaluate(dropped, baseline).select(PANEL, "feature", "agg_mse", "improvement")
-    pairs = attach(gains, _threshold_list(baseline, **grid), [PANEL], how="inner", salt_by=["feature"])
-    cell = pairs.select(PANEL, "feature", "agg_mse", "improvement", F.explode("_t").alias("_t"))
+    cell = dropped.select(
+        PANEL, "feature", "agg_mse", "improvement", F.explode(threshold_list(F.col("baseline"), **grid)).alias("_t")
+    )
     kept = F.when(F.col("improvement") <= F.col("_t.threshold"), F.struct("feature", "agg_mse"))
     return cell.groupBy(PANEL, F.col("_t.relative_threshold").alias("relative_threshold"), F.col("_t.threshold").alias("threshold")).agg(
         F.sort_array(F.collect_list(kept)).alias("kept"), F.count_if(F.col("improvement") > F.col("_t.threshold")).alias("n_dropped")
     )
 
 
-def _threshold_list(baseline: DataFrame, **grid) -> DataFrame:
-    return thresholds(baseline, **grid).groupBy(PANEL).agg(
-        F.collect_list(F.struct("relative_threshold", "threshold")).alias("_t")
-    )
-
-
 def best_threshold(sweep: DataFrame, score: str = "aggregated_final_mse") -> DataFrame:
     """The row of the smallest score per panel, the first on ties."""
     row = F.struct(*sweep.columns)

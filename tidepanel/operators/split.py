@@ -26,12 +26,22 @@ def only_target(panel: DataFrame, target: str) -> DataFrame:
     return panel.where(F.col(SERIES) == target)
 
 
+def panel_dates(panel: DataFrame) -> DataFrame:
+    """Distinct dates per panel.
+
+    Counting the values, always true as a filter, keeps the value column in this
+    branch: its upstream shuffle is then the very one of the rows it is joined
+    back to, and Spark runs it once for both.
+    """
+    return panel.groupBy(PANEL, TS).agg(F.count(VALUE).alias("_c")).where(F.col("_c") >= 0).select(PANEL, TS)
+
+
 def split_cutoff(panel: DataFrame, test_fraction: float = 0.2) -> DataFrame:
     """Last training date per panel; the last ceil(fraction * n) dates are test.
 
     The window runs over distinct dates of a panel, which the calendar bounds.
     """
-    dates = panel.select(PANEL, TS).distinct()
+    dates = panel_dates(panel)
     w = Window.partitionBy(PANEL)
     ranked = dates.withColumns(
         {

@@ -244,10 +244,27 @@ def _variant_reports(variants: DataFrame, keys: list[str], block_days: int | Non
         reports = adf_report(long, column="_v", keys=[*keys, "_variant"], block_days=block_days)
         stat = lambda v: F.max(F.when(F.col("_variant") == v, F.col("adf_stat")))
         return reports.groupBy(*keys).agg(*[stat(v).alias(f"{v}_stat") for v in VARIANTS])
-    ordered = F.sort_array(F.collect_list(F.struct(TS, *VARIANTS)))
+    return _with_variant_stats(variants, keys).drop("_rows")
+
+
+def _with_variant_stats(variants: DataFrame, keys: list[str]) -> DataFrame:
+    """Each series once, as ``_rows`` in date order, with its four statistics."""
+    rest = [c for c in variants.columns if c not in keys and c != TS]
+    ordered = F.sort_array(F.collect_list(F.struct(TS, *rest)))
     arrays = variants.groupBy(*keys).agg(ordered.alias("_rows"))
     known = lambda v: F.filter(F.transform("_rows", lambda r: r[v]), lambda x: x.isNotNull())
-    return arrays.select(*keys, *[nan_to_null(_adf_of_arrays(known(v))["adf_stat"]).alias(f"{v}_stat") for v in VARIANTS])
+    stats = {f"{v}_stat": _adf_of_arrays(known(v))["adf_stat"] for v in VARIANTS}
+    return arrays.withColumns(stats).withColumns({k: nan_to_null(F.col(k)) for k in stats})
+
+
+def _with_autolag_choice(variants: DataFrame, keys: list[str]) -> DataFrame:
+    """Choose while the series is at hand, then unfold it again: no join."""
+    rest = [c for c in variants.columns if c not in keys]
+    best = _best([(F.col(f"{v}_stat"), i, METHODS[i]) for i, v in enumerate(VARIANTS)])
+    chosen = _with_variant_stats(variants, keys).withColumn("method", best["method"])
+    return chosen.select(*keys, "method", F.explode("_rows").alias("_r")).select(
+        *keys, "method", *[F.col(f"_r.{c}").alias(c) for c in rest]
+    )
 
 
 def choose_transform(
@@ -293,8 +310,11 @@ def apply_transform(
     """
     keys = _series_keys(panel)
     variants = stationarity_variants(panel, column=column, keys=keys, block_days=block_days)
-    if choice is None and statistic == "lag0" and block_days is None:
-        chosen = _with_lag0_choice(variants, keys).withColumn("method", F.col("_best.method"))
+    if choice is None and block_days is None:
+        if statistic == "lag0":
+            chosen = _with_lag0_choice(variants, keys).withColumn("method", F.col("_best.method"))
+        else:
+            chosen = _with_autolag_choice(variants, keys)
     else:
         if choice is None:
             choice = choose_transform(panel, column=column, statistic=statistic, block_days=block_days)

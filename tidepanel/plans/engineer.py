@@ -51,11 +51,10 @@ def feature_names(df: DataFrame, column: str = "feature") -> list[str]:
 
 def prepare_features(panel: DataFrame, cfg: EngineerConfig) -> Prepared:
     """Extract features once, keep the complete ones, and sum their products."""
-    rows = panel.select(PANEL, SPLIT, SERIES, TS, VALUE)
-    base_rows = gram.as_features(rows.where(F.col(SERIES) != cfg.target))
-    target = rows.where(F.col(SERIES) == cfg.target)
-    base = feature_names(base_rows)
-    parts, candidates = base_rows, []
+    rows = cut_lineage(panel.select(PANEL, SPLIT, SERIES, TS, VALUE))
+    parts = gram.as_features(rows)
+    base = [n for n in feature_names(parts) if n != cfg.target]
+    candidates: list[str] = []
     if cfg.rounds > 0:
         extracted = cut_lineage(
             features.extract(
@@ -69,9 +68,9 @@ def prepare_features(panel: DataFrame, cfg: EngineerConfig) -> Prepared:
         full = split.complete_features(extracted, (PANEL, SPLIT))
         both = split.candidate_features(full.where(F.col(SPLIT) == "train"), full.where(F.col(SPLIT) == "test"))
         candidates = [n for n in feature_names(both) if n not in set(base)]
-        parts = base_rows.unionByName(extracted.select(base_rows.columns))
+        parts = parts.unionByName(extracted.select(parts.columns))
     names = base + candidates
-    matrix = gram.design_matrix(parts, target, names, optional=bool(candidates))
+    matrix = gram.design_matrix(parts, names, cfg.target, optional=bool(candidates))
     sums = gram.product_sums(matrix, len(names))
     usable = gram.available(parts, names)
     return Prepared(base, candidates, parts, matrix, cut_lineage(sums.join(usable, PANEL)))
@@ -102,9 +101,7 @@ def engineer(
     places = F.transform("features", lambda f: F.array_position(F.array(*[F.lit(n) for n in names]), f).cast("int") - 1)
     state = prep.sums.drop("usable").join(grown.select(PANEL, places.alias("_places")), PANEL)
     dropped = selection.features_to_drop(
-        selection.drop_one_scores(state, F.col("_places"), names, penalties),
-        grown,
-        cfg.drop_threshold,
+        selection.drop_one_scores(state, F.col("_places"), names, penalties), cfg.drop_threshold
     )
     gone = dropped.where(F.col("status") == "improved").groupBy(PANEL).agg(F.collect_list("feature").alias("dropped"))
     none = F.array().cast("array<string>")
@@ -162,7 +159,7 @@ def sweep(
     places = selection.places_of(base, names)
     initial = selection.baseline_scores(sums, places, penalties)
     dropped = selection.drop_one_scores(sums, places, names, penalties)
-    kept = selection.sweep_kept(dropped, initial, **grid).withColumn(
+    kept = selection.sweep_kept(dropped, **grid).withColumn(
         "features", F.transform("kept", lambda k: k["feature"])
     )
     sets = kept.groupBy(PANEL).agg(F.array_sort(F.collect_set("features")).alias("_sets"))

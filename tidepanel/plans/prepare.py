@@ -1,4 +1,4 @@
-"""From a raw panel to a prepared one, as one lazy plan."""
+"""From a raw panel to a prepared one."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from tidepanel.keys import PANEL, SERIES, SERIES_KEY, SPLIT, SPLIT_KEY, TS, VALU
 from tidepanel.operators import align, clean, impute, split, stationarity, transform
 from tidepanel.operators.joins import attach, by_series
 from tidepanel.plans.config import PrepareConfig
+from tidepanel.session import cut_lineage
 
 
 def load(panel: DataFrame, catalog: DataFrame, target: str, *, start=None, end=None, method: str = "avg") -> DataFrame:
@@ -54,9 +55,12 @@ def preprocess(
     Order: split, spline imputation, deflation, 100 ln, z-score fitted on train,
     percent change, transform choice, outlier capping on train. Series named in a
     role but absent are skipped; an absent deflator is an error.
+
+    The input is written to the checkpoint folder once: the date cut, the deflator
+    and the complete dates each look at it apart from the rows.
     """
     keys, days = list(SPLIT_KEY), cfg.block_days
-    parted = split.chrono_split(drop_empty_series(panel), cfg.test_fraction)
+    parted = split.chrono_split(cut_lineage(drop_empty_series(panel)), cfg.test_fraction)
     if spline:
         parted = impute.spline_impute(
             parted, series=spline, per_split=cfg.fit_scope == "split", block_days=days

@@ -80,7 +80,7 @@ def quarterly(spark, d) -> DataFrame:
 
 
 def sums_of(panel: DataFrame, names=NAMES, target: str = TARGET) -> DataFrame:
-    matrix = gram.design_matrix(gram.as_features(panel), split.only_target(panel, target), names)
+    matrix = gram.design_matrix(gram.as_features(panel), names, target)
     return gram.product_sums(matrix, len(names))
 
 
@@ -152,8 +152,7 @@ def add_one_scores(spark, d):
     sums = sums_of(quarterly(spark, d))
     base = selection.places_of([BASE], NAMES)
     scored = selection.add_one_scores(sums, base, selection.places_of(NAMES, NAMES), NAMES, PENALTIES)
-    baseline = selection.baseline_scores(sums, base, PENALTIES)
-    out = selection.evaluate(scored, baseline).select(PANEL, "feature", "agg_mse", "improvement", "status")
+    out = scored.select(PANEL, "feature", "agg_mse", "improvement", "status")
     return rounded(out, "agg_mse", "improvement")
 
 
@@ -222,7 +221,8 @@ def top3_add(spark, d):
 )
 def features_to_drop(spark, d):
     scores = warehouse.brand_scores(spark, d)
-    return rounded(selection.features_to_drop(scores, _base_of(scores)), "improvement", "threshold")
+    labelled = selection.features_to_drop(selection.evaluate(scores, _base_of(scores)))
+    return rounded(labelled.drop("baseline"), "improvement", "threshold")
 
 
 @query(
@@ -265,7 +265,7 @@ _SWEEP = {
 
 def _sweep(spark, d) -> DataFrame:
     scores = warehouse.brand_scores(spark, d)
-    kept = selection.sweep_kept(scores, _base_of(scores))
+    kept = selection.sweep_kept(selection.evaluate(scores, _base_of(scores)))
     total = F.aggregate("kept", F.lit(0.0), lambda a, k: a + k["agg_mse"])
     return kept.select(
         PANEL,
@@ -437,7 +437,7 @@ SMALL_TREES = {
 def gbt_score(spark, d):
     panel = split.chrono_split(align.month_grid(warehouse.scaled_orders(spark, d)))
     names = PRIORITIES[1:]
-    matrix = gram.design_matrix(gram.as_features(panel), split.only_target(panel, PRIORITIES[0]), names)
+    matrix = gram.design_matrix(gram.as_features(panel), names, PRIORITIES[0])
     scores = boosted.score_sets(matrix, "all", {"base": range(len(names))}, SMALL_TREES)
     return rounded(scores, "mse")
 
