@@ -64,22 +64,30 @@ def space_of(model: str) -> tuple[Dimension, ...]:
     return SPACES[model]
 
 
-def param_trials(panels: DataFrame, *, trials: int = TRIALS, seed: int = 42, models=MODELS) -> DataFrame:
-    """(panel_id, model, trial, params): ``trials`` draws per panel and model.
+def trial_list(panel: Column, *, trials: int = TRIALS, seed: int = 42, models=MODELS) -> Column:
+    """array<struct<model, trial, params>>: ``trials`` draws per model.
 
     A draw depends on panel, model, trial and parameter name alone, so it is the
     same wherever and however often its task runs.
     """
-    numbered = panels.select(PANEL).distinct().select(PANEL, F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    out = None
-    for model in models:
-        entries = []
-        for dim in space_of(model):
-            u = unit_hash(F.lit(seed), F.col(PANEL), F.lit(model), F.col("trial"), F.lit(dim.name))
-            entries += [F.lit(dim.name), dim.draw(u)]
-        drawn = numbered.select(PANEL, F.lit(model).alias("model"), "trial", F.create_map(*entries).alias("params"))
-        out = drawn if out is None else out.unionByName(drawn)
-    return out
+
+    def draws(model: str) -> Column:
+        def one(t: Column) -> Column:
+            entries = []
+            for dim in space_of(model):
+                u = unit_hash(F.lit(seed), panel, F.lit(model), t, F.lit(dim.name))
+                entries += [F.lit(dim.name), dim.draw(u)]
+            return F.struct(F.lit(model).alias("model"), t.alias("trial"), F.create_map(*entries).alias("params"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), one)
+
+    return F.concat(*[draws(m) for m in models])
+
+
+def param_trials(panels: DataFrame, **options) -> DataFrame:
+    """(panel_id, model, trial, params), one row per draw."""
+    drawn = panels.select(PANEL).distinct().select(PANEL, trial_list(F.col(PANEL), **options).alias("_t"))
+    return drawn.select(PANEL, F.explode("_t").alias("_t")).select(PANEL, "_t.*")
 
 
 def search_summary(trials: DataFrame) -> DataFrame:
@@ -93,15 +101,12 @@ def search_summary(trials: DataFrame) -> DataFrame:
     )
 
 
-def ridge_search(sums: DataFrame, base: Column, trials: DataFrame) -> DataFrame:
-    """Trials with the hold-out error of the linear learner, which takes its
-    penalty from ``reg_lambda``; the rows themselves are not read again."""
-    lists = trials.groupBy(PANEL, "model").agg(
-        F.sort_array(F.collect_list(F.struct("trial", F.col("params")["reg_lambda"].alias("penalty")))).alias("_t")
-    )
-    penalties = F.transform("_t", lambda t: t["penalty"])
-    scored = sums.join(lists, PANEL).withColumn("_s", F.get(solve_sets("train", "test", F.array(base), penalties), F.lit(0)))
-    cells = scored.select(PANEL, "model", F.posexplode("_t").alias("_i", "_c"), "_s").select(
-        PANEL, "model", F.col("_c.trial").alias("trial"), F.get("_s", F.col("_i")).alias("mse")
+def ridge_search(sums: DataFrame, base: Column, **options) -> DataFrame:
+    """The trials of every panel with the hold-out error of the linear learner,
+    which takes its penalty from ``reg_lambda``. The rows are not read again."""
+    listed = sums.withColumn("_t", trial_list(F.col(PANEL), **options))
+    penalties = F.transform("_t", lambda t: t["params"]["reg_lambda"])
+    scored = listed.withColumn("_s", F.get(solve_sets("train", "test", F.array(base), penalties), F.lit(0)))
+    return scored.select(PANEL, F.posexplode("_t").alias("_i", "_c"), "_s").select(
+        PANEL, "_c.*", F.get("_s", F.col("_i")).alias("mse")
     )
-    return trials.join(cells, [PANEL, "model", "trial"])

@@ -91,8 +91,7 @@ def engineer(
     prep = prepare_features(panel, cfg)
     names = prep.names
     base = selection.places_of(prep.base, names)
-    drawn = search.param_trials(prep.sums, trials=trials)
-    found = search.search_summary(search.ridge_search(prep.sums, base, drawn))
+    found = search.search_summary(search.ridge_search(prep.sums, base, trials=trials))
     penalties = penalties or default_penalties()
     grown = selection.greedy_add(
         prep.sums.drop("usable"), prep.base, names, penalties, rounds=cfg.rounds, usable=prep.sums.select(PANEL, "usable")

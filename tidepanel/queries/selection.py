@@ -415,10 +415,8 @@ _RIDGE = """select t.panel_id, t.model, t.trial, t.value as lam, avg(pow(x.b - (
     ),
 )
 def search_summary(spark, d):
-    panel = quarterly(spark, d)
-    sums = sums_of(panel)
-    trials = search.param_trials(panel)
-    scored = search.ridge_search(sums, selection.places_of([BASE], NAMES), trials).withColumn("mse", F.round("mse", 9))
+    sums = sums_of(quarterly(spark, d))
+    scored = search.ridge_search(sums, selection.places_of([BASE], NAMES)).withColumn("mse", F.round("mse", 9))
     out = search.search_summary(scored).withColumn("best_reg_lambda", F.col("best_params")["reg_lambda"]).drop("best_params")
     return rounded(out, "best_reg_lambda", "best_mse", "mean_mse")
 

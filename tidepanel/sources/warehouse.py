@@ -1,6 +1,6 @@
 """Panels drawn from the warehouse tables.
 
-Money is summed as decimal, so sums do not depend on row order; every sum is
+Money is summed as whole cents, so sums do not depend on row order; every sum is
 partially aggregated before its shuffle.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
 # Scale for panels whose statistics are compared after rounding: a prime near a
 # million, so that no scaled sum of cents lies on a rounding boundary.
 SCALE = 1_000_003.0
@@ -34,12 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cents(column: str) -> Column:
+    """Amount as a whole number of cents: sums are exact and stay in one register."""
+    return F.round(F.col(column) * 100).cast("bigint")
+
+
 def money(column: str) -> Column:
-    return F.sum(F.col(column).cast(MONEY)).cast("double")
+    return F.sum(cents(column)).cast("double") / 100
 
 
 def period(freq: str, column: str) -> Column:
-    return F.date_trunc(freq, F.col(column)).cast("date")
+    day = F.col(column).cast("date")
+    return day if freq == "day" else F.trunc(day, freq)
 
 
 def orders_by_priority(spark: SparkSession, sf_dir: str, *, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -72,14 +77,14 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_segment = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
         .groupBy("c_nationkey", "c_mktsegment", period("month", "o_orderdate").alias("ts"))
-        .agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("v"))
+        .agg(money("o_totalprice").alias("value"))
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return per_segment.join(nation, per_segment.c_nationkey == nation.n_nationkey).select(
         F.col("n_name").alias("panel_id"),
         F.col("c_mktsegment").alias("series_id"),
         "ts",
-        F.col("v").cast("double").alias("value"),
+        "value",
     )
 
 
@@ -104,36 +109,69 @@ def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIXED_SERIES = ("spend_m", "price_m", "count_m", "output_q", "yield_d")
 
 
+def _parts(rows: DataFrame, series: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """Unfold each aggregated row into one (series_id, ts, a, b) row per series."""
+    cells = [
+        F.struct(F.lit(name).alias("series_id"), ts.alias("ts"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+        for name, (ts, a, b) in series.items()
+    ]
+    return rows.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+
+
 def mixed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five macro-like series at monthly, quarterly and daily frequency."""
-    lineitem = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
-    ship_month = lineitem.groupBy(period("month", "l_shipdate").alias("ts")).agg(
-        money("l_extendedprice").alias("spend"), money("l_quantity").alias("quantity")
+    """Five macro-like series at monthly, quarterly and daily frequency.
+
+    Each table is scanned once and summed per day (orders: per month); the small
+    sums are then unfolded to their series and summed per period.
+    """
+    late = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 40)
+    days = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(period("day", "l_shipdate").alias("day"))
+        .agg(
+            F.sum(cents("l_extendedprice")).alias("price"),
+            F.sum(cents("l_quantity")).alias("quantity"),
+            F.sum(F.when(late, cents("l_discount"))).alias("discount"),
+            F.count_if(late).alias("late"),
+        )
     )
-    order_month = orders.groupBy(period("month", "o_orderdate").alias("ts")).agg(F.count("*").cast("double").alias("value"))
-    order_quarter = orders.groupBy(period("quarter", "o_orderdate").alias("ts")).agg(money("o_totalprice").alias("value"))
-    ship_day = (
-        lineitem.where("l_returnflag = 'R' and l_linestatus = 'F' and l_quantity > 40")
-        .groupBy(period("day", "l_shipdate").alias("ts"))
-        .agg(F.round(F.lit(100.0) * money("l_discount") / F.count("*"), 6).alias("value"))
+    months = (
+        table(spark, sf_dir, "orders")
+        .groupBy(period("month", "o_orderdate").alias("month"))
+        .agg(F.count(F.lit(1)).alias("orders"), F.sum(cents("o_totalprice")).alias("total"))
     )
-
-    # One scan gives both monthly shipping series.
-    monthly = ship_month.unpivot(
-        ["ts"],
-        [F.col("spend").alias("spend_m"), F.round(F.col("spend") / F.col("quantity"), 6).alias("price_m")],
-        "series_id",
-        "value",
+    one = F.lit(1)
+    ship_month = F.trunc("day", "month")
+    shipped = _parts(
+        days,
+        {
+            "spend_m": (ship_month, F.col("price"), one),
+            "price_m": (ship_month, F.col("price"), F.col("quantity")),
+            "yield_d": (F.col("day"), F.col("discount"), F.when(F.col("late") > 0, F.col("late"))),
+        },
+    )
+    ordered = _parts(
+        months,
+        {
+            "count_m": (F.col("month"), F.col("orders"), one),
+            "output_q": (F.trunc("month", "quarter"), F.col("total"), one),
+        },
+    )
+    # a is in cents, but for the count; b is in cents for the price only.
+    a, b = F.sum("a").cast("double"), F.sum("b").cast("double")
+    value = (
+        F.when(F.col("series_id") == "price_m", F.round((a / 100) / (b / 100), 6))
+        .when(F.col("series_id") == "yield_d", F.round(F.lit(100.0) * (a / 100) / b, 6))
+        .when(F.col("series_id") == "count_m", a)
+        .otherwise(a / 100)
+    )
+    return (
+        shipped.unionByName(ordered)
+        .where(F.col("b").isNotNull())
+        .groupBy("series_id", "ts")
+        .agg(value.alias("value"))
+        .select(F.lit("all").alias("panel_id"), "series_id", "ts", "value")
     )
-
-    def named(df: DataFrame, series: str) -> DataFrame:
-        return df.select(F.lit(series).alias("series_id"), "ts", "value")
-
-    parts = monthly.select("series_id", "ts", "value")
-    for df, series in ((order_month, "count_m"), (order_quarter, "output_q"), (ship_day, "yield_d")):
-        parts = parts.unionByName(named(df, series))
-    return parts.select(F.lit("all").alias("panel_id"), "series_id", "ts", "value")
 
 
 def vectors_as_series(spark: SparkSession, sf_dir: str) -> DataFrame:
