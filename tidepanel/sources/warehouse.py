@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cents(column: str) -> Column:
     """Amount as a whole number of cents: sums are exact and stay in one register."""
-    return F.round(F.col(column) * 100).cast("bigint")
+    return F.floor(F.col(column) * 100 + 0.5)
 
 
 def money(column: str) -> Column:
