@@ -1,9 +1,10 @@
-"""Time-series calculators as Spark column expressions over a row frame.
+"""Time-series calculators as Spark SQL expressions over a row frame.
 
 Every row of a series gets the calculators of the frame that ends at it. Three
 layers keep each expression a single pass: row columns (lags), window aggregates
 over the frame, and scalar expressions over those, among them higher-order
-functions over the frame as an array.
+functions over the frame as an array. Expressions are SQL text: a set has some
+three hundred numbers, and text reaches the JVM in a handful of calls.
 """
 
 from __future__ import annotations
@@ -11,11 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, Window
-from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
-
-from tidepanel.keys import VALUE
+from tidepanel.keys import TS, VALUE
 
 V = VALUE
 
@@ -28,97 +25,110 @@ def label(name: str, **params) -> str:
 
 @dataclass
 class Frame:
-    """What the calculators ask for: lags, window aggregates, derived columns."""
+    """What the calculators ask for: row columns, frame aggregates, derived columns.
+
+    Every method registers an expression once and returns its column name.
+    """
 
-    window: WindowSpec
+    keys: Sequence[str]
     max_shift: int | None = None
-    lags: dict[str, Column] = field(default_factory=dict)
-    aggregates: dict[str, Column] = field(default_factory=dict)
-    derived: list[tuple[str, Column]] = field(default_factory=list)
+    rows: dict[str, str] = field(default_factory=dict)
+    aggregates: dict[str, str] = field(default_factory=dict)
+    derived: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def order(self) -> str:
+        return f"partition by {', '.join(self.keys)} order by {TS}"
 
-    def lag(self, k: int) -> Column:
-        name = f"_lag{k}"
-        self.lags.setdefault(name, F.lag(V, k).over(self.window))
-        return F.col(name)
+    def lag(self, k: int) -> str:
+        return self._put(self.rows, f"_lag{k}", f"lag({V}, {k}) over ({self.order})")
 
-    def agg(self, name: str, expr: Column, shift: int = 0) -> Column:
+    def agg(self, name: str, sql: str, shift: int = 0) -> str:
         """Aggregate over the frame; ``shift`` leaves out its first rows, whose
         lags lie in front of it."""
-        key = f"_a_{name}"
-        if key not in self.aggregates:
-            if self.max_shift is None:
-                spec = self.window.rowsBetween(Window.unboundedPreceding, 0)
-            elif shift > self.max_shift:
-                self.aggregates[key] = F.lit(None).cast("double")
-                return F.col(key)
-            else:
-                spec = self.window.rowsBetween(-(self.max_shift - shift), 0)
-            self.aggregates[key] = expr.over(spec)
-        return F.col(key)
-
-    def derive(self, name: str, make: Callable[[], Column]) -> Column:
-        key = f"_d_{name}"
-        if all(k != key for k, _ in self.derived):
-            expr = make()
-            self.derived.append((key, expr))
-        return F.col(key)
+        if self.max_shift is None:
+            over = f"{sql} over ({self.order} rows between unbounded preceding and current row)"
+        elif shift > self.max_shift:
+            over = "cast(null as double)"
+        else:
+            over = f"{sql} over ({self.order} rows between {self.max_shift - shift} preceding and current row)"
+        return self._put(self.aggregates, f"_a_{name}", over)
+
+    def derive(self, name: str, sql: str) -> str:
+        return self._put(self.derived, f"_d_{name}", sql)
+
+    @staticmethod
+    def _put(where: dict[str, str], name: str, sql: str) -> str:
+        where.setdefault(name, sql)
+        return name
 
     # Common pieces.
     @property
-    def n(self) -> Column:
-        return self.agg("n", F.count(V)).cast("double")
+    def n(self) -> str:
+        return f"cast({self.size} as double)"
+
+    @property
+    def size(self) -> str:
+        return self.agg("n", f"count({V})")
 
     @property
-    def size(self) -> Column:
-        return self.agg("n", F.count(V)).cast("int")
+    def mean(self) -> str:
+        return self.agg("mean", f"avg({V})")
 
     @property
-    def mean(self) -> Column:
-        return self.agg("mean", F.avg(V))
+    def sd(self) -> str:
+        return self.agg("sd", f"stddev_pop({V})")
 
     @property
-    def sd(self) -> Column:
-        return self.agg("sd", F.stddev_pop(V))
+    def var(self) -> str:
+        return self.agg("var", f"var_pop({V})")
 
     @property
-    def var(self) -> Column:
-        return self.agg("var", F.var_pop(V))
+    def low(self) -> str:
+        return self.agg("min", f"min({V})")
 
     @property
-    def low(self) -> Column:
-        return self.agg("min", F.min(V))
+    def high(self) -> str:
+        return self.agg("max", f"max({V})")
 
     @property
-    def high(self) -> Column:
-        return self.agg("max", F.max(V))
+    def span(self) -> str:
+        return f"({self.high} - {self.low})"
 
     @property
-    def median(self) -> Column:
-        return self.agg("median", F.percentile(V, F.lit(0.5)))
+    def median(self) -> str:
+        return self.agg("median", f"percentile({V}, 0.5D)")
 
     @property
-    def position(self) -> Column:
+    def energy(self) -> str:
+        return self.agg("energy", f"sum({V} * {V})")
+
+    @property
+    def position(self) -> str:
         """0-based place of the row in its series."""
-        name = "_pos"
-        self.lags.setdefault(name, (F.row_number().over(self.window) - 1).cast("double"))
-        return F.col(name)
+        return self._put(self.rows, "_pos", f"cast(row_number() over ({self.order}) - 1 as double)")
 
     @property
-    def start(self) -> Column:
+    def start(self) -> str:
         """Place in the series of the frame's first row."""
-        return self.agg("start", F.min(self.position))
+        return self.agg("start", f"min({self.position})")
+
+    @property
+    def values(self) -> str:
+        return self.agg("values", f"collect_list({V})")
 
     @property
-    def values(self) -> Column:
-        return self.agg("values", F.collect_list(V))
+    def length(self) -> str:
+        """Row count as an integer, for places in arrays."""
+        return self.derive("length", f"cast({self.size} as int)")
 
     @property
-    def ordered(self) -> Column:
-        return self.derive("ordered", lambda: F.array_sort(self.values))
+    def ordered(self) -> str:
+        return self.derive("ordered", f"array_sort({self.values})")
 
 
-# One calculator gives named numbers, or a name list with an array of numbers.
-Piece = tuple[Sequence[str], Column]
+# One calculator gives feature names and an array expression with their numbers.
+Piece = tuple[Sequence[str], str]
 Calculator = Callable[[Frame], list[Piece]]
 MINIMAL: dict[str, Calculator] = {}
 RUNNING: dict[str, Calculator] = {}
@@ -135,45 +145,45 @@ def _into(registry: dict[str, Calculator]):
     return add
 
 
-def one(name: str, value: Column) -> Piece:
-    return [name], F.array(value.cast("double"))
+def one(name: str, sql: str) -> Piece:
+    return [name], f"array(cast({sql} as double))"
 
 
-def many(names: Sequence[str], array: Column) -> Piece:
-    return list(names), array
+def many(names: Sequence[str], sql: str) -> Piece:
+    return list(names), sql
 
 
-def flag(condition: Column) -> Column:
-    return condition.cast("double")
+def _simple(registry: dict, name: str, make: Callable[[Frame], str]) -> None:
+    registry[name] = lambda f: [one(name, make(f))]
 
 
-def ratio(a: Column, b: Column) -> Column:
-    return F.try_divide(a.cast("double"), b.cast("double"))
+def flag(condition: str) -> str:
+    return f"cast(({condition}) as double)"
 
 
-def total(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
+def ratio(a: str, b: str) -> str:
+    return f"try_divide(cast({a} as double), cast({b} as double))"
 
 
-def doubles(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def total(array: str) -> str:
+    return f"aggregate({array}, 0D, (acc, x) -> acc + x)"
 
 
-def _simple(registry: dict, name: str, make: Callable[[Frame], Column]) -> None:
-    registry[name] = lambda f: [one(name, make(f))]
+def doubles(values: Sequence[float]) -> str:
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
 
 
 # --- minimal set ----------------------------------------------------------------------
 
-_simple(MINIMAL, "sum_values", lambda f: f.agg("sum", F.sum(V)))
+_simple(MINIMAL, "sum_values", lambda f: f.agg("sum", f"sum({V})"))
 _simple(MINIMAL, "median", lambda f: f.median)
 _simple(MINIMAL, "mean", lambda f: f.mean)
-_simple(MINIMAL, "length", lambda f: f.n)
+_simple(MINIMAL, "length", lambda f: f.size)
 _simple(MINIMAL, "standard_deviation", lambda f: f.sd)
 _simple(MINIMAL, "variance", lambda f: f.var)
-_simple(MINIMAL, "root_mean_square", lambda f: F.sqrt(f.agg("mean_square", F.avg(F.col(V) * F.col(V)))))
+_simple(MINIMAL, "root_mean_square", lambda f: f"sqrt({f.agg('mean_square', f'avg({V} * {V})')})")
 _simple(MINIMAL, "maximum", lambda f: f.high)
-_simple(MINIMAL, "absolute_maximum", lambda f: f.agg("absmax", F.max(F.abs(V))))
+_simple(MINIMAL, "absolute_maximum", lambda f: f.agg("absmax", f"max(abs({V}))"))
 _simple(MINIMAL, "minimum", lambda f: f.low)
 
 # --- running aggregates ------------------------------------------------------------------
@@ -195,49 +205,50 @@ ACF_MAXLAG = 40
 CHUNKS = 10
 BINS = 10
 
-_simple(RUNNING, "abs_energy", lambda f: f.agg("energy", F.sum(F.col(V) * F.col(V))))
-_simple(RUNNING, "variance_larger_than_standard_deviation", lambda f: flag(f.var > f.sd))
+_simple(RUNNING, "abs_energy", lambda f: f.energy)
+_simple(RUNNING, "variance_larger_than_standard_deviation", lambda f: flag(f"{f.var} > {f.sd}"))
 _simple(RUNNING, "variation_coefficient", lambda f: ratio(f.sd, f.mean))
 
 
 @_into(RUNNING)
 def skewness(f: Frame) -> list[Piece]:
-    n = f.n
-    plain = f.agg("skewness", F.skewness(V))
-    adjusted = plain * F.sqrt(n * (n - 1)) / (n - 2)
-    return [one("skewness", F.when(n > 2, F.when(f.var > 0, adjusted).otherwise(0.0)))]
+    plain = f.agg("skewness", f"skewness({V})")
+    adjusted = f"{plain} * sqrt({f.n} * ({f.n} - 1)) / ({f.n} - 2)"
+    return [one("skewness", f"case when {f.size} > 2 then case when {f.var} > 0 then {adjusted} else 0D end end")]
 
 
 @_into(RUNNING)
 def kurtosis(f: Frame) -> list[Piece]:
-    n = f.n
-    plain = f.agg("kurtosis", F.kurtosis(V))
-    adjusted = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * plain + 6)
-    return [one("kurtosis", F.when(n > 3, F.when(f.var > 0, adjusted).otherwise(0.0)))]
+    n, plain = f.n, f.agg("kurtosis", f"kurtosis({V})")
+    adjusted = f"({n} - 1) / (({n} - 2) * ({n} - 3)) * (({n} + 1) * {plain} + 6)"
+    return [one("kurtosis", f"case when {f.size} > 3 then case when {f.var} > 0 then {adjusted} else 0D end end")]
 
 
 @_into(RUNNING)
 def count_above(f: Frame) -> list[Piece]:
-    return [one(label("count_above", t=0), ratio(f.agg("above0", F.count_if(F.col(V) >= 0)), f.n))]
+    return [one(label("count_above", t=0), ratio(f.agg("above0", f"count_if({V} >= 0)"), f.n))]
 
 
 @_into(RUNNING)
 def count_below(f: Frame) -> list[Piece]:
-    return [one(label("count_below", t=0), ratio(f.agg("below0", F.count_if(F.col(V) <= 0)), f.n))]
+    return [one(label("count_below", t=0), ratio(f.agg("below0", f"count_if({V} <= 0)"), f.n))]
 
 
 @_into(RUNNING)
 def range_count(f: Frame) -> list[Piece]:
-    inside = lambda lo, hi: F.count_if((F.col(V) >= float(lo)) & (F.col(V) < float(hi)))
     return [
-        one(label("range_count", min=lo, max=hi), f.agg(f"range{i}", inside(lo, hi))) for i, (lo, hi) in enumerate(RANGES)
+        one(
+            label("range_count", min=lo, max=hi),
+            f.agg(f"range{i}", f"count_if({V} >= {float(lo)!r}D and {V} < {float(hi)!r}D)"),
+        )
+        for i, (lo, hi) in enumerate(RANGES)
     ]
 
 
 @_into(RUNNING)
 def value_count(f: Frame) -> list[Piece]:
     return [
-        one(label("value_count", value=c), f.agg(f"equal{i}", F.count_if(F.col(V) == float(c))))
+        one(label("value_count", value=c), f.agg(f"equal{i}", f"count_if({V} = {float(c)!r}D)"))
         for i, c in enumerate(COUNTED)
     ]
 
@@ -245,91 +256,79 @@ def value_count(f: Frame) -> list[Piece]:
 @_into(RUNNING)
 def large_standard_deviation(f: Frame) -> list[Piece]:
     # Two points have a deviation of exactly half their span: a tie is not larger.
-    span, sd = f.high - f.low, f.sd * (1 - 1e-12)
     names = [label("large_standard_deviation", r=r) for r in LARGE_SD_R]
-    return [many(names, F.transform(doubles(LARGE_SD_R), lambda r: flag(sd > r * span)))]
+    test = flag(f"{f.sd} * {1 - 1e-12!r}D > r * {f.span}")
+    return [many(names, f"transform({doubles(LARGE_SD_R)}, r -> {test})")]
 
 
 @_into(RUNNING)
 def symmetry_looking(f: Frame) -> list[Piece]:
-    off, span = F.abs(f.mean - f.median), f.high - f.low
     names = [label("symmetry_looking", r=r) for r in SYMMETRY_R]
-    return [many(names, F.transform(doubles(SYMMETRY_R), lambda r: flag(off < r * span)))]
+    test = flag(f"abs({f.mean} - {f.median}) < r * {f.span}")
+    return [many(names, f"transform({doubles(SYMMETRY_R)}, r -> {test})")]
 
 
-def trend(f: Frame) -> dict[str, Column]:
+@_into(RUNNING)
+def linear_trend(f: Frame) -> list[Piece]:
     """Least squares of the value on its place 0, 1, 2, ... in the frame."""
-    at, v = f.position, F.col(V)
-    slope = f.agg("slope", F.regr_slope(v, at))
-    n = f.n
-    sxx = n * (n * n - 1) / 12.0
-    syy = f.var * n
-    rvalue = F.when(syy > 0, slope * F.sqrt(sxx / syy)).otherwise(0.0)
-    left = F.greatest(syy - slope * slope * sxx, F.lit(0.0))
-    stderr = F.when(n > 2, F.sqrt(left / sxx / (n - 2))).otherwise(0.0)
+    n, slope = f.n, f.agg("slope", f"regr_slope({V}, {f.position})")
+    sxx, syy = f"({n} * ({n} * {n} - 1) / 12)", f"({f.var} * {n})"
+    left = f"greatest({syy} - {slope} * {slope} * {sxx}, 0D)"
     parts = {
-        "intercept": f.mean - slope * (n - 1) / 2.0,
-        "rvalue": rvalue,
+        "intercept": f"{f.mean} - {slope} * ({n} - 1) / 2",
+        "rvalue": f"case when {syy} > 0 then {slope} * sqrt({sxx} / {syy}) else 0D end",
         "slope": slope,
-        "stderr": stderr,
+        "stderr": f"case when {f.size} > 2 then sqrt({left} / {sxx} / ({n} - 2)) else 0D end",
     }
-    return {k: F.when(n > 1, c) for k, c in parts.items()}
-
-
-@_into(RUNNING)
-def linear_trend(f: Frame) -> list[Piece]:
-    return [one(label("linear_trend", attr=k), c) for k, c in trend(f).items()]
+    return [one(label("linear_trend", attr=k), f"case when {f.size} > 1 then {sql} end") for k, sql in parts.items()]
 
 
 # --- lag, then aggregate -----------------------------------------------------------------------
 
 
-def _change(f: Frame) -> Column:
-    return F.col(V) - f.lag(1)
+def _change(f: Frame) -> str:
+    return f"({V} - {f.lag(1)})"
 
 
-_simple(LAGGED, "absolute_sum_of_changes", lambda f: F.coalesce(f.agg("abs_changes", F.sum(F.abs(_change(f))), 1), F.lit(0.0)))
-_simple(LAGGED, "mean_abs_change", lambda f: f.agg("mean_abs_change", F.avg(F.abs(_change(f))), 1))
-_simple(LAGGED, "mean_change", lambda f: f.agg("mean_change", F.avg(_change(f)), 1))
+_simple(LAGGED, "absolute_sum_of_changes", lambda f: f"coalesce({f.agg('abs_changes', f'sum(abs{_change(f)})', 1)}, 0D)")
+_simple(LAGGED, "mean_abs_change", lambda f: f.agg("mean_abs_change", f"avg(abs{_change(f)})", 1))
+_simple(LAGGED, "mean_change", lambda f: f.agg("mean_change", f"avg({_change(f)})", 1))
 _simple(
     LAGGED,
     "mean_second_derivative_central",
-    lambda f: f.agg("curvature", F.avg(0.5 * (F.col(V) - 2 * f.lag(1) + f.lag(2))), 2),
+    lambda f: f.agg("curvature", f"avg(0.5D * ({V} - 2 * {f.lag(1)} + {f.lag(2)}))", 2),
 )
 
 
 @_into(LAGGED)
 def c3(f: Frame) -> list[Piece]:
-    out = []
-    for k in LAGS:
-        product = f.lag(2 * k) * f.lag(k) * F.col(V)
-        out.append(one(label("c3", lag=k), F.coalesce(f.agg(f"c3_{k}", F.avg(product), 2 * k), F.lit(0.0))))
-    return out
+    product = lambda k: f"avg({f.lag(2 * k)} * {f.lag(k)} * {V})"
+    return [one(label("c3", lag=k), f"coalesce({f.agg(f'c3_{k}', product(k), 2 * k)}, 0D)") for k in LAGS]
 
 
 @_into(LAGGED)
 def time_reversal_asymmetry_statistic(f: Frame) -> list[Piece]:
     out = []
     for k in LAGS:
-        a, b, c = f.lag(2 * k), f.lag(k), F.col(V)
-        value = f.agg(f"reversal_{k}", F.avg(c * c * b - b * a * a), 2 * k)
-        out.append(one(label("time_reversal_asymmetry_statistic", lag=k), F.coalesce(value, F.lit(0.0))))
+        a, b = f.lag(2 * k), f.lag(k)
+        value = f.agg(f"reversal_{k}", f"avg({V} * {V} * {b} - {b} * {a} * {a})", 2 * k)
+        out.append(one(label("time_reversal_asymmetry_statistic", lag=k), f"coalesce({value}, 0D)"))
     return out
 
 
 @_into(LAGGED)
 def cid_ce(f: Frame) -> list[Piece]:
-    length = F.sqrt(F.coalesce(f.agg("sq_changes", F.sum(_change(f) * _change(f)), 1), F.lit(0.0)))
-    scaled = F.when(f.sd > 0, length / f.sd).otherwise(0.0)
+    length = f"sqrt(coalesce({f.agg('sq_changes', f'sum({_change(f)} * {_change(f)})', 1)}, 0D))"
+    scaled = f"case when {f.sd} > 0 then {length} / {f.sd} else 0D end"
     return [one(label("cid_ce", normalize=True), scaled), one(label("cid_ce", normalize=False), length)]
 
 
 @_into(LAGGED)
 def number_crossing_m(f: Frame) -> list[Piece]:
     out = []
-    for m in CROSSED:
-        crossed = (F.col(V) > float(m)) != (f.lag(1) > float(m))
-        out.append(one(label("number_crossing_m", m=m), F.coalesce(f.agg(f"cross_{m}", F.count_if(crossed), 1), F.lit(0))))
+    for i, m in enumerate(CROSSED):
+        crossed = f"count_if(({V} > {float(m)!r}D) <> ({f.lag(1)} > {float(m)!r}D))"
+        out.append(one(label("number_crossing_m", m=m), f"coalesce({f.agg(f'cross_{i}', crossed, 1)}, 0)"))
     return out
 
 
@@ -339,241 +338,190 @@ def number_crossing_m(f: Frame) -> list[Piece]:
 @_into(ORDER)
 def quantile(f: Frame) -> list[Piece]:
     names = [label("quantile", q=q) for q in QUANTILES]
-    return [many(names, f.agg("quantiles", F.percentile(V, doubles(QUANTILES))))]
-
+    return [many(names, f.agg("quantiles", f"percentile({V}, {doubles(QUANTILES)})"))]
 
-def _place(f: Frame, name: str, pick, sign: float) -> Column:
-    """Place in the frame of an extreme value, the first for +1, the last for -1.
 
-    max_by/min_by see (value, place), so ties go to the wanted end.
-    """
+def _place(f: Frame, name: str, pick: str, sign: str) -> str:
+    """Place in the frame of an extreme value. max_by/min_by compare (value,
+    signed place), so ties go to the wanted end."""
     at = f.position
-    return f.agg(name, pick(at, F.struct(F.col(V), at * F.lit(sign)))) - f.start
+    return f"({f.agg(name, f'{pick}({at}, struct({V}, {sign}{at}))')} - {f.start})"
 
 
-_simple(ORDER, "first_location_of_maximum", lambda f: ratio(_place(f, "first_max", F.max_by, -1.0), f.n))
-_simple(ORDER, "last_location_of_maximum", lambda f: ratio(_place(f, "last_max", F.max_by, 1.0) + 1, f.n))
-_simple(ORDER, "first_location_of_minimum", lambda f: ratio(_place(f, "first_min", F.min_by, 1.0), f.n))
-_simple(ORDER, "last_location_of_minimum", lambda f: ratio(_place(f, "last_min", F.min_by, -1.0) + 1, f.n))
+_simple(ORDER, "first_location_of_maximum", lambda f: ratio(_place(f, "first_max", "max_by", "-"), f.n))
+_simple(ORDER, "last_location_of_maximum", lambda f: ratio(_place(f, "last_max", "max_by", "") + " + 1", f.n))
+_simple(ORDER, "first_location_of_minimum", lambda f: ratio(_place(f, "first_min", "min_by", ""), f.n))
+_simple(ORDER, "last_location_of_minimum", lambda f: ratio(_place(f, "last_min", "min_by", "-") + " + 1", f.n))
 
 
-def _distinct(f: Frame) -> Column:
-    return f.derive("distinct", lambda: F.size(F.array_distinct(f.values)).cast("double"))
+def _distinct(f: Frame) -> str:
+    return f.derive("distinct", f"cast(size(array_distinct({f.values})) as double)")
 
 
-def _repeated(f: Frame) -> Column:
+def _repeated(f: Frame) -> str:
     """The values whose sorted neighbour is equal, once per occurrence."""
+    s = f.ordered
+    left = f"(i > 0 and get({s}, i - 1) = v)"
+    right = f"(i < size({s}) - 1 and get({s}, i + 1) = v)"
+    return f.derive("repeated", f"filter({s}, (v, i) -> {left} or {right})")
 
-    def make() -> Column:
-        s = f.ordered
-        n = F.size(s)
-        left = lambda i: (i > 0) & (F.get(s, i - 1) == F.get(s, i))
-        right = lambda i: (i < n - 1) & (F.get(s, i + 1) == F.get(s, i))
-        return F.filter(s, lambda _, i: left(i) | F.coalesce(right(i), F.lit(False)))
-
-    return f.derive("repeated", make)
 
-
-_simple(ORDER, "has_duplicate", lambda f: flag(_distinct(f) < f.n))
-_simple(ORDER, "has_duplicate_max", lambda f: flag(F.size(F.filter(f.values, lambda v: v == f.high)) > 1))
-_simple(ORDER, "has_duplicate_min", lambda f: flag(F.size(F.filter(f.values, lambda v: v == f.low)) > 1))
+_simple(ORDER, "has_duplicate", lambda f: flag(f"{_distinct(f)} < {f.n}"))
+_simple(ORDER, "has_duplicate_max", lambda f: flag(f"size(filter({f.values}, v -> v = {f.high})) > 1"))
+_simple(ORDER, "has_duplicate_min", lambda f: flag(f"size(filter({f.values}, v -> v = {f.low})) > 1"))
 _simple(
     ORDER,
     "percentage_of_reoccurring_values_to_all_values",
-    lambda f: ratio(F.size(F.array_distinct(_repeated(f))), _distinct(f)),
+    lambda f: ratio(f"size(array_distinct({_repeated(f)}))", _distinct(f)),
 )
 _simple(
-    ORDER, "percentage_of_reoccurring_datapoints_to_all_datapoints", lambda f: ratio(F.size(_repeated(f)), f.n)
+    ORDER, "percentage_of_reoccurring_datapoints_to_all_datapoints", lambda f: ratio(f"size({_repeated(f)})", f.n)
 )
-_simple(ORDER, "sum_of_reoccurring_values", lambda f: total(F.array_distinct(_repeated(f))))
+_simple(ORDER, "sum_of_reoccurring_values", lambda f: total(f"array_distinct({_repeated(f)})"))
 _simple(ORDER, "sum_of_reoccurring_data_points", lambda f: total(_repeated(f)))
 _simple(ORDER, "ratio_value_number_to_time_series_length", lambda f: ratio(_distinct(f), f.n))
 
 
 @_into(ORDER)
 def mean_n_absolute_max(f: Frame) -> list[Piece]:
-    largest = f.derive("by_size", lambda: F.reverse(F.array_sort(F.transform(f.values, F.abs))))
-    out = []
-    for k in LARGEST:
-        value = F.when(f.n > k, total(F.slice(largest, 1, k)) / k)
-        out.append(one(label("mean_n_absolute_max", number_of_maxima=k), value))
-    return out
+    largest = f.derive("by_size", f"reverse(array_sort(transform({f.values}, v -> abs(v))))")
+    return [
+        one(
+            label("mean_n_absolute_max", number_of_maxima=k),
+            f"case when {f.size} > {k} then {total(f'slice({largest}, 1, {k})')} / {k} end",
+        )
+        for k in LARGEST
+    ]
 
 
 # --- the frame as an array ----------------------------------------------------------------------------
 
-_simple(ARRAY, "count_above_mean", lambda f: F.size(F.filter(f.values, lambda v: v > f.mean)))
-_simple(ARRAY, "count_below_mean", lambda f: F.size(F.filter(f.values, lambda v: v < f.mean)))
+_simple(ARRAY, "count_above_mean", lambda f: f"size(filter({f.values}, v -> v > {f.mean}))")
+_simple(ARRAY, "count_below_mean", lambda f: f"size(filter({f.values}, v -> v < {f.mean}))")
 
 
-def _strike(f: Frame, test: Callable[[Column], Column]) -> Column:
+def _strike(f: Frame, test: str) -> str:
     """Longest run of consecutive values meeting the test."""
-    zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(acc: Column, v: Column) -> Column:
-        run = F.when(test(v), acc["run"] + 1).otherwise(0)
-        return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
+    run = f"case when v {test} {f.mean} then acc.run + 1 else 0 end"
+    step = f"named_struct('run', {run}, 'best', greatest(acc.best, {run}))"
+    return f"aggregate({f.values}, named_struct('run', 0, 'best', 0), (acc, v) -> {step}, acc -> acc.best)"
 
-    return F.aggregate(f.values, zero, step, lambda acc: acc["best"])
 
-
-_simple(ARRAY, "longest_strike_above_mean", lambda f: _strike(f, lambda v: v > f.mean))
-_simple(ARRAY, "longest_strike_below_mean", lambda f: _strike(f, lambda v: v < f.mean))
+_simple(ARRAY, "longest_strike_above_mean", lambda f: _strike(f, ">"))
+_simple(ARRAY, "longest_strike_below_mean", lambda f: _strike(f, "<"))
 
 
 @_into(ARRAY)
 def ratio_beyond_r_sigma(f: Frame) -> list[Piece]:
-    x, mean, sd, n = f.values, f.mean, f.sd, f.n
-    beyond = lambda r: F.size(F.filter(x, lambda v: F.abs(v - mean) > r * sd)).cast("double") / n
-    return [many([label("ratio_beyond_r_sigma", r=r) for r in SIGMAS], F.transform(doubles(SIGMAS), beyond))]
+    beyond = f"cast(size(filter({f.values}, v -> abs(v - {f.mean}) > r * {f.sd})) as double) / {f.n}"
+    names = [label("ratio_beyond_r_sigma", r=r) for r in SIGMAS]
+    return [many(names, f"transform({doubles(SIGMAS)}, r -> {beyond})")]
 
 
 @_into(ARRAY)
 def energy_ratio_by_chunks(f: Frame) -> list[Piece]:
-    squares = f.derive("squares", lambda: F.transform(f.values, lambda v: v * v))
-    size, energy = f.size, f.agg("energy", F.sum(F.col(V) * F.col(V)))
-    quot, rest = F.floor(size / CHUNKS).cast("int"), F.pmod(size, F.lit(CHUNKS)).cast("int")
-
-    def share(i: Column) -> Column:
-        begin = i * quot + F.least(i, rest)
-        length = quot + F.when(i < rest, 1).otherwise(0)
-        return F.when(energy > 0, total(F.slice(squares, begin + 1, length)) / energy)
-
+    squares = f.derive("squares", f"transform({f.values}, v -> v * v)")
+    quot, rest = f"({f.length} div {CHUNKS})", f"({f.length} % {CHUNKS})"
+    begin = f"cast(i * {quot} + least(i, {rest}) + 1 as int)"
+    taken = f"cast({quot} + case when i < {rest} then 1 else 0 end as int)"
+    share = f"case when {f.energy} > 0 then {total(f'slice({squares}, {begin}, {taken})')} / {f.energy} end"
     names = [label("energy_ratio_by_chunks", num_segments=CHUNKS, segment_focus=i) for i in range(CHUNKS)]
-    return [many(names, F.transform(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), share))]
+    return [many(names, f"transform(sequence(0, {CHUNKS - 1}), i -> {share})")]
 
 
 @_into(ARRAY)
 def index_mass_quantile(f: Frame) -> list[Piece]:
-    x, n = f.values, f.n
-    mass = f.agg("abs_sum", F.sum(F.abs(V)))
-
-    def place(q: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("before"))
-
-        def step(acc: Column, v: Column) -> Column:
-            run = acc["sum"] + F.abs(v)
-            return F.struct(run.alias("sum"), (acc["before"] + flag(run / mass < q)).alias("before"))
-
-        return F.when(mass > 0, (F.aggregate(x, zero, step, lambda acc: acc["before"]) + 1) / n)
-
-    return [many([label("index_mass_quantile", q=q) for q in QUANTILES], F.transform(doubles(QUANTILES), place))]
-
-
-def _tops(x: Column, k: int) -> Callable[[Column], Column]:
-    """Whether x at a place exceeds its k neighbours on both sides."""
-
-    def higher(i: Column) -> Column:
-        left, right = F.slice(x, i - k + 1, F.lit(k)), F.slice(x, i + 2, F.lit(k))
-        return (F.get(x, i) > F.array_max(left)) & (F.get(x, i) > F.array_max(right))
-
-    return higher
+    mass = f.agg("abs_sum", f"sum(abs({V}))")
+    run = "(acc.sum + abs(v))"
+    step = f"named_struct('sum', {run}, 'before', acc.before + {flag(f'{run} / {mass} < q')})"
+    before = (
+        f"aggregate({f.values}, named_struct('sum', 0D, 'before', 0D), (acc, v) -> {step}, acc -> acc.before)"
+    )
+    place = f"case when {mass} > 0 then ({before} + 1) / {f.n} end"
+    names = [label("index_mass_quantile", q=q) for q in QUANTILES]
+    return [many(names, f"transform({doubles(QUANTILES)}, q -> {place})")]
 
 
 @_into(ARRAY)
 def number_peaks(f: Frame) -> list[Piece]:
-    x, size = f.values, f.size
+    x, size = f.values, f.length
     out = []
     for k in PEAK_SUPPORT:
-        inner = F.when(size > 2 * k, F.sequence(F.lit(k), size - k - 1)).otherwise(F.array().cast("array<int>"))
-        out.append(one(label("number_peaks", n=k), F.size(F.filter(inner, _tops(x, k)))))
+        inner = f"case when {size} > {2 * k} then sequence({k}, {size} - {k + 1}) else cast(array() as array<int>) end"
+        tops = (
+            f"get({x}, i) > array_max(slice({x}, i - {k - 1}, {k})) "
+            f"and get({x}, i) > array_max(slice({x}, i + 2, {k}))"
+        )
+        out.append(one(label("number_peaks", n=k), f"size(filter({inner}, i -> {tops}))"))
     return out
 
 
 @_into(ARRAY)
 def binned_entropy(f: Frame) -> list[Piece]:
-    n, low, span = f.n, f.low, f.high - f.low
-    bins = f.derive(
-        "bins",
-        lambda: F.transform(f.values, lambda v: F.least(F.floor(ratio(v - low, span) * BINS).cast("int"), F.lit(BINS - 1))),
-    )
-    share = lambda b: F.size(F.filter(bins, lambda x: x == b)).cast("double") / n
-    shares = F.filter(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), share), lambda p: p > 0)
-    entropy = total(F.transform(shares, lambda p: -p * F.ln(p)))
-    return [one(label("binned_entropy", max_bins=BINS), F.when(span > 0, entropy).otherwise(0.0))]
+    bin_of = f"least(cast(floor({ratio(f'v - {f.low}', f.span)} * {BINS}) as int), {BINS - 1})"
+    bins = f.derive("bins", f"transform({f.values}, v -> {bin_of})")
+    share = f"cast(size(filter({bins}, x -> x = b)) as double) / {f.n}"
+    shares = f"filter(transform(sequence(0, {BINS - 1}), b -> {share}), p -> p > 0)"
+    entropy = total(f"transform({shares}, p -> -p * ln(p))")
+    return [one(label("binned_entropy", max_bins=BINS), f"case when {f.span} > 0 then {entropy} else 0D end")]
 
 
 @_into(ARRAY)
 def change_quantiles(f: Frame) -> list[Piece]:
-    edges = f.agg("corridor", F.percentile(V, doubles(CORRIDOR)))
+    """Mean and variance of the steps that stay inside a corridor of quantiles."""
+    edges = f.agg("corridor", f"percentile({V}, {doubles(CORRIDOR)})")
+    x, m = f.values, f"greatest({f.length} - 1, 0)"
     steps = f.derive(
         "steps",
-        lambda: F.when(
-            f.size > 1,
-            F.zip_with(
-                F.slice(f.values, F.lit(1), f.size - 1),
-                F.slice(f.values, F.lit(2), f.size - 1),
-                lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-            ),
-        ).otherwise(F.array().cast("array<struct<a:double,b:double>>")),
+        f"zip_with(slice({x}, 1, {m}), slice({x}, 2, {m}), (a, b) -> named_struct('a', a, 'b', b))",
     )
-    grid, names = [], []
+    names, grid = [], []
     for i, lo in enumerate(CORRIDOR[:-1]):
         for j, hi in list(enumerate(CORRIDOR))[i + 1 :]:
             for absolute in (False, True):
-                for how in ("mean", "var"):
-                    grid.append(
-                        F.struct(
-                            F.lit(i).alias("lo"), F.lit(j).alias("hi"), F.lit(absolute).alias("abs"), F.lit(how == "var").alias("var")
-                        )
-                    )
-                    names.append(label("change_quantiles", ql=lo, qh=hi, isabs=absolute, f_agg=how))
-
-    def within(g: Column) -> Column:
-        lo, hi = F.get(edges, g["lo"]), F.get(edges, g["hi"])
-        inside = F.filter(steps, lambda s: s["a"].between(lo, hi) & s["b"].between(lo, hi))
-        d = F.transform(inside, lambda s: F.when(g["abs"], F.abs(s["b"] - s["a"])).otherwise(s["b"] - s["a"]))
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("n"))
-        add = lambda acc, v: F.struct(
-            (acc["s"] + v).alias("s"), (acc["ss"] + v * v).alias("ss"), (acc["n"] + 1).alias("n")
-        )
-
-        def close(acc: Column) -> Column:
-            mean = acc["s"] / acc["n"]
-            spread = F.greatest(acc["ss"] / acc["n"] - mean * mean, F.lit(0.0))
-            return F.when((acc["n"] == 0) | (lo == hi), 0.0).when(g["var"], spread).otherwise(mean)
-
-        return F.aggregate(d, zero, add, close)
-
-    return [many(names, F.transform(F.array(*grid), within))]
-
-
-def _autocorrelation(f: Frame) -> Callable[[Column], Column]:
-    centred = f.derive("centred", lambda: F.transform(f.values, lambda v: v - f.mean))
-    size, var = f.size, f.var
+                grid.append(f"named_struct('lo', get({edges}, {i}), 'hi', get({edges}, {j}), 'abs', {str(absolute).lower()})")
+                names += [label("change_quantiles", ql=lo, qh=hi, isabs=absolute, f_agg=how) for how in ("mean", "var")]
+    inside = f"filter({steps}, s -> s.a between g.lo and g.hi and s.b between g.lo and g.hi)"
+    moves = f"transform({inside}, s -> case when g.abs then abs(s.b - s.a) else s.b - s.a end)"
+    add = "named_struct('s', acc.s + v, 'ss', acc.ss + v * v, 'n', acc.n + 1)"
+    spread = "greatest(acc.ss / acc.n - (acc.s / acc.n) * (acc.s / acc.n), 0D)"
+    close = (
+        f"case when acc.n = 0 or g.lo = g.hi then array(0D, 0D) else array(acc.s / acc.n, {spread}) end"
+    )
+    zero = "named_struct('s', 0D, 'ss', 0D, 'n', 0D)"
+    both = f"aggregate({moves}, {zero}, (acc, v) -> {add}, acc -> {close})"
+    return [many(names, f"flatten(transform(array({', '.join(grid)}), g -> {both}))")]
 
-    def at(k: Column) -> Column:
-        pairs = F.zip_with(F.slice(centred, F.lit(1), size - k), F.slice(centred, k + 1, size - k), lambda a, b: a * b)
-        return F.when((k < size) & (var > 1e-15), total(pairs) / ((size - k) * var))
 
-    return at
+def _autocorrelation(f: Frame, lag: str) -> str:
+    """Autocorrelation at a lag, NULL for a constant frame or too long a lag."""
+    x = f.derive("centred", f"transform({f.values}, v -> v - {f.mean})")
+    m = f"({f.length} - {lag})"
+    products = f"zip_with(slice({x}, 1, {m}), slice({x}, {lag} + 1, {m}), (a, b) -> a * b)"
+    return f"case when {lag} < {f.length} and {f.var} > 1e-15 then {total(products)} / ({m} * {f.var}) end"
 
 
 @_into(ARRAY)
 def autocorrelation(f: Frame) -> list[Piece]:
-    lags = F.sequence(F.lit(0), F.lit(ACF_LAGS - 1))
-    return [many([label("autocorrelation", lag=k) for k in range(ACF_LAGS)], F.transform(lags, _autocorrelation(f)))]
+    names = [label("autocorrelation", lag=k) for k in range(ACF_LAGS)]
+    return [many(names, f"transform(sequence(0, {ACF_LAGS - 1}), k -> {_autocorrelation(f, 'k')})")]
 
 
 @_into(ARRAY)
 def agg_autocorrelation(f: Frame) -> list[Piece]:
-    at = _autocorrelation(f)
-    defined = (f.size > 1) & (f.var >= 1e-10)
-    acf = f.derive(
-        "acf",
-        lambda: F.when(defined, F.transform(F.sequence(F.lit(1), F.least(F.lit(ACF_MAXLAG), f.size - 1)), at)),
-    )
-    m = F.size(acf)
-    mean = total(acf) / m
-    ordered = F.array_sort(acf)
-    half = F.floor(m / 2).cast("int")
-    median = F.when(F.pmod(m, F.lit(2)) == 1, F.get(ordered, half)).otherwise(
-        (F.get(ordered, half - 1) + F.get(ordered, half)) / 2
-    )
-    var = total(F.transform(acf, lambda a: (a - mean) * (a - mean))) / m
+    defined = f"({f.size} > 1 and {f.var} >= 1e-10)"
+    lags = f"sequence(1, least({ACF_MAXLAG}, {f.length} - 1))"
+    acf = f.derive("acf", f"case when {defined} then transform({lags}, k -> {_autocorrelation(f, 'k')}) end")
+    ordered = f.derive("acf_sorted", f"array_sort({acf})")
+    m = f"size({acf})"
+    mean = f.derive("acf_mean", f"{total(acf)} / {m}")
+    half = f"({m} div 2)"
+    at = lambda i: f"get({ordered}, cast({i} as int))"
+    median = f"case when {m} % 2 = 1 then {at(half)} else ({at(half + ' - 1')} + {at(half)}) / 2 end"
+    var = f"{total(f'transform({acf}, a -> (a - {mean}) * (a - {mean}))')} / {m}"
     return [
-        one(label("agg_autocorrelation", f_agg=k, maxlag=ACF_MAXLAG), F.coalesce(F.when(defined, c), F.lit(0.0)))
-        for k, c in (("mean", mean), ("median", median), ("var", var))
+        one(label("agg_autocorrelation", f_agg=k, maxlag=ACF_MAXLAG), f"coalesce(case when {defined} then {sql} end, 0D)")
+        for k, sql in (("mean", mean), ("median", median), ("var", var))
     ]
 
 
@@ -581,19 +529,17 @@ def agg_autocorrelation(f: Frame) -> list[Piece]:
 def benford_correlation(f: Frame) -> list[Piece]:
     """Correlation of the first digits with the shares log10(1 + 1/d)."""
     # The shortest decimal text of a double starts with its first digit.
-    digit = lambda v: F.regexp_extract(F.abs(v).cast("string"), "[1-9]", 0).cast("int")
-    digits = f.derive("digits", lambda: F.transform(F.filter(f.values, lambda v: v != 0), digit))
-    n = f.n
-    shares = f.derive(
-        "digit_shares",
-        lambda: F.transform(F.sequence(F.lit(1), F.lit(9)), lambda d: F.size(F.filter(digits, lambda x: x == d)) / n),
-    )
-    law = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda d: F.log10(1 + 1 / d))
-    mean_s, mean_l = total(shares) / 9, F.lit(1.0 / 9)
-    cross = total(F.zip_with(shares, law, lambda s, p: (s - mean_s) * (p - mean_l)))
-    ss = total(F.transform(shares, lambda s: (s - mean_s) * (s - mean_s)))
-    ll = total(F.transform(law, lambda p: (p - mean_l) * (p - mean_l)))
-    return [one("benford_correlation", F.when(ss > 0, cross / F.sqrt(ss * ll)))]
+    digit = "cast(regexp_extract(cast(abs(v) as string), '[1-9]', 0) as int)"
+    digits = f.derive("digits", f"transform(filter({f.values}, v -> v <> 0), v -> {digit})")
+    share = f"size(filter({digits}, x -> x = d)) / {f.n}"
+    shares = f.derive("digit_shares", f"transform(sequence(1, 9), d -> {share})")
+    mean = f.derive("digit_mean", f"{total(shares)} / 9")
+    law = "transform(sequence(1, 9), d -> log10(1D + 1D / d) - 1D / 9)"
+    off = f"transform({shares}, s -> s - {mean})"
+    cross = total(f"zip_with({off}, {law}, (s, p) -> s * p)")
+    squares = lambda a: total(f"transform({a}, z -> z * z)")
+    ss = f.derive("digit_spread", squares(off))
+    return [one("benford_correlation", f"case when {ss} > 0 then {cross} / sqrt({ss} * {squares(law)}) end")]
 
 
 COLUMN_SETS = {"minimal": (MINIMAL,), "efficient": (MINIMAL, RUNNING, LAGGED, ORDER, ARRAY)}

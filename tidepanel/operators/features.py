@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tidepanel.functions import calculators as calc
 from tidepanel.functions import frame_numpy
+from tidepanel.functions.scalar import nan_to_null
 from tidepanel.keys import SERIES, SERIES_KEY, SPLIT, TS, VALUE
 from tidepanel.operators.blocks import BLOCK, series_window, with_block
 
@@ -71,16 +72,17 @@ def extract(
     return out
 
 
-def _long(df: DataFrame, keys: Sequence[str], names: Sequence[str], values: Column) -> DataFrame:
+def _long(df: DataFrame, keys: Sequence[str], names: Sequence[str], values: str) -> DataFrame:
+    """Unfold an array of numbers to (keys without series, ts, feature, value)."""
     rest = [k for k in keys if k != SERIES]
-    exploded = df.select(*keys, TS, F.posexplode(values).alias("_i", VALUE))
-    name = F.get(F.array(*[F.lit(n) for n in names]), F.col("_i"))
-    value = F.col(VALUE)
+    exploded = df.selectExpr(*keys, TS, f"posexplode({values}) as (_i, {VALUE})")
+    # One constant array; the names hold no newline.
+    name = F.get(F.split(F.lit("\n".join(names)), "\n"), F.col("_i"))
     return exploded.select(
         *rest,
         TS,
         F.concat(F.col(SERIES), F.lit("__"), name).alias("feature"),
-        F.when(~F.isnan(value), value).alias(VALUE),
+        nan_to_null(F.col(VALUE)).alias(VALUE),
     )
 
 
@@ -89,17 +91,19 @@ def extract_columns(
 ) -> DataFrame:
     """Features written as column expressions: one shuffle by series, all in the JVM."""
     keys = series_keys(panel)
-    f = calc.Frame(series_window(keys), max_shift)
+    f = calc.Frame(keys, max_shift)
+    length = f.size
     pieces = [piece for c in calculators for piece in c(f)]
     df = panel.where(F.col(VALUE).isNotNull()).select(*keys, TS, VALUE)
-    length = f.n
-    df = df.withColumns(f.lags).withColumns(f.aggregates)
+    for layer in (f.rows, f.aggregates):
+        df = df.selectExpr("*", *[f"{sql} as {name}" for name, sql in layer.items()])
     if min_shift:
-        df = df.where(length > min_shift)
-    for name, expr in f.derived:
-        df = df.withColumn(name, expr)
+        df = df.where(f"{length} > {min_shift}")
+    # A derived column may use those before it.
+    for name, sql in f.derived.items():
+        df = df.selectExpr("*", f"{sql} as {name}")
     names = [n for piece in pieces for n in piece[0]]
-    return _long(df, keys, names, F.concat(*[values for _, values in pieces]))
+    return _long(df, keys, names, f"concat({', '.join(sql for _, sql in pieces)})")
 
 
 def extract_arrays(
@@ -120,6 +124,9 @@ def extract_arrays(
     taken = F.transform(
         F.slice("_rows", F.col("_start") - F.col("_reach") + 1, F.col("_reach") + F.lit(run)), lambda r: r[VALUE]
     )
+    # A fixed number of partitions: the runs are small in bytes but heavy to compute,
+    # so they must not be merged by size.
+    spread = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = (
         arrays.withColumn("_start", F.explode(starts))
         .withColumn("_reach", reach)
@@ -130,7 +137,7 @@ def extract_arrays(
             F.transform(F.slice("_rows", F.col("_start") + 1, F.lit(run)), lambda r: r[TS]).alias("_dates"),
             taken.alias("_values"),
         )
-        .repartition(*keys, "_start")
+        .repartition(spread, *keys, "_start")
     )
     udf = frame_numpy.frame_udf(tuple(names), max_shift)
     computed = runs.withColumn("_frames", udf("_values", "_reach"))
@@ -140,7 +147,7 @@ def extract_arrays(
     if min_shift:
         length = F.col("_length") if max_shift is None else F.least(F.col("_length"), F.lit(max_shift + 1))
         per_row = per_row.where(length > min_shift)
-    return _long(per_row, keys, frame_numpy.names_of(names), F.col("_v"))
+    return _long(per_row, keys, frame_numpy.names_of(names), "_v")
 
 
 # --- long series ---------------------------------------------------------------------------
@@ -177,7 +184,7 @@ def expanding_moments(panel: DataFrame, *, block_days: int) -> DataFrame:
         F.max("big").over(before).alias("big0"),
     )
     spread = lambda b: b["m2"] + b["n"] * (b["s"] / b["n"] - F.col("_center")) * (b["s"] / b["n"] - F.col("_center"))
-    carried = carried.withColumn("m0", calc.total(F.transform("_prior", spread))).drop("_prior", "_center")
+    carried = carried.withColumn("m0", F.aggregate(F.transform("_prior", spread), F.lit(0.0), lambda a, v: a + v)).drop("_prior", "_center")
     inside = frame(series_window([*keys, BLOCK]))
     running = {f"_{k}": e.over(inside) for k, e in pieces.items() if k != "m2"}
     running["_m2"] = F.var_pop(VALUE).over(inside) * F.count(VALUE).over(inside)
