@@ -18,6 +18,7 @@ from pyspark.sql.window import WindowSpec
 
 from tidepanel.functions.scalar import day_number
 from tidepanel.keys import SERIES_KEY, TS
+from tidepanel.session import cut_lineage
 
 BLOCK = "_block"
 HALO = "_halo"
@@ -105,6 +106,15 @@ def add_halo(
     return out
 
 
+def settled(df: DataFrame, block_days: int | None) -> DataFrame:
+    """In block form, ``df`` written to the checkpoint folder; else unchanged.
+
+    A halo reads its input twice, so a chain of block steps without this would
+    read the source twice per step to the power of their number.
+    """
+    return df if block_days is None else cut_lineage(df)
+
+
 def over_series(
     df: DataFrame,
     steps: Iterable[Step],

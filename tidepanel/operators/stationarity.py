@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidepanel.functions import adf as ols
 from tidepanel.functions.scalar import nan_to_null
 from tidepanel.keys import SERIES_KEY, SPLIT, TS, VALUE
-from tidepanel.operators.blocks import BLOCK, HALO, add_halo, over_series
+from tidepanel.operators.blocks import BLOCK, HALO, add_halo, over_series, settled
 from tidepanel.operators.transform import ROLL_MEAN, stationarity_variants, variant_steps
 
 # The names of the transforms, in the order that settles ties.
@@ -284,7 +284,7 @@ def choose_transform(
         return _chosen(reports, keys)
     if statistic != "autolag":
         raise ValueError(f"unknown statistic {statistic!r}, expected 'autolag' or 'lag0'")
-    variants = stationarity_variants(known, column=column, keys=keys, block_days=block_days)
+    variants = settled(stationarity_variants(known, column=column, keys=keys, block_days=block_days), block_days)
     return _chosen(_variant_reports(variants, keys, block_days), keys)
 
 
@@ -306,10 +306,11 @@ def apply_transform(
     """Replace values by the chosen transform and fill its leading gap backward.
 
     Adds ``method``. Without a choice table it is made here; a table keyed by
-    series only is used for every split.
+    series only is used for every split. In blocks the intermediate tables are
+    written to the checkpoint folder.
     """
     keys = _series_keys(panel)
-    variants = stationarity_variants(panel, column=column, keys=keys, block_days=block_days)
+    variants = settled(stationarity_variants(panel, column=column, keys=keys, block_days=block_days), block_days)
     if choice is None and block_days is None:
         if statistic == "lag0":
             chosen = _with_lag0_choice(variants, keys).withColumn("method", F.col("_best.method"))
@@ -317,13 +318,14 @@ def apply_transform(
             chosen = _with_autolag_choice(variants, keys)
     else:
         if choice is None:
-            choice = choose_transform(panel, column=column, statistic=statistic, block_days=block_days)
+            plain = variants.drop(*VARIANTS)
+            choice = settled(choose_transform(plain, column=column, statistic=statistic, block_days=block_days), block_days)
         on = [k for k in keys if k in choice.columns]
         chosen = variants.join(choice.select(*on, "method"), on, "left")
     value = F.col(VARIANTS[0])
     for v, method in list(zip(VARIANTS, METHODS))[1:]:
         value = F.when(F.col("method") == method, F.col(v)).otherwise(value)
-    shaped = chosen.withColumn(column, value).select(*panel.columns, "method")
+    shaped = settled(chosen.withColumn(column, value).select(*panel.columns, "method"), block_days)
     later = lambda w: F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     # 'None' leaves the series as it is, gaps included.
     kept = F.col("method").isNull() | (F.col("method") == METHODS[0])

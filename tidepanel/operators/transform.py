@@ -10,7 +10,7 @@ from pyspark.sql.window import WindowSpec
 
 from tidepanel.functions.scalar import log100
 from tidepanel.keys import PANEL, SERIES, SERIES_KEY, SPLIT, TS, VALUE
-from tidepanel.operators.blocks import over_series
+from tidepanel.operators.blocks import over_series, settled
 from tidepanel.operators.joins import attach
 from tidepanel.operators.split import TRAIN
 
@@ -93,7 +93,7 @@ def percent_change(
     if block_days is None:
         return over_series(panel, [fill, change], keys=keys)
     filled = over_series(panel, [fill], before=1, anchor=F.col(column).isNotNull(), keys=keys, block_days=block_days)
-    return over_series(filled, [change], before=1, keys=keys, block_days=block_days)
+    return over_series(settled(filled, block_days), [change], before=1, keys=keys, block_days=block_days)
 
 
 def _full_window(agg: Column, column: str, w: WindowSpec, window: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.keys import PANEL, SERIES, SERIES_KEY, SPLIT, SPLIT_KEY, TS, VALUE
 from tidepanel.operators import align, clean, impute, split, stationarity, transform
+from tidepanel.operators.blocks import settled
 from tidepanel.operators.joins import attach, by_series
 from tidepanel.plans.config import PrepareConfig
 from tidepanel.session import cut_lineage
@@ -63,15 +64,15 @@ def preprocess(
     parted = split.chrono_split(cut_lineage(drop_empty_series(panel)), cfg.test_fraction)
     if spline:
         parted = impute.spline_impute(
-            parted, series=spline, per_split=cfg.fit_scope == "split", block_days=days
+            settled(parted, days), series=spline, per_split=cfg.fit_scope == "split", block_days=days
         )
     if nominal and cfg.deflator:
         parted = transform.deflate(parted, cfg.deflator, nominal)
     if logged:
         parted = transform.log_transform(parted, logged)
-    scaled = transform.standardise(by_series(parted))
+    scaled = settled(transform.standardise(by_series(parted)), days)
     changed = transform.percent_change(scaled, keys=keys, block_days=days)
-    rows = drop_incomplete_dates(changed, cfg.target)
+    rows = settled(drop_incomplete_dates(settled(changed, days), cfg.target), days)
     choice = None
     if cfg.choose_on == "train":
         train = rows.where(F.col(SPLIT) == split.TRAIN)
