@@ -42,12 +42,15 @@ def tidy(v: Column, digits: int = 6) -> Column:
     return F.round(v, digits) + F.lit(0.0)
 
 
-def unit_hash(*parts: Column) -> Column:
-    """Uniform [0, 1) number fixed by its arguments.
+def unit_hash_sql(*parts: str) -> str:
+    """Uniform [0, 1) number fixed by its arguments, as SQL.
 
     Unlike ``rand(seed)`` it depends on the key and not on the partition, so a
     recomputed task on another executor gives the same number.
     """
-    text = F.concat_ws("|", *[p.cast("string") for p in parts])
-    head = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
-    return head.cast("double") / F.lit(float(16**12))
+    text = ", ".join(f"cast({p} as string)" for p in parts)
+    return f"(cast(conv(substring(md5(concat_ws('|', {text})), 1, 12), 16, 10) as bigint) / {float(16**12)!r}D)"
+
+
+def unit_hash(*parts: str) -> Column:
+    return F.expr(unit_hash_sql(*parts))

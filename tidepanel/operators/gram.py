@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,11 +101,15 @@ def product_sums(matrix: DataFrame, columns: int) -> DataFrame:
         .agg(F.sum("_v").alias("_v"))
     )
     # p is the length of the caller's name list, which bounds what is collected.
-    flat = F.sort_array(F.collect_list(F.struct("_i", "_v")))
-    whole = cells.groupBy(PANEL, SPLIT).agg(F.transform(flat, lambda c: c["_v"]).alias("_cells"))
+    flat = F.sort_array(F.collect_list(F.struct("_i", SPLIT, "_v")))
+    whole = cells.groupBy(PANEL).agg(flat.alias("_c"))
     zeros = F.array_repeat(F.lit(0.0), width * width)
-    of = lambda s: F.coalesce(F.max(F.when(F.col(SPLIT) == s, F.col("_cells"))), zeros)
-    return whole.groupBy(PANEL).agg(of(TRAIN).alias("train"), of(TEST).alias("test"))
+
+    def of(name: str) -> Column:
+        mine = F.transform(F.filter("_c", lambda c: c[SPLIT] == name), lambda c: c["_v"])
+        return F.when(F.size(mine) > 0, mine).otherwise(zeros)
+
+    return whole.select(PANEL, of(TRAIN).alias("train"), of(TEST).alias("test"))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.scalar import unit_hash
+from tidepanel.functions.scalar import unit_hash_sql
 from tidepanel.keys import PANEL
 from tidepanel.operators.gram import solve_sets
 
@@ -22,13 +22,14 @@ class Dimension:
     high: float
     kind: str  # int, float or log
 
-    def draw(self, u: Column) -> Column:
+    def draw(self, u: str) -> str:
+        """SQL for the value at the uniform number ``u``."""
         if self.kind == "int":
-            return F.floor(F.lit(float(self.low)) + u * F.lit(float(self.high - self.low + 1))).cast("double")
+            return f"cast(floor({float(self.low)}D + {u} * {float(self.high - self.low + 1)}D) as double)"
         if self.kind == "log":
             lo, hi = math.log(self.low), math.log(self.high)
-            return F.exp(F.lit(lo) + u * F.lit(hi - lo))
-        return F.lit(float(self.low)) + u * F.lit(float(self.high - self.low))
+            return f"exp({lo!r}D + {u} * {hi - lo!r}D)"
+        return f"({float(self.low)}D + {u} * {float(self.high - self.low)}D)"
 
 
 # The two parameter spaces.
@@ -64,29 +65,28 @@ def space_of(model: str) -> tuple[Dimension, ...]:
     return SPACES[model]
 
 
-def trial_list(panel: Column, *, trials: int = TRIALS, seed: int = 42, models=MODELS) -> Column:
-    """array<struct<model, trial, params>>: ``trials`` draws per model.
+def trial_list(*, trials: int = TRIALS, seed: int = 42, models=MODELS) -> Column:
+    """array<struct<model, trial, params>>: ``trials`` draws per model for the
+    panel of the row.
 
     A draw depends on panel, model, trial and parameter name alone, so it is the
     same wherever and however often its task runs.
     """
 
-    def draws(model: str) -> Column:
-        def one(t: Column) -> Column:
-            entries = []
-            for dim in space_of(model):
-                u = unit_hash(F.lit(seed), panel, F.lit(model), t, F.lit(dim.name))
-                entries += [F.lit(dim.name), dim.draw(u)]
-            return F.struct(F.lit(model).alias("model"), t.alias("trial"), F.create_map(*entries).alias("params"))
+    def draws(model: str) -> str:
+        entries = ", ".join(
+            f"'{dim.name}', {dim.draw(unit_hash_sql(str(seed), PANEL, repr(model), 't', repr(dim.name)))}"
+            for dim in space_of(model)
+        )
+        one = f"named_struct('model', '{model}', 'trial', t, 'params', map({entries}))"
+        return f"transform(sequence(0, {trials - 1}), t -> {one})"
 
-        return F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), one)
-
-    return F.concat(*[draws(m) for m in models])
+    return F.expr(f"concat({', '.join(draws(m) for m in models)})")
 
 
 def param_trials(panels: DataFrame, **options) -> DataFrame:
     """(panel_id, model, trial, params), one row per draw."""
-    drawn = panels.select(PANEL).distinct().select(PANEL, trial_list(F.col(PANEL), **options).alias("_t"))
+    drawn = panels.select(PANEL).distinct().select(PANEL, trial_list(**options).alias("_t"))
     return drawn.select(PANEL, F.explode("_t").alias("_t")).select(PANEL, "_t.*")
 
 
@@ -104,7 +104,7 @@ def search_summary(trials: DataFrame) -> DataFrame:
 def ridge_search(sums: DataFrame, base: Column, **options) -> DataFrame:
     """The trials of every panel with the hold-out error of the linear learner,
     which takes its penalty from ``reg_lambda``. The rows are not read again."""
-    listed = sums.withColumn("_t", trial_list(F.col(PANEL), **options))
+    listed = sums.withColumn("_t", trial_list(**options))
     penalties = F.transform("_t", lambda t: t["params"]["reg_lambda"])
     scored = listed.withColumn("_s", F.get(solve_sets("train", "test", F.array(base), penalties), F.lit(0)))
     return scored.select(PANEL, F.posexplode("_t").alias("_i", "_c"), "_s").select(

@@ -234,4 +234,4 @@ def n_smallest(table: DataFrame, n: int, score: str, tie: str) -> DataFrame:
 
 def noise_probe(rows: DataFrame, names: Sequence[str], seed: int = 42, keys: Sequence[str] = (PANEL, "ts")) -> DataFrame:
     """Uniform [0, 1) features drawn from the row key."""
-    return rows.withColumns({n: unit_hash(F.lit(seed), F.lit(n), *[F.col(k) for k in keys]) for n in names})
+    return rows.withColumns({n: unit_hash(str(seed), repr(n), *keys) for n in names})

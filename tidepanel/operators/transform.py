@@ -18,13 +18,14 @@ ROLL_MEAN = 7
 ROLL_PLOT = 12
 
 
-def deflate(panel: DataFrame, deflator: str, nominal: Sequence[str]) -> DataFrame:
+def deflate(panel: DataFrame, deflator: str, nominal: Sequence[str], *, check: bool = True) -> DataFrame:
     """value / deflator * 100 on the same date for the nominal series.
 
     The deflator has one row per panel and date; a date of a panel with very many
-    series is dealt over several tasks by the salted join.
+    series is dealt over several tasks by the salted join. ``check`` looks, in a
+    job of its own, whether the deflator is there at all.
     """
-    if not panel.where(F.col(SERIES) == deflator).limit(1).count():
+    if check and not panel.where(F.col(SERIES) == deflator).limit(1).count():
         raise ValueError(f"deflator series {deflator!r} is not in the panel")
     keys = [PANEL, TS]
     index = panel.where(F.col(SERIES) == deflator).select(*keys, F.col(VALUE).alias("_deflator"))
