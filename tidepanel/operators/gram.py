@@ -65,6 +65,8 @@ def design_matrix(rows: DataFrame, names: Sequence[str], target: str, *, optiona
 def product_sums(matrix: DataFrame, columns: int) -> DataFrame:
     """(panel_id, train, test): flat (p+2) x (p+2) sums of products of 1, x, y.
 
+    A panel without rows in either split has nothing to score and is left out.
+
     Every task sums its rows per panel and split; the cells are then summed with
     map-side combine, so a panel with most of the rows costs one matrix per task.
     """
@@ -109,7 +111,8 @@ def product_sums(matrix: DataFrame, columns: int) -> DataFrame:
         mine = F.transform(F.filter("_c", lambda c: c[SPLIT] == name), lambda c: c["_v"])
         return F.when(F.size(mine) > 0, mine).otherwise(zeros)
 
-    return whole.select(PANEL, of(TRAIN).alias("train"), of(TEST).alias("test"))
+    sums = whole.select(PANEL, of(TRAIN).alias("train"), of(TEST).alias("test"))
+    return sums.where((F.get("train", F.lit(0)) > 0) & (F.get("test", F.lit(0)) > 0))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))

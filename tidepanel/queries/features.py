@@ -11,7 +11,7 @@ from tidepanel.functions.scalar import tidy
 from tidepanel.keys import VALUE
 from tidepanel.operators import features, split, transform
 from tidepanel.operators.align import month_grid
-from tidepanel.queries.panels_sql import split_sql, sql
+from tidepanel.queries.panels_sql import month_grid_sql, split_sql, sql
 from tidepanel.queries.prepare import _Z
 from tidepanel.sources import warehouse
 
@@ -409,7 +409,8 @@ def extract_comprehensive(spark, d):
 
 
 _FLAGSHIP_STEPS = {
-    "s": split_sql("f1"),
+    "g": month_grid_sql("f1"),
+    "s": split_sql("g"),
     "z": _Z,
     "dd": "select panel_id, series_id, ts, split, value - lag(value) over (partition by panel_id, series_id, split order by ts) as value from z",
 }
