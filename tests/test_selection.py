@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.operators import boosted, gram, search, selection, split
+from tidepanel.plans import boosted as boosted_plan
 from tidepanel.plans import engineer as plan
 from tidepanel.plans.config import EngineerConfig, PrepareConfig, parameter_set
 
@@ -184,3 +185,13 @@ def test_config_checks():
     for bad in ({"target": ""}, {"test_fraction": 1.2}, {"statistic": "z"}, {"choose_on": "test"}):
         with pytest.raises(ValueError):
             PrepareConfig(**({"target": "y"} | bad))
+
+
+def test_boosted_selection(matrix):
+    small = {"xgboost": boosted.DEFAULT_PARAMS["xgboost"] | {"n_estimators": 4, "max_depth": 2, "learning_rate": 0.3}}
+    got = boosted_plan.select(matrix, "p", ["a"], NAMES, small, rounds=1)
+    assert set(got.added) <= {"b", "c", "d", "e"} and got.added
+    assert set(got.features) == ({"a"} | set(got.added)) - set(got.dropped)
+    assert {r["model"] for r in got.summary.collect()} == {"xgboost", "all"}
+    with pytest.raises(ValueError):
+        boosted_plan.select(matrix, "p", ["a"], NAMES, small, rounds=-1)
