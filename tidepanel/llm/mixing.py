@@ -74,7 +74,7 @@ def budgets(
 
 def choose(
     docs: DataFrame,
-    levels: Mapping[str, Column],
+    levels: Mapping[str, str],
     weights: Mapping[str, Mapping[str, float]],
     fraction: float,
     epochs: int = 1,
@@ -84,7 +84,8 @@ def choose(
 ) -> DataFrame:
     """Per document taken: id_col, the levels, epoch, n_tokens, start (the tokens its leaf took before it).
 
-    The target is ``fraction`` of all tokens. A leaf can give its tokens ``epochs`` times. In each epoch its
+    ``levels`` names the levels of the tree from the root, with SQL for a document's node at each. The
+    target is ``fraction`` of all tokens. A leaf can give its tokens ``epochs`` times. In each epoch its
     order is that of md5("seed:epoch:id"), and it takes the longest prefix that does not pass its budget.
     Null names of a level count as "other", documents without a word cost nothing and are taken with the
     prefix they stand in. A null id stands as "null". Rows that repeat an id are documents of their own, in an
@@ -94,7 +95,7 @@ def choose(
     names = list(levels)
     rows = docs.select(
         F.col(id_col).alias("id"),
-        *[F.coalesce(c.cast("string"), F.lit(OTHER)).alias(n) for n, c in levels.items()],
+        *[F.coalesce(F.expr(e).cast("string"), F.lit(OTHER)).alias(n) for n, e in levels.items()],
         tokens(text_col).alias("n_tokens"),
     )
     rows = settle(rows, "mix-rows")
@@ -122,7 +123,7 @@ def _prefixes(rows: DataFrame, leaves: DataFrame, names: list[str], epochs: int,
     return taken.select("id", *names, "epoch", "n_tokens", "start")
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, float]], fraction: float,
+def mix(docs: DataFrame, levels: Mapping[str, str], weights: Mapping[str, Mapping[str, float]], fraction: float,
         seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`choose` takes in one epoch, with all their columns. Rows that repeat
     an id are taken or left together."""

@@ -11,8 +11,8 @@ from tidepanel.llm.common import table
 SHARDS = 24
 
 #: A domain is named by the source: the digits of ``src7`` modulo 3.
-DOMAIN = F.concat(F.lit("d"), F.pmod(F.expr("try_cast(regexp_extract(source, '^src([0-9]+)$', 1) as int)"), F.lit(3)))
-LEVELS = {"domain": DOMAIN, "language": F.col("lang"), "origin": F.col("source")}
+DOMAIN = "concat('d', pmod(try_cast(regexp_extract(source, '^src([0-9]+)$', 1) as int), 3))"
+LEVELS = {"domain": DOMAIN, "language": "lang", "origin": "source"}
 #: Target weights of the production mix; what is not named weighs 1.
 WEIGHTS = {
     "domain": {"d0": 1.0, "d1": 2.0, "d2": 1.0},
