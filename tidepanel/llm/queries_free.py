@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import ngram_join
+from tidepanel.llm import ngram_join, piece_codec, toxicity
 from tidepanel.llm.common import table
 
 
@@ -12,5 +12,17 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op9_toxicity": op9_toxicity,
+}
 ORACLES: dict[str, str] = {}

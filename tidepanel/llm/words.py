@@ -71,11 +71,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(data: np.ndarray, letter: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     """Hashes of the words of one text, in order: runs of bytes that ``breaks`` does not mark, each byte
     read as ``letter`` says."""
-    return np.concatenate([h for h, _, _ in _runs(data, letter, breaks, np.array([len(data)]))] or [np.empty(0, U64)])
+    return np.concatenate([h for h, _ in _runs(data, letter, breaks, np.array([len(data)]), ())] or [np.empty(0, U64)])
 
 
-def _runs(data, letter, breaks, ends) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hashes, starts, ends) of words, a segment at a time; no word spans two texts."""
+def _runs(data, letter, breaks, ends, heads) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, starts) of words, a segment at a time; no word spans two texts. With ``heads`` there is a row
+    of hashes for each, of the words' first so many bytes, 0 for words that are not longer."""
     at, n = 0, len(data)
     while at < n:
         stop = min(n, at + SEGMENT)
@@ -109,24 +110,33 @@ def _runs(data, letter, breaks, ends) -> Iterator[tuple[np.ndarray, np.ndarray,
         values = _BYTE[letter[part]] if letter is not SAME else _BYTE[part]
         values *= _power_table(_BASE, len(part))
         np.cumsum(values, out=running[1:])
-        hashes = (running[stops] - running[starts]) * _power_table(_INVERSE, len(part))[starts]
-        yield mix(hashes + (stops - starts).astype(U64)), starts + at, stops + at
+        back_to_one = _power_table(_INVERSE, len(part))[starts]
+        sizes = stops - starts
+        hashes = mix((running[stops] - running[starts]) * back_to_one + sizes.astype(U64))
+        if heads:
+            rows = [hashes]
+            for k in heads:
+                head = (running[starts + np.minimum(k, sizes)] - running[starts]) * back_to_one
+                rows.append(np.where(sizes > k, mix(head + U64(k + (1 << 32))), U64(0)))
+            hashes = np.stack(rows)
+        yield hashes, starts + at
         at = stop
 
 
 def words(
-    column: pa.Array, letter: np.ndarray = SAME, breaks: np.ndarray = WHITE
+    column: pa.Array, letter: np.ndarray = SAME, breaks: np.ndarray = WHITE, heads: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a column in order, and how many words each text has."""
+    """Hashes of all words of a column in order, and how many words each text has. With ``heads`` there is a
+    row of hashes for whole words and one for each number of first bytes (0 where a word is not longer)."""
     data, ends = text_bytes(column)
     hashes, starts = [], []
-    for h, s, _ in _runs(data, letter, breaks, ends):
+    for h, s in _runs(data, letter, breaks, ends, heads):
         hashes.append(h)
         starts.append(s)
     if not hashes:
-        return np.empty(0, U64), np.zeros(len(column), np.int64)
+        return np.empty((1 + len(heads), 0) if heads else 0, U64), np.zeros(len(column), np.int64)
     counts = np.diff(np.searchsorted(np.concatenate(starts), ends, "left"), prepend=0)
-    return np.concatenate(hashes), counts
+    return np.concatenate(hashes, axis=-1), counts
 
 
 _SLOT = [int(x) * 2 + 1 for x in _RNG.integers(1, 2**62, 16, dtype=np.int64)]
