@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import ngram_join, pii, piece_codec, toxicity
+from tidepanel.llm import ngram_join, pii, piece_codec, secret_scan, toxicity
 from tidepanel.llm.common import table
 
 
@@ -21,6 +21,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}")
+        for k, n in enumerate(secret_scan.KINDS[:3])
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.spelled("base"), 256).alias("base_sha256"),
+        secret_scan.spelled("spans").alias("spans"),
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"))
 
@@ -32,6 +44,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_secret_scan": op3_secret_scan,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_toxicity": op9_toxicity,
 }
