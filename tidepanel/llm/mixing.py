@@ -93,25 +93,37 @@ def choose(
     gives an empty result. Other columns are not looked at.
     """
     names = list(levels)
+    rows, leaves = _planned(docs, levels, weights, fraction, epochs, id_col, text_col)
+    taken = _prefixes(rows, leaves, list(levels), epochs, seed)
+    return taken.drop("order").withColumnRenamed("id", id_col)
+
+
+def _node(sql: str) -> Column:
+    return F.coalesce(F.expr(sql).cast("string"), F.lit(OTHER))
+
+
+def _planned(docs, levels, weights, fraction, epochs, id_col, text_col) -> tuple[DataFrame, DataFrame]:
+    """(id, levels, n_tokens) per document, and the leaves with their budgets, both settled."""
+    names = list(levels)
     rows = docs.select(
-        F.col(id_col).alias("id"),
-        *[F.coalesce(F.expr(e).cast("string"), F.lit(OTHER)).alias(n) for n, e in levels.items()],
-        tokens(text_col).alias("n_tokens"),
+        F.col(id_col).alias("id"), *[_node(e).alias(n) for n, e in levels.items()], tokens(text_col).alias("n_tokens")
     )
     rows = settle(rows, "mix-rows")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("n_docs"))
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     leaves = leaves.withColumn("capacity", F.col("supply") * epochs)
-    leaves = settle(budgets(leaves, names, weights, fraction * total), "mix-leaves")
-    return _prefixes(rows, leaves, names, epochs, seed).withColumnRenamed("id", id_col)
+    return rows, settle(budgets(leaves, names, weights, fraction * total), "mix-leaves")
+
+
+def _order(seed: int, epoch: Column, row_id: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(row_id.cast("string"), F.lit("null"))))
 
 
 def _prefixes(rows: DataFrame, leaves: DataFrame, names: list[str], epochs: int, seed: int) -> DataFrame:
     """Documents before each leaf's budget, without ordering a whole leaf in one task: tokens are added up
     by runs of the order first, and only within a run by document."""
     epoch = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))) if epochs > 1 else rows.withColumn("epoch", F.lit(0))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null")))
-    keyed = epoch.withColumn("order", F.md5(text)).withColumn("run", F.substring("order", 1, RUN_DIGITS))
+    keyed = epoch.withColumn("order", _order(seed, F.col("epoch"), F.col("id"))).withColumn("run", F.substring("order", 1, RUN_DIGITS))
     runs = keyed.groupBy(*names, "epoch", "run").agg(F.sum("n_tokens").alias("run_tokens"))
     upto = Window.partitionBy(*names).orderBy("epoch", "run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("before", F.coalesce(F.sum("run_tokens").over(upto), F.lit(0)))
@@ -120,14 +132,23 @@ def _prefixes(rows: DataFrame, leaves: DataFrame, names: list[str], epochs: int,
     within = Window.partitionBy(*names, "epoch", "run").orderBy("order", "n_tokens")
     start = F.col("before") + F.coalesce(F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = near.withColumn("start", start).where(F.col("start") + F.col("n_tokens") <= F.col("budget"))
-    return taken.select("id", *names, "epoch", "n_tokens", "start")
+    return taken.select("id", *names, "epoch", "n_tokens", "start", "order")
 
 
 def mix(docs: DataFrame, levels: Mapping[str, str], weights: Mapping[str, Mapping[str, float]], fraction: float,
         seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`choose` takes in one epoch, with all their columns. Rows that repeat
-    an id are taken or left together."""
-    name = free_name(docs, "taken")
-    taken = choose(docs, levels, weights, fraction, 1, seed, id_col, text_col)
-    taken = settle(taken.select(F.col(id_col).alias(name)).distinct(), "mix-taken")
-    return docs.join(taken, docs[id_col].eqNullSafe(taken[name]), "left_semi")
+    """The rows of ``docs`` that :func:`choose` takes in one epoch, with all their columns.
+
+    What a leaf takes is a prefix of its order, so the last place taken of each leaf decides over a row where it
+    is: only the table of leaves is sent to the rows, which are not moved by their ids.
+    """
+    rows, leaves = _planned(docs, levels, weights, fraction, 1, id_col, text_col)
+    place = F.struct("order", "n_tokens")
+    last = _prefixes(rows, leaves, list(levels), 1, seed).groupBy(*levels).agg(F.max(place).alias("last"))
+    names = [free_name(docs, f"leaf_{n}") for n in levels]
+    cut = free_name(docs, "last_taken")
+    last = settle(last.select(*[F.col(n).alias(m) for n, m in zip(levels, names)], F.col("last").alias(cut)), "mix-last")
+    at_leaf = [_node(e).eqNullSafe(last[m]) for e, m in zip(levels.values(), names)]
+    order = F.struct(_order(seed, F.lit(0), F.col(id_col)).alias("order"), tokens(text_col).alias("n_tokens"))
+    joined = docs.join(last, at_leaf).where(order <= F.col(cut))
+    return joined.select(*[docs[c] for c in docs.columns])

@@ -390,9 +390,34 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sigs = [signature(g) if len(g) else None for g in words.shingle_sets(batch.column(0), GRAM)]
+        yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), batch.column(1)], names=["sig", "whole"])
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component (its smallest id), with all their columns."""
-    found = near_duplicates(docs, id_col, text_col)
-    name = free_name(docs, "gone")
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
-    return docs.join(settle(gone, "gram-gone"), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    """The rows of ``docs`` that stand for their component (its smallest id), with all their columns.
+
+    Of rows that repeat an id and a set of shingles, the one with the smallest values in the columns stays.
+    """
+    found = settle(near_duplicates(docs, id_col, text_col), "gram-found")
+    name = free_name(docs, "named")
+    stays = F.col(id_col).eqNullSafe(F.col("component_id"))
+    verdicts = found.groupBy(F.col(id_col).alias(name)).agg(F.max(stays).alias("some"), F.min(stays).alias("all"), F.count("*").alias("n"))
+    verdicts = settle(verdicts, "gram-verdicts")
+    mine = F.col(id_col).cast("long").eqNullSafe(F.col(name))
+    # An id that one row has: the id decides. Rows of an id that several have are told apart by their sets.
+    rest = docs.join(verdicts.where("not some or n > 1").select(name), mine, "left_anti")
+    again = verdicts.where("some and n > 1").select(name)
+    if again.isEmpty():
+        return rest
+    whole = docs.join(again, mine, "left_semi").select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("whole"))
+    kind = whole.schema["whole"].dataType.simpleString()
+    classed = whole.mapInArrow(_with_class, f"sig long, whole {kind}")
+    empty = found.where("class_id is null").select(F.col(id_col).alias(name), F.lit(None).cast("long").alias("class"))
+    good = found.where(stays & F.col("class_id").isNotNull()).select(F.col(id_col).alias(name), F.col("class_id").alias("class"))
+    good = good.unionByName(empty).distinct()
+    match = F.col(f"whole.{id_col}").cast("long").eqNullSafe(F.col(name)) & F.col("sig").eqNullSafe(F.col("class"))
+    kept = classed.join(good, match, "left_semi").groupBy(F.col(f"whole.{id_col}"), "sig").agg(F.min("whole").alias("whole"))
+    return rest.unionByName(kept.select("whole.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import ngram_join, pii, piece_codec, secret_scan, toxicity
+from tidepanel.llm import html_extract, ngram_join, pii, piece_codec, secret_scan, toxicity
 from tidepanel.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_secret_scan": op3_secret_scan,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_html_extraction": op7_html_extraction,
     "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
