@@ -186,8 +186,8 @@ def _count_contexts(bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            hashes, counts = words.words(batch.column(0), words.LOWER, BETWEEN)
+        for part in (p for batch in batches for p in words.slices(batch.column(0))):
+            hashes, counts = words.words(part, words.LOWER, BETWEEN)
             first = np.zeros(len(hashes), bool)
             starts = np.cumsum(counts) - counts
             first[starts[counts > 0]] = True

@@ -84,6 +84,11 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct_features(column: pa.Array) -> Iterator[np.ndarray]:
     """For each text the sorted hashes of its features."""
+    for part in words.slices(column):
+        yield from _distinct(part)
+
+
+def _distinct(column: pa.Array) -> Iterator[np.ndarray]:
     keys, text = features(column)
     order = np.argsort(text, kind="stable")
     keys, cuts = keys[order], np.searchsorted(text[order], np.arange(len(column) + 1))
@@ -100,6 +105,9 @@ class Model:
     offset: float
 
     def scores(self, column: pa.Array) -> np.ndarray:
+        return np.concatenate([self._scores(part) for part in words.slices(column)] or [np.empty(0)])
+
+    def _scores(self, column: pa.Array) -> np.ndarray:
         keys, text = features(column)
         total = np.full(len(column), self.offset)
         if len(self.keys) and len(keys):

@@ -68,6 +68,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
+def slices(column: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+    """The column in parts of about ``most`` bytes each, or of one longer text, so that what is made of a part
+    stays small."""
+    _, ends = text_bytes(column)
+    at = 0
+    while at < len(column):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield column.slice(at, stop - at)
+        at = stop
+
+
 def word_hashes(data: np.ndarray, letter: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     """Hashes of the words of one text, in order: runs of bytes that ``breaks`` does not mark, each byte
     read as ``letter`` says."""
@@ -154,14 +166,15 @@ def _join(hashes: np.ndarray, n: int) -> np.ndarray:
 def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
     """For each text its distinct shingles of ``n`` words, A-Z as a-z, sorted; with fewer words one for the
     whole; none for a text without words."""
-    hashes, counts = words(column, LOWER)
-    runs = _join(hashes, n) if len(hashes) >= n else np.empty(0, U64)
-    at = 0
-    for c in counts.tolist():
-        if c >= n:
-            yield np.unique(runs[at : at + c - n + 1])
-        elif c:
-            yield _join(hashes[at : at + c], c)
-        else:
-            yield np.empty(0, U64)
-        at += c
+    for part in slices(column):
+        hashes, counts = words(part, LOWER)
+        runs = _join(hashes, n) if len(hashes) >= n else np.empty(0, U64)
+        at = 0
+        for c in counts.tolist():
+            if c >= n:
+                yield np.unique(runs[at : at + c - n + 1])
+            elif c:
+                yield _join(hashes[at : at + c], c)
+            else:
+                yield np.empty(0, U64)
+            at += c
