@@ -32,7 +32,7 @@ GRAM = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: The table of counts has a counter for each value of the first bits of a hash, sent in slices.
-COUNT_BITS, SLICES = 18, 64
+COUNT_BITS, SLICES = 21, 64
 LOW_BITS = 64 - COUNT_BITS
 #: Prefix n-grams in a bucket, on average.
 BUCKET_GRAMS = 500_000
@@ -44,7 +44,7 @@ NEED_BITS = 26
 
 U64 = np.uint64
 RECORD = np.dtype([("gram", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("early", "<u4")])
-DOC = "id long, sig long, n long, slice int, counts binary"
+DOC = "id long, sig long, n long, profile binary, slice int, counts binary"
 
 
 def signature(grams: np.ndarray) -> int:
@@ -53,35 +53,59 @@ def signature(grams: np.ndarray) -> int:
     return int(words.mix(np.array([total % 2**64], U64)).astype(np.int64)[0])
 
 
+def profile(grams: np.ndarray) -> bytes:
+    """How many n-grams of a set fall into each of about a third as many ranges: a 32nd of the set's size."""
+    ranges = 1 << max(4, (len(grams) // 3).bit_length())
+    counts = np.bincount((grams & U64(ranges - 1)).astype(np.int64), minlength=ranges)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """The most n-grams that sets of these profiles can share."""
+    x, y = (np.frombuffer(p, np.uint8).astype(np.int64) for p in (a, b))
+    if (x == 255).any() or (y == 255).any():
+        return 1 << 62
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    schema = pa.schema([
+        ("id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("profile", pa.binary()),
+        ("slice", pa.int32()), ("counts", pa.binary()),
+    ])
+    counts = np.zeros(1 << COUNT_BITS, np.int32)
     for batch in batches:
-        sigs, sizes, found = [], [], []
+        sigs, sizes, profiles = [], [], []
         for grams in words.shingle_sets(batch.column(1), GRAM):
             sizes.append(len(grams))
             sigs.append(signature(grams) if len(grams) else None)
-            found.append(grams)
-        if found:
-            counts += np.bincount((np.concatenate(found) >> U64(LOW_BITS)).astype(np.int64), minlength=len(counts))
+            profiles.append(profile(grams) if len(grams) else None)
+            np.add.at(counts, (grams >> U64(LOW_BITS)).astype(np.int64), 1)
         none = pa.nulls(len(sizes))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())],
+            [batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(profiles, pa.binary()),
+             none.cast(pa.int32()), none.cast(pa.binary())],
             schema=schema,
-        )
+        )
     if counts.any():
         blobs = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SLICES, -1)]
         none = pa.nulls(SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], schema=schema
+            [none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())],
+            schema=schema,
         )
 
 
 def _sum_slices(table: pa.Table) -> pa.Table:
     total = None
     for blob in table.column("counts").to_pylist():
-        one = np.frombuffer(zlib.decompress(blob), np.int64)
-        total = one.copy() if total is None else total + one
+        one = np.frombuffer(zlib.decompress(blob), np.int32).astype(np.int64)
+        total = one if total is None else total + one
+    total = np.minimum(total, 2**31 - 1).astype(np.int32)  # only the order of counts is used
     return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
@@ -91,18 +115,19 @@ def _ranks(summaries: DataFrame) -> np.ndarray:
     part = F.pmod(F.xxhash64("counts"), F.lit(32)).alias("part")
     schema = "slice int, counts binary"
     some = slices.groupBy("slice", part).applyInArrow(_sum_slices, schema)
-    total = np.zeros((SLICES, (1 << COUNT_BITS) // SLICES), np.int64)
+    total = np.zeros((SLICES, (1 << COUNT_BITS) // SLICES), np.int32)
     for row in some.groupBy("slice").applyInArrow(_sum_slices, schema).collect():
-        total[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    ranks = np.empty(1 << COUNT_BITS, U64)
-    ranks[np.argsort(total.ravel(), kind="stable")] = np.arange(1 << COUNT_BITS, dtype=U64)
+        total[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
+    ranks = np.empty(1 << COUNT_BITS, np.uint32)
+    ranks[np.argsort(total.ravel(), kind="stable")] = np.arange(1 << COUNT_BITS, dtype=np.uint32)
     return ranks
 
 
 def ordered(grams: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The n-grams renumbered, one to one, so that their numbers ascend from rare to frequent."""
     low = U64((1 << LOW_BITS) - 1)
-    return np.sort((ranks[(grams >> U64(LOW_BITS)).astype(np.int64)] << U64(LOW_BITS)) | (grams & low))
+    rank = ranks[(grams >> U64(LOW_BITS)).astype(np.int64)].astype(U64)
+    return np.sort((rank << U64(LOW_BITS)) | (grams & low))
 
 
 def prefix_lengths(n: int) -> tuple[int, int]:
@@ -286,13 +311,28 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose profiles allow the overlap they need."""
+    for batch in batches:
+        n, m, p, q = (batch.column(c).to_pylist() for c in ("n", "m", "p", "q"))
+        keep = [overlap_bound(x, y) >= needed(i, j) for i, j, x, y in zip(n, m, p, q)]
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "salt", "ida", "idb"])
+
+
 def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, ranks) -> DataFrame:
-    """The ``pairs`` (a, b, salt) that link, settled."""
+    """The ``pairs`` (a, b, salt) that link, settled. What profiles rule out needs no sets."""
     spark = rows.sparkSession
-    pairs = settle(pairs.groupBy("a", "b").agg(F.max("salt").alias("salt")), "gram-pairs")
-    partner = pairs.select("a", "salt", F.col("b").alias("sig"))
-    requests = pairs.select("a", "salt", F.col("a").alias("sig")).distinct().unionByName(partner)
-    requests = settle(requests.join(classes.select("sig", "id"), "sig"), "gram-requests")
+    pairs = pairs.groupBy("a", "b").agg(F.max("salt").alias("salt"))
+    pairs = pairs.join(classes.select(F.col("sig").alias("a"), F.col("id").alias("ida"), "n", F.col("profile").alias("p")), "a")
+    pairs = pairs.join(
+        classes.select(F.col("sig").alias("b"), F.col("id").alias("idb"), F.col("n").alias("m"), F.col("profile").alias("q")), "b"
+    )
+    pairs = settle(pairs.mapInArrow(_possible, "a long, b long, salt int, ida long, idb long"), "gram-pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    partner = pairs.select("a", "salt", F.col("b").alias("sig"), F.col("idb").alias("id"))
+    hubs = pairs.select("a", "salt", F.col("a").alias("sig"), F.col("ida").alias("id")).distinct()
+    requests = settle(hubs.unionByName(partner), "gram-requests")
     bit = F.col("sig").bitwiseXOR(F.coalesce("id", F.lit(0))).bitwiseAND(F.lit((1 << NEED_BITS) - 1)) + 1
     marks = requests.select("sig", "id").distinct().select(bit.alias("bit"))
     marks = marks.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(
@@ -338,12 +378,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     summaries = settle(rows.mapInArrow(_summaries, DOC), "gram-summaries")
-    per_row = summaries.where("slice is null").select("id", "sig", "n")
-    classes = settle(
-        per_row.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n")), "gram-classes"
-    )
+    per_row = summaries.where("slice is null").select("id", "sig", "n", "profile")
+    firsts = per_row.where("n > 0").groupBy("sig", "n", "profile").agg(F.min("id").alias("id"))
+    classes = settle(firsts, "gram-classes")
     roots = _roots(spark, rows, summaries, classes)
-    named = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+    named = classes.select("sig", "id").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     named = named.withColumn("root", F.coalesce("root", "sig"))
     firsts = named.groupBy("root").agg(F.min("id").alias("component_id"))
     named = settle(named.join(firsts, "root").select("sig", "component_id"), "gram-named")
