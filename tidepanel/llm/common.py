@@ -43,3 +43,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"{name}_"
     return name
+
+
+def how_many(spans: str, kind: int) -> Column:
+    """Number of spans of a kind. (A lambda with a second argument would be given the position.)"""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import words
-from tidepanel.llm.common import settle
+from tidepanel.llm.common import how_many, settle
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -263,7 +263,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     added = added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     out = rows.select("row", "id", "spans").join(settle(added, "pii-added"), "row", "left")
     more = F.coalesce("more", F.expr(f"cast(array() as array<{SPAN}>)"))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    counts = [how_many("spans", k).alias(f"n_{n}") for k, n in enumerate(KINDS)]
     return out.select(
         F.col("id").alias(id_col), *counts, F.col("spans").alias("base"), F.array_sort(F.concat("spans", more)).alias("spans")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import html_extract, ngram_join, pii, piece_codec, secret_scan, toxicity
-from tidepanel.llm.common import table
+from tidepanel.llm.common import how_many, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +23,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{n}")
-        for k, n in enumerate(secret_scan.KINDS[:3])
-    ]
+    counts = [how_many("base", k).alias(f"n_{n}") for k, n in enumerate(secret_scan.KINDS[:3])]
     return found.select(
         "doc_id", *counts, F.sha2(secret_scan.spelled("base"), 256).alias("base_sha256"),
         secret_scan.spelled("spans").alias("spans"),

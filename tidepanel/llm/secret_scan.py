@@ -220,6 +220,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 file = file or file_features(text)
                 items = tokens(text, start, end)[:FIT_TOKENS]
                 tags = _tags(items, spans)
+                if _unclear(items, tags):
+                    continue
                 record = np.zeros((len(items), N_FEATURES + 3), np.int32)
                 record[:, :N_FEATURES] = features(items, file)
                 record[:, N_FEATURES] = tags
@@ -245,6 +247,15 @@ def _tags(items, spans) -> list[int]:
     return out
 
 
+def _unclear(items, tags) -> bool:
+    """Whether a window assigns a suspicious token that no fixed form covers: it may be a secret of a kind not
+    known yet, so it is no example of what is none."""
+    return any(
+        t == O and suspicious(items[i][2]) and any(items[k][2] in (":", "=") for k in range(max(0, i - 2), i))
+        for i, t in enumerate(tags)
+    )
+
+
 def fit(records: Sequence[np.ndarray]) -> Field:
     """Maximum likelihood with a penalty on squared weights, by adaptive gradient steps."""
     size = 1 << FEATURE_BITS
