@@ -44,6 +44,13 @@ HEADLINE = (
     "param_trials",
     "search_summary",
     "prepare_panel",
+    "engineer_panel",
+    "engineer_gaps",
+    "add_one_linear",
+    "greedy_add",
+    "threshold_sweep_scored",
+    "extract_comprehensive",
+    "gbt_score",
     "flagship",
 )
 

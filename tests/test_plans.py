@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import adf, spline
-from tidepanel.operators import align
+from tidepanel.operators import align, forward, gram, selection, split
 from tidepanel.plans import engineer as plan
 from tidepanel.plans import prepare
 from tidepanel.plans.config import EngineerConfig, PrepareConfig
@@ -121,12 +121,78 @@ def test_engineer_end_to_end(panel):
     prepared = prepare.preprocess(panel, PrepareConfig(target="goal", deflator="index"), **ROLES)
     result = plan.engineer(prepared, EngineerConfig(target="goal", rounds=2), trials=10)
     chosen = result.selected.first()
-    assert not set(chosen["added"]) - set(result.prepared.candidates)
-    assert not any(n.startswith("goal__") for n in result.prepared.candidates)
-    assert set(chosen["features"]) == (set(result.prepared.base) | set(chosen["added"])) - set(chosen["dropped"])
+    base, candidates = result.prepared.base.first()["features"], {r["feature"] for r in result.prepared.candidates.collect()}
+    assert not set(chosen["added"]) - candidates
+    assert not any(n.startswith("goal__") for n in candidates)
+    assert set(chosen["features"]) == (set(base) | set(chosen["added"])) - set(chosen["dropped"])
     summary = {r["model"]: r for r in result.summary.collect()}
     assert set(summary) == {"xgboost", "lightgbm", "all"}
+    # The scores use the penalties that the search found.
+    best = {r["model"]: r["best_mse"] for r in result.search.collect()}
+    for model, value in best.items():
+        assert summary[model]["initial_mse"] == pytest.approx(value)
+        assert summary[model]["initial_mean_mse"] >= value and summary[model]["final_mean_mse"] is not None
     matrix = plan.engineered_matrix(result)
     assert {r[0] for r in matrix.select("feature").distinct().collect()} == set(chosen["features"])
+    assert plan.engineered_target(result).groupBy("split").count().count() == 2
     none = plan.engineer(prepared, EngineerConfig(target="goal", rounds=0), trials=3)
-    assert none.selected.first()["added"] == [] and none.prepared.candidates == []
+    assert none.selected.first()["added"] == [] and none.prepared.candidates.count() == 0
+
+
+@pytest.fixture(scope="module")
+def mixed(make_panel):
+    """Two panels of different series; p has gaps in both predictors, q none, r no target."""
+    rng = np.random.default_rng(4)
+    n = 50
+    series = {}
+    for name, columns in (("p", "ab"), ("q", "cd"), ("r", "e")):
+        for c in columns:
+            values = list(rng.normal(size=n).cumsum())
+            if name == "p":
+                for i in rng.choice(n, 8, replace=False):
+                    values[i] = None
+            series[name, c] = values
+        if name != "r":
+            series[name, "y"] = list(rng.normal(size=n))
+    return split.chrono_split(make_panel(series)).cache()
+
+
+def test_gaps_and_mixed_panels(mixed):
+    penalties = {"xgboost": 0.5, "lightgbm": 2.0}
+    wide = mixed.where("panel_id = 'p'").toPandas().pivot(index=["split", "ts"], columns="series_id", values="value").dropna()
+    train, test = wide.loc["train"], wide.loc["test"]
+    known = mixed.where("panel_id = 'p' and split = 'train'").toPandas().groupby("series_id").value
+    want = 0.0
+    for penalty in penalties.values():
+        z = lambda d: ((d[["a", "b"]] - known.mean()[["a", "b"]]) / known.std(ddof=0)[["a", "b"]]).to_numpy()
+        x, y = z(train), train["y"].to_numpy()
+        beta = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + penalty * np.eye(2), (x - x.mean(0)).T @ (y - y.mean()))
+        want += float(((test["y"] - y.mean() - (z(test) - x.mean(0)) @ beta) ** 2).mean())
+    for rounds in (0, 1):
+        result = plan.engineer(mixed, EngineerConfig(target="y", rounds=rounds), penalties=penalties, trials=2)
+        rows = {(r["panel_id"], r["model"]): r for r in result.summary.collect()}
+        assert {p for p, _ in rows} == {"p", "q", "r"}
+        assert rows["p", "all"]["initial_mse"] == pytest.approx(want)
+        assert rows["q", "all"]["reason"] is None
+        assert rows["r", "all"]["initial_mse"] is None and rows["r", "all"]["reason"] == plan.UNSCORED
+
+
+def test_many_candidates(spark, mixed):
+    """5,000 candidates of one panel, one of them telling; scores equal fits one by one."""
+    base = forward.scaled_features(gram.as_features(mixed.where("panel_id = 'q'")))
+    dates = mixed.where("panel_id = 'q' and series_id = 'y'").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4999))))
+    noise = F.xxhash64("k", "ts") / F.lit(float(2**63))
+    value = F.when(F.col("k") == 77, F.col("value") + 0.1 * noise).otherwise(noise)
+    parts = dates.select("panel_id", "split", "ts", F.concat(F.lit("k"), F.col("k").cast("string")).alias("feature"), value.alias("value"))
+    scaled = base.unionByName(forward.scaled_features(parts)).cache()
+    state = spark.createDataFrame([("q", ["c", "d"])], "panel_id string, features array<string>")
+    own = spark.createDataFrame([("q", {"m": 0.5})], "panel_id string, penalties map<string,double>")
+    scored = forward.add_one(scaled, state, "y", own).cache()
+    assert scored.count() == 5000
+    assert selection.top_improving(scored).orderBy("rank").first()["feature"] == "k77"
+    for name in ("k77", "k5"):
+        one = spark.createDataFrame([("q", ["c", "d", name])], "panel_id string, features array<string>")
+        sums = gram.product_sums(forward.base_matrix(scaled, one, "y"))
+        every = F.array(*[F.lit(i) for i in range(3)])
+        want = selection.baseline_scores(sums, every, {"m": 0.5}).first()["agg_mse"]
+        assert scored.where(F.col("feature") == name).first()["agg_mse"] == pytest.approx(want)

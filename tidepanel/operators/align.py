@@ -115,13 +115,20 @@ def day_grid(panel: DataFrame) -> DataFrame:
     return grid.join(panel, list(ROW_KEY), "left").select(*ROW_KEY, VALUE)
 
 
+class UnknownTarget(ValueError):
+    """``names`` is the complete table of valid series; the message lists its first lines."""
+
+    def __init__(self, target: str, names: DataFrame):
+        first = [r[0] for r in names.limit(101).collect()]
+        more = f" (the first 100; all are in {type(self).__name__}.names)" if len(first) > 100 else ""
+        super().__init__(f"target series {target!r} is not in the panel; valid names: {', '.join(first[:100])}{more}")
+        self.names = names
+
+
 def require_target(panel: DataFrame, target: str | None) -> None:
-    """Raise ValueError, listing the valid names, unless the target is a series."""
+    """Raise ``UnknownTarget``, with the valid names, unless the target is a series."""
     if not target:
         raise ValueError("no target series given")
     if panel.where(F.col(SERIES) == target).limit(1).count():
         return
-    # Only the error path looks at all names, and only a readable number of them.
-    names = [r[0] for r in panel.select(SERIES).distinct().orderBy(SERIES).limit(101).collect()]
-    more = " and more" if len(names) > 100 else ""
-    raise ValueError(f"target series {target!r} is not in the panel; valid names: {', '.join(names[:100])}{more}")
+    raise UnknownTarget(target, panel.select(SERIES).distinct().orderBy(SERIES))

@@ -36,15 +36,6 @@ def with_block(df: DataFrame, block_days: int) -> DataFrame:
     return df.withColumn(BLOCK, F.floor(day_number(F.col(TS)) / F.lit(block_days)).cast("int"))
 
 
-def suggest_block_days(panel: DataFrame, max_rows: int = 50_000, keys: Sequence[str] = SERIES_KEY) -> int | None:
-    """None when every series fits in ``max_rows`` rows, else a block length.
-
-    One aggregate with map-side combine; only a single number reaches the driver.
-    """
-    longest = panel.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return None if longest <= max_rows else max_rows
-
-
 def add_halo(
     df: DataFrame,
     *,

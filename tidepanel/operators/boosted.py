@@ -105,28 +105,3 @@ def score_sets(
     finally:
         rows.unpersist()
     return matrix.sparkSession.createDataFrame(results, SCORE_SCHEMA)
-
-
-def search(
-    matrix: DataFrame,
-    panel: str,
-    places: Sequence[int],
-    trials: Sequence[tuple[str, int, Mapping[str, float]]],
-    *,
-    parallelism: int = 4,
-) -> DataFrame:
-    """Trials (model, trial, params) with the hold-out error of each fit."""
-    schema = T.StructType(
-        [
-            T.StructField(PANEL, T.StringType()),
-            T.StructField("model", T.StringType()),
-            T.StructField("trial", T.IntegerType()),
-            T.StructField("params", T.MapType(T.StringType(), T.DoubleType())),
-            T.StructField("mse", T.DoubleType()),
-        ]
-    )
-    out = []
-    for model, trial, params in trials:
-        scored = score_sets(matrix, panel, {"base": places}, {model: params}, parallelism=parallelism)
-        out.append((panel, model, trial, {k: float(v) for k, v in params.items()}, scored.first()["mse"]))
-    return matrix.sparkSession.createDataFrame(out, schema)

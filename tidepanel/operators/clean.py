@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from tidepanel.functions.scalar import clamp, to_number
-from tidepanel.keys import SERIES_KEY, SPLIT, VALUE
+from tidepanel.keys import SERIES_KEY, SPLIT, TS, VALUE
 from tidepanel.operators.blocks import over_series, row_position
+from tidepanel.operators.joins import attach
 from tidepanel.operators.split import TRAIN
 
 
@@ -116,16 +117,24 @@ def _bounds(q: Column, cap_factor: float) -> list[Column]:
 
 
 def cap_outliers(
-    panel: DataFrame, *, cap_factor: float = 3.0, keys: Sequence[str] = SERIES_KEY, approximate: bool = False
+    panel: DataFrame,
+    *,
+    cap_factor: float = 3.0,
+    keys: Sequence[str] = SERIES_KEY,
+    approximate: bool = False,
+    blocks: bool = False,
 ) -> DataFrame:
     """Limit training values to quartile -/+ factor * IQR; test rows pass as they are.
 
-    The exact form fits and applies in one shuffle, as a window over the series.
+    The exact form fits and applies in one shuffle, as a window over the series. With
+    ``blocks`` the same quartiles come from partial aggregates and a salted join, so
+    no task holds a whole series' rows.
     """
     split = SPLIT in panel.columns
     applies = F.col(SPLIT) == TRAIN if split else F.lit(True)
-    if approximate:
-        fitted = panel.join(quartile_bounds(panel, cap_factor=cap_factor, keys=keys, approximate=True), list(keys), "left")
+    if approximate or blocks:
+        bounds = quartile_bounds(panel, cap_factor=cap_factor, keys=keys, approximate=approximate)
+        fitted = attach(panel, bounds, list(keys), salt_by=[TS])
     else:
         fit_value = F.when(applies, F.col(VALUE))
         quarts = F.percentile(fit_value, F.array(F.lit(0.25), F.lit(0.75))).over(Window.partitionBy(*keys))

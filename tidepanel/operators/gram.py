@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from tidepanel.functions.subset_ols import holdout_mse
 from tidepanel.keys import PANEL, SERIES, SPLIT, TS, VALUE
-from tidepanel.operators.joins import attach
 from tidepanel.operators.split import TEST, TRAIN
 from tidepanel.operators.transform import standardise
 
@@ -25,25 +24,12 @@ def as_features(panel: DataFrame) -> DataFrame:
     return panel.withColumnRenamed(SERIES, "feature")
 
 
-def available(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Per panel, the 0-based places in ``names`` of features without a gap in
-    either split."""
-    parted = features.where(F.col("feature").isin(*names))
-    rows = features.select(*ROW).distinct().groupBy(PANEL).agg(F.count(F.lit(1)).alias("_rows"))
-    known = parted.groupBy(PANEL, "feature").agg(F.count(VALUE).alias("_known"))
-    full = attach(known, rows, [PANEL], salt_by=["feature"]).where(F.col("_known") == F.col("_rows"))
-    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature")).cast("int") - 1
-    return full.groupBy(PANEL).agg(F.sort_array(F.collect_list(place)).alias("usable"))
-
-
-def design_matrix(rows: DataFrame, names: Sequence[str], target: str, *, optional: bool = False) -> DataFrame:
+def design_matrix(rows: DataFrame, names: Sequence[str], target: str) -> DataFrame:
     """(panel_id, split, ts, x, y): named features standardised on the training
     rows, as one array per date, and the target value, all from one long table
     (panel_id, split, ts, feature, value).
 
-    Dates lacking a feature or the target are dropped jointly. With ``optional``
-    a feature missing on a date is 0, the training mean; use it only together
-    with ``available``, which says which columns may be used.
+    Dates lacking a feature or the target are dropped jointly.
     """
     wanted = rows.where(F.col("feature").isin(*names, target)).select(*ROW, "feature", VALUE)
     scaled = standardise(wanted.withColumn("_raw", F.col(VALUE)), keys=(PANEL, "feature"))
@@ -56,21 +42,20 @@ def design_matrix(rows: DataFrame, names: Sequence[str], target: str, *, optiona
         .agg(F.map_from_entries(F.collect_list(F.struct("feature", "_v"))).alias("_m"))
     )
     cell = lambda f: F.try_element_at(F.col("_m"), f)
-    pick = (lambda f: F.coalesce(cell(f), F.lit(0.0))) if optional else cell
-    x = F.transform(F.array(*[F.lit(n) for n in names]), pick)
+    x = F.transform(F.array(*[F.lit(n) for n in names]), cell)
     out = cells.select(*ROW, x.alias("x"), cell(F.lit(target)).alias("y"))
     return out.where(F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
 
 
-def product_sums(matrix: DataFrame, columns: int) -> DataFrame:
-    """(panel_id, train, test): flat (p+2) x (p+2) sums of products of 1, x, y.
+def product_sums(matrix: DataFrame) -> DataFrame:
+    """(panel_id, train, test): flat (p+2) x (p+2) sums of products of 1, x, y, p being
+    the length of the panel's own x.
 
     A panel without rows in either split has nothing to score and is left out.
 
     Every task sums its rows per panel and split; the cells are then summed with
     map-side combine, so a panel with most of the rows costs one matrix per task.
     """
-    width = columns + 2
     schema = T.StructType(
         [
             T.StructField(PANEL, T.StringType()),
@@ -89,7 +74,7 @@ def product_sums(matrix: DataFrame, columns: int) -> DataFrame:
 
         for pdf in batches:
             for key, part in pdf.groupby([PANEL, SPLIT], sort=False):
-                rows = np.column_stack([np.ones(len(part)), np.vstack(part["x"].to_numpy()), part["y"].to_numpy()])
+                rows = np.column_stack([np.ones(len(part)), np.vstack(part["x"].to_numpy()).reshape(len(part), -1), part["y"].to_numpy()])
                 held[key] = held.get(key, 0) + rows.T @ rows
                 if len(held) >= PANELS_HELD:
                     yield flush()
@@ -102,17 +87,15 @@ def product_sums(matrix: DataFrame, columns: int) -> DataFrame:
         .groupBy(PANEL, SPLIT, "_i")
         .agg(F.sum("_v").alias("_v"))
     )
-    # p is the length of the caller's name list, which bounds what is collected.
+    # p is the number of columns a panel's fit uses, which bounds what is collected.
     flat = F.sort_array(F.collect_list(F.struct("_i", SPLIT, "_v")))
     whole = cells.groupBy(PANEL).agg(flat.alias("_c"))
-    zeros = F.array_repeat(F.lit(0.0), width * width)
-
     def of(name: str) -> Column:
         mine = F.transform(F.filter("_c", lambda c: c[SPLIT] == name), lambda c: c["_v"])
-        return F.when(F.size(mine) > 0, mine).otherwise(zeros)
+        return mine
 
     sums = whole.select(PANEL, of(TRAIN).alias("train"), of(TEST).alias("test"))
-    return sums.where((F.get("train", F.lit(0)) > 0) & (F.get("test", F.lit(0)) > 0))
+    return sums.where((F.size("train") > 0) & (F.size("test") > 0))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
@@ -127,15 +110,18 @@ def solve_sets(train: pd.Series, test: pd.Series, sets: pd.Series, penalties: pd
     return pd.Series([one(*r) for r in zip(train, test, sets, penalties)])
 
 
-def score_sets(sums: DataFrame, sets, penalties: dict[str, float]) -> DataFrame:
+def score_sets(sums: DataFrame, sets, penalties: dict[str, float] | Column) -> DataFrame:
     """Add ``mse``: per set of column places, a map model -> hold-out error.
 
+    ``penalties`` is the same for all panels, or a map column of each.
+
     ``sets`` is a column of array<array<int>>; all sets of a panel are solved
     from its two matrices without another pass over the rows.
     """
-    models = F.array(*[F.lit(m) for m in penalties])
-    lambdas = F.array(*[F.lit(float(p)) for p in penalties.values()])
+    if not isinstance(penalties, Column):
+        penalties = F.create_map(*[F.lit(x) for m, p in penalties.items() for x in (m, float(p))])
+    models, lambdas = F.map_keys(penalties), F.map_values(penalties)
     raw = solve_sets("train", "test", sets, lambdas)
-    return sums.withColumn("_raw", raw).withColumn(
-        "mse", F.transform("_raw", lambda row: F.map_from_arrays(models, row))
-    ).drop("_raw")
+    return sums.withColumns({"_raw": raw, "_models": models}).withColumn(
+        "mse", F.transform("_raw", lambda row: F.map_from_arrays(F.col("_models"), row))
+    ).drop("_raw", "_models")

@@ -45,7 +45,7 @@ def summed(scores: Column) -> Column:
 def evaluate(scores: DataFrame, baseline: DataFrame) -> DataFrame:
     """A score table against the baseline of its panel: improvement and status."""
     base = baseline.select(PANEL, F.col("agg_mse").alias("baseline"))
-    return _with_gain(attach(scores, base, [PANEL], salt_by=["feature"]))
+    return with_gain(attach(scores, base, [PANEL], salt_by=["feature"]))
 
 
 def top_improving(evaluated: DataFrame, top: int = TOP) -> DataFrame:
@@ -91,23 +91,30 @@ def improvement_summary(initial: DataFrame, final: DataFrame) -> DataFrame:
 # --- from product sums ----------------------------------------------------------------------
 
 
-def _scored_against_base(sums: DataFrame, base: Column, sets: Column, names: Sequence[str], penalties) -> DataFrame:
+def listed(names: Sequence[str] | Column) -> Column:
+    """Names as an array column; they may differ by panel."""
+    return names if isinstance(names, Column) else F.array(*[F.lit(n) for n in names])
+
+
+def _scored_against_base(sums: DataFrame, base: Column, sets: Column, names: Sequence[str] | Column, penalties) -> DataFrame:
     """One row per feature in ``_c`` with its set's error and its gain over the
     base; the base is scored in the same call, so nothing is joined."""
     scored = score_sets(sums, F.concat(F.array(base), sets), penalties)
-    listed = F.array(*[F.lit(n) for n in names])
     zipped = F.arrays_zip(F.col("_c").alias("place"), F.slice("mse", F.lit(2), F.size("_c")).alias("mse"))
-    rows = scored.select(PANEL, summed(F.get("mse", F.lit(0))).alias("baseline"), F.explode(zipped).alias("_z")).select(
+    named = scored.select(
+        PANEL, summed(F.get("mse", F.lit(0))).alias("baseline"), listed(names).alias("_names"), F.explode(zipped).alias("_z")
+    )
+    rows = named.select(
         PANEL,
-        F.get(listed, F.col("_z.place")).alias("feature"),
+        F.get("_names", F.col("_z.place")).alias("feature"),
         summed(F.col("_z.mse")).alias("agg_mse"),
         F.col("_z.mse").alias("mse"),
         "baseline",
     )
-    return _with_gain(rows)
+    return with_gain(rows)
 
 
-def _with_gain(rows: DataFrame) -> DataFrame:
+def with_gain(rows: DataFrame) -> DataFrame:
     return rows.withColumn("improvement", F.col("baseline") - F.col("agg_mse")).withColumn(
         "status", F.when(F.col("improvement") > 0, "improved").otherwise("worsened")
     )
@@ -118,7 +125,7 @@ def places_of(features: Sequence[str], names: Sequence[str]) -> Column:
     return F.array(*[F.lit(where[f]) for f in features]).cast("array<int>")
 
 
-def baseline_scores(sums: DataFrame, base: Column, penalties: dict[str, float]) -> DataFrame:
+def baseline_scores(sums: DataFrame, base: Column, penalties: dict[str, float] | Column) -> DataFrame:
     scored = score_sets(sums, F.array(base), penalties)
     first = F.get("mse", F.lit(0))
     return scored.select(PANEL, summed(first).alias("agg_mse"), first.alias("mse"))
@@ -134,7 +141,9 @@ def add_one_scores(
     return _scored_against_base(chosen, base, sets, names, penalties)
 
 
-def drop_one_scores(sums: DataFrame, base: Column, names: Sequence[str], penalties: dict[str, float]) -> DataFrame:
+def drop_one_scores(
+    sums: DataFrame, base: Column, names: Sequence[str] | Column, penalties: dict[str, float] | Column
+) -> DataFrame:
     """Base without each of its features: error, baseline, improvement, status."""
     chosen = sums.withColumn("_c", base)
     sets = F.transform("_c", lambda c: F.array_remove(F.col("_c"), c))
@@ -177,8 +186,8 @@ def greedy_add(
             .withColumn("_base", F.concat("_base", F.coalesce("_won", nothing)))
             .drop("_won")
         )
-    listed = F.array(*[F.lit(n) for n in names])
-    named = lambda places: F.transform(places, lambda i: F.get(listed, i))
+    every_name = listed(names)
+    named = lambda places: F.transform(places, lambda i: F.get(every_name, i))
     scores = baseline_scores(state, F.col("_base"), penalties)
     chosen = state.select(
         PANEL,

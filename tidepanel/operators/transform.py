@@ -57,6 +57,14 @@ def standardise_fit(panel: DataFrame, *, keys: Sequence[str] = SERIES_KEY, colum
     return panel.groupBy(*keys).agg(F.avg(fit).alias("mean"), F.stddev_pop(fit).alias("sd"))
 
 
+def standardise_blocks(panel: DataFrame, *, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
+    """As ``standardise``, for series cut into blocks: the fit is a partial aggregate
+    and comes back by a salted join, so no task holds a whole series."""
+    fit = standardise_fit(panel, keys=keys)
+    fitted = attach(panel, fit, list(keys), salt_by=[TS])
+    return fitted.withColumn(VALUE, _z(F.col(VALUE), F.col("mean"), F.col("sd"))).drop("mean", "sd")
+
+
 def _z(v: Column, mean: Column, sd: Column) -> Column:
     return (v - mean) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
 

@@ -5,56 +5,57 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.keys import PANEL, SERIES, SPLIT, TS, VALUE
-from tidepanel.operators import features, gram, search, selection, split
+from tidepanel.operators import features, forward, gram, search, selection, split
 from tidepanel.operators.boosted import DEFAULT_PARAMS
 from tidepanel.plans.config import EngineerConfig
 from tidepanel.session import cut_lineage
 
 
+UNSCORED = "no date has the target and all predictors in both splits"
+
+
 def default_penalties() -> dict[str, float]:
     return {m: p["reg_lambda"] for m, p in DEFAULT_PARAMS.items()}
 
 
 @dataclass(frozen=True)
 class Prepared:
-    """Rows and product sums over ``names`` = base series, then candidates."""
+    """Long features of all panels; per panel the base (features) and its candidates."""
 
-    base: list[str]
-    candidates: list[str]
+    target: str
+    base: DataFrame
+    candidates: DataFrame
     features: DataFrame
-    matrix: DataFrame
-    sums: DataFrame
-
-    @property
-    def names(self) -> list[str]:
-        return self.base + self.candidates
+    scaled: DataFrame
 
 
 @dataclass(frozen=True)
 class Engineered:
+    """``search`` and ``search_after``: trials summed up on the base and on the final
+    selection. ``summary`` has every panel of the input; one that cannot be scored
+    has a reason in place of errors."""
+
     search: DataFrame
+    search_after: DataFrame
+    penalties: DataFrame
     selected: DataFrame
     drop_scores: DataFrame
     summary: DataFrame
     prepared: Prepared
 
 
-def feature_names(df: DataFrame, column: str = "feature") -> list[str]:
-    """Sorted names. The learner's matrix is (names x names), so what is listed
-    here is small by the nature of the method."""
-    return [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
-
-
 def prepare_features(panel: DataFrame, cfg: EngineerConfig) -> Prepared:
-    """Extract features once, keep the complete ones, and sum their products."""
+    """Extract features once and standardise them with the base series."""
     rows = cut_lineage(panel.select(PANEL, SPLIT, SERIES, TS, VALUE))
     parts = gram.as_features(rows)
-    base = [n for n in feature_names(parts) if n != cfg.target]
-    candidates: list[str] = []
+    known = F.col(VALUE).isNotNull() & (F.col("feature") != cfg.target)
+    base = parts.groupBy(PANEL).agg(F.sort_array(F.collect_set(F.when(known, F.col("feature")))).alias("features"))
+    base = cut_lineage(base)
+    candidates = base.select(PANEL, F.lit(None).cast("string").alias("feature")).limit(0)
     if cfg.rounds > 0:
         extracted = cut_lineage(
             features.extract(
@@ -67,59 +68,82 @@ def prepare_features(panel: DataFrame, cfg: EngineerConfig) -> Prepared:
         )
         full = split.complete_features(extracted, (PANEL, SPLIT))
         both = split.candidate_features(full.where(F.col(SPLIT) == "train"), full.where(F.col(SPLIT) == "test"))
-        candidates = [n for n in feature_names(both) if n not in set(base)]
+        candidates = cut_lineage(both)
         parts = parts.unionByName(extracted.select(parts.columns))
-    names = base + candidates
-    matrix = gram.design_matrix(parts, names, cfg.target, optional=bool(candidates))
-    sums = gram.product_sums(matrix, len(names))
-    usable = gram.available(parts, names)
-    return Prepared(base, candidates, parts, matrix, cut_lineage(sums.join(usable, PANEL)))
+    return Prepared(cfg.target, base, candidates, parts, cut_lineage(forward.scaled_features(parts)))
+
+
+def _sums(prep: Prepared, base: DataFrame) -> DataFrame:
+    """Product sums over a panel's own features, with its row of ``base``."""
+    matrix = forward.base_matrix(prep.scaled, base, prep.target)
+    return cut_lineage(gram.product_sums(matrix).join(base, PANEL))
+
+
+def _places(names: str = "features") -> Column:
+    return F.transform(names, lambda f, i: i)
+
+
+def found_penalties(found: DataFrame) -> DataFrame:
+    """(panel, penalties): the penalty of each model's best trial."""
+    entry = F.struct("model", F.col("best_params")["reg_lambda"].alias("v"))
+    return found.groupBy(PANEL).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("penalties"))
 
 
 def engineer(
     panel: DataFrame,
     cfg: EngineerConfig,
     *,
-    penalties: dict[str, float] | None = None,
+    penalties: dict[str, float] | DataFrame | None = None,
     trials: int = search.TRIALS,
 ) -> Engineered:
     """Search, greedy addition, one drop pass and the final scores, per panel.
 
-    Rows are read for the extraction and for one pass of product sums; all fits
-    after that are solved from those sums.
+    The scores use the penalties that the search finds for the panel, unless
+    ``penalties`` gives them for all panels, or by panel as ``found_penalties`` does.
+    The rows are read for the extraction, and once a round.
     """
     prep = prepare_features(panel, cfg)
-    names = prep.names
-    base = selection.places_of(prep.base, names)
-    found = search.search_summary(search.ridge_search(prep.sums, base, trials=trials))
-    penalties = penalties or default_penalties()
-    grown = selection.greedy_add(
-        prep.sums.drop("usable"), prep.base, names, penalties, rounds=cfg.rounds, usable=prep.sums.select(PANEL, "usable")
-    )
-    grown = cut_lineage(grown)
-    places = F.transform("features", lambda f: F.array_position(F.array(*[F.lit(n) for n in names]), f).cast("int") - 1)
-    state = prep.sums.drop("usable").join(grown.select(PANEL, places.alias("_places")), PANEL)
-    dropped = selection.features_to_drop(
-        selection.drop_one_scores(state, F.col("_places"), names, penalties), cfg.drop_threshold
+    sums = _sums(prep, prep.base)
+    found = cut_lineage(search.search_summary(search.ridge_search(sums, _places(), trials=trials)))
+    if isinstance(penalties, DataFrame):
+        own = penalties
+    elif penalties:
+        own = prep.base.select(PANEL, F.create_map(*[F.lit(x) for m, v in penalties.items() for x in (m, float(v))]).alias("penalties"))
+    else:
+        own = found_penalties(found)
+    own = cut_lineage(own)
+    grown = forward.grow(prep.scaled, prep.base, cfg.target, own, rounds=cfg.rounds, candidates=prep.candidates)
+    final_sums = _sums(prep, grown).join(own, PANEL)
+    dropped = cut_lineage(
+        selection.features_to_drop(
+            selection.drop_one_scores(final_sums, _places(), F.col("features"), F.col("penalties")), cfg.drop_threshold
+        )
     )
     gone = dropped.where(F.col("status") == "improved").groupBy(PANEL).agg(F.collect_list("feature").alias("dropped"))
     none = F.array().cast("array<string>")
-    kept = (
-        grown.join(gone, PANEL, "left")
-        .withColumn("dropped", F.array_sort(F.coalesce("dropped", none)))
-        .withColumn("features", F.array_except("features", "dropped"))
-    )
-    final_places = kept.select(
-        PANEL,
-        F.transform("features", lambda f: F.array_position(F.array(*[F.lit(n) for n in names]), f).cast("int") - 1).alias("_places"),
+    selected = grown.join(gone, PANEL, "left").withColumn("dropped", F.array_sort(F.coalesce("dropped", none)))
+    selected = cut_lineage(selected.withColumn("features", F.array_except("features", "dropped")).select(PANEL, "features", "added", "dropped"))
+    kept = final_sums.join(selected.select(PANEL, F.col("features").alias("_kept")), PANEL)
+    places = F.transform("_kept", lambda f: F.array_position(F.col("features"), f).cast("int") - 1)
+    kept = cut_lineage(kept.withColumn("_places", places))
+    after = search.search_summary(search.ridge_search(kept, F.col("_places"), trials=trials))
+    initial = _per_model(selection.baseline_scores(sums.join(own, PANEL), _places(), F.col("penalties")))
+    final = _per_model(selection.baseline_scores(kept, F.col("_places"), F.col("penalties")))
+    summary = selection.improvement_summary(initial, final)
+    means = found.select(PANEL, "model", F.col("mean_mse").alias("initial_mean_mse")).join(
+        after.select(PANEL, "model", F.col("mean_mse").alias("final_mean_mse")), [PANEL, "model"], "left"
     )
-    initial = _per_model(selection.baseline_scores(prep.sums, base, penalties))
-    final = _per_model(selection.baseline_scores(prep.sums.join(final_places, PANEL), F.col("_places"), penalties))
+    summary = summary.join(means, [PANEL, "model"], "left").withColumn("reason", F.lit(None).cast("string"))
+    missing = prep.base.select(PANEL).join(summary.select(PANEL).distinct(), PANEL, "left_anti")
+    nothing = {c: F.lit(None).cast("double") for c in summary.columns if c.endswith("mse") or c == "improvement"}
+    missing = missing.withColumns({"model": F.lit("all"), **nothing, "reason": F.lit(UNSCORED)})
     return Engineered(
         search=found,
-        selected=kept.select(PANEL, "features", "added", "dropped"),
+        search_after=after,
+        penalties=own,
+        selected=selected,
         drop_scores=dropped,
-        summary=selection.improvement_summary(initial, final),
+        summary=summary.unionByName(missing.select(summary.columns)),
         prepared=prep,
     )
 
@@ -134,6 +158,12 @@ def engineered_matrix(result: Engineered) -> DataFrame:
     return result.prepared.features.join(chosen, [PANEL, "feature"], "left_semi")
 
 
+def engineered_target(result: Engineered) -> DataFrame:
+    """(panel, split, ts, y): the target that belongs to ``engineered_matrix``."""
+    rows = result.prepared.features.where(F.col("feature") == result.prepared.target)
+    return rows.select(PANEL, SPLIT, TS, F.col(VALUE).alias("y"))
+
+
 # The columns of the sweep table, in order.
 SWEEP_COLUMNS = (
     "relative_threshold",

@@ -24,7 +24,10 @@ def load(panel: DataFrame, catalog: DataFrame, target: str, *, start=None, end=N
     return grid
 
 
-def drop_empty_series(panel: DataFrame) -> DataFrame:
+def drop_empty_series(panel: DataFrame, blocks: bool = False) -> DataFrame:
+    if blocks:
+        known = panel.groupBy(*SERIES_KEY).agg(F.count(VALUE).alias("_known")).where(F.col("_known") > 0)
+        return attach(panel, known, list(SERIES_KEY), how="inner", salt_by=[TS]).drop("_known")
     known = F.count(VALUE).over(Window.partitionBy(*SERIES_KEY))
     return panel.withColumn("_known", known).where(F.col("_known") > 0).drop("_known")
 
@@ -60,7 +63,7 @@ def preprocess(
     and the complete dates each look at it apart from the rows.
     """
     keys, days = list(SPLIT_KEY), cfg.block_days
-    parted = split.chrono_split(cut_lineage(drop_empty_series(panel)), cfg.test_fraction)
+    parted = split.chrono_split(cut_lineage(drop_empty_series(panel, days is not None)), cfg.test_fraction)
     if spline:
         parted = impute.spline_impute(
             settled(parted, days), series=spline, per_split=cfg.fit_scope == "split", block_days=days
@@ -69,7 +72,8 @@ def preprocess(
         parted = transform.deflate(parted, cfg.deflator, nominal)
     if logged:
         parted = transform.log_transform(parted, logged)
-    scaled = settled(transform.standardise(by_series(parted)), days)
+    scaled = transform.standardise_blocks(parted) if days else transform.standardise(by_series(parted))
+    scaled = settled(scaled, days)
     changed = transform.percent_change(scaled, keys=keys, block_days=days)
     rows = settled(drop_incomplete_dates(settled(changed, days), cfg.target), days)
     choice = None
@@ -77,4 +81,4 @@ def preprocess(
         train = rows.where(F.col(SPLIT) == split.TRAIN)
         choice = stationarity.choose_transform(train, statistic=cfg.statistic, block_days=days).drop(SPLIT, "adf_stat")
     shaped = stationarity.apply_transform(rows, choice, statistic=cfg.statistic, block_days=days)
-    return clean.cap_outliers(shaped, cap_factor=cfg.cap_factor)
+    return clean.cap_outliers(shaped, cap_factor=cfg.cap_factor, blocks=days is not None)

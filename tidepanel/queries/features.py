@@ -397,12 +397,12 @@ def features_numpy(spark, d):
 @query("features_entropy_costly")
 def features_entropy_costly(spark, d):
     names = ["approximate_entropy", "sample_entropy"]
-    return rounded(features.extract_arrays(warehouse.scaled_orders(spark, d), names, max_shift=35))
+    return rounded(features.extract_arrays(warehouse.scaled_orders(spark, d), names))
 
 
 @query("extract_comprehensive")
 def extract_comprehensive(spark, d):
-    return rounded(features.extract(warehouse.scaled_orders(spark, d), "comprehensive", max_shift=23))
+    return rounded(features.extract(warehouse.scaled_orders(spark, d), "comprehensive"))
 
 
 # --- the flagship: grid, split, standardise, difference, expanding features -------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import tidy
 from tidepanel.keys import PANEL, SERIES, SPLIT, SPLIT_KEY, TS, VALUE
-from tidepanel.operators import align, boosted, gram, search, selection, split
+from tidepanel.operators import align, boosted, forward, gram, search, selection, split
 from tidepanel.plans import engineer as engineer_plan
 from tidepanel.plans import prepare as prepare_plan
 from tidepanel.plans.config import EngineerConfig, PrepareConfig
@@ -81,7 +81,7 @@ def quarterly(spark, d) -> DataFrame:
 
 def sums_of(panel: DataFrame, names=NAMES, target: str = TARGET) -> DataFrame:
     matrix = gram.design_matrix(gram.as_features(panel), names, target)
-    return gram.product_sums(matrix, len(names))
+    return gram.product_sums(matrix)
 
 
 # Rows with all columns, standardised on the training rows a series has.
@@ -156,6 +156,46 @@ def add_one_scores(spark, d):
     return rounded(out, "agg_mse", "improvement")
 
 
+# Candidates by the Schur complement: rows are the dates with base and target, and a
+# candidate with a gap on one of them is not scored.
+_BASE_ROWS = {
+    **{k: v for k, v in _MATRIX.items() if k != "x"},
+    "x": _MATRIX["x"].split(" having ")[0]
+    + " having max(case when series_id = 'BUILDING' then 1 end) = 1 and max(case when series_id = 'AUTOMOBILE' then 1 end) = 1",
+}
+_COMPLETE = "select * from ({fit}) where panel_id in (select panel_id from x group by 1 having count({c}) = count(*))"
+_LINEAR = {
+    "fits": " union all ".join(
+        _COMPLETE.format(fit=_one_fit(c, [_SHORT[BASE], _SHORT[c]], p), c=_SHORT[c]) for c in OTHERS for p in PENALTIES.values()
+    ),
+    "b": _fits({"": [BASE]}),
+}
+
+
+def penalties_of(panels: DataFrame, penalties: dict[str, float]) -> DataFrame:
+    entries = F.create_map(*[F.lit(x) for m, p in penalties.items() for x in (m, p)])
+    return panels.select(PANEL, entries.alias("penalties"))
+
+
+@query(
+    "add_one_linear",
+    sql(
+        """select f.panel_id, f.feature, round(f.agg_mse, 6) + 0.0 as agg_mse, round(b.agg_mse - f.agg_mse, 6) + 0.0 as improvement,
+                  case when b.agg_mse - f.agg_mse > 0 then 'improved' else 'worsened' end as status
+           from (select panel_id, feature, sum(mse) as agg_mse from fits group by 1, 2) f
+           join (select panel_id, sum(mse) as agg_mse from b group by 1) b on b.panel_id = f.panel_id""",
+        "f2m",
+        **_BASE_ROWS,
+        **_LINEAR,
+    ),
+)
+def add_one_linear(spark, d):
+    scaled = forward.scaled_features(gram.as_features(quarterly(spark, d)))
+    base = scaled.select(PANEL).distinct().withColumn("features", F.array(F.lit(BASE)))
+    scored = forward.add_one(scaled, base, TARGET, penalties_of(base, PENALTIES))
+    return rounded(scored.select(PANEL, "feature", "agg_mse", "improvement", "status"), "agg_mse", "improvement")
+
+
 @query(
     "drop_one_scores",
     sql("select panel_id, feature, round(sum(mse), 6) + 0.0 as agg_mse from fits group by 1, 2", "f2m", **_MATRIX, **_DROP),
@@ -462,3 +502,50 @@ def engineer_panel(spark, d):
     cfg = EngineerConfig(target="output_q", rounds=2)
     result = engineer_plan.engineer(_prepared(spark, d), cfg)
     return rounded(result.summary, "initial_mse", "final_mse", "improvement", digits=4)
+
+
+# The whole plan on months with gaps: base rows are dropped jointly, no panel is lost.
+_GAPS = ("BUILDING", "AUTOMOBILE", "FURNITURE")
+_GAP_SETS = {"a = 1 and f = 1": ["a", "f"], "a = 1 and f is null": ["a"], "a is null and f = 1": ["f"]}
+_GAP_STEPS = {
+    "g": "select * from f2m where series_id in ('BUILDING', 'AUTOMOBILE', 'FURNITURE')",
+    "s": split_sql("g"),
+    "z": _MATRIX["z"],
+    # What series a panel has: its base is its own.
+    "k": """select panel_id, count(distinct series_id) as n, max(case when series_id = 'AUTOMOBILE' then 1 end) as a,
+                   max(case when series_id = 'FURNITURE' then 1 end) as f from g group by 1""",
+    "x": """select z.panel_id, split, ts, max(case when series_id = 'BUILDING' then value end) as b,
+                   max(case when series_id = 'AUTOMOBILE' then value end) as a,
+                   max(case when series_id = 'FURNITURE' then value end) as f
+            from z join k on k.panel_id = z.panel_id group by 1, 2, 3, k.n
+            having count(*) = k.n and max(case when series_id = 'BUILDING' then 1 end) = 1""",
+    "fits": " union all ".join(
+        f"select panel_id, '{m}' as model, mse from ({_one_fit('', columns, p)}) where panel_id in (select panel_id from k where {has})"
+        for m, p in PENALTIES.items()
+        for has, columns in _GAP_SETS.items()
+    )
+    + "".join(
+        f""" union all select t.panel_id, '{m}', avg((t.b - f.my) * (t.b - f.my)) from x t
+             join (select panel_id, avg(b) as my from x where split = 'train' group by 1) f on f.panel_id = t.panel_id
+             where t.split = 'test' and t.panel_id in (select panel_id from k where a is null and f is null) group by 1"""
+        for m in PENALTIES
+    ),
+    "r": "select panel_id, model, mse from fits union all select panel_id, 'all', sum(mse) from fits group by 1",
+}
+
+
+@query(
+    "engineer_gaps",
+    sql(
+        """select p.panel_id, coalesce(r.model, 'all') as model, round(r.mse, 6) + 0.0 as initial_mse, round(r.mse, 6) + 0.0 as final_mse,
+                  case when r.model is null then 'no date has the target and all predictors in both splits' end as reason
+           from (select distinct panel_id from g) p left join r on r.panel_id = p.panel_id""",
+        "f2m",
+        **_GAP_STEPS,
+    ),
+)
+def engineer_gaps(spark, d):
+    panel = split.chrono_split(warehouse.scaled_nations(spark, d).where(F.col(SERIES).isin(*_GAPS)))
+    cfg = EngineerConfig(target=TARGET, rounds=0, drop_threshold=1e9)
+    result = engineer_plan.engineer(panel, cfg, penalties=PENALTIES, trials=1)
+    return rounded(result.summary.select(PANEL, "model", "initial_mse", "final_mse", "reason"), "initial_mse", "final_mse")

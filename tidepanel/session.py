@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,9 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is only used by a local master, where driver and
-    executors are one process; on a cluster an unset folder is an error because
-    a lost executor would take its checkpoint blocks with it.
+    A machine-local folder is only used by ``local`` masters, where driver and
+    executors are one process; on a cluster (``local-cluster`` is one) an unset folder
+    is an error, because a lost executor would take its checkpoint blocks with it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before iterating")
         folder = tempfile.mkdtemp(prefix="tidepanel-checkpoint-")
     sc.setCheckpointDir(folder)

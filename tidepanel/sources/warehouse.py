@@ -53,7 +53,7 @@ def orders_by_priority(spark: SparkSession, sf_dir: str, *, start: str | None =
     if start is not None:
         orders = orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
-        orders = orders.where(F.col("o_orderdate") <= F.lit(end).cast("timestamp_ntz"))
+        orders = orders.where(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz") + F.expr("interval 1 day"))
     return orders.groupBy(
         F.lit("all").alias("panel_id"),
         F.col("o_orderpriority").alias("series_id"),
