@@ -188,19 +188,15 @@ def judge(
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns. The verdict is a function of the
-    text, so the estimated model is applied to the rows where they are and none is moved."""
-    counted = counts(docs, id_col, text_col)
+    """The rows of ``docs`` whose text is kept, with all their columns. Rows are written once beside their
+    counts, as counting costs far more than that: the verdict needs the counts of all rows first."""
+    whole = free_name(docs, "whole")
+    counted = settle(_beside(docs.withColumn(whole, F.struct(*docs.columns)), whole, text_col), "quality-rows")
     cast = counted.groupBy(*[vote(r).alias(f"v{i}") for i, r in enumerate(RULES)]).count().collect()
     if not cast:
         return docs
     model = estimate({tuple(r[:-1]): r[-1] for r in cast})
-    whole = free_name(docs, "whole")
-    carried = docs.withColumn(whole, F.struct(*docs.columns))
-    # The number of the row keeps the optimiser from working out the counts anew in the filter.
-    judged = _beside(carried, whole, text_col).withColumn("at", F.monotonically_increasing_id())
-    kept = judged.where((F.col("at") >= 0) & ~base_failed() & (posterior(model) >= THRESHOLD))
-    return kept.select(f"{whole}.*")
+    return counted.where(~base_failed() & (posterior(model) >= THRESHOLD)).select(f"{whole}.*")
 
 
 def _beside(docs: DataFrame, carried: str, text_col: str) -> DataFrame:
