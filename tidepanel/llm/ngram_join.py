@@ -10,8 +10,9 @@
    under the same global order, frequent n-grams first, so that near copies share long paths; the tree is
    walked depth-first, an overlap counted on a shared path is counted once, and a branch is left as soon
    as what remains of it cannot reach the overlap needed.
-4. Groups whose classes are not all linked yet are compared pair by pair across components, so no link
-   between different texts is lost; within a component further links would change nothing.
+4. In groups whose classes are not all linked yet, classes of different components are compared with each
+   other, block by block, so no link between different texts is lost; within a component further links would
+   change nothing.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ LOW_BITS = 64 - COUNT_BITS
 BUCKET_GRAMS = 500_000
 #: Partners of one hub that a task compares, about.
 STAR = 512
+#: Members of a group that one task compares with each other; larger groups are compared block by block.
+BLOCK = 1024
 #: Bits of the table that tells which rows' sets are needed for verification; more needed rows than bits only
 #: send sets that the join then drops.
 NEED_BITS = 26
@@ -188,7 +191,8 @@ def _close(n, m, early_n, early_m):
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """Candidate pairs (hub, partner) of one bucket, and for groups of three or more their members."""
+    """Candidate pairs (hub, partner, salt) of one bucket, and for groups of three or more their members, with
+    the size class of the group in the place of the salt."""
     records = np.concatenate([np.frombuffer(x, RECORD) for x in table.column("records").to_pylist()])
     order = np.lexsort((records["sig"], records["gram"]))
     gram, sig = records["gram"][order], records["sig"][order]
@@ -213,8 +217,8 @@ def _candidates(table: pa.Table) -> pa.Table:
             hub = int(member[np.lexsort((member, -place))[0]])
             groups.setdefault((hub, _coarse(size)), {}).update(zip(member.tolist(), size.tolist()))
     a, b, salt = [pairs[:, 0]], [pairs[:, 1]], [np.zeros(len(pairs), np.int32)]
-    hubs, lists = [], []
-    for (hub, _), members in groups.items():
+    hubs, kinds, lists = [], [], []
+    for (hub, kind), members in groups.items():
         names = np.fromiter(members, np.int64, len(members))
         sizes = np.fromiter(members.values(), np.int64, len(members))
         at = int(np.flatnonzero(names == hub)[0])
@@ -225,6 +229,7 @@ def _candidates(table: pa.Table) -> pa.Table:
         blob = np.empty(len(names), MEMBER)
         blob["sig"], blob["n"] = names, sizes
         hubs.append(hub)
+        kinds.append(kind)
         lists.append(np.sort(blob, order="sig").tobytes())
     a, b, salt = np.concatenate(a), np.concatenate(b), np.concatenate(salt)
     none = len(a)
@@ -232,7 +237,7 @@ def _candidates(table: pa.Table) -> pa.Table:
         [
             pa.array(np.concatenate([a, np.array(hubs, np.int64)])),
             pa.chunked_array([pa.array(b.astype(np.int64)), pa.nulls(len(hubs), pa.int64())]).combine_chunks(),
-            pa.chunked_array([pa.array(salt), pa.nulls(len(hubs), pa.int32())]).combine_chunks(),
+            pa.chunked_array([pa.array(salt), pa.array(kinds, pa.int32())]).combine_chunks(),
             pa.chunked_array([pa.nulls(none, pa.binary()), pa.array(lists, pa.binary())]).combine_chunks(),
         ],
         schema=FOUND,
@@ -333,37 +338,69 @@ def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, ranks) -> Data
     partner = pairs.select("a", "salt", F.col("b").alias("sig"), F.col("idb").alias("id"))
     hubs = pairs.select("a", "salt", F.col("a").alias("sig"), F.col("ida").alias("id")).distinct()
     requests = settle(hubs.unionByName(partner), "gram-requests")
+    sets = _fetched(rows, requests.select("sig", "id").distinct(), ranks)
+    fetched = requests.join(sets, "sig").select("a", "salt", "sig", "grams")
+    return settle(fetched.groupBy("a", "salt").applyInArrow(_verify, "a long, b long"), "gram-links")
+
+
+def _fetched(rows: DataFrame, wanted: DataFrame, ranks) -> DataFrame:
+    """(sig, grams): the sets of the rows ``wanted`` (sig, id), made from the texts again."""
     bit = F.col("sig").bitwiseXOR(F.coalesce("id", F.lit(0))).bitwiseAND(F.lit((1 << NEED_BITS) - 1)) + 1
-    marks = requests.select("sig", "id").distinct().select(bit.alias("bit"))
-    marks = marks.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
-    )
+    marks = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k"))
     table = bytearray(1 << (NEED_BITS - 3))
-    for row in marks.collect():  # at most 2^NEED_BITS bits, whatever the input
-        table[(row["k"] - 1) * 4096 : row["k"] * 4096] = row["bits"]
-    bits = spark.sparkContext.broadcast(bytes(table))
+    for row in marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
+        table[(row["k"] - 1) * 4096 : row["k"] * 4096] = row["bits"]  # at most 2^NEED_BITS bits in all
+    bits = rows.sparkSession.sparkContext.broadcast(bytes(table))
     sets = rows.mapInArrow(_sets(ranks, bits), "sig long, id long, grams binary")
     sets = sets.withColumn("id", F.coalesce("id", F.lit(0)))
-    asked = requests.withColumn("id", F.coalesce("id", F.lit(0)))
-    fetched = asked.join(sets, ["sig", "id"]).select("a", "salt", "sig", "grams")
-    return settle(fetched.groupBy("a", "salt").applyInArrow(_verify, "a long, b long"), "gram-links")
+    asked = wanted.select("sig", F.coalesce("id", F.lit(0)).alias("id"))
+    return sets.join(asked, ["sig", "id"], "left_semi").select("sig", "grams")
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of a group's members that are in different components and close in size; the hub's are known."""
-    hub = table.column("hub")[0].as_py()
-    sig, root, n = (table.column(c).to_numpy() for c in ("sig", "root", "n"))
+    """Links between members of a group that are in different components, within a block or between two.
+
+    Counts over about twice as many ranges as a set has n-grams bound the overlaps; what they leave open is
+    looked up in the trie. Once a link joins two components, no more is looked for between them.
+    """
+    hub, first, second = (table.column(c)[0].as_py() for c in ("hub", "p", "q"))
+    sig, root, n, block = (table.column(c).to_numpy() for c in ("sig", "root", "n", "block"))
+    blobs = table.column("grams").to_pylist()
+    ranges = min(4096, 1 << max(4, int(2 * n.max()).bit_length() - 1))
+    counts = np.empty((len(sig), ranges), np.uint8)
+    for i, blob in enumerate(blobs):
+        low = (np.frombuffer(blob, ">u8").astype(U64) & U64(ranges - 1)).astype(np.int64)
+        counts[i] = np.minimum(np.bincount(low, minlength=ranges), 255)
+    full = (counts == 255).any(1)
+    parent = {r: r for r in set(root.tolist())}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     a, b = [], []
     for i in range(len(sig)):
         if sig[i] == hub:
-            continue
+            continue  # compared with all before
         other = (sig > sig[i]) & (root != root[i]) & (sig != hub)
+        if first != second:
+            other &= block != block[i]
         other &= DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i])
-        b.append(sig[other])
-        a.append(np.full(len(b[-1]), sig[i]))
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-    salt = ((b & 0x7FFFFFFF) % (1 + len(sig) // STAR)).astype(np.int32)
-    return pa.table({"a": a, "b": b, "salt": salt})
+        mine = np.flatnonzero(other)
+        most = np.minimum(counts[mine], counts[i]).sum(1, dtype=np.int64)
+        want = -(-NUM * (n[i] + n[mine]) // (NUM + DEN))
+        mine = mine[(most >= want) | full[mine] | full[i]]
+        own = top(root[i])
+        mine = [k for k in mine.tolist() if top(root[k]) != own]
+        for k in trie_links(blobs[i], [(k, blobs[k]) for k in mine]) if mine else ():
+            x, y = top(root[i]), top(root[k])
+            if x != y:
+                parent[x] = y
+                a.append(int(sig[i]))
+                b.append(int(sig[k]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,28 +441,33 @@ def _roots(spark, rows: DataFrame, summaries: DataFrame, classes: DataFrame) ->
     found = settle(dealt.groupBy("bucket").applyInArrow(_candidates, FOUND_SQL), "gram-candidates")
     links = _links(rows, classes, found.where("members is null").select("a", "b", "salt"), ranks)
     roots = components(links)
-    groups = found.where("members is not null").select(F.col("a").alias("hub"), "members").distinct()
-    member = groups.mapInArrow(_unpack, "hub long, list long, sig long, n long")
+    groups = found.where("members is not null").select(F.col("a").alias("hub"), F.col("salt").alias("kind"), "members")
+    member = groups.mapInArrow(_unpack, "hub long, kind int, sig long, n long").distinct()
     member = member.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     member = settle(member.withColumn("root", F.coalesce("root", "sig")), "gram-members")
-    open_ = member.groupBy("hub", "list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    left = member.join(open_.select("hub", "list"), ["hub", "list"], "left_semi")
-    more = left.groupBy("hub", "list").applyInArrow(_across, "a long, b long, salt int")
-    more = settle(more.distinct(), "gram-across")
-    if more.isEmpty():
+    open_ = member.groupBy("hub", "kind").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
+    open_ = open_.where("x < y").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    left = member.join(open_.select("hub", "kind", "blocks"), ["hub", "kind"])
+    left = settle(left.join(classes.select("sig", "id"), "sig"), "gram-open")
+    if left.isEmpty():
         return roots
-    return components(links.unionByName(_links(rows, classes, more, ranks)))
+    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    pairs = left.withColumn("block", block).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.withColumns({"p": F.least("block", "k"), "q": F.greatest("block", "k")})
+    sets = _fetched(rows, left.select("sig", "id").distinct(), ranks)
+    pairs = pairs.select("hub", "kind", "p", "q", "block", "sig", "root", "n").join(sets, "sig")
+    more = settle(pairs.groupBy("hub", "kind", "p", "q").applyInArrow(_across, "a long, b long"), "gram-across")
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for hub, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for hub, kind, blob in zip(*(batch.column(c).to_pylist() for c in range(3))):
             members = np.frombuffer(blob, MEMBER)
-            name = int.from_bytes(zlib.crc32(blob).to_bytes(4, "little") + zlib.adler32(blob).to_bytes(4, "little")[:3])
             k = len(members)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, hub)), pa.array(np.full(k, name)), pa.array(members["sig"].copy()), pa.array(members["n"].copy())],
-                names=["hub", "list", "sig", "n"],
+                [pa.array(np.full(k, hub)), pa.array(np.full(k, kind, np.int32)), pa.array(members["sig"].copy()), pa.array(members["n"].copy())],
+                names=["hub", "kind", "sig", "n"],
             )
 
 
