@@ -357,6 +357,36 @@ def _fetched(rows: DataFrame, wanted: DataFrame, ranks) -> DataFrame:
     return sets.join(asked, ["sig", "id"], "left_semi").select("sig", "grams")
 
 
+def _hopeful(table: pa.Table) -> pa.Table:
+    """The members of a group that some member of another component may link with, by sizes and profiles."""
+    hub, first, second = (table.column(c)[0].as_py() for c in ("hub", "p", "q"))
+    sig, root, n, block = (table.column(c).to_numpy() for c in ("sig", "root", "n", "block"))
+    profiles = table.column("profile").to_pylist()
+    length = np.array([len(p) for p in profiles])
+    full = np.array([255 in p for p in profiles])  # counts that reached the largest number say nothing
+    folded = {}
+    for common in np.unique(length).tolist():
+        place = np.cumsum(length >= common) - 1
+        rows = [np.frombuffer(p, np.uint8).astype(np.int32).reshape(-1, common).sum(0) for p in profiles if len(p) >= common]
+        folded[common] = np.stack(rows), place
+    keep = np.zeros(len(sig), bool)
+    for i in range(len(sig)):
+        if sig[i] == hub:
+            continue  # compared with all before
+        other = (sig > sig[i]) & (root != root[i]) & (sig != hub)
+        if first != second:
+            other &= block != block[i]
+        other &= DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i])
+        for common, (rows, place) in folded.items():
+            mine = np.flatnonzero(other & (np.minimum(length, length[i]) == common))
+            if len(mine):
+                most = np.minimum(rows[place[mine]], rows[place[i]]).sum(1)
+                mine = mine[(most >= -(-NUM * (n[i] + n[mine]) // (NUM + DEN))) | full[mine] | full[i]]
+                keep[mine] = True
+                keep[i] |= len(mine) > 0
+    return table.filter(pa.array(keep)).drop_columns(["profile"])
+
+
 def _across(table: pa.Table) -> pa.Table:
     """Links between members of a group that are in different components, within a block or between two.
 
@@ -448,14 +478,16 @@ def _roots(spark, rows: DataFrame, summaries: DataFrame, classes: DataFrame) ->
     open_ = member.groupBy("hub", "kind").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
     open_ = open_.where("x < y").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
     left = member.join(open_.select("hub", "kind", "blocks"), ["hub", "kind"])
-    left = settle(left.join(classes.select("sig", "id"), "sig"), "gram-open")
-    if left.isEmpty():
-        return roots
+    left = left.join(classes.select("sig", "id", "profile"), "sig")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     pairs = left.withColumn("block", block).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumns({"p": F.least("block", "k"), "q": F.greatest("block", "k")})
-    sets = _fetched(rows, left.select("sig", "id").distinct(), ranks)
-    pairs = pairs.select("hub", "kind", "p", "q", "block", "sig", "root", "n").join(sets, "sig")
+    pairs = pairs.select("hub", "kind", "p", "q", "block", "sig", "id", "root", "n", "profile")
+    kept = "hub long, kind int, p int, q int, block int, sig long, id long, root long, n long"
+    pairs = settle(pairs.groupBy("hub", "kind", "p", "q").applyInArrow(_hopeful, kept), "gram-open")
+    if pairs.isEmpty():
+        return roots
+    pairs = pairs.join(_fetched(rows, pairs.select("sig", "id").distinct(), ranks), "sig")
     more = settle(pairs.groupBy("hub", "kind", "p", "q").applyInArrow(_across, "a long, b long"), "gram-across")
     return roots if more.isEmpty() else components(links.unionByName(more))
 
