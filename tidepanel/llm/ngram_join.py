@@ -36,7 +36,7 @@ NUM, DEN = 75, 100
 COUNT_BITS, SLICES = 21, 64
 LOW_BITS = 64 - COUNT_BITS
 #: Prefix n-grams in a bucket, on average.
-BUCKET_GRAMS = 500_000
+BUCKET_GRAMS = 1_000_000
 #: Partners of one hub that a task compares, about.
 STAR = 512
 #: Members of a group that one task compares with each other; larger groups are compared block by block.
@@ -214,7 +214,8 @@ def _candidates(table: pa.Table) -> pa.Table:
         for s, e in many:
             member, size = records["sig"][s:e], records["n"][s:e]
             place = times[np.searchsorted(names, member)]
-            hub = int(member[np.lexsort((member, -place))[0]])
+            # Roughly the class in most groups, so that buckets that see parts of a family name the same one.
+            hub = int(member[np.lexsort((member, -np.log2(place).astype(np.int64)))[0]])
             groups.setdefault((hub, _coarse(size)), {}).update(zip(member.tolist(), size.tolist()))
     a, b, salt = [pairs[:, 0]], [pairs[:, 1]], [np.zeros(len(pairs), np.int32)]
     hubs, kinds, lists = [], [], []
