@@ -13,6 +13,7 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 _WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_]+")
 
 #: Elements without content, elements whose content is no markup, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,32 +33,95 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr main menu nav ol p pre section table ul".split()
 )
-#: Elements that never hold the article, and words in class, id or role that say the same.
-OUTSIDE = frozenset(
-    "head nav footer aside form button select datalist menu dialog script style textarea title noscript iframe template "
-    "svg canvas object audio video math xmp noembed noframes".split()
+#: Elements whose text is not shown as text of the page.
+UNSEEN = frozenset(
+    "head button select datalist script style textarea title noscript iframe template svg canvas object audio video math "
+    "xmp noembed noframes".split()
 )
+#: Elements that never hold the article.
+OUTSIDE = frozenset("nav footer aside menu dialog".split())
+#: Words that say the same in class, id or role. A name counts as a whole: each of its parts is one of them, one of
+#: PLACES or a number, so "comment-list" and "site-footer" count, "no-sidebar" and "share-price" do not.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu sidebar "
     "footer contentinfo complementary breadcrumb breadcrumbs pagination cookie cookies consent gdpr notice popup modal "
     "newsletter subscribe signup social share sharing comment comments disqus related recommended widget toolbar search "
     "skip masthead".split()
 )
+PLACES = frozenset(
+    "list box container wrapper wrap area section block slot bar links link item items form button buttons icons inner "
+    "outer left right top bottom main site page global primary secondary post posts article entry".split()
+)
 MAIN = frozenset(("article", "main"))
+MAIN_PLACES = frozenset("main content container wrapper area column body section".split())
+#: Elements that hold the whole page or the article, whatever they are called.
+WHOLE = frozenset(("html", "body", *MAIN))
+#: How a block stands by the names around it: free, inside a name or form of the kinds above, inside such an element.
+FREE, NAMED, OUT, HIDDEN = range(4)
+#: Text of articles (or main parts) is believed to be the page's own when it is this share of the free text.
+MAIN_SHARE = 0.25
 DEPTH = 48
 
 
 @dataclass(frozen=True)
 class Page:
-    """``nodes``: (parent, label) of each kind of element, like siblings as one; ``blocks``: (node, text)."""
+    """``nodes``: (parent, label) of each kind of element, like siblings as one; ``texts``: (node, text, grade,
+    level) of every block that is shown, ``grade`` one of FREE, NAMED and OUT, ``level`` 2 in an article, 1 in a main part."""
 
     nodes: tuple[tuple[int, str], ...]
-    blocks: list[tuple[int, str]]
+    texts: list[tuple[int, str, int, int]]
+
+    @property
+    def blocks(self) -> list[tuple[int, str]]:
+        """(node, text) of the blocks that names alone would choose."""
+        return [self.texts[i][:2] for i in by_names(self.texts, range(len(self.texts)))]
+
+    @property
+    def content(self) -> list[str]:
+        """What tells copies of a page: its own text where names can tell it, else all but menus and the like."""
+        own = by_names(self.texts, range(len(self.texts)))
+        near = [i for i, t in enumerate(self.texts) if t[2] < OUT]
+        sure = own and (self.texts[own[0]][3] > 0 or 2 * _length(self.texts, own) > _length(self.texts, near))
+        return [self.texts[i][1] for i in (own if sure else near)]
+
+
+def _length(texts, places) -> int:
+    return sum(len(texts[i][1]) for i in places)
+
+
+def by_names(texts, places, grade: int = FREE) -> list[int]:
+    """Those of ``places`` with that grade: in articles, or in main parts, or all, by MAIN_SHARE."""
+    found = [i for i in places if texts[i][2] == grade]
+    for level in (2, 1):
+        inside = [i for i in found if texts[i][3] >= level]
+        if inside and _length(texts, inside) >= MAIN_SHARE * _length(texts, found):
+            return inside
+    return found
+
+
+def choose(texts, template: frozenset[int] | set[int], few: bool = False) -> list[int]:
+    """The numbers of the blocks that are the page's main text, given those that are template of its host.
+
+    What varies is chosen among by names; where names leave nothing of it, NAMED blocks that vary are the text.
+    A page without either keeps its template text. On a host of ``few`` pages template that is most of what
+    names would choose shows pages to be copies of each other, and is kept.
+    """
+    every = range(len(texts))
+    if few and template:
+        own = by_names(texts, every) or by_names(texts, every, NAMED)
+        if 2 * _length(texts, [i for i in own if i in template]) > _length(texts, own):
+            template = frozenset()
+    varying = [i for i in every if i not in template]
+    for places in (varying, every):
+        for grade in (FREE, NAMED):
+            found = by_names(texts, places, grade)
+            if found:
+                return found
+    return []
 
 
 def parse(html: str) -> Page:
-    """The page's tree and the text blocks of its article: those in ``article`` elements, else in ``main``,
-    else in all the page, without what OUTSIDE names."""
+    """The page's tree and all its text blocks, with how each stands by names."""
     return _Parser(html).page()
 
 
@@ -66,10 +130,11 @@ class _Parser:
         self.html = html
         self.nodes: list[tuple[int, str]] = [(-1, "")]
         self.children: dict[tuple[int, str], int] = {}
-        # Of each open element: name, node, inside something outside the article, how far in a main part.
-        self.stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
-        self.blocks: list[tuple[int, int, str]] = []
-        self.parts: list[str] = []
+        # Of each open element: name, node, grade, how far in a main part.
+        self.stack: list[tuple[str, int, int, int]] = [("", 0, FREE, 0)]
+        self.blocks: list[tuple[int, str, int, int]] = []
+        self.parts: list[tuple[int, str]] = []
+        self.has_main = False
 
     def page(self) -> Page:
         html, at = self.html, 0
@@ -95,25 +160,29 @@ class _Parser:
                 at = end.start() if end else len(html)
         self.text(html[at:])
         self.flush()
-        best = max((level for _, level, _ in self.blocks), default=0)
-        return Page(tuple(self.nodes), [(node, t) for node, level, t in self.blocks if level == best])
+        if self.has_main and not any(level for _, _, _, level in self.blocks):
+            # An empty article: what names leave out does not stand in for it.
+            self.blocks = [(node, t, OUT if grade == NAMED else grade, level) for node, t, grade, level in self.blocks]
+        return Page(tuple(self.nodes), self.blocks)
 
     def text(self, piece: str) -> None:
-        if piece and not self.stack[-1][2]:
-            self.parts.append(unescape(piece) if "&" in piece else piece)
+        grade = self.stack[-1][2]
+        if piece and grade < HIDDEN:
+            self.parts.append((grade, unescape(piece) if "&" in piece else piece))
 
     def flush(self) -> None:
         """End the block at hand."""
         if self.parts:
-            text = _SPACES.sub(" ", "".join(self.parts)).strip(" ")
+            _, node, _, level = self.stack[-1]
+            for grade in sorted({g for g, _ in self.parts if g >= 0}):
+                text = _SPACES.sub(" ", "".join(t for g, t in self.parts if g in (grade, -1))).strip(" ")
+                if text:
+                    self.blocks.append((node, text, grade, level))
             self.parts = []
-            if text:
-                _, node, _, level = self.stack[-1]
-                self.blocks.append((node, level, text))
 
     def start(self, name: str, rest: str) -> None:
         if name not in INLINE:
-            self.flush() if name != "br" else self.parts.append(" ")
+            self.flush() if name != "br" else self.parts.append((-1, " "))
         if name in VOID:
             return
         if name in CLOSES_P:
@@ -121,19 +190,23 @@ class _Parser:
         if name in CLOSES:
             for other in CLOSES[name]:
                 self.pop_to((other,))
-        words, hidden = (), False
+        words, names, hidden = (), (), False
         if rest:
-            words, hidden = _marks(rest)
-        _, node, out, level = self.stack[-1]
-        out = out or hidden or name in OUTSIDE or bool(words and not OUTSIDE_WORDS.isdisjoint(words))
-        if name in ("header", "hgroup") and level == 0:
-            out = True
+            words, names, hidden = _marks(rest)
+        _, node, grade, level = self.stack[-1]
+        if hidden or name in UNSEEN:
+            grade = HIDDEN
+        elif name in OUTSIDE or (name in ("header", "hgroup") and level == 0):
+            grade = max(grade, OUT)
+        elif name == "form" or (name not in WHOLE and any(map(_outside, names))):
+            grade = max(grade, NAMED)
         if name == "article":
             level = 2
-        elif (name == "main" or "main" in words) and level == 0:
+        elif level == 0 and (name == "main" or any(map(_main, names))):
             level = 1
+        self.has_main |= name in MAIN
         label = name if not words else f"{name}.{' '.join(words[:3])}"
-        self.stack.append((name, self.child(node, label), out, level))
+        self.stack.append((name, self.child(node, label), grade, level))
 
     def child(self, node: int, label: str) -> int:
         if len(self.stack) > DEPTH:
@@ -167,17 +240,28 @@ class _Parser:
                 return
 
 
-def _marks(rest: str) -> tuple[tuple[str, ...], bool]:
-    """The words of class, id and role, and whether the element is hidden."""
-    words, hidden = [], False
+def _marks(rest: str) -> tuple[tuple[str, ...], tuple[str, ...], bool]:
+    """The words of class, id and role, the whole names there, and whether the element is hidden."""
+    words, names, hidden = [], [], False
     for name, a, b, c, bare in _ATTRIBUTE.findall(rest):
         value = a or b or c
         name = name.lower()
         if name in ("class", "id", "role"):
             words += _WORDS.findall(value.lower())
+            names += value.lower().split()
         elif bare or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             hidden = True
-    return tuple(words), hidden
+    return tuple(words), tuple(names), hidden
+
+
+def _outside(name: str) -> bool:
+    parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+    return not OUTSIDE_WORDS.isdisjoint(parts) and all(p in OUTSIDE_WORDS or p in PLACES for p in parts)
+
+
+def _main(name: str) -> bool:
+    parts = _PARTS.split(name)
+    return "main" in parts and MAIN_PLACES.issuperset(parts)
 
 
 def match(a: tuple[tuple[int, str], ...], b: tuple[tuple[int, str], ...]) -> list[int]:
