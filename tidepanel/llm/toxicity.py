@@ -7,6 +7,8 @@ swapped for others of their group. The swap leaves the label as it is, so what a
 carry weight in either direction, and neutral mentions are not flagged.
 
 The model is fitted on the driver, on a sample whose size is a parameter; every text is scored where it is.
+The classes of the sample are weighted to their shares of all labels for fitting, so that a score means the same
+whether or not the sample takes all of them.
 """
 
 from __future__ import annotations
@@ -128,13 +130,24 @@ def held_out(row_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(row_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(toxic, text) of labelled rows for fitting: those of the smallest id hashes, none held out.
+def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, toxic) of the labels for fitting, none held out.
 
     Rows of ``labels`` with a null id or label are no labels; an id labelled twice is toxic if either says so.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
+    return known.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
+
+
+def class_counts(labels: DataFrame, id_col: str = "doc_id") -> tuple[int, int]:
+    """How many labels for fitting say other and toxic."""
+    ones = [F.count(F.when(F.col("toxic") == k, 1)) for k in (0, 1)]
+    return tuple(training_labels(labels, id_col).agg(*ones).first())
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(toxic, text) of labelled rows for fitting: those of the smallest id hashes of each class."""
+    known = training_labels(labels, id_col)
     order = F.xxhash64("id")
     some = known.where("toxic = 1").orderBy(order, "id").limit(SAMPLE_TOXIC)
     rest = known.where("toxic = 0").orderBy(order, "id").limit(SAMPLE_OTHER)
@@ -143,13 +156,21 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return texts.join(chosen, "id").select(F.col("toxic").cast("int"), "text")
 
 
-def fit(bags: Sequence[np.ndarray], toxic: Sequence[int], pairs: dict[int, int]) -> Model:
-    """Proximal gradient steps with momentum. Texts of equal words count once."""
+def fit(
+    bags: Sequence[np.ndarray], toxic: Sequence[int], pairs: dict[int, int], counts: tuple[int, int] | None = None
+) -> Model:
+    """Proximal gradient steps with momentum. Texts of equal words count once.
+
+    ``counts``: how many texts of class 0 and 1 the given ones stand for, where they are a sample of each class.
+    """
     seen = {(b.tobytes(), t) for b, t in zip(bags, toxic)}
     kept = [(np.frombuffer(b, U64), t) for b, t in sorted(seen, key=lambda x: (x[1], x[0]))]
     y = np.array([t for _, t in kept], float)
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, U64), np.empty(0), float(np.log(UNKNOWN / (1 - UNKNOWN))))
+    share = np.bincount(y.astype(int), minlength=2)
+    meant = share if counts is None else np.array(counts, float)
+    side = (meant / meant.sum() / share)[y.astype(int)]
     rows = np.repeat(np.arange(len(kept)), [len(b) for b, _ in kept])
     names, columns = np.unique(np.concatenate([b for b, _ in kept]), return_inverse=True)
     inside = np.bincount(columns, minlength=len(names))
@@ -163,12 +184,12 @@ def fit(bags: Sequence[np.ndarray], toxic: Sequence[int], pairs: dict[int, int])
     hit = changed_to[columns] != 0
     gone = _matrix(keys, names[columns][hit], rows[hit], len(kept))
     come = _matrix(keys, changed_to[columns][hit], rows[hit], len(kept))
-    weights, _ = _descend(x, gone, come, y, len(keys), L1, 0.0)
+    weights, _ = _descend(x, gone, come, y, side, len(keys), L1, 0.0)
     # The penalty on absolute weights picks the words but also shrinks them: fit those picked once more.
     used = weights != 0
     place = np.cumsum(used) - 1
     x, gone, come = ((m[0][used[m[1]]], place[m[1][used[m[1]]]], m[2]) for m in (x, gone, come))
-    weights, offset = _descend(x, gone, come, y, int(used.sum()), 0.0, L2)
+    weights, offset = _descend(x, gone, come, y, side, int(used.sum()), 0.0, L2)
     return Model(keys[used], weights, offset)
 
 
@@ -180,7 +201,9 @@ def _matrix(keys: np.ndarray, values: np.ndarray, rows: np.ndarray, n: int) -> t
     return rows[hit], place[hit], n
 
 
-def _descend(x, gone, come, y, width: int, l1: float, l2: float) -> tuple[np.ndarray, float]:
+def _descend(x, gone, come, y, side, width: int, l1: float, l2: float) -> tuple[np.ndarray, float]:
+    """``side``: the weights of the texts, which add up to one."""
+
     def times(m, w):
         return np.bincount(m[0], w[m[1]], m[2]) if len(m[0]) else np.zeros(m[2])
 
@@ -188,15 +211,14 @@ def _descend(x, gone, come, y, width: int, l1: float, l2: float) -> tuple[np.nda
         return np.bincount(m[1], r[m[0]], width) if len(m[0]) else np.zeros(width)
 
     n = len(y)
-    side = np.full(n, 1 / n)
     weights, offset = np.zeros(width), 0.0
     ahead, ahead_offset, t = weights.copy(), offset, 1.0
-    curvature = l2 + 0.25 * _top(x, side, times, back, width, n) + 4 * COUNTERFACTUAL / n * max(1, len(gone[0]))
+    curvature = l2 + 0.25 * _top(x, side, times, back, width, n) + 4 * COUNTERFACTUAL * side.max() * max(1, len(gone[0]))
     step = 1 / max(curvature, 1e-9)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(times(x, ahead) + ahead_offset, -40, 40)))
         error = side * (p - y)
-        change = (times(come, ahead) - times(gone, ahead)) * (2 * COUNTERFACTUAL / n)
+        change = (times(come, ahead) - times(gone, ahead)) * (2 * COUNTERFACTUAL * side)
         gradient = back(x, error) + back(come, change) - back(gone, change) + l2 * ahead
         new = ahead - step * gradient
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
@@ -222,7 +244,8 @@ def _top(x, side, times, back, width: int, n: int) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = sample(docs, labels, id_col, text_col).mapInArrow(_bags, "toxic int, bag binary").collect()
-    return fit([np.frombuffer(r["bag"], U64) for r in rows], [r["toxic"] for r in rows], swaps())
+    counts = class_counts(labels, id_col)
+    return fit([np.frombuffer(r["bag"], U64) for r in rows], [r["toxic"] for r in rows], swaps(), counts)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
