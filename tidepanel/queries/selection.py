@@ -464,11 +464,6 @@ def search_summary(spark, d):
 # --- boosted trees and whole plans ----------------------------------------------------------------------
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-# A few shallow trees: what is timed is the plan, not the size of the ensemble.
-SMALL_TREES = {
-    "xgboost": {**boosted.DEFAULT_PARAMS["xgboost"], "n_estimators": 3, "max_depth": 3},
-    "lightgbm": {**boosted.DEFAULT_PARAMS["lightgbm"], "n_estimators": 3, "max_depth": 3},
-}
 
 
 @query("gbt_score")
@@ -476,7 +471,7 @@ def gbt_score(spark, d):
     panel = split.chrono_split(align.month_grid(warehouse.scaled_orders(spark, d)))
     names = PRIORITIES[1:]
     matrix = gram.design_matrix(gram.as_features(panel), names, PRIORITIES[0])
-    scores = boosted.score_sets(matrix, "all", {"base": range(len(names))}, SMALL_TREES)
+    scores = boosted.score_sets(matrix, "all", {"base": range(len(names))})
     return rounded(scores, "mse")
 
 
