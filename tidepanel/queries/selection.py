@@ -544,3 +544,13 @@ def engineer_gaps(spark, d):
     cfg = EngineerConfig(target=TARGET, rounds=0, drop_threshold=1e9)
     result = engineer_plan.engineer(panel, cfg, penalties=PENALTIES, trials=1)
     return rounded(result.summary.select(PANEL, "model", "initial_mse", "final_mse", "reason"), "initial_mse", "final_mse")
+
+
+@query("engineer_gaps_all")
+def engineer_gaps_all(spark, d):
+    """The same months over all series, with the plan's own rounds, search and drop pass."""
+    result = engineer_plan.engineer(split.chrono_split(warehouse.scaled_nations(spark, d)), EngineerConfig(target=TARGET))
+    summary = result.summary.select(
+        PANEL, "model", "initial_mse", "final_mse", "improvement", "initial_mean_mse", "final_mean_mse", "reason"
+    )
+    return rounded(summary, *[c for c in summary.columns if c not in (PANEL, "model", "reason")])
