@@ -58,6 +58,6 @@ def test_pipeline(spark):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.queries()) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert len(corpus_pipeline.STAGES) == 5

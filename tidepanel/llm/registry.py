@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidepanel.llm import queries_free, queries_native
+from tidepanel.llm import queries_audit, queries_free, queries_native
 
 
 def queries() -> dict:
-    return {**queries_free.QUERIES, **queries_native.QUERIES}
+    return {**queries_free.QUERIES, **queries_native.QUERIES, **queries_audit.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**queries_free.ORACLES, **queries_native.ORACLES}
+    return {**queries_free.ORACLES, **queries_native.ORACLES, **queries_audit.ORACLES}
