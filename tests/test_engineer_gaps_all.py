@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidepanel.operators import search, split
+from tidepanel.operators import forward, search, split
 from tidepanel.plans import engineer as plan
 from tidepanel.plans.config import EngineerConfig
 from tidepanel.queries import registry
@@ -51,3 +51,32 @@ def test_every_series_takes_part(spark):
     for r in none:
         if r["reason"] is None:
             assert got[r["panel_id"], r["model"]]["initial_mse"] == pytest.approx(r["initial_mse"], rel=1e-5, abs=2e-6)
+
+
+def test_trials_are_not_a_filter(spark):
+    """The draws of the trials stay out of row filters, whatever is joined to them."""
+    panel = split.chrono_split(warehouse.scaled_nations(spark, SF_DIR))
+    joined = panel.join(search.param_trials(panel), "panel_id")
+    plan_text = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan_text.splitlines() if "Filter" in line and "md5" in line]
+
+
+def test_candidate_with_a_gap_on_a_dropped_date(spark):
+    """A candidate that lacks only dates which the base drops as well is scored."""
+    import datetime as dt
+
+    days = [dt.date(2001, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=40)
+    rows = []
+    for i, ts in enumerate(days):
+        part = "train" if i < 32 else "test"
+        rows.append(("p", part, "y", ts, float(np.cumsum(x)[i])))
+        rows.append(("p", part, "x", ts, None if i in (5, 35) else float(x[i])))
+    panel = spark.createDataFrame(rows, "panel_id string, split string, series_id string, ts date, value double")
+    prepared = plan.prepare_features(panel, EngineerConfig(target="y"))
+    names = {r["feature"] for r in prepared.candidates.collect()}
+    assert {"x__sum_values", "x__median"} <= names
+    penalties = spark.createDataFrame([("p", {"m": 1.0})], "panel_id string, penalties map<string, double>")
+    scored = forward.add_one(prepared.scaled, prepared.base, "y", penalties, candidates=prepared.candidates, slice_size=3)
+    assert {r["feature"] for r in scored.collect()} == names

@@ -25,7 +25,8 @@ from tidepanel.operators.split import TEST, TRAIN
 from tidepanel.operators.transform import standardise
 from tidepanel.session import cut_lineage
 
-SLICES = 32
+#: Candidates of a panel that are scored beside one copy of its base rows.
+SLICE = 64
 
 SCORES = T.StructType(
     [
@@ -102,7 +103,7 @@ def add_one(
     penalties: DataFrame,
     *,
     candidates: DataFrame | None = None,
-    slices: int = SLICES,
+    slice_size: int = SLICE,
 ) -> DataFrame:
     """Base plus each candidate: (panel, feature, mse, agg_mse, baseline, improvement, status).
 
@@ -115,9 +116,15 @@ def add_one(
     wanted = scaled.select(*ROW, "feature", VALUE).join(used, [PANEL, "feature"], "left_anti")
     if candidates is not None:
         wanted = wanted.join(candidates.select(PANEL, "feature").distinct(), [PANEL, "feature"], "left_semi")
-    wanted = wanted.withColumn("_s", F.pmod(F.xxhash64("feature"), F.lit(slices)).cast("int"))
-    copies = matrix.join(penalties.select(PANEL, "penalties"), PANEL)
-    copies = copies.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    if candidates is None:
+        candidates = wanted.select(PANEL, "feature")
+    # As many slices of a panel as its candidates fill.
+    counted = candidates.select(PANEL, "feature").distinct().groupBy(PANEL).agg(F.count("*").alias("_n"))
+    counted = counted.select(PANEL, F.ceil(F.col("_n") / F.lit(slice_size)).cast("int").alias("_slices"))
+    wanted = attach(wanted, counted, [PANEL], how="inner", salt_by=["feature"])
+    wanted = wanted.withColumn("_s", F.expr("cast(pmod(xxhash64(feature), _slices) as int)")).drop("_slices")
+    copies = matrix.join(penalties.select(PANEL, "penalties"), PANEL).join(counted, PANEL)
+    copies = copies.withColumn("_s", F.explode(F.expr("sequence(0, _slices - 1)"))).drop("_slices")
     names = copies.columns
     copies = copies.toDF(*[f"m_{c}" for c in names])  # both sides come from the same rows
 
@@ -151,7 +158,7 @@ def grow(
     rounds: int = 2,
     top: int = selection.TOP,
     candidates: DataFrame | None = None,
-    slices: int = SLICES,
+    slice_size: int = SLICE,
 ) -> DataFrame:
     """Forward addition per panel: (panel, features, added), every panel of ``base``.
 
@@ -163,7 +170,7 @@ def grow(
     none = F.array().cast("array<string>")
     state = cut_lineage(base.select(PANEL, "features", none.alias("added")))
     for _ in range(rounds):
-        scored = add_one(scaled, state, target, penalties, candidates=candidates, slices=slices)
+        scored = add_one(scaled, state, target, penalties, candidates=candidates, slice_size=slice_size)
         won = selection.top_improving(scored, top).groupBy(PANEL)
         won = won.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "feature"))), lambda w: w["feature"]).alias("_won"))
         won = state.join(won, PANEL, "left").withColumn("_won", F.coalesce("_won", none))

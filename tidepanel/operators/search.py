@@ -87,7 +87,7 @@ def trial_list(*, trials: int = TRIALS, seed: int = 42, models=MODELS) -> Column
 def param_trials(panels: DataFrame, **options) -> DataFrame:
     """(panel_id, model, trial, params), one row per draw."""
     drawn = panels.select(PANEL).distinct().select(PANEL, trial_list(**options).alias("_t"))
-    return drawn.select(PANEL, F.explode("_t").alias("_t")).select(PANEL, "_t.*")
+    return drawn.select(PANEL, F.explode_outer("_t").alias("_t")).select(PANEL, "_t.*")
 
 
 def search_summary(trials: DataFrame) -> DataFrame:
@@ -103,10 +103,15 @@ def search_summary(trials: DataFrame) -> DataFrame:
 
 def ridge_search(sums: DataFrame, base: Column, **options) -> DataFrame:
     """The trials of every panel with the hold-out error of the linear learner,
-    which takes its penalty from ``reg_lambda``. The rows are not read again."""
+    which takes its penalty from ``reg_lambda``. The rows are not read again.
+
+    The list is never empty; it is unfolded as if it might be, because Spark would
+    else filter by its size, and push the draws of all trials down to any rows that
+    are joined to the result.
+    """
     listed = sums.withColumn("_t", trial_list(**options))
     penalties = F.transform("_t", lambda t: t["params"]["reg_lambda"])
     scored = listed.withColumn("_s", F.get(solve_sets("train", "test", F.array(base), penalties), F.lit(0)))
-    return scored.select(PANEL, F.posexplode("_t").alias("_i", "_c"), "_s").select(
+    return scored.select(PANEL, F.posexplode_outer("_t").alias("_i", "_c"), "_s").select(
         PANEL, "_c.*", F.get("_s", F.col("_i")).alias("mse")
     )

@@ -66,7 +66,9 @@ def prepare_features(panel: DataFrame, cfg: EngineerConfig) -> Prepared:
                 include_target=cfg.include_target,
             )
         )
-        full = split.complete_features(extracted, (PANEL, SPLIT))
+        # A candidate needs a value on the dates that the base keeps, and on no others.
+        dates = forward.base_matrix(forward.scaled_features(parts), base, cfg.target).select(*gram.ROW)
+        full = split.complete_features(extracted.join(cut_lineage(dates), list(gram.ROW), "left_semi"), (PANEL, SPLIT))
         both = split.candidate_features(full.where(F.col(SPLIT) == "train"), full.where(F.col(SPLIT) == "test"))
         candidates = cut_lineage(both)
         parts = parts.unionByName(extracted.select(parts.columns))
@@ -126,14 +128,15 @@ def engineer(
     kept = final_sums.join(selected.select(PANEL, F.col("features").alias("_kept")), PANEL)
     places = F.transform("_kept", lambda f: F.array_position(F.col("features"), f).cast("int") - 1)
     kept = cut_lineage(kept.withColumn("_places", places))
-    after = search.search_summary(search.ridge_search(kept, F.col("_places"), trials=trials))
+    after = cut_lineage(search.search_summary(search.ridge_search(kept, F.col("_places"), trials=trials)))
     initial = _per_model(selection.baseline_scores(sums.join(own, PANEL), _places(), F.col("penalties")))
     final = _per_model(selection.baseline_scores(kept, F.col("_places"), F.col("penalties")))
     summary = selection.improvement_summary(initial, final)
     means = found.select(PANEL, "model", F.col("mean_mse").alias("initial_mean_mse")).join(
         after.select(PANEL, "model", F.col("mean_mse").alias("final_mean_mse")), [PANEL, "model"], "left"
     )
-    summary = summary.join(means, [PANEL, "model"], "left").withColumn("reason", F.lit(None).cast("string"))
+    # Read twice below: rows, and which panels have none.
+    summary = cut_lineage(summary.join(means, [PANEL, "model"], "left").withColumn("reason", F.lit(None).cast("string")))
     missing = prep.base.select(PANEL).join(summary.select(PANEL).distinct(), PANEL, "left_anti")
     nothing = {c: F.lit(None).cast("double") for c in summary.columns if c.endswith("mse") or c == "improvement"}
     missing = missing.withColumns({"model": F.lit("all"), **nothing, "reason": F.lit(UNSCORED)})
