@@ -66,14 +66,14 @@ def test_rolling_frame_equals_frame_taken_alone(spark, make_panel):
 def test_runs_of_frames_equal_direct_calls(spark, make_panel):
     x = RNG.normal(size=75).cumsum()
     for shift in (None, 9, 50):
-        got = features.extract_arrays(make_panel({"a": x}), ["ar_coefficient", "fft_aggregated"], max_shift=shift)
+        got = features.extract_arrays(make_panel({"a": x}), ["fft_coefficient", "fft_aggregated"], max_shift=shift)
         rows = got.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m")).orderBy("ts")
         for end, row in enumerate(rows.collect(), start=1):
             start = 0 if shift is None else max(0, end - 1 - shift)
-            want = numbers("ar_coefficient", x[start:end]) | numbers("fft_aggregated", x[start:end])
+            want = numbers("fft_coefficient", x[start:end]) | numbers("fft_aggregated", x[start:end])
             for name, v in want.items():
                 g = row["m"]["a__" + name]
-                assert (g is None) == (not math.isfinite(v)) and (g is None or g == pytest.approx(v)), (end, name)
+                assert (g is None) == (not math.isfinite(v)) and (g is None or g == pytest.approx(v, abs=1e-9)), (end, name)
 
 
 def test_split_starts_anew(spark, make_panel):
@@ -107,24 +107,6 @@ def test_welch_keeps_the_power_of_a_sine():
     assert power.argmax() == 32 and power.sum() / 256 == pytest.approx(0.5, rel=1e-6)
 
 
-def test_autoregression_recovers_its_coefficients():
-    x = np.zeros(4000)
-    for i in range(1, 4000):
-        x[i] = 0.7 * x[i - 1] + RNG.normal()
-    ar = list(numbers("ar_coefficient", x).values())
-    pacf = list(numbers("partial_autocorrelation", x).values())
-    assert ar[1] == pytest.approx(0.7, abs=0.06) and pacf[0] == 1.0
-    assert pacf[1] == pytest.approx(0.7, abs=0.05) and abs(pacf[3]) < 0.06
-
-
-def test_second_partial_autocorrelation():
-    pacf = list(numbers("partial_autocorrelation", X).values())
-    d = X - X.mean()
-    r = [float(d[: len(X) - k] @ d[k:]) / (len(X) - k) for k in range(3)]
-    r1, r2 = r[1] / r[0], r[2] / r[0]
-    assert pacf[2] == pytest.approx((r2 - r1**2) / (1 - r1**2))
-
-
 def test_student_tail():
     assert fn.student_two_sided(0.0, 5) == pytest.approx(1.0)
     # Table values of Student's t.
@@ -146,10 +128,6 @@ def test_line_and_chunks():
 
 
 def test_entropies():
-    flat = numbers("permutation_entropy", np.arange(20))
-    assert all(abs(v) < 1e-12 for v in flat.values())
-    zigzag = numbers("permutation_entropy", [0, 1] * 10 + [0])
-    assert zigzag[label("permutation_entropy", dimension=3, tau=1)] > 0.6
     assert numbers("sample_entropy", np.zeros(20))["sample_entropy"] == pytest.approx(-math.log((18 * 17) / (19 * 18)))
     assert all(v >= 0 for v in numbers("approximate_entropy", X).values())
     lz = numbers("lempel_ziv_complexity", [1, 2] * 16)

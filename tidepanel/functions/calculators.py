@@ -9,12 +9,20 @@ three hundred numbers, and text reaches the JVM in a handful of calls.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from tidepanel.keys import TS, VALUE
 
 V = VALUE
+#: Rolling frames and series up to so many rows (50 years of months) are looked through frame by frame, which
+#: costs them less than another shuffle; the order statistics of all others come from the tree of ranks.
+SHORT = 600
+#: Columns that the tree of ranks adds.
+QUANTILES_COLUMN, TOPS_COLUMN = "_quantiles", "_tops"
+#: Rows of the whole series.
+ROWS_COLUMN = "_series_rows"
 
 
 def label(name: str, **params) -> str:
@@ -33,8 +41,12 @@ class Frame:
     keys: Sequence[str]
     max_shift: int | None = None
     rows: dict[str, str] = field(default_factory=dict)
+    marks: dict[str, str] = field(default_factory=dict)
+    counts: dict[str, str] = field(default_factory=dict)
     aggregates: dict[str, str] = field(default_factory=dict)
     derived: dict[str, str] = field(default_factory=dict)
+    quantiles_asked: list[float] = field(default_factory=list)
+    tops_asked: int = 0
 
     @property
     def order(self) -> str:
@@ -43,6 +55,48 @@ class Frame:
     def lag(self, k: int) -> str:
         return self._put(self.rows, f"_lag{k}", f"lag({V}, {k}) over ({self.order})")
 
+    @property
+    def short(self) -> bool:
+        """Whether every frame is short."""
+        return self.max_shift is not None and self.max_shift < SHORT
+
+    @property
+    def of_short(self) -> str:
+        """The value in a short series, else NULL."""
+        return f"case when {self._put(self.rows, ROWS_COLUMN, f'count(*) over (partition by {", ".join(self.keys)})')} <= {SHORT} then {V} end"
+
+    def mark(self, name: str, sql: str) -> str:
+        """A row column over other row columns."""
+        return self._put(self.marks, f"_m_{name}", sql)
+
+    def occurrence(self, name: str, of: str) -> str:
+        """How often, this time included, ``of`` has had the row's value; rows without one have none."""
+        nth = f"row_number() over (partition by {', '.join(self.keys)}, {of} order by {TS})"
+        return self.mark(name, f"case when {of} is not null then {nth} end")
+
+    def occurrence_of_mark(self, name: str, of: str) -> str:
+        """The same for a mark."""
+        nth = f"row_number() over (partition by {', '.join(self.keys)}, {of} order by {TS})"
+        return self._put(self.counts, f"_n_{name}", f"case when {of} is not null then {nth} end")
+
+    def quantiles(self, qs: Sequence[float]) -> str:
+        """Array of quantiles of the frame."""
+        name = "q_" + "_".join(str(q).replace(".", "p") for q in qs)
+        if self.short:
+            return self.agg(name, f"percentile({V}, {doubles(qs)})")
+        self.quantiles_asked += [q for q in qs if q not in self.quantiles_asked]
+        places = ", ".join(f"get({QUANTILES_COLUMN}, {self.quantiles_asked.index(q)})" for q in qs)
+        return self.derive(name, f"coalesce({self.agg(name, f'percentile({self.of_short}, {doubles(qs)})')}, array({places}))")
+
+    def largest(self, k: int) -> str:
+        """Array of the ``k`` largest absolute values, largest first; fewer in a shorter frame."""
+        values = self.values if self.short else self.agg("short_values", f"collect_list({self.of_short})")
+        by_size = self.derive("by_size", f"reverse(array_sort(transform({values}, v -> abs(v))))")
+        if self.short:
+            return f"slice({by_size}, 1, {k})"
+        self.tops_asked = max(self.tops_asked, k)
+        return f"slice(coalesce({TOPS_COLUMN}, {by_size}), 1, {k})"
+
     def agg(self, name: str, sql: str, shift: int = 0) -> str:
         """Aggregate over the frame; ``shift`` leaves out its first rows, whose
         lags lie in front of it."""
@@ -57,6 +111,14 @@ class Frame:
     def derive(self, name: str, sql: str) -> str:
         return self._put(self.derived, f"_d_{name}", sql)
 
+    def derived_layers(self) -> list[dict[str, str]]:
+        """Derived columns in layers, each over those before it."""
+        depth: dict[str, int] = {}
+        for name, sql in self.derived.items():
+            depth[name] = 1 + max((depth[n] for n in re.findall(r"\b_d_\w+", sql)), default=-1)
+        layers = range(max(depth.values(), default=-1) + 1)
+        return [{n: sql for n, sql in self.derived.items() if depth[n] == i} for i in layers]
+
     @staticmethod
     def _put(where: dict[str, str], name: str, sql: str) -> str:
         where.setdefault(name, sql)
@@ -97,7 +159,7 @@ class Frame:
 
     @property
     def median(self) -> str:
-        return self.agg("median", f"percentile({V}, 0.5D)")
+        return f"get({self.quantiles((0.5,))}, 0)"
 
     @property
     def energy(self) -> str:
@@ -135,6 +197,7 @@ RUNNING: dict[str, Calculator] = {}
 LAGGED: dict[str, Calculator] = {}
 ORDER: dict[str, Calculator] = {}
 ARRAY: dict[str, Calculator] = {}
+RECURSIVE: dict[str, Calculator] = {}
 
 
 def _into(registry: dict[str, Calculator]):
@@ -338,7 +401,7 @@ def number_crossing_m(f: Frame) -> list[Piece]:
 @_into(ORDER)
 def quantile(f: Frame) -> list[Piece]:
     names = [label("quantile", q=q) for q in QUANTILES]
-    return [many(names, f.agg("quantiles", f"percentile({V}, {doubles(QUANTILES)})"))]
+    return [many(names, f.quantiles(QUANTILES))]
 
 
 def _place(f: Frame, name: str, pick: str, sign: str) -> str:
@@ -354,42 +417,74 @@ _simple(ORDER, "first_location_of_minimum", lambda f: ratio(_place(f, "first_min
 _simple(ORDER, "last_location_of_minimum", lambda f: ratio(_place(f, "last_min", "min_by", "-") + " + 1", f.n))
 
 
+def _nth(f: Frame) -> str:
+    return f.occurrence("nth", V)
+
+
 def _distinct(f: Frame) -> str:
+    """How many different values there are: those that came for the first time."""
+    if f.max_shift is None:
+        return f"cast({f.agg('firsts', f'count_if({_nth(f)} = 1)')} as double)"
     return f.derive("distinct", f"cast(size(array_distinct({f.values})) as double)")
 
 
 def _repeated(f: Frame) -> str:
-    """The values whose sorted neighbour is equal, once per occurrence."""
+    """In a rolling frame, the values whose sorted neighbour is equal, once per occurrence."""
     s = f.ordered
     left = f"(i > 0 and get({s}, i - 1) = v)"
     right = f"(i < size({s}) - 1 and get({s}, i + 1) = v)"
     return f.derive("repeated", f"filter({s}, (v, i) -> {left} or {right})")
 
 
+def _reoccurring(f: Frame) -> dict[str, str]:
+    """Number and sum of the values that occur again, and of all their rows. In an expanding frame a value
+    counts from its second occurrence on, and brings its first row with it."""
+    if f.max_shift is None:
+        nth = _nth(f)
+        weight = f"case when {nth} = 2 then 2 when {nth} > 2 then 1 else 0 end"
+        return {
+            "values": f.agg("seconds", f"count_if({nth} = 2)"),
+            "rows": f.agg("again_rows", f"sum({weight})"),
+            "value_sum": f.agg("again_sum", f"sum(case when {nth} = 2 then {V} else 0D end)"),
+            "row_sum": f.agg("again_row_sum", f"sum({weight} * {V})"),
+        }
+    again = _repeated(f)
+    return {
+        "values": f"size(array_distinct({again}))",
+        "rows": f"size({again})",
+        "value_sum": total(f"array_distinct({again})"),
+        "row_sum": total(again),
+    }
+
+
+def _extreme_again(f: Frame, extreme: str, sign: str) -> str:
+    """Whether the largest (smallest) value is there twice: its last occurrence so far has a number above 1."""
+    if f.max_shift is None:
+        last = f.agg(f"{extreme}_nth", f"{extreme}(named_struct('v', {V}, 'nth', {sign}{_nth(f)}))")
+        return flag(f"abs({last}.nth) > 1")
+    return flag(f"size(filter({f.values}, v -> v = {f.high if extreme == 'max' else f.low})) > 1")
+
+
 _simple(ORDER, "has_duplicate", lambda f: flag(f"{_distinct(f)} < {f.n}"))
-_simple(ORDER, "has_duplicate_max", lambda f: flag(f"size(filter({f.values}, v -> v = {f.high})) > 1"))
-_simple(ORDER, "has_duplicate_min", lambda f: flag(f"size(filter({f.values}, v -> v = {f.low})) > 1"))
+_simple(ORDER, "has_duplicate_max", lambda f: _extreme_again(f, "max", ""))
+_simple(ORDER, "has_duplicate_min", lambda f: _extreme_again(f, "min", "-"))
 _simple(
     ORDER,
     "percentage_of_reoccurring_values_to_all_values",
-    lambda f: ratio(f"size(array_distinct({_repeated(f)}))", _distinct(f)),
+    lambda f: ratio(_reoccurring(f)["values"], _distinct(f)),
 )
 _simple(
-    ORDER, "percentage_of_reoccurring_datapoints_to_all_datapoints", lambda f: ratio(f"size({_repeated(f)})", f.n)
+    ORDER, "percentage_of_reoccurring_datapoints_to_all_datapoints", lambda f: ratio(_reoccurring(f)["rows"], f.n)
 )
-_simple(ORDER, "sum_of_reoccurring_values", lambda f: total(f"array_distinct({_repeated(f)})"))
-_simple(ORDER, "sum_of_reoccurring_data_points", lambda f: total(_repeated(f)))
+_simple(ORDER, "sum_of_reoccurring_values", lambda f: _reoccurring(f)["value_sum"])
+_simple(ORDER, "sum_of_reoccurring_data_points", lambda f: _reoccurring(f)["row_sum"])
 _simple(ORDER, "ratio_value_number_to_time_series_length", lambda f: ratio(_distinct(f), f.n))
 
 
 @_into(ORDER)
 def mean_n_absolute_max(f: Frame) -> list[Piece]:
-    largest = f.derive("by_size", f"reverse(array_sort(transform({f.values}, v -> abs(v))))")
     return [
-        one(
-            label("mean_n_absolute_max", number_of_maxima=k),
-            f"case when {f.size} > {k} then {total(f'slice({largest}, 1, {k})')} / {k} end",
-        )
+        one(label("mean_n_absolute_max", number_of_maxima=k), f"case when {f.size} > {k} then {total(f.largest(k))} / {k} end")
         for k in LARGEST
     ]
 
@@ -469,7 +564,7 @@ def binned_entropy(f: Frame) -> list[Piece]:
 @_into(ARRAY)
 def change_quantiles(f: Frame) -> list[Piece]:
     """Mean and variance of the steps that stay inside a corridor of quantiles."""
-    edges = f.agg("corridor", f"percentile({V}, {doubles(CORRIDOR)})")
+    edges = f.quantiles(CORRIDOR)
     x, m = f.values, f"greatest({f.length} - 1, 0)"
     steps = f.derive(
         "steps",
@@ -493,25 +588,42 @@ def change_quantiles(f: Frame) -> list[Piece]:
     return [many(names, f"flatten(transform(array({', '.join(grid)}), g -> {both}))")]
 
 
-def _autocorrelation(f: Frame, lag: str) -> str:
+def centred(f: Frame) -> str:
+    """The value less the first of its series, which keeps running sums of products small; statistics about the
+    mean do not see the difference."""
+    return f._put(f.rows, "_centred", f"{V} - first_value({V}) over ({f.order})")
+
+
+def lag_of_centred(f: Frame, k: int) -> str:
+    at = centred(f)
+    return at if k == 0 else f.mark(f"lagged{k}", f"lag({at}, {k}) over ({f.order})")
+
+
+def autocovariance_sum(f: Frame, k: int) -> str:
+    """Sum over the frame of (x(t) - mean) (x(t-k) - mean), from running sums; NULL where k is too long."""
+    now, then = centred(f), lag_of_centred(f, k)
+    mean = f.agg("centred_mean", f"avg({now})")
+    product = f.agg(f"lag_product{k}", f"sum({now} * {then})", k)
+    later, earlier = f.agg(f"later{k}", f"sum(case when {then} is not null then {now} end)", k), f.agg(f"earlier{k}", f"sum({then})", k)
+    rows = f"({f.n} - {k})"
+    return f.derive(f"autocov{k}", f"case when {f.size} > {k} then {product} - {mean} * ({later} + {earlier}) + {rows} * {mean} * {mean} end")
+
+
+def _autocorrelation(f: Frame, lag: int) -> str:
     """Autocorrelation at a lag, NULL for a constant frame or too long a lag."""
-    x = f.derive("centred", f"transform({f.values}, v -> v - {f.mean})")
-    m = f"({f.length} - {lag})"
-    products = f"zip_with(slice({x}, 1, {m}), slice({x}, {lag} + 1, {m}), (a, b) -> a * b)"
-    return f"case when {lag} < {f.length} and {f.var} > 1e-15 then {total(products)} / ({m} * {f.var}) end"
+    return f"case when {lag} < {f.size} and {f.var} > 1e-15 then {autocovariance_sum(f, lag)} / (({f.n} - {lag}) * {f.var}) end"
 
 
 @_into(ARRAY)
 def autocorrelation(f: Frame) -> list[Piece]:
-    names = [label("autocorrelation", lag=k) for k in range(ACF_LAGS)]
-    return [many(names, f"transform(sequence(0, {ACF_LAGS - 1}), k -> {_autocorrelation(f, 'k')})")]
+    return [one(label("autocorrelation", lag=k), _autocorrelation(f, k)) for k in range(ACF_LAGS)]
 
 
 @_into(ARRAY)
 def agg_autocorrelation(f: Frame) -> list[Piece]:
     defined = f"({f.size} > 1 and {f.var} >= 1e-10)"
-    lags = f"sequence(1, least({ACF_MAXLAG}, {f.length} - 1))"
-    acf = f.derive("acf", f"case when {defined} then transform({lags}, k -> {_autocorrelation(f, 'k')}) end")
+    lags = ", ".join(_autocorrelation(f, k) for k in range(1, ACF_MAXLAG + 1))
+    acf = f.derive("acf", f"case when {defined} then slice(array({lags}), 1, least({ACF_MAXLAG}, {f.length} - 1)) end")
     ordered = f.derive("acf_sorted", f"array_sort({acf})")
     m = f"size({acf})"
     mean = f.derive("acf_mean", f"{total(acf)} / {m}")
@@ -542,4 +654,98 @@ def benford_correlation(f: Frame) -> list[Piece]:
     return [one("benford_correlation", f"case when {ss} > 0 then {cross} / sqrt({ss} * {squares(law)}) end")]
 
 
-COLUMN_SETS = {"minimal": (MINIMAL,), "efficient": (MINIMAL, RUNNING, LAGGED, ORDER, ARRAY)}
+# --- recursions over running sums -----------------------------------------------------------------------------
+
+AR_ORDER = 10
+PACF_LAGS = 10
+PERMUTATION_DIMS = (3, 4, 5, 6, 7)
+
+
+def let(value: str, name: str, sql: str) -> str:
+    """``sql`` with ``name`` standing for ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {sql}), 1)"
+
+
+@_into(RECURSIVE)
+def partial_autocorrelation(f: Frame) -> list[Piece]:
+    """Durbin-Levinson recursion on adjusted autocovariances of lags up to half the frame less one. A frame
+    without variance has none."""
+    adjusted = ", ".join(f"{autocovariance_sum(f, k)} / ({f.n} - {k})" for k in range(PACF_LAGS))
+    c = f.derive("acvf", f"array({adjusted})")
+    known = total(f"zip_with(s.phi, reverse(slice({c}, 2, k - 1)), (p, x) -> p * x)")
+    step = """named_struct('phi', concat(zip_with(s.phi, reverse(s.phi), (p, q) -> p - r * q), array(r)),
+                           'error', s.error * (1D - r * r), 'out', concat(s.out, array(r)))"""
+    start = f"named_struct('phi', cast(array() as array<double>), 'error', get({c}, 0), 'out', array(1D))"
+    each = let(f"try_divide(get({c}, k) - {known}, s.error)", "r", step)
+    lags = f"sequence(1, least({PACF_LAGS - 1}, {f.length} div 2 - 1))"
+    out = f.derive("pacf", f"case when {f.size} > 3 and {f.var} > 0 then aggregate({lags}, {start}, (s, k) -> {each}, s -> s.out) end")
+    return [one(label("partial_autocorrelation", lag=k), f"get({out}, {k})") for k in range(PACF_LAGS)]
+
+
+def eliminated(matrix: str, sizes: str) -> str:
+    """The rows of an array of rows (a square beside its right sides), cleared by elimination of all but the
+    diagonal and the right sides; NULL from the first pivot on that is nothing beside its entry of ``sizes``."""
+    pivot = "case when get(get(m, p), p) > 1e-10D * get({0}, p) then get(get(m, p), p) end".format(sizes)
+    cleared = "case when i = p then row else zip_with(row, get(m, p), (a, b) -> a - get(row, p) * b / pivot) end"
+    step = let(pivot, "pivot", f"transform(m, (row, i) -> {cleared})")
+    return f"aggregate(sequence(0, size({sizes}) - 1), {matrix}, (m, p) -> {step})"
+
+
+@_into(RECURSIVE)
+def ar_coefficient(f: Frame) -> list[Piece]:
+    """Constant and lag coefficients of an order-10 autoregression, by elimination in the matrix of centred
+    running product sums. Undefined where the lags explain each other."""
+    k, n = AR_ORDER, f"({f.n} - {AR_ORDER})"
+    x = [lag_of_centred(f, i) for i in range(k + 1)]  # x[0] is to be explained
+    whole = lambda sql: f"sum(case when {x[k]} is not null then {sql} end)"
+    means = [f.derive(f"ar_mean{i}", f.agg(f"ar_sum{i}", whole(x[i]), k) + f" / {n}") for i in range(k + 1)]
+
+    def cell(i: int, j: int) -> str:
+        i, j = min(i, j), max(i, j)
+        product = f.agg(f"ar_product{i}_{j}", whole(f"{x[i]} * {x[j]}"), k)
+        return f.derive(f"ar_cell{i}_{j}", f"{product} - {n} * {means[i]} * {means[j]}")
+
+    rows = ", ".join("array(" + ", ".join(cell(i, j) for j in [*range(1, k + 1), 0]) + ")" for i in range(1, k + 1))
+    sizes = f.derive("ar_sizes", "array(" + ", ".join(cell(i, i) for i in range(1, k + 1)) + ")")
+    matrix = f.derive("ar_matrix", f"case when {f.size} >= {2 * k + 1} then array({rows}) end")
+    solved = f.derive("ar_solved", eliminated(matrix, sizes))
+    betas = [f.derive(f"ar_beta{i}", f"get(get({solved}, {i - 1}), {k}) / get(get({solved}, {i - 1}), {i - 1})") for i in range(1, k + 1)]
+    # Back from centred values: the constant takes in the first value.
+    own = f._put(f.rows, "_origin", f"first_value({V}) over ({f.order})")
+    explained = " + ".join(f"{b} * ({m} + {own})" for b, m in zip(betas, means[1:]))
+    names = [label("ar_coefficient", coeff=i, k=k) for i in range(k + 1)]
+    return [one(name, sql) for name, sql in zip(names, [f"{means[0]} + {own} - ({explained})", *betas])]
+
+
+def _pattern(f: Frame, size: int) -> str:
+    """A number for the order of the last ``size`` values, equal ones in the order of time: for each, how many
+    later ones are smaller."""
+    x = [f.lag(size - 1 - i) if i < size - 1 else V for i in range(size)]
+    digits = [" + ".join(f"case when {b} < {a} then 1 else 0 end" for b in x[i + 1 :]) for i, a in enumerate(x[:-1])]
+    code = " + ".join(f"({d}) * {size**i}" for i, d in enumerate(digits))
+    return f.mark(f"pattern{size}", f"case when {x[0]} is not null then {code} end")
+
+
+@_into(RECURSIVE)
+def permutation_entropy(f: Frame) -> list[Piece]:
+    """Entropy of the order patterns. In an expanding frame the sum of c ln c over the counts c grows by the
+    difference that the pattern's next occurrence makes; a rolling frame counts its patterns."""
+    out = []
+    for k in PERMUTATION_DIMS:
+        code, m = _pattern(f, k), f"({f.n} - {k - 1})"
+        if f.max_shift is None:
+            nth = f.occurrence_of_mark(f"nth_pattern{k}", code)
+            grown = f"case when {nth} > 1 then {nth} * ln({nth}) - ({nth} - 1) * ln({nth} - 1) else 0D end"
+            summed = f.agg(f"pattern_sum{k}", f"sum({grown})")
+        else:
+            if k - 1 > f.max_shift:
+                out.append(one(label("permutation_entropy", dimension=k, tau=1), "cast(null as double)"))
+                continue
+            seen = f.agg(f"patterns{k}", f"collect_list({code})", k - 1)
+            each = f"transform(array_distinct({seen}), c -> cast(size(filter({seen}, x -> x = c)) as double))"
+            summed = f.derive(f"pattern_sum{k}", total(f"transform({each}, c -> c * ln(c))"))
+        out.append(one(label("permutation_entropy", dimension=k, tau=1), f"case when {f.size} >= {k} then greatest(ln({m}) - {summed} / {m}, 0D) end"))
+    return out
+
+
+COLUMN_SETS = {"minimal": (MINIMAL,), "efficient": (MINIMAL, RUNNING, LAGGED, ORDER, ARRAY, RECURSIVE)}

@@ -27,12 +27,9 @@ ENTROPY_BINS = (2, 3, 5, 10, 100)
 WELCH_COEFFS = (2, 5, 8)
 WIDTHS = (2, 5, 10, 20)
 CWT_COEFFS = range(15)
-AR_ORDER = 10
-PACF_LAGS = 10
 CHUNK_LENGTHS = (5, 10, 50)
 CHUNK_AGGS = ("max", "min", "mean", "var")
 LINE = ("rvalue", "intercept", "slope", "stderr")
-PERMUTATION_DIMS = (3, 4, 5, 6, 7)
 DRIFT_DEGREE, DRIFT_BINS = 3, 30
 TOLERANCES = (0.1, 0.3, 0.5, 0.7, 0.9)
 
@@ -124,34 +121,6 @@ def cwt_coefficients(x):
     return out
 
 
-@_add(EFFICIENT, "ar_coefficient", [label("ar_coefficient", coeff=k, k=AR_ORDER) for k in range(AR_ORDER + 1)])
-def ar_coefficient(x):
-    """Constant and lag coefficients of an order-10 autoregression."""
-    n, k = len(x), AR_ORDER
-    if n - k < k + 1:
-        return [NAN] * (k + 1)
-    rows = np.column_stack([np.ones(n - k)] + [x[k - j : n - j] for j in range(1, k + 1)])
-    return np.linalg.lstsq(rows, x[k:], rcond=None)[0].tolist()
-
-
-@_add(EFFICIENT, "partial_autocorrelation", [label("partial_autocorrelation", lag=k) for k in range(PACF_LAGS)])
-def partial_autocorrelation(x):
-    """Durbin-Levinson recursion on adjusted autocovariances."""
-    n = len(x)
-    top = min(PACF_LAGS - 1, n // 2 - 1)
-    d = x - x.mean()
-    cov = [float(d[: n - k] @ d[k:] / (n - k)) for k in range(max(top, 0) + 1)]
-    if n < 2 or top < 1 or cov[0] == 0:
-        return [NAN] * PACF_LAGS
-    out, phi, err = [1.0], np.zeros(0), cov[0]
-    for k in range(1, top + 1):
-        r = (cov[k] - phi @ np.array(cov[k - 1 : 0 : -1])) / err if err else NAN
-        phi = np.append(phi - r * phi[::-1], r)
-        err *= 1 - r * r
-        out.append(r)
-    return padded(out, range(PACF_LAGS))
-
-
 @_add(EFFICIENT, "augmented_dickey_fuller", [label("augmented_dickey_fuller", attr=a) for a in ("teststat", "pvalue", "usedlag")])
 def augmented_dickey_fuller(x):
     result = ols.adf(x)
@@ -221,19 +190,6 @@ def agg_linear_trend(x):
     return out
 
 
-@_add(EFFICIENT, "permutation_entropy", [label("permutation_entropy", dimension=k, tau=1) for k in PERMUTATION_DIMS])
-def permutation_entropy(x):
-    out = []
-    for k in PERMUTATION_DIMS:
-        if len(x) < k:
-            out.append(NAN)
-            continue
-        orders = np.argsort(np.lib.stride_tricks.sliding_window_view(x, k), axis=1, kind="stable")
-        p = np.unique(orders, axis=0, return_counts=True)[1] / len(orders)
-        out.append(float(-(p * np.log(p)).sum()))
-    return out
-
-
 @_add(EFFICIENT, "lempel_ziv_complexity", [label("lempel_ziv_complexity", bins=b) for b in ENTROPY_BINS])
 def lempel_ziv_complexity(x):
     """Distinct phrases of the binned sequence, each the shortest not seen yet."""

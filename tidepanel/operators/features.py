@@ -12,6 +12,7 @@ from tidepanel.functions import calculators as calc
 from tidepanel.functions import frame_numpy
 from tidepanel.functions.scalar import nan_to_null
 from tidepanel.keys import SERIES, SERIES_KEY, SPLIT, TS, VALUE
+from tidepanel.operators import ranks
 from tidepanel.operators.blocks import BLOCK, series_window, with_block
 
 MINIMAL, EFFICIENT, COMPREHENSIVE = "minimal", "efficient", "comprehensive"
@@ -94,14 +95,23 @@ def extract_columns(
     f = calc.Frame(keys, max_shift)
     length = f.size
     pieces = [piece for c in calculators for piece in c(f)]
-    df = panel.where(F.col(VALUE).isNotNull()).select(*keys, TS, VALUE)
-    for layer in (f.rows, f.aggregates):
+    known = panel.where(F.col(VALUE).isNotNull()).select(*keys, TS, VALUE)
+    df = known
+    for layer in (f.rows, f.marks, f.counts, f.aggregates):
         df = df.selectExpr("*", *[f"{sql} as {name}" for name, sql in layer.items()])
+    if f.quantiles_asked or f.tops_asked:
+        sized = known.selectExpr("*", f"count(*) over (partition by {', '.join(keys)}) as {calc.ROWS_COLUMN}")
+        long = sized.where(f"{calc.ROWS_COLUMN} > {calc.SHORT}").drop(calc.ROWS_COLUMN)
+    if f.quantiles_asked:
+        found = ranks.frame_quantiles(long, keys, f.quantiles_asked, max_shift=max_shift)
+        df = df.join(found.withColumnRenamed("quantiles", calc.QUANTILES_COLUMN), [*keys, TS], "left")
+    if f.tops_asked:
+        tops = ranks.largest(long, keys, f.tops_asked, max_shift=max_shift)
+        df = df.join(tops.withColumnRenamed("tops", calc.TOPS_COLUMN), [*keys, TS], "left")
     if min_shift:
         df = df.where(f"{length} > {min_shift}")
-    # A derived column may use those before it.
-    for name, sql in f.derived.items():
-        df = df.selectExpr("*", f"{sql} as {name}")
+    for layer in f.derived_layers():
+        df = df.selectExpr("*", *[f"{sql} as {name}" for name, sql in layer.items()])
     names = [n for piece in pieces for n in piece[0]]
     return _long(df, keys, names, f"concat({', '.join(sql for _, sql in pieces)})")
 

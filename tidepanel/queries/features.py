@@ -9,7 +9,7 @@ from tidepanel.functions import calculators as calc
 from tidepanel.functions.calculators import label
 from tidepanel.functions.scalar import tidy
 from tidepanel.keys import VALUE
-from tidepanel.operators import features, split, transform
+from tidepanel.operators import features, ranks, split, transform
 from tidepanel.operators.align import month_grid
 from tidepanel.queries.panels_sql import month_grid_sql, split_sql, sql
 from tidepanel.queries.prepare import _Z
@@ -388,6 +388,113 @@ def features_benford(spark, d):
     return _columns(warehouse.events_by_user(spark, d), {"benford_correlation": calc.ARRAY["benford_correlation"]})
 
 
+# --- order statistics of long series ------------------------------------------------------------------------
+
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _event_series(spark, d) -> DataFrame:
+    """The values of each event type in the order of their ids, a day for each id."""
+    events = warehouse.table(spark, d, "events").where("value is not null")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("event_id").cast("int"))
+    return events.select(F.lit("all").alias("panel_id"), F.col("event_type").alias("series_id"), day.alias("ts"), VALUE)
+
+
+_EVENT_SERIES = "select event_type as series_id, date '1970-01-01' + cast(event_id as int) as ts, value from events where value is not null"
+
+
+def _order_sql(frame: str) -> str:
+    picks = ", ".join(f"round(quantile_cont(value, {q}) over w, 6) + 0.0 as q{int(q * 100)}" for q in QUARTILES)
+    window = f"window w as (partition by series_id order by ts rows between {frame} preceding and current row)"
+    return f"select 'all' as panel_id, series_id, ts, {picks} from ({_EVENT_SERIES}) {window}"
+
+
+def _quartiles(spark, d, max_shift: int | None = None) -> DataFrame:
+    rows = _event_series(spark, d)
+    found = ranks.frame_quantiles(rows, ["panel_id", "series_id"], QUARTILES, max_shift=max_shift, max_rows=max(2, rows.count()))
+    picks = [tidy(F.get("quantiles", F.lit(i)), 6).alias(f"q{int(q * 100)}") for i, q in enumerate(QUARTILES)]
+    return found.select("panel_id", "series_id", "ts", *picks)
+
+
+@query("order_statistics_long", _order_sql("unbounded"))
+def order_statistics_long(spark, d):
+    return _quartiles(spark, d)
+
+
+@query("order_statistics_long_rolling", _order_sql("999"))
+def order_statistics_long_rolling(spark, d):
+    return _quartiles(spark, d, 999)
+
+
+# --- recursions and patterns -----------------------------------------------------------------------------------
+
+_COVARIANCES = """select panel_id, series_id, ts, any_value(n) as n, list(c order by k) as c from
+    (select a.panel_id, a.series_id, a.ts, any_value(a.n) as n, b.i - a.i as k,
+            sum((a.v - a.mu) * (b.v - b.mu)) / (any_value(a.n) - (b.i - a.i)) as c
+     from roll a join roll b on b.panel_id = a.panel_id and b.series_id = a.series_id and b.ts = a.ts and b.i >= a.i and b.i - a.i <= 9
+     group by a.panel_id, a.series_id, a.ts, b.i - a.i) group by panel_id, series_id, ts having any_value(n) > 3"""
+_LEVINSON = """select panel_id, series_id, ts, n, c, 0 as k, []::double[] as phi, c[1] as err, [1.0]::double[] as res from cov where c[1] > 0
+    union all
+    select panel_id, series_id, ts, n, c, k + 1, list_transform(list_zip(phi, list_reverse(phi)), lambda p: p[1] - r * p[2]) || [r],
+           err * (1 - r * r), res || [r]
+    from (select *, (c[k + 2] - coalesce(list_sum(list_transform(list_zip(phi, list_reverse(c[2:k + 1])), lambda p: p[1] * p[2])), 0)) / err as r
+          from levinson where k + 1 <= least(9, n // 2 - 1))"""
+
+
+@query(
+    "features_partial_autocorrelation",
+    sql(
+        """select panel_id, ts, series_id || '__partial_autocorrelation__lag_' || g.lag as feature, round(l.res[g.lag + 1], 6) + 0.0 as value
+           from (select distinct panel_id, series_id, ts, unnest(range(10)) as lag from roll) g
+           left join (select panel_id, series_id, ts, arg_max(res, k) as res from levinson group by 1, 2, 3) l using (panel_id, series_id, ts)""",
+        "f1m",
+        **roll_sql("f1m"),
+        cov=_COVARIANCES,
+        levinson=_LEVINSON,
+    ).replace("with ", "with recursive ", 1),
+)
+def features_partial_autocorrelation(spark, d):
+    picks = {"partial_autocorrelation": calc.RECURSIVE["partial_autocorrelation"]}
+    return _columns(warehouse.scaled_orders(spark, d), picks)
+
+
+@query("features_autoregression")
+def features_autoregression(spark, d):
+    return _columns(warehouse.scaled_orders(spark, d), {"ar_coefficient": calc.RECURSIVE["ar_coefficient"]})
+
+
+def _patterns_sql(shift: int | None) -> dict[str, str]:
+    """Order patterns of the last k values of each row, and how often each stands in a frame."""
+    first = "" if shift is None else f" and b.rn - d.k + 1 >= a.rn - {shift}"
+    return {
+        "w": """select panel_id, series_id, rn, k, list(value) over (partition by panel_id, series_id, k order by rn rows between 6 preceding and current row) as x
+                from p, (select unnest([3, 4, 5, 6, 7]) as k)""",
+        "pat": """select panel_id, series_id, rn, k, array_to_string(list_transform(range(1, k + 1), lambda i:
+                         len(list_filter(range(i + 1, k + 1), lambda j: y[j] < y[i]))), ',') as code
+                  from (select *, x[-k:] as y from w where len(x) >= k)""",
+        "cnt": f"""select a.panel_id, a.series_id, a.ts, d.k, b.code, count(*) as c
+                   from p a join pat b on b.panel_id = a.panel_id and b.series_id = a.series_id and b.rn <= a.rn
+                   join (select unnest([3, 4, 5, 6, 7]) as k) d on d.k = b.k where true{first} group by 1, 2, 3, 4, 5""",
+        "ent": """select panel_id, series_id, ts, k, -sum(c / m * ln(c / m)) as h
+                  from (select *, sum(c) over (partition by panel_id, series_id, ts, k) as m from cnt) group by 1, 2, 3, 4""",
+    }
+
+
+_ENTROPY_SQL = """select g.panel_id, g.ts, g.series_id || '__permutation_entropy__dimension_' || g.k || '__tau_1' as feature,
+                         case when e.h is not null then round(greatest(e.h, 0), 6) + 0.0 end as value
+                  from (select panel_id, series_id, ts, unnest([3, 4, 5, 6, 7]) as k from p) g left join ent e using (panel_id, series_id, ts, k)"""
+
+
+@query("features_permutation_entropy", sql(_ENTROPY_SQL, "f1m", p=roll_sql("f1m")["p"], **_patterns_sql(None)))
+def features_permutation_entropy(spark, d):
+    return _columns(warehouse.scaled_orders(spark, d), {"permutation_entropy": calc.RECURSIVE["permutation_entropy"]})
+
+
+@query("features_permutation_entropy_rolling", sql(_ENTROPY_SQL, "f2m", p=roll_sql("f2m")["p"], **_patterns_sql(ROLL_SHIFT)))
+def features_permutation_entropy_rolling(spark, d):
+    return _columns(warehouse.scaled_nations(spark, d), {"permutation_entropy": calc.RECURSIVE["permutation_entropy"]}, ROLL_SHIFT)
+
+
 @query("features_numpy")
 def features_numpy(spark, d):
     _, names = features.calculators_for("efficient")
