@@ -107,26 +107,6 @@ def test_welch_keeps_the_power_of_a_sine():
     assert power.argmax() == 32 and power.sum() / 256 == pytest.approx(0.5, rel=1e-6)
 
 
-def test_student_tail():
-    assert fn.student_two_sided(0.0, 5) == pytest.approx(1.0)
-    # Table values of Student's t.
-    for dof, t in ((1, 12.7062), (2, 4.30265), (5, 2.570582), (10, 2.228139), (31, 2.039513)):
-        assert fn.student_two_sided(t, dof) == pytest.approx(0.05, abs=1e-5)
-
-
-def test_line_and_chunks():
-    r, intercept, slope, stderr = fn.line(X)
-    coef, residual, *_ = np.polyfit(np.arange(len(X)), X, 1, full=True)
-    assert (slope, intercept) == pytest.approx(tuple(coef))
-    assert r == pytest.approx(np.corrcoef(np.arange(len(X)), X)[0, 1])
-    sxx = ((np.arange(len(X)) - (len(X) - 1) / 2) ** 2).sum()
-    assert stderr == pytest.approx(math.sqrt(residual[0] / (len(X) - 2) / sxx))
-    got = numbers("agg_linear_trend", X)
-    chunks = [X[i : i + 10].max() for i in range(0, 40, 10)]
-    assert got[label("agg_linear_trend", attr="slope", chunk_len=10, f_agg="max")] == pytest.approx(fn.line(np.array(chunks))[2])
-    assert math.isnan(got[label("agg_linear_trend", attr="slope", chunk_len=50, f_agg="max")])
-
-
 def test_entropies():
     assert numbers("sample_entropy", np.zeros(20))["sample_entropy"] == pytest.approx(-math.log((18 * 17) / (19 * 18)))
     assert all(v >= 0 for v in numbers("approximate_entropy", X).values())

@@ -71,9 +71,54 @@ def plain(x):
             p = np.unique(orders, axis=0, return_counts=True)[1] / len(orders)
             value = float(-(p * np.log(p)).sum())
         out[label("permutation_entropy", dimension=k, tau=1)] = value
+    for size in calc.CHUNK_LENGTHS:
+        for how in calc.CHUNK_AGGS:
+            y = np.array([getattr(x[i : i + size], how)() for i in range(0, n, size)])
+            parts = line(y) if n > size and len(y) > 1 else dict.fromkeys(calc.LINE)
+            for attr in calc.LINE:
+                out[label("agg_linear_trend", attr=attr, chunk_len=size, f_agg=how)] = parts[attr]
+    out[label("linear_trend", attr="pvalue")] = None
+    if n == 2:
+        out[label("linear_trend", attr="pvalue")] = float(x[0] == x[1])
+    elif n > 2:
+        parts = line(x)
+        t = parts["slope"] / parts["stderr"] if parts["stderr"] > 0 else (math.inf if parts["slope"] else 0.0)
+        out[label("linear_trend", attr="pvalue")] = tail(t, n - 2)
     return out
 
 
+def line(y):
+    m = len(y)
+    t = np.arange(m) - (m - 1) / 2
+    sxx, syy, sxy = float(t @ t), float(((y - y.mean()) ** 2).sum()), float(t @ (y - y.mean()))
+    if syy <= 1e-20 * max(1.0, float(y @ y)):
+        return {"rvalue": 0.0, "intercept": float(y.mean()), "slope": 0.0, "stderr": 0.0}
+    slope = sxy / sxx
+    stderr = math.sqrt(max(syy - slope * sxy, 0.0) / sxx / (m - 2)) if m > 2 else 0.0
+    return {"rvalue": sxy / math.sqrt(sxx * syy), "intercept": float(y.mean() - slope * (m - 1) / 2), "slope": slope, "stderr": stderr}
+
+
+def tail(t, dof):
+    """Two-sided tail of Student's t by the finite sums for whole degrees of freedom."""
+    theta = math.atan2(abs(t), math.sqrt(dof)) if math.isfinite(t) else math.pi / 2
+    c, s = math.cos(theta), math.sin(theta)
+    term = total = c if dof % 2 else 1.0
+    for j in range(3 if dof % 2 else 2, dof - 1, 2):
+        term *= c * c * (j - 1) / j
+        total += term
+    inside = 2 * theta / math.pi if dof == 1 else 2 / math.pi * (theta + s * total) if dof % 2 else s * total
+    return min(max(1 - inside, 0.0), 1.0)
+
+
+def test_student_tail(spark):
+    """Table values of Student's t, and the finite sums over many degrees."""
+    cases = [(12.7062, 1.0, 0.05), (4.30265, 2.0, 0.05), (2.570582, 5.0, 0.05), (2.228139, 10.0, 0.05), (0.0, 5.0, 1.0)]
+    cases += [(t, float(d), tail(t, d)) for t in (-0.1, 0.5, 1.3, 2.0, 4.0) for d in (1, 2, 3, 8, 57, 400, 5001)]
+    rows = spark.createDataFrame(cases, "t double, dof double, want double")
+    for r in rows.selectExpr("*", f"{calc.student_two_sided('t', 'dof')} as got").collect():
+        assert r["got"] == pytest.approx(r["want"], abs=1e-6 if r["want"] == 0.05 else 1e-9), r
+
+
 PICKED = [
     calc.ORDER[n] for n in calc.ORDER if "location" not in n
 ] + [calc.ARRAY["autocorrelation"], *calc.RECURSIVE.values()]
@@ -102,6 +147,8 @@ def test_frames(make_panel, monkeypatch, shift, short):
                 else:
                     # Products of lags lose about as many digits as their matrix is badly conditioned.
                     rel, room = (1e-3, 1e-3 * max(1.0, abs(v))) if feature.startswith(("ar_", "partial")) else (1e-7, 1e-7)
+                    if "linear_trend" in feature:  # squares of values far from the first one
+                        rel, room = 1e-5, 1e-5 * max(1.0, x.std())
                     assert mine[feature] == pytest.approx(v, rel=rel, abs=room), (end, name, feature)
                     checked += 1
     assert checked > 1000

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import values_of
-from tidepanel.functions import adf, spline
+from tidepanel.functions import adf, adf_sql, spline
 from tidepanel.operators import impute, split, stationarity
 
 
@@ -118,6 +118,33 @@ def test_adf_equals_direct_fits(n, level):
         assert (lag, nobs) == want[1:] and stat == pytest.approx(want[0], rel=1e-6)
 
 
+def test_adf_in_sql_equals_direct_fits(spark, make_panel):
+    """Statistic, lag and rows of arrays in Spark, and the p-value and critical values beside them."""
+    series = {}
+    for n, level in ((12, 0), (40, 3), (116, 0), (461, 5000)):
+        for seed in range(4):
+            noise = np.random.default_rng(seed).normal(size=n)
+            series[f"s{n}_{seed}"] = level + (noise.cumsum() if seed % 2 else noise)
+    series |= {"flat": [2.0] * 30, "tiny": [1.0, 4.0, 2.0], "line": list(range(40)), "gap": [None, 3.0, None]}
+    got = {r["series_id"]: r for r in stationarity.adf_report(make_panel(series)).collect()}
+    for name, y in series.items():
+        if name in ("flat", "tiny", "line", "gap"):
+            assert got[name]["adf_stat"] is None and got[name]["used_lag"] is None and got[name]["p_value"] is None
+            continue
+        stat, lag, nobs = plain_adf(np.asarray(y))
+        r = got[name]
+        assert (r["used_lag"], r["nobs"]) == (lag, nobs) and r["adf_stat"] == pytest.approx(stat, rel=1e-6)
+        assert r["p_value"] == pytest.approx(adf.p_value(r["adf_stat"]), rel=1e-9, abs=1e-15)
+        assert r["crit_5"] == pytest.approx(adf.critical_value(5, nobs))
+
+
+def test_normal_distribution_in_sql(spark):
+    z = [-37.0, -9.0, -4.0, -2.51, -2.5, -2.49, -1.0, 0.0, 0.5, 2.0, 2.51, 4.0, 7.0]
+    frame = spark.createDataFrame([(x,) for x in z], "z double")
+    for r in frame.selectExpr("z", f"{adf_sql.normal_below('z')} as p").collect():
+        assert r["p"] == pytest.approx(0.5 * math.erfc(-r["z"] / math.sqrt(2)), rel=1e-10, abs=1e-300)
+
+
 def test_adf_undefined():
     assert adf.adf(np.full(30, 2.0)) is None
     assert adf.adf(np.arange(3.0)) is None

@@ -42,6 +42,7 @@ class Frame:
     max_shift: int | None = None
     rows: dict[str, str] = field(default_factory=dict)
     marks: dict[str, str] = field(default_factory=dict)
+    chunks: dict[str, str] = field(default_factory=dict)
     counts: dict[str, str] = field(default_factory=dict)
     aggregates: dict[str, str] = field(default_factory=dict)
     derived: dict[str, str] = field(default_factory=dict)
@@ -682,10 +683,10 @@ def partial_autocorrelation(f: Frame) -> list[Piece]:
     return [one(label("partial_autocorrelation", lag=k), f"get({out}, {k})") for k in range(PACF_LAGS)]
 
 
-def eliminated(matrix: str, sizes: str) -> str:
+def eliminated(matrix: str, sizes: str, nothing: str = "1e-10D") -> str:
     """The rows of an array of rows (a square beside its right sides), cleared by elimination of all but the
     diagonal and the right sides; NULL from the first pivot on that is nothing beside its entry of ``sizes``."""
-    pivot = "case when get(get(m, p), p) > 1e-10D * get({0}, p) then get(get(m, p), p) end".format(sizes)
+    pivot = f"case when get(get(m, p), p) > {nothing} * get({sizes}, p) then get(get(m, p), p) end"
     cleared = "case when i = p then row else zip_with(row, get(m, p), (a, b) -> a - get(row, p) * b / pivot) end"
     step = let(pivot, "pivot", f"transform(m, (row, i) -> {cleared})")
     return f"aggregate(sequence(0, size({sizes}) - 1), {matrix}, (m, p) -> {step})"
@@ -717,6 +718,101 @@ def ar_coefficient(f: Frame) -> list[Piece]:
     return [one(name, sql) for name, sql in zip(names, [f"{means[0]} + {own} - ({explained})", *betas])]
 
 
+CHUNK_LENGTHS = (5, 10, 50)
+CHUNK_AGGS = {"max": "max({0})", "min": "min({0})", "mean": "avg({0})", "var": "var_pop({0})"}
+LINE = ("rvalue", "intercept", "slope", "stderr")
+
+
+def _line_parts(m: str, y: str, yy: str, ty: str) -> dict[str, str]:
+    """A line through ``m`` points 0, 1, 2, ... from the sums of y, y * y and t * y; NULL below two points."""
+    sxx, syy, sxy = f"({m} * ({m} * {m} - 1) / 12)", f"greatest({yy} - {y} * {y} / {m}, 0D)", f"({ty} - {y} * ({m} - 1) / 2)"
+    flat = f"{syy} <= 1e-12D * ({yy})"
+    slope = f"(case when {flat} then 0D else {sxy} / {sxx} end)"
+    return {
+        "rvalue": f"case when {flat} then 0D else greatest(least({sxy} / sqrt({sxx} * {syy}), 1D), -1D) end",
+        "intercept": f"{y} / {m} - {slope} * ({m} - 1) / 2",
+        "slope": slope,
+        "stderr": f"case when {m} > 2 then sqrt(greatest({syy} - {slope} * {sxy}, 0D) / {sxx} / ({m} - 2)) else 0D end",
+    }
+
+
+def _chunk_sums(f: Frame, size: int, how: str) -> tuple[str, str, str, str]:
+    """(points, sums of y, y * y and t * y) of the aggregates of a frame's chunks, the last one maybe part of one.
+
+    In an expanding frame chunks begin where the series does: those that are full have their aggregate at
+    their last row, and running sums over such rows are completed by the chunk that the row is in."""
+    name = f"{how}{size}"
+    shown = "" if how == "var" else f" + {f._put(f.rows, '_origin', f'first_value({V}) over ({f.order})')}"
+    if f.max_shift is None:
+        place = f.mark(f"chunk{size}", f"floor({f.position} / {size}) * 1D")
+        here = f._put(f.chunks, f"_k_{name}", f"{CHUNK_AGGS[how].format(centred(f))} over (partition by {', '.join(f.keys)}, {place} order by {TS} rows between unbounded preceding and current row)")
+        full = f"{f.position} % {size} = {size - 1}"
+        before = lambda tag, sql: f"({f.agg(f'chunk_{tag}_{name}', f'sum(case when {full} then {sql} else 0D end)')} - case when {full} then {sql} else 0D end)"
+        parts = [f"({place} + 1)", *[f"({before(tag, sql)} + {sql})" for tag, sql in (("y", here), ("yy", f"{here} * {here}"), ("ty", f"{place} * {here}"))]]
+    else:
+        origin = f._put(f.rows, "_origin", f"first_value({V}) over ({f.order})")
+        mean = total("c") + " / size(c)"
+        one = {"max": "array_max(c)", "min": "array_min(c)", "mean": mean, "var": let(mean, "u", total("transform(c, x -> (x - u) * (x - u))") + " / size(c)")}[how]
+        values = f.derive("from_origin", f"transform({f.values}, v -> v - {origin})")
+        chunks = f"transform(sequence(0, ({f.length} - 1) div {size}), i -> slice({values}, i * {size} + 1, {size}))"
+        y = f.derive(f"chunks_{name}", f"transform({chunks}, c -> {one})")
+        parts = [f"cast(size({y}) as double)", total(y), total(f"transform({y}, x -> x * x)"), total(f"transform({y}, (x, i) -> x * i)")]
+    m, *rest = [f.derive(f"line_{tag}_{name}", sql) for tag, sql in zip(("m", "y", "yy", "ty"), parts)]
+    return m, *rest, shown
+
+
+@_into(RECURSIVE)
+def agg_linear_trend(f: Frame) -> list[Piece]:
+    """A line through the aggregates of chunks, for frames longer than a chunk."""
+    out = []
+    for size in CHUNK_LENGTHS:
+        for how in CHUNK_AGGS:
+            m, y, yy, ty, shown = _chunk_sums(f, size, how)
+            parts = _line_parts(m, y, yy, ty)
+            parts["intercept"] += shown  # chunks are measured from the first value of the series
+            for attr in LINE:
+                name = label("agg_linear_trend", attr=attr, chunk_len=size, f_agg=how)
+                out.append(one(name, f"case when {f.size} > {size} and {m} > 1 then {parts[attr]} end"))
+    return out
+
+
+def student_two_sided(t: str, dof: str) -> str:
+    """Two-sided tail of Student's t: the incomplete beta function at dof / (dof + t * t), by its continued
+    fraction on the side where that converges fast."""
+
+    def fraction(a: str, b: str, x: str) -> str:
+        """1 + d1 / (1 + d2 / (1 + ...)), two terms a step, from the inside out."""
+        odd = f"-({a} + k) * ({a} + {b} + k) * {x} / (({a} + 2 * k) * ({a} + 2 * k + 1))"
+        even = f"(k + 1) * ({b} - k - 1) * {x} / (({a} + 2 * k + 1) * ({a} + 2 * k + 2))"
+        return f"aggregate(sequence(200, 0, -1), 1D, (z, k) -> 1D + ({odd}) / (1D + ({even}) / z))"
+
+    def side(a: str, b: str, x: str, y: str) -> str:
+        front = f"exp(lbeta + {a} * ln({x}) + {b} * ln({y})) / {a}"
+        return f"{front} / {fraction(a, b, x)}"
+
+    # ln(1 / B(dof / 2, 1 / 2)); gamma functions by their recurrence and Stirling's series.
+    stirling = lambda z: f"(({z} - 0.5D) * ln({z}) - {z} + 0.9189385332046727D + 1 / (12 * {z}) - 1 / (360 * pow({z}, 3)) + 1 / (1260 * pow({z}, 5)) - 1 / (1680 * pow({z}, 7)))"
+    lgamma = lambda z: let(f"{z} + 10", "g", f"{stirling('g')} - {total(f'transform(sequence(0, 9), i -> ln({z} + i))')}")
+    whole = let(
+        lgamma("(h + 0.5D)") + " - " + lgamma("h") + " - 0.5723649429247001D",
+        "lbeta",
+        f"case when x < (h + 1) / (h + 2.5D) then {side('h', '0.5D', 'x', 'y')} else 1 - {side('0.5D', 'h', 'y', 'x')} end",
+    )
+    shares = let(f"{t} * {t}", "tt", let(f"{dof} / ({dof} + tt)", "x", let(f"tt / ({dof} + tt)", "y", let(f"{dof} / 2D", "h", whole))))
+    return f"case when {t} = 0 then 1D else greatest(least({shares}, 1D), 0D) end"
+
+
+@_into(RECURSIVE)
+def linear_trend_pvalue(f: Frame) -> list[Piece]:
+    """Two-sided p-value of the slope of :func:`linear_trend`; two points lie on a line."""
+    parts = {name: sql for (name,), sql in linear_trend(f)}
+    slope, stderr = (parts[label("linear_trend", attr=k)].removeprefix("array(").removesuffix(")") for k in ("slope", "stderr"))
+    s, e = f.derive("trend_slope", slope), f.derive("trend_stderr", stderr)
+    tail = student_two_sided("t", f"({f.n} - 2)")
+    value = f"case when {f.size} < 2 then null when {f.size} = 2 then {flag(f'{s} = 0')} when {e} > 0 then {let(f'{s} / {e}', 't', tail)} else {flag(f'{s} = 0')} end"
+    return [one(label("linear_trend", attr="pvalue"), value)]
+
+
 def _pattern(f: Frame, size: int) -> str:
     """A number for the order of the last ``size`` values, equal ones in the order of time: for each, how many
     later ones are smaller."""

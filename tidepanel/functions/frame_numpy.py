@@ -27,9 +27,6 @@ ENTROPY_BINS = (2, 3, 5, 10, 100)
 WELCH_COEFFS = (2, 5, 8)
 WIDTHS = (2, 5, 10, 20)
 CWT_COEFFS = range(15)
-CHUNK_LENGTHS = (5, 10, 50)
-CHUNK_AGGS = ("max", "min", "mean", "var")
-LINE = ("rvalue", "intercept", "slope", "stderr")
 DRIFT_DEGREE, DRIFT_BINS = 3, 30
 TOLERANCES = (0.1, 0.3, 0.5, 0.7, 0.9)
 
@@ -127,69 +124,6 @@ def augmented_dickey_fuller(x):
     return [NAN] * 3 if result is None else [result[0], ols.p_value(result[0]), float(result[1])]
 
 
-def line(y: np.ndarray) -> tuple[float, float, float, float]:
-    """(rvalue, intercept, slope, stderr) of y on 0, 1, 2, ..."""
-    n = len(y)
-    if n < 2:
-        return NAN, NAN, NAN, NAN
-    t = np.arange(n) - (n - 1) / 2
-    sxx, syy, sxy = float(t @ t), float(((y - y.mean()) ** 2).sum()), float(t @ y)
-    slope = sxy / sxx
-    r = sxy / math.sqrt(sxx * syy) if syy > 0 else 0.0
-    stderr = math.sqrt(max(syy - slope * sxy, 0.0) / sxx / (n - 2)) if n > 2 else 0.0
-    return r, float(y.mean() - slope * (n - 1) / 2), slope, stderr
-
-
-def student_two_sided(t: float, dof: int) -> float:
-    """Two-sided tail of Student's t for a whole number of degrees, by the finite
-    sums of Abramowitz and Stegun 26.7.3-4."""
-    theta = math.atan2(abs(t), math.sqrt(dof))
-    c, s = math.cos(theta), math.sin(theta)
-    term, acc = (c, c) if dof % 2 else (1.0, 1.0)
-    for j in range(3 if dof % 2 else 2, dof - 1, 2):
-        term *= c * c * (j - 1) / j
-        acc += term
-    if dof == 1:
-        inside = 2 * theta / math.pi
-    elif dof % 2:
-        inside = 2 / math.pi * (theta + s * acc)
-    else:
-        inside = s * acc
-    return min(max(1.0 - inside, 0.0), 1.0)
-
-
-@_add(EFFICIENT, "linear_trend_pvalue", [label("linear_trend", attr="pvalue")])
-def linear_trend_pvalue(x):
-    n = len(x)
-    r, _, slope, stderr = line(x)
-    if n < 2:
-        return [NAN]
-    if n == 2:
-        return [1.0 if x[0] == x[1] else 0.0]
-    return [student_two_sided(slope / stderr, n - 2) if stderr > 0 else (1.0 if slope == 0 else 0.0)]
-
-
-@_add(
-    EFFICIENT,
-    "agg_linear_trend",
-    [
-        label("agg_linear_trend", attr=a, chunk_len=c, f_agg=f)
-        for c in CHUNK_LENGTHS
-        for f in CHUNK_AGGS
-        for a in LINE
-    ],
-)
-def agg_linear_trend(x):
-    out = []
-    for c in CHUNK_LENGTHS:
-        for f in CHUNK_AGGS:
-            if c >= len(x):
-                out += [NAN] * 4
-            else:
-                out += line(np.array([getattr(x[i : i + c], f)() for i in range(0, len(x), c)]))
-    return out
-
-
 @_add(EFFICIENT, "lempel_ziv_complexity", [label("lempel_ziv_complexity", bins=b) for b in ENTROPY_BINS])
 def lempel_ziv_complexity(x):
     """Distinct phrases of the binned sequence, each the shortest not seen yet."""

@@ -97,7 +97,7 @@ def extract_columns(
     pieces = [piece for c in calculators for piece in c(f)]
     known = panel.where(F.col(VALUE).isNotNull()).select(*keys, TS, VALUE)
     df = known
-    for layer in (f.rows, f.marks, f.counts, f.aggregates):
+    for layer in (f.rows, f.marks, f.chunks, f.counts, f.aggregates):
         df = df.selectExpr("*", *[f"{sql} as {name}" for name, sql in layer.items()])
     if f.quantiles_asked or f.tops_asked:
         sized = known.selectExpr("*", f"count(*) over (partition by {', '.join(keys)}) as {calc.ROWS_COLUMN}")

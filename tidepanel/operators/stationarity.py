@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidepanel.functions import adf as ols
-from tidepanel.functions.scalar import nan_to_null
+from tidepanel.functions import adf_sql
 from tidepanel.keys import SERIES_KEY, SPLIT, TS, VALUE
 from tidepanel.operators.blocks import BLOCK, HALO, add_halo, over_series, settled
 from tidepanel.operators.transform import ROLL_MEAN, stationarity_variants, variant_steps
@@ -25,17 +22,8 @@ METHODS = (
 )
 VARIANTS = ("v0", "v1", "v2", "v3")
 
-ADF_TYPE = T.StructType(
-    [
-        T.StructField("adf_stat", T.DoubleType()),
-        T.StructField("p_value", T.DoubleType()),
-        T.StructField("used_lag", T.IntegerType()),
-        T.StructField("nobs", T.IntegerType()),
-        T.StructField("crit_1", T.DoubleType()),
-        T.StructField("crit_5", T.DoubleType()),
-        T.StructField("crit_10", T.DoubleType()),
-    ]
-)
+#: Prefix of the columns that the augmented test adds on its way.
+ADF = "_adf_"
 
 Agg = Callable[[Column], Column]
 
@@ -113,19 +101,6 @@ def lag1(panel: DataFrame, *, column: str = VALUE, block_days: int | None = None
 # --- lag chosen by AIC ----------------------------------------------------------------
 
 
-def _report(result: tuple[float, int, int] | None) -> tuple:
-    if result is None:
-        return (None,) * 7
-    stat, lag, nobs = result
-    return (stat, ols.p_value(stat), lag, nobs, *[ols.critical_value(c, nobs) for c in (1, 5, 10)])
-
-
-@F.pandas_udf(ADF_TYPE)
-def _adf_of_arrays(values: pd.Series) -> pd.DataFrame:
-    rows = [_report(ols.adf(np.asarray(v, dtype=float))) for v in values]
-    return pd.DataFrame(rows, columns=ADF_TYPE.names).astype({"used_lag": "Int32", "nobs": "Int32"})
-
-
 def adf_report(
     panel: DataFrame, *, column: str = VALUE, keys: Sequence[str] | None = None, block_days: int | None = None
 ) -> DataFrame:
@@ -138,61 +113,16 @@ def adf_report(
     if block_days is not None:
         return _adf_in_blocks(rows, column, keys, block_days)
     ordered = F.sort_array(F.collect_list(F.struct(TS, column)))
-    arrays = rows.groupBy(*keys).agg(F.transform(ordered, lambda r: r[column]).alias("_y"))
-    return arrays.withColumn("_r", _adf_of_arrays("_y")).select(*keys, *_report_columns("_r"))
+    arrays = rows.groupBy(*keys).agg(F.transform(ordered, lambda r: r[column].cast("double")).alias("_y"))
+    return _reported(adf_sql.apply(arrays, adf_sql.of_values(ADF, "_y")), keys)
 
 
-def _report_columns(struct: str) -> list[Column]:
-    doubles = {f.name for f in ADF_TYPE if isinstance(f.dataType, T.DoubleType)}
-    pick = lambda n: nan_to_null(F.col(f"{struct}.{n}")) if n in doubles else F.col(f"{struct}.{n}")
-    return [pick(n).alias(n) for n in ADF_TYPE.names]
-
-
-PARTIAL_TYPE = T.StructType(
-    [
-        T.StructField("n", T.LongType()),
-        T.StructField("sums", T.ArrayType(T.DoubleType())),
-        T.StructField("products", T.ArrayType(T.DoubleType())),
-        T.StructField("head", T.ArrayType(T.DoubleType())),
-    ]
-)
-
-
-@F.pandas_udf(PARTIAL_TYPE)
-def _block_sums(values: pd.Series, halo: pd.Series, length: pd.Series, mean: pd.Series) -> pd.DataFrame:
-    """Sums over the rows of one block; lags reach into the halo in front."""
-
-    def one(v, in_front, n_series, centre):
-        y = np.asarray(v, dtype=float) - centre
-        lags = ols.lag_limit(int(n_series))
-        if n_series < 4 or lags < 0:
-            return 0, [], [], []
-        first = max(int(in_front), lags + 1)
-        head = y[int(in_front) :][: lags + 1].tolist()
-        if first >= len(y):
-            width = lags + 2
-            return 0, [0.0] * width, [0.0] * width**2, head
-        n, s, ss = ols.sums(ols.lag_rows(y, lags, first))
-        return n, s.tolist(), ss.ravel().tolist(), head
-
-    rows = [one(*r) for r in zip(values, halo, length, mean)]
-    return pd.DataFrame(rows, columns=PARTIAL_TYPE.names)
-
-
-@F.pandas_udf(ADF_TYPE)
-def _adf_of_sums(length: pd.Series, blocks: pd.Series) -> pd.DataFrame:
-    def one(n_series, parts):
-        lags = ols.lag_limit(int(n_series))
-        if n_series < 4 or lags < 0:
-            return _report(None)
-        n = int(sum(p["n"] for p in parts))
-        s = np.sum([np.asarray(p["sums"], dtype=float) for p in parts], axis=0)
-        ss = np.sum([np.asarray(p["products"], dtype=float) for p in parts], axis=0)
-        head = np.concatenate([np.asarray(p["head"], dtype=float) for p in parts])[: lags + 1]
-        return _report(ols.from_sums(n, s, ss.reshape(len(s), len(s)), head, lags))
-
-    rows = [one(*r) for r in zip(length, blocks)]
-    return pd.DataFrame(rows, columns=ADF_TYPE.names).astype({"used_lag": "Int32", "nobs": "Int32"})
+def _reported(solved: DataFrame, keys: list[str]) -> DataFrame:
+    stat, lag, nobs = f"{ADF}stat", f"{ADF}lag", f"{ADF}nobs"
+    critical = [f"{adf_sql.critical_value(c, nobs)} as crit_{c}" for c in (1, 5, 10)]
+    return solved.selectExpr(
+        *keys, f"{stat} as adf_stat", f"{adf_sql.p_value(stat)} as p_value", f"{lag} as used_lag", f"{nobs} as nobs", *critical
+    )
 
 
 def _adf_in_blocks(rows: DataFrame, column: str, keys: list[str], block_days: int) -> DataFrame:
@@ -201,18 +131,21 @@ def _adf_in_blocks(rows: DataFrame, column: str, keys: list[str], block_days: in
     The driver learns one number, the longest series, which fixes how many rows
     the lags may reach back.
     """
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(column).alias("_mean"))
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("int").alias("_n"), F.avg(column).alias("_mean"), F.min(column).alias("_low"), F.max(column).alias("_high")
+    )
     longest = stats.agg(F.max("_n")).first()[0] or 0
     reach = max(ols.lag_limit(longest), 0) + 1
     halo = add_halo(rows.select(*keys, TS, column), block_days=block_days, before=reach, keys=keys)
     ordered = F.sort_array(F.collect_list(F.struct(TS, column)))
-    blocks = halo.groupBy(*keys, BLOCK).agg(
-        F.transform(ordered, lambda r: r[column]).alias("_y"), F.count_if(F.col(HALO)).alias("_front")
+    blocks = halo.groupBy(*keys, BLOCK).agg(ordered.alias("_rows"), F.count_if(F.col(HALO)).cast("int").alias("_front"))
+    centred = blocks.join(stats, keys).withColumn(
+        "_y", F.when(F.col("_low") < F.col("_high"), F.transform("_rows", lambda r: r[column].cast("double") - F.col("_mean")))
     )
-    partial = blocks.join(stats, keys).withColumn("_p", _block_sums("_y", "_front", "_n", "_mean"))
-    merged = partial.groupBy(*keys, "_n").agg(F.sort_array(F.collect_list(F.struct(BLOCK, "_p"))).alias("_b"))
-    parts = F.transform("_b", lambda b: b["_p"])
-    return merged.withColumn("_r", _adf_of_sums("_n", parts)).select(*keys, *_report_columns("_r"))
+    partial = adf_sql.apply(centred, adf_sql.sums(ADF, "_y", "_n", "_front"))
+    parts = partial.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(BLOCK, F.col(f"{ADF}sums").alias("s")))).alias("_b"))
+    whole = adf_sql.apply(parts.withColumn("_b", F.transform("_b", lambda b: b["s"])), adf_sql.merged(ADF, "_b"))
+    return _reported(adf_sql.apply(whole, adf_sql.solved(ADF)), keys)
 
 
 # --- choosing and applying a transform --------------------------------------------------
@@ -253,8 +186,10 @@ def _with_variant_stats(variants: DataFrame, keys: list[str]) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct(TS, *rest)))
     arrays = variants.groupBy(*keys).agg(ordered.alias("_rows"))
     known = lambda v: F.filter(F.transform("_rows", lambda r: r[v]), lambda x: x.isNotNull())
-    stats = {f"{v}_stat": _adf_of_arrays(known(v))["adf_stat"] for v in VARIANTS}
-    return arrays.withColumns(stats).withColumns({k: nan_to_null(F.col(k)) for k in stats})
+    values = arrays.withColumns({f"_{v}_values": known(v) for v in VARIANTS})
+    chains = [adf_sql.of_values(f"_{v}_", f"_{v}_values") for v in VARIANTS]
+    tested = adf_sql.apply(values, [{n: sql for layer in layers for n, sql in layer.items()} for layers in zip(*chains)])
+    return tested.select(*keys, "_rows", *[F.col(f"_{v}_stat").alias(f"{v}_stat") for v in VARIANTS])
 
 
 def _with_autolag_choice(variants: DataFrame, keys: list[str]) -> DataFrame:

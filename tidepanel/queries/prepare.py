@@ -578,7 +578,55 @@ def adf_lag1(spark, d):
     return rounded(stationarity.lag1(warehouse.vectors_as_series(spark, d)), 6, "adf_stat")
 
 
-@query("adf_autolag")
+def _adf_steps(source: str, keys: str = "panel_id, series_id") -> dict[str, str]:
+    """Every lag by elimination in the matrix of all products of the rows that all lags have, written out row by
+    row; then the lag of least AIC by elimination in the matrix of its own rows. ``adf`` has the results."""
+    square = lambda rows, size: (
+        f"list_transform(range(1, {size}), lambda a: list_transform(range(1, {size}), lambda b: "
+        f"list_sum(list_transform({rows}, lambda r: (r[a] - mu[a]) * (r[b] - mu[b])))))"
+    )
+    means = lambda rows, size: f"list_transform(range(1, {size}), lambda a: list_avg(list_transform({rows}, lambda r: r[a])))"
+    lagged = lambda lag: f"list_transform(range({lag} + 1, n), lambda t: [y[t]] || list_reverse(d[t - {lag}:t - 1]) || [d[t]])"
+    less = "m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]"
+    return {
+        "adf_y": f"""select {keys}, list(value - mu order by ts) as y, cast(count(*) as int) as n
+                     from (select *, avg(value) over (partition by {keys}) as mu from {source} where value is not null)
+                     group by {keys} having count(*) >= 4 and max(value) > min(value)""",
+        "adf_l": """select *, list_transform(range(2, n + 1), lambda i: y[i] - y[i - 1]) as d
+                    from (select *, least(cast(ceil(12 * pow(cast(n as double) / 100, 0.25)) as int), n // 2 - 2) as top from adf_y)
+                    where top >= 0""",
+        "adf_r": f"select *, {lagged('top')} as z from adf_l",
+        "adf_g": f"select {keys}, n, top, len(z) as rows, {square('z', 'top + 3')} as m from (select *, {means('z', 'top + 3')} as mu from adf_r)",
+        "adf_e": f"""select {keys}, n, top, rows, m, 0 as k, []::double[] as ssr from adf_g union all
+                     select {keys}, n, top, rows, next, k + 1, ssr || [next[top + 2][top + 2]]
+                     from (select *, list_transform(range(1, top + 3), lambda i: case when i <= k + 1 then m[i] else
+                                  list_transform(range(1, top + 3), lambda j: {less}) end) as next from adf_e where k <= top)""",
+        "adf_best": f"""select {keys}, cast(list_position(aic, list_min(aic)) - 1 as int) as lag
+                        from (select {keys}, list_transform(range(1, top + 2), lambda i: rows * ln(ssr[i] / rows) + 2 * (i + 1)) as aic
+                              from adf_e where k = top + 1)""",
+        "adf_z": f"select *, {lagged('lag')} as z from adf_l join adf_best using ({keys})",
+        "adf_h": f"select {keys}, lag, len(z) as nobs, {square('z', 'lag + 3')} as g from (select *, {means('z', 'lag + 3')} as mu from adf_z)",
+        "adf_j": f"""select {keys}, lag, nobs, g, 0 as k, list_transform(range(1, lag + 2), lambda i:
+                            g[i][1:lag + 2] || [case when i = 1 then cast(1 as double) else 0 end]) as m from adf_h union all
+                     select {keys}, lag, nobs, g, k + 1, list_transform(range(1, lag + 2), lambda i: case when i = k + 1 then m[i] else
+                            list_transform(range(1, lag + 4), lambda j: {less}) end) from adf_j where k <= lag""",
+        "adf_s": f"""select {keys}, lag, nobs, m[1][lag + 2] / m[1][1] as beta, m[1][lag + 3] / m[1][1] as unit,
+                            g[lag + 2][lag + 2] - list_sum(list_transform(range(1, lag + 2), lambda i: m[i][lag + 2] / m[i][i] * g[i][lag + 2])) as rest
+                     from adf_j where k = lag + 1""",
+        "adf": f"""select a.*, s.beta / sqrt(s.rest / (s.nobs - s.lag - 2) * s.unit) as stat,
+                          cast(case when s.nobs > s.lag + 2 then s.lag end as int) as used_lag, cast(case when s.nobs > s.lag + 2 then s.nobs end as int) as nobs
+                   from (select distinct {keys} from {source} where value is not null) a left join adf_s s using ({keys})""",
+    }
+
+
+def _recursive(text: str) -> str:
+    return text.replace("with ", "with recursive ", 1)
+
+
+_ADF_COLUMNS = "panel_id, series_id, round(stat, 6) + 0.0 as adf_stat, used_lag, nobs"
+
+
+@query("adf_autolag", _recursive(sql(f"select {_ADF_COLUMNS} from adf", "f5", **_adf_steps("f5"))))
 def adf_autolag(spark, d):
     return rounded(
         stationarity.adf_report(warehouse.vectors_as_series(spark, d)).select(
@@ -589,13 +637,36 @@ def adf_autolag(spark, d):
     )
 
 
-@query("adf_autolag_blocked")
+@query("adf_autolag_blocked", _recursive(sql(f"select {_ADF_COLUMNS} from adf", "f2m", **_adf_steps("f2m"))))
 def adf_autolag_blocked(spark, d):
     report = stationarity.adf_report(warehouse.scaled_nations(spark, d), block_days=730)
     return rounded(report.select(PANEL, SERIES, "adf_stat", "used_lag", "nobs"), 6, "adf_stat")
 
 
-@query("stationarity_report")
+# The share of the normal distribution below z, by its power series; fixed values are those of functions/adf.py.
+_SMALL = "2.1659 + 1.4412 * stat + 0.038269 * stat * stat"
+_LARGE = "1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat"
+_BELOW = """0.5 + list_sum(list_transform(range(0, 130), lambda k: pow(cast(-1 as double), k) * pow(z, 2 * k + 1)
+            / (pow(cast(2 as double), k) * gamma(k + 1) * (2 * k + 1)))) / sqrt(2 * pi())"""
+_CRITICAL = {
+    1: "-3.43035 - 6.5393 / n - 16.786 / (n * n) - 79.433 / (n * n * n)",
+    5: "-2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.040 / (n * n * n)",
+    10: "-2.56677 - 1.5384 / n - 2.809 / (n * n)",
+}
+
+
+@query(
+    "stationarity_report",
+    _recursive(
+        sql(
+            f"""select {_ADF_COLUMNS}, round(case when stat > 2.74 then 1 when stat < -18.83 then 0 when z < -5.5 then 0 when z > 5.5 then 1 when stat is not null then {_BELOW} end, 6) + 0.0 as p_value,
+                       {", ".join(f"round({sql_}, 6) + 0.0 as crit_{c}" for c, sql_ in _CRITICAL.items())}
+                from (select *, cast(nobs as double) as n, case when stat <= -1.61 then {_SMALL} else {_LARGE} end as z from adf)""",
+            "f2m",
+            **_adf_steps("f2m"),
+        )
+    ),
+)
 def stationarity_report(spark, d):
     report = stationarity.adf_report(warehouse.scaled_nations(spark, d))
     return rounded(report, 6, "adf_stat", "p_value", "crit_1", "crit_5", "crit_10")
@@ -620,7 +691,21 @@ def choose_transform(spark, d):
     return rounded(choice, 6, "adf_stat")
 
 
-@query("choose_transform_autolag")
+_AUTOLAG_STEPS = {
+    "a": _VARIANT_STEPS["a"],
+    "b": _VARIANT_STEPS["b"],
+    "vv": " union all ".join(f"select panel_id, series_id, {i} as rank, ts, v{i} as value from b" for i in range(4)),
+    **_adf_steps("vv", "panel_id, series_id, rank"),
+    "names": "select unnest(range(4)) as rank, unnest([" + ", ".join(f"'{m}'" for m in stationarity.METHODS) + "]) as method",
+    "c": """select panel_id, series_id, coalesce(arg_min(method, (stat, rank)) filter (where stat is not null), 'None') as method,
+                   min(stat) as adf_stat from adf join names using (rank) group by 1, 2""",
+}
+
+
+@query(
+    "choose_transform_autolag",
+    _recursive(sql("select panel_id, series_id, method, round(adf_stat, 6) + 0.0 as adf_stat from c", "f2m", **_AUTOLAG_STEPS)),
+)
 def choose_transform_autolag(spark, d):
     return rounded(stationarity.choose_transform(warehouse.scaled_nations(spark, d)), 6, "adf_stat")
 
