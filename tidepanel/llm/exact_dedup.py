@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import SPACE_RUN, free_name, settle, whole_text
+from tidepanel.llm.common import SPACE_RUN, by_mark, free_name, settle, whole_text
 
 #: Shortest and longest chunk, in characters; between them a chunk ends after a word whose last two
 #: characters fall into this class, about one word in fifteen of prose.
@@ -95,24 +95,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
 
-    Rows of groups of one are not moved at all when Spark finds the list of the others small enough to
-    send around; else each row moves once, by its id. Where rows of one id and text are repeated, the
-    one kept has the smallest values in the other columns.
+    Rows are passed on where they are unless a bit table of fixed size marks their id as one to drop, or one
+    that is repeated; those few are told apart by a join. Where rows of one id and text are repeated, the one
+    kept has the smallest values in the other columns.
     """
     verdicts = exact_duplicates(docs, id_col, text_col).where("group_size > 1")
     verdicts = verdicts.groupBy(F.col(id_col).alias("id"), "text_sha256").agg(
         F.max("kept").alias("any"), F.count("*").alias("n")
     )
-    verdicts = settle(verdicts, "recipe-verdicts")
-    rest = docs.join(*_marked(verdicts.where("not any"), docs, id_col, text_col), "left_anti")
+    verdicts = settle(verdicts.where("not any or n > 1"), "recipe-verdicts")
+    stay, open_ = by_mark(docs, id_col, verdicts.select("id"))
+    rest = open_.join(*_marked(verdicts.where("not any"), open_, id_col, text_col), "left_anti")
     again = verdicts.where("any and n > 1")
     if again.isEmpty():
-        return rest
+        return stay.unionByName(rest)
     mark = _marked(again, rest, id_col, text_col)
     row = free_name(docs, "row")
     twice = rest.join(*mark, "left_semi")
     one = twice.groupBy(id_col, normalise(text_col)).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
-    return rest.join(*mark, "left_anti").unionByName(one)
+    return stay.unionByName(rest.join(*mark, "left_anti")).unionByName(one)
 
 
 def _marked(verdicts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:

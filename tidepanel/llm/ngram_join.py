@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import words
-from tidepanel.llm.common import free_name, settle
+from tidepanel.llm.common import by_mark, free_name, settle
 from tidepanel.llm.graph import components
 
 GRAM = 5
@@ -36,7 +36,7 @@ NUM, DEN = 75, 100
 COUNT_BITS, SLICES = 21, 64
 LOW_BITS = 64 - COUNT_BITS
 #: Prefix n-grams in a bucket, on average.
-BUCKET_GRAMS = 1_000_000
+BUCKET_GRAMS = 400_000
 #: Partners of one hub that a task compares, about.
 STAR = 512
 #: Members of a group that one task compares with each other; larger groups are compared block by block.
@@ -513,6 +513,8 @@ def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component (its smallest id), with all their columns.
 
+    Rows are passed on where they are unless a bit table of fixed size marks their id as one that goes or is
+    repeated; those are told apart by a join.
     Of rows that repeat an id and a set of shingles, the one with the smallest values in the columns stays.
     """
     found = settle(near_duplicates(docs, id_col, text_col), "gram-found")
@@ -522,11 +524,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verdicts = settle(verdicts, "gram-verdicts")
     mine = F.col(id_col).cast("long").eqNullSafe(F.col(name))
     # An id that one row has: the id decides. Rows of an id that several have are told apart by their sets.
-    rest = docs.join(verdicts.where("not some or n > 1").select(name), mine, "left_anti")
+    marked = verdicts.where("not some or n > 1").select(name)
+    stay, open_ = by_mark(docs, id_col, marked.select(F.col(name).alias("id")))
+    rest = stay.unionByName(open_.join(marked, mine, "left_anti"))
     again = verdicts.where("some and n > 1").select(name)
     if again.isEmpty():
         return rest
-    whole = docs.join(again, mine, "left_semi").select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("whole"))
+    whole = open_.join(again, mine, "left_semi").select(F.col(text_col).alias("text"), F.struct(*docs.columns).alias("whole"))
     kind = whole.schema["whole"].dataType.simpleString()
     classed = whole.mapInArrow(_with_class, f"sig long, whole {kind}")
     empty = found.where("class_id is null").select(F.col(id_col).alias(name), F.lit(None).cast("long").alias("class"))
