@@ -1,34 +1,60 @@
 """From raw documents to encoded training text: rules, duplicates, near duplicates, mix and pieces.
 
 Each stage takes the rows that the stage before it kept, and all but the last return the columns of
-``documents``; ``run`` writes them to the shared folder in between.
+``documents``; ``run`` writes them to the shared folder in between. A stage is given the written rows of the
+one before, so it first deletes the files that the operator of that one settled on its way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.llm import exact_dedup, mixing, ngram_join, piece_codec, quality
-from tidepanel.llm.common import settle, table
+from tidepanel.llm.common import delete, discard, settle, settling, table
 from tidepanel.llm.queries_native import FRACTION, LEVELS, SEED, WEIGHTS
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Files that the operator of the stage before settled, by session.
+_left: dict[str, list[str]] = {}
+
+
+def stage(work: Stage) -> Stage:
+    @wraps(work)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        session = spark.sparkContext.applicationId
+        delete(spark, _left.pop(session, []))
+        with settling() as files:
+            out = work(spark, docs, sf_dir)
+        _left[session] = files
+        return out
+
+    return begin
+
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+@stage
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.one_of_each(docs)
 
 
+@stage
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, LEVELS, WEIGHTS, FRACTION, SEED)
 
 
+@stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_codec.encode(docs)
 
@@ -47,7 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, written = table(spark, sf_dir, "documents"), None
+    for name, work in STAGES[:-1]:
+        docs = settle(work(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
