@@ -13,7 +13,7 @@ def plain_counts(text):
     return {
         "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"),
         "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "n_lines": len(lines),
-        "n_unique": len(set(words)),
+        "n_unique": len(set(words)), "n_ends": sum(text.count(c) for c in ".!?"),
     }
 
 

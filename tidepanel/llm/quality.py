@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import SPACE_RUN, SPACES, free_name, settle, whole_text
 
 SYMBOLS = "#*$%&|<>"
+ENDS = ".!?"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -27,33 +28,32 @@ GOOD, BAD, ABSTAIN = 1, 0, 2
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad where ``bad`` holds, good where ``good`` holds, else abstains."""
+    """Votes bad where ``bad`` holds, else good where ``good`` holds, else abstains."""
 
     name: str
     bad: str
     good: str
 
 
-#: Over the columns of :func:`counts`. Those that look for one fault abstain where they do not find it, as
-#: that says nothing of other faults; the last one votes for prose that shows none.
+#: Over the columns of :func:`counts`. Every signal has a cut below which it speaks for a text and another beyond
+#: which it speaks against it, and is silent between: how much any of that says is for the estimation to find out.
 RULES = (
-    Rule("length", "n_words < 10", "false"),
-    Rule("symbols", "n_symbols > 0.05 * word_chars", "false"),
-    Rule("symbol_words", "n_symbols > 0.5 * n_words", "false"),
-    Rule("repeats", "n_repeat_words > 0.2 * n_words", "false"),
-    Rule("lines", "n_lines >= 4 and n_dup_lines > 0.3 * n_lines", "false"),
-    Rule("variety", "n_words >= 16 and n_unique <= 0.5 * n_words and n_words <= 60 or n_unique < 0.1 * n_words and n_words <= 1000",
-         "false"),
-    Rule("word_length", "word_chars > 14.0 * n_words or word_chars < 1.5 * n_words", "false"),
-    Rule("prose", "false", "n_words >= 20 and n_symbols <= 0.01 * word_chars and n_repeat_words <= 0.05 * n_words"
-         " and n_dup_lines <= 0.1 * n_lines and n_unique >= 0.1 * n_words"),
+    Rule("symbols", "n_symbols > 0.08 * word_chars", "n_symbols <= 0.002 * word_chars"),
+    Rule("symbol_words", "n_symbols > 0.4 * n_words", "n_symbols <= 0.02 * n_words"),
+    Rule("repeats", "n_repeat_words > 0.1 * n_words", "n_repeat_words <= 0.01 * n_words"),
+    Rule("lines", "n_dup_lines > 0.25 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
+    Rule("variety", "n_unique < 0.5 * n_words and n_words <= 400", "n_unique >= 0.62 * n_words"),
+    Rule("word_length", "word_chars > 7.0 * n_words or word_chars < 3.0 * n_words",
+         "word_chars >= 4.0 * n_words and word_chars <= 6.2 * n_words"),
+    Rule("sentences", "n_ends < 0.02 * n_words", "n_ends >= 0.04 * n_words and n_ends <= 0.3 * n_words"),
+    Rule("line_ends", "n_ends < 0.5 * n_lines", "n_ends >= n_lines"),
 )
 
 ROUNDS = 50
-#: Where the rounds start: most documents are good, and a vote is far more often right than wrong.
+#: Where the rounds start: most documents are good, and a vote is more often right than wrong.
 #: Probabilities of the votes bad, good and abstain for a good and for a bad document.
 START_GOOD = 0.8
-START_VOTES = ((0.02, 0.6, 0.38), (0.4, 0.1, 0.5))
+START_VOTES = ((0.05, 0.75, 0.2), (0.35, 0.35, 0.3))
 #: Counted to each vote's odds, so that no probability is 0 or 1.
 SMOOTH = 1.0
 THRESHOLD = 0.5
@@ -81,18 +81,27 @@ def _repeat_words(windows: Column) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda s, g: s + F.least(g, F.lit(WINDOW)))
 
 
+def _without(text: str, marks: str) -> Column:
+    out = F.col(text)
+    for mark in marks:
+        out = F.replace(out, F.lit(mark), F.lit(""))
+    return out
+
+
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_unique."""
+    """Per row: ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_unique, n_ends
+    (marks that end a sentence)."""
     body = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body"))
     split = body.select(
         "id",
         F.length(F.translate("body", SPACES, "")).alias("word_chars"),
         (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).alias("n_symbols"),
+        (F.octet_length("body") - F.octet_length(_without("body", ENDS))).alias("n_ends"),
         F.filter(F.split("body", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"),
         F.filter(F.split("body", SPACE_RUN), lambda w: w != "").alias("words"),
     )
     hashed = split.select(
-        "id", "word_chars", "n_symbols",
+        "id", "word_chars", "n_symbols", "n_ends",
         F.size("words").alias("n_words"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
@@ -100,7 +109,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         _windows(F.col("words")).alias("windows"),
     )
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_unique")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_unique", "n_ends")
     return hashed.select(
         F.col("id").alias(id_col),
         *[F.col(c).cast("long").alias(c) for c in names],
@@ -127,14 +136,14 @@ class Model:
 
     def log_odds(self, pattern: Sequence[int]) -> float:
         start = math.log(self.good / (1 - self.good))
-        return start + sum(math.log(g[v] / b[v]) for (g, b), v in zip(self.votes, pattern) if v != ABSTAIN)
+        return start + sum(math.log(g[v] / b[v]) for (g, b), v in zip(self.votes, pattern))
 
 
 def estimate(histogram: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> Model:
     """Expectation-maximisation over {votes of all rules: documents}, at most 3 to the power of the rules.
 
-    An abstention is counted as an outcome, but is no evidence: most rules abstain on most documents of both
-    kinds, and a document with one plain fault would be outvoted by all that do not look for it.
+    An abstention is an outcome like the votes: a signal between its cuts is rare among good documents, and a
+    document that no rule votes against may go for several of them.
     A rule that is right less often than by chance for a class would be read the wrong way round, so votes
     keep the side they were written for: a vote good is never evidence against a document, nor bad for one.
     """
@@ -166,7 +175,7 @@ def posterior(model: Model, rules: Sequence[Rule] = RULES) -> Column:
     for rule, (g, b) in zip(rules, model.votes):
         odds = odds + F.when(F.expr(rule.bad), F.lit(math.log(g[BAD] / b[BAD]))).when(
             F.expr(rule.good), F.lit(math.log(g[GOOD] / b[GOOD]))
-        ).otherwise(F.lit(0.0))
+        ).otherwise(F.lit(math.log(g[ABSTAIN] / b[ABSTAIN])))
     return 1 / (1 + F.exp(-odds))
 
 
