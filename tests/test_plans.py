@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import adf, spline
-from tidepanel.operators import align, forward, gram, selection, split
+from tidepanel.operators import align, forward, gram, selection, split, transform
 from tidepanel.plans import engineer as plan
 from tidepanel.plans import prepare
 from tidepanel.plans.config import EngineerConfig, PrepareConfig
@@ -86,6 +86,50 @@ def test_preprocess_equals_pandas(wide, panel, block_days):
         np.testing.assert_allclose(part.value, values, rtol=1e-6, atol=1e-8)
 
 
+def test_catalog_gives_roles_choices_and_skipped_series(wide, panel, spark):
+    want, methods = by_hand(wide)
+    catalog = make_catalog(spark, [*wide.columns, "absent"], nominal=["goal", "nominal", "absent"], log=["goal", "nominal"], spline=["goal"])
+    done = prepare.prepare(panel, catalog, PrepareConfig(target="goal", deflator="index"))
+    assert [r["series_id"] for r in done.skipped.collect()] == ["absent"]
+    named = prepare.preprocess(panel, PrepareConfig(target="goal", deflator="index"), **ROLES)
+    assert done.rows.columns == named.columns and done.rows.exceptAll(named).count() == 0 == named.exceptAll(done.rows).count()
+    chosen = {(r["split"], r["series_id"]): r for r in done.choices.collect()}
+    assert {k: r["method"] for k, r in chosen.items()} == methods
+    assert all(r["adf_stat"] is not None for r in chosen.values())
+
+
+def test_long_tables_of_names(spark, make_panel):
+    panel = make_panel({"a": [1.0, 2.0], "b": [4.0, None]})
+    table = spark.range(5000).selectExpr("concat('n', id) as series_id").unionByName(spark.createDataFrame([("a",), ("a",)], "series_id string"))
+    got = {(r["series_id"], r["value"] and round(r["value"], 9)) for r in transform.log_transform(panel, table).collect()}
+    assert got == {("a", 0.0), ("a", round(100 * math.log(2), 9)), ("b", 4.0), ("b", None)}
+    assert transform.log_transform(panel, table.limit(0)).exceptAll(panel).count() == 0
+
+
+def test_saved_penalties_score_the_same(spark, make_panel, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3, 60))
+    panel = split.chrono_split(make_panel({"y": x[0] + x[1], "a": x[0], "b": x[2]}))
+    cfg = EngineerConfig(target="y", rounds=0)
+    first = plan.engineer(panel, cfg, trials=5)
+    plan.write_penalties(first, str(tmp_path / "penalties"))
+    again = plan.engineer(panel, cfg, penalties=plan.read_penalties(spark, str(tmp_path / "penalties")), trials=1)
+    errors = lambda r: sorted((x["model"], x["initial_mse"], x["final_mse"]) for x in r.summary.collect())
+    assert errors(first) == errors(again)
+
+
+def test_noise_is_dropped_by_the_sweep(make_panel):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2, 120))
+    parts = gram.as_features(split.chrono_split(make_panel({"y": 2 * x[0] - x[1], "a": x[0], "b": x[1]})))
+    both, probes = plan.with_noise(parts, 2)
+    assert both.where("feature like 'noise%' and (value < 0 or value >= 1)").count() == 0
+    names = ["a", "b", *probes]
+    sums = gram.product_sums(gram.design_matrix(both, names, "y"))
+    rows = plan.sweep(sums, names, names).orderBy("relative_threshold").collect()
+    assert rows[-1]["aggregated_final_mse"] <= rows[0]["aggregated_initial_mse"] * 1.5 and len(probes) == 2
+
+
 def test_train_choice_used_for_both(panel):
     cfg = PrepareConfig(target="goal", deflator="index", choose_on="train")
     got = prepare.preprocess(panel, cfg, **ROLES)

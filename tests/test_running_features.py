@@ -206,3 +206,34 @@ def test_autoregression_recovers_its_coefficients(spark):
     assert last[label("ar_coefficient", coeff=1, k=10)] == pytest.approx(0.7, abs=0.06)
     assert last[label("partial_autocorrelation", lag=1)] == pytest.approx(0.7, abs=0.05)
     assert abs(last[label("partial_autocorrelation", lag=3)]) < 0.06 and not math.isnan(last[label("ar_coefficient", coeff=0, k=10)])
+
+
+@pytest.mark.parametrize("shift", [0, 1, 6, 15])
+def test_sliding_fourier(make_panel, shift):
+    x = {"walk": RNG.normal(size=50).cumsum() * 100 + 1e4, "flat": np.full(20, 3.0), "noise": RNG.normal(size=50)}
+    got = features.extract_columns(make_panel(x), calc.SPECTRAL.values(), max_shift=shift)
+    rows = got.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m")).orderBy("ts")
+    for end, row in enumerate(rows.collect(), start=1):
+        for name, values in x.items():
+            if end > len(values):
+                continue
+            frame = values[max(0, end - 1 - shift) : end]
+            z, scale = np.fft.rfft(frame), max(1.0, abs(frame).max())
+            for attr, part in (("real", z.real), ("imag", z.imag), ("abs", abs(z)), ("angle", np.degrees(np.angle(z)))):
+                for k in calc.FFT_COEFFS:
+                    v = row["m"][f"{name}__" + label("fft_coefficient", attr=attr, coeff=k)]
+                    if k >= len(z):
+                        assert v is None
+                    elif attr != "angle":
+                        assert v == pytest.approx(part[k], abs=1e-9 * scale)
+                    elif abs(z[k]) > 1e-6 * scale:
+                        assert abs((v - part[k] + 180) % 360 - 180) < 1e-5
+            y = abs(z)
+            centroid = row["m"][f"{name}__" + label("fft_aggregated", aggtype="centroid")]
+            assert centroid == pytest.approx((y * np.arange(len(y))).sum() / y.sum(), abs=1e-8)
+
+
+def test_rolling_sets_slide(make_panel):
+    columns, names = features.calculators_for("efficient", 11)
+    assert set(calc.SPECTRAL.values()) <= set(columns) and not set(names) & set(calc.SPECTRAL)
+    assert set(calc.SPECTRAL) <= set(features.calculators_for("efficient")[1])

@@ -109,6 +109,11 @@ class Frame:
             over = f"{sql} over ({self.order} rows between {self.max_shift - shift} preceding and current row)"
         return self._put(self.aggregates, f"_a_{name}", over)
 
+    def sliding(self, name: str, sql: str) -> str:
+        """Sum over a rolling frame as the difference of two running sums, so that no frame is summed again."""
+        over = f"sum({sql}) over ({self.order} rows between unbounded preceding and"
+        return self._put(self.aggregates, f"_s_{name}", f"{over} current row) - coalesce({over} {self.max_shift + 1} preceding), 0D)")
+
     def derive(self, name: str, sql: str) -> str:
         return self._put(self.derived, f"_d_{name}", sql)
 
@@ -199,6 +204,8 @@ LAGGED: dict[str, Calculator] = {}
 ORDER: dict[str, Calculator] = {}
 ARRAY: dict[str, Calculator] = {}
 RECURSIVE: dict[str, Calculator] = {}
+#: For rolling frames only.
+SPECTRAL: dict[str, Calculator] = {}
 
 
 def _into(registry: dict[str, Calculator]):
@@ -844,4 +851,68 @@ def permutation_entropy(f: Frame) -> list[Piece]:
     return out
 
 
+# --- Fourier coefficients of rolling frames ----------------------------------------------------------------------
+
+FFT_COEFFS = range(100)
+FFT_ATTRS = ("real", "imag", "abs", "angle")
+MOMENTS = ("centroid", "variance", "skew", "kurtosis")
+
+
+def _turn(share: str, whole: str) -> tuple[str, str]:
+    """Cosine and sine of ``share`` parts of a turn of ``whole``; a half turn has a sine of exactly 0."""
+    at = f"2 * pi() * ({share}) / {whole}"
+    return f"cos({at})", f"case when 2 * ({share}) = {whole} then 0D else sin({at}) end"
+
+
+def spectrum(f: Frame) -> str:
+    """Array of the coefficients (re, im) up to half the frame's length.
+
+    In a full rolling frame they slide: sums of x(t) times a wave that runs on over the series, the rows
+    that left the frame taken off, turned back by the phase at the frame's first row. The frames at the
+    series' begin, which are shorter, are summed up one by one."""
+    size = f.max_shift + 1
+    now = centred(f)
+    parts = []
+    for k in range(size // 2 + 1):
+        cos, sin = _turn(f"pmod({f.position} * {k}, {size})", f"{size}D")
+        a, b = f.sliding(f"cos{k}", f"{now} * {cos}"), f.sliding(f"sin{k}", f"{now} * {sin}")
+        c, s = _turn(f"pmod(({f.position} + 1) * {k}, {size})", f"{size}D")  # a frame back, a row on
+        shown = f" + {size} * {f._put(f.rows, '_origin', f'first_value({V}) over ({f.order})')}" if k == 0 else ""
+        parts.append(f"named_struct('re', {a} * {c} + {b} * ({s}){shown}, 'im', {a} * ({s}) - {b} * {c})")
+    cos, sin = _turn(f"pmod(k * i, {f.length})", f.length)
+    waves = f"transform({f.values}, (v, i) -> named_struct('re', v * {cos}, 'im', -v * ({sin})))"
+    added = "named_struct('re', z.re + w.re, 'im', z.im + w.im)"
+    short = f"transform(sequence(0, {f.length} div 2), k -> aggregate({waves}, named_struct('re', 0D, 'im', 0D), (z, w) -> {added}))"
+    return f.derive("spectrum", f"case when {f.size} = {size} then array({', '.join(parts)}) else {short} end")
+
+
+@_into(SPECTRAL)
+def fft_coefficient(f: Frame) -> list[Piece]:
+    shown = {"real": "z.re", "imag": "z.im", "abs": "hypot(z.re, z.im)", "angle": "degrees(atan2(z.im, z.re))"}
+    out = []
+    for attr in FFT_ATTRS:
+        names = [label("fft_coefficient", attr=attr, coeff=k) for k in FFT_COEFFS]
+        whole = f"transform({spectrum(f)}, z -> {shown[attr]})"
+        padded = let(whole, "w", f"transform(sequence(0, {len(FFT_COEFFS) - 1}), k -> get(w, k))")
+        out.append(many(names, padded))
+    return out
+
+
+@_into(SPECTRAL)
+def fft_aggregated(f: Frame) -> list[Piece]:
+    """Moments of the absolute spectrum over the coefficient's number."""
+    y = f.derive("magnitudes", f"transform({spectrum(f)}, z -> hypot(z.re, z.im))")
+    mass = f.derive("magnitude", total(y))
+    m1, m2, m3, m4 = (f.derive(f"spectral{k}", f"case when {mass} > 0 then {total(f'transform({y}, (x, i) -> x * pow(i, {k}))')} / {mass} end") for k in (1, 2, 3, 4))
+    var = f.derive("spectral_var", f"{m2} - {m1} * {m1}")
+    # The last term of the kurtosis is the first moment itself, as published.
+    parts = {
+        "centroid": m1,
+        "variance": var,
+        "skew": f"case when {var} >= 0.5 then ({m3} - 3 * {m1} * {var} - pow({m1}, 3)) / pow({var}, 1.5) end",
+        "kurtosis": f"case when {var} >= 0.5 then ({m4} - 4 * {m1} * {m3} + 6 * {m2} * {m1} * {m1} - 3 * {m1}) / ({var} * {var}) end",
+    }
+    return [one(label("fft_aggregated", aggtype=m), parts[m]) for m in MOMENTS]
+
+
 COLUMN_SETS = {"minimal": (MINIMAL,), "efficient": (MINIMAL, RUNNING, LAGGED, ORDER, ARRAY, RECURSIVE)}

@@ -15,14 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.functions import adf as ols
-from tidepanel.functions.calculators import label
+from tidepanel.functions.calculators import FFT_ATTRS, FFT_COEFFS, MOMENTS, label
 
 NAN = float("nan")
 
 # The parameter grids of the published calculator sets.
-FFT_COEFFS = range(100)
-FFT_ATTRS = ("real", "imag", "abs", "angle")
-MOMENTS = ("centroid", "variance", "skew", "kurtosis")
 ENTROPY_BINS = (2, 3, 5, 10, 100)
 WELCH_COEFFS = (2, 5, 8)
 WIDTHS = (2, 5, 10, 20)

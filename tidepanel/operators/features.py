@@ -42,8 +42,8 @@ def expanding_frame(panel: DataFrame, *, max_shift: int | None = None, min_shift
     return sized.where(F.col("frame_length") > min_shift)
 
 
-def calculators_for(parameter_set: str) -> tuple[list[calc.Calculator], list[str]]:
-    """(column calculators, numpy calculators) of a named set."""
+def calculators_for(parameter_set: str, max_shift: int | None = None) -> tuple[list[calc.Calculator], list[str]]:
+    """(column calculators, numpy calculators) of a named set; the coefficients of rolling frames slide."""
     if parameter_set not in SETS:
         raise ValueError(f"unknown parameter set {parameter_set!r}, expected one of {', '.join(SETS)}")
     key = MINIMAL if parameter_set == MINIMAL else EFFICIENT
@@ -51,6 +51,9 @@ def calculators_for(parameter_set: str) -> tuple[list[calc.Calculator], list[str
     if parameter_set == MINIMAL:
         return columns, []
     names = list(frame_numpy.EFFICIENT)
+    if max_shift is not None:
+        columns += calc.SPECTRAL.values()
+        names = [n for n in names if n not in calc.SPECTRAL]
     return columns, names if parameter_set == EFFICIENT else names + list(frame_numpy.COSTLY)
 
 
@@ -65,7 +68,7 @@ def extract(
 ) -> DataFrame:
     """Long features(panel_id, [split,] ts, feature, value), one row per frame and
     calculator; undefined numbers are NULL. With a split, each split starts anew."""
-    columns, arrays = calculators_for(parameter_set)
+    columns, arrays = calculators_for(parameter_set, max_shift)
     rows = panel if include_target or target is None else panel.where(F.col(SERIES) != target)
     out = extract_columns(rows, columns, max_shift=max_shift, min_shift=min_shift)
     if arrays:

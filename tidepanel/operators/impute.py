@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from tidepanel.functions.scalar import day_number
 from tidepanel.functions.spline import fill_gaps
-from tidepanel.keys import SERIES, SERIES_KEY, SPLIT, TS, VALUE
+from tidepanel.keys import SERIES_KEY, SPLIT, TS, VALUE
 from tidepanel.operators.blocks import BLOCK, HALO, add_halo
+from tidepanel.operators.joins import Names, with_flag
 
 # A knot this many knots away changes a spline coefficient by 0.268 ** 32 of its
 # own size, which is below double precision.
@@ -34,7 +35,7 @@ def _fill(days: pd.Series, values: pd.Series) -> pd.Series:
 def spline_impute(
     panel: DataFrame,
     *,
-    series: Sequence[str] | None = None,
+    series: Names | None = None,
     per_split: bool = True,
     block_days: int | None = None,
 ) -> DataFrame:
@@ -46,9 +47,11 @@ def spline_impute(
     """
     split = SPLIT in panel.columns
     keys = [*SERIES_KEY, SPLIT] if split and per_split else list(SERIES_KEY)
-    wanted = F.lit(True) if series is None else F.col(SERIES).isin(*series)
+    columns, wanted = panel.columns, F.lit(True)
+    if series is not None:  # a fact of the series, so it can stand among its keys
+        panel, wanted, keys = with_flag(panel, series, "_wanted"), F.col("_wanted"), [*keys, "_wanted"]
     if block_days is None:
-        return _fill_groups(panel, keys, wanted)
+        return _fill_groups(panel, keys, wanted).select(*columns)
     halo = add_halo(
         panel,
         block_days=block_days,
@@ -58,7 +61,7 @@ def spline_impute(
         keys=keys,
     )
     out = _fill_groups(halo, [*keys, BLOCK], wanted)
-    return out.where(~F.col(HALO)).select(*panel.columns)
+    return out.where(~F.col(HALO)).select(*columns)
 
 
 def _fill_groups(df: DataFrame, keys: Sequence[str], wanted: Column) -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.keys import SERIES_KEY
+from tidepanel.keys import PANEL, SERIES, SERIES_KEY, TS
+
+#: Names of series, or a table of them (series_id).
+Names = Sequence[str] | DataFrame
 
 SALTS = 32
 
@@ -41,3 +44,17 @@ def by_series(df: DataFrame, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
     """
     return df.repartition(*[F.col(k) for k in keys])
 
+
+
+def named(names: Names | None) -> bool:
+    """Whether any names are given; a table counts as given, whatever it holds."""
+    return names is not None and (isinstance(names, DataFrame) or len(names) > 0)
+
+
+def with_flag(panel: DataFrame, names: Names, flag: str) -> DataFrame:
+    """Add ``flag``: whether the row's series is among ``names``. A table of names is joined, however long it
+    is, and its names may repeat."""
+    if not isinstance(names, DataFrame):
+        return panel.withColumn(flag, F.col(SERIES).isin(*names))
+    table = names.select(SERIES).distinct().withColumn(flag, F.lit(True))
+    return attach(panel, table, [SERIES], salt_by=[PANEL, TS]).withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -196,9 +196,9 @@ def _with_autolag_choice(variants: DataFrame, keys: list[str]) -> DataFrame:
     """Choose while the series is at hand, then unfold it again: no join."""
     rest = [c for c in variants.columns if c not in keys]
     best = _best([(F.col(f"{v}_stat"), i, METHODS[i]) for i, v in enumerate(VARIANTS)])
-    chosen = _with_variant_stats(variants, keys).withColumn("method", best["method"])
-    return chosen.select(*keys, "method", F.explode("_rows").alias("_r")).select(
-        *keys, "method", *[F.col(f"_r.{c}").alias(c) for c in rest]
+    chosen = _with_variant_stats(variants, keys).withColumn("_best", best)
+    return chosen.select(*keys, "_best", F.explode("_rows").alias("_r")).select(
+        *keys, "_best", *[F.col(f"_r.{c}").alias(c) for c in rest]
     )
 
 
@@ -237,30 +237,31 @@ def apply_transform(
     column: str = VALUE,
     statistic: str = "autolag",
     block_days: int | None = None,
+    with_stat: bool = False,
 ) -> DataFrame:
     """Replace values by the chosen transform and fill its leading gap backward.
 
-    Adds ``method``. Without a choice table it is made here; a table keyed by
+    Adds ``method``, and the statistic that it was chosen by (adf_stat) if asked to. Without a choice table it is made here; a table keyed by
     series only is used for every split. In blocks the intermediate tables are
     written to the checkpoint folder.
     """
     keys = _series_keys(panel)
     variants = settled(stationarity_variants(panel, column=column, keys=keys, block_days=block_days), block_days)
     if choice is None and block_days is None:
-        if statistic == "lag0":
-            chosen = _with_lag0_choice(variants, keys).withColumn("method", F.col("_best.method"))
-        else:
-            chosen = _with_autolag_choice(variants, keys)
+        chosen = _with_lag0_choice(variants, keys) if statistic == "lag0" else _with_autolag_choice(variants, keys)
+        chosen = chosen.withColumns({"method": F.col("_best.method"), "adf_stat": F.col("_best.stat")})
     else:
         if choice is None:
             plain = variants.drop(*VARIANTS)
             choice = settled(choose_transform(plain, column=column, statistic=statistic, block_days=block_days), block_days)
         on = [k for k in keys if k in choice.columns]
-        chosen = variants.join(choice.select(*on, "method"), on, "left")
+        stat = F.col("adf_stat") if "adf_stat" in choice.columns else F.lit(None).cast("double").alias("adf_stat")
+        chosen = variants.join(choice.select(*on, "method", stat), on, "left")
     value = F.col(VARIANTS[0])
     for v, method in list(zip(VARIANTS, METHODS))[1:]:
         value = F.when(F.col("method") == method, F.col(v)).otherwise(value)
-    shaped = settled(chosen.withColumn(column, value).select(*panel.columns, "method"), block_days)
+    said = ["method", "adf_stat"] if with_stat else ["method"]
+    shaped = settled(chosen.withColumn(column, value).select(*panel.columns, *said), block_days)
     later = lambda w: F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     # 'None' leaves the series as it is, gaps included.
     kept = F.col("method").isNull() | (F.col("method") == METHODS[0])

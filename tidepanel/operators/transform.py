@@ -11,14 +11,14 @@ from pyspark.sql.window import WindowSpec
 from tidepanel.functions.scalar import log100
 from tidepanel.keys import PANEL, SERIES, SERIES_KEY, SPLIT, TS, VALUE
 from tidepanel.operators.blocks import over_series, settled
-from tidepanel.operators.joins import attach
+from tidepanel.operators.joins import Names, attach, with_flag
 from tidepanel.operators.split import TRAIN
 
 ROLL_MEAN = 7
 ROLL_PLOT = 12
 
 
-def deflate(panel: DataFrame, deflator: str, nominal: Sequence[str], *, check: bool = True) -> DataFrame:
+def deflate(panel: DataFrame, deflator: str, nominal: Names, *, check: bool = True) -> DataFrame:
     """value / deflator * 100 on the same date for the nominal series.
 
     The deflator has one row per panel and date; a date of a panel with very many
@@ -29,15 +29,14 @@ def deflate(panel: DataFrame, deflator: str, nominal: Sequence[str], *, check: b
         raise ValueError(f"deflator series {deflator!r} is not in the panel")
     keys = [PANEL, TS]
     index = panel.where(F.col(SERIES) == deflator).select(*keys, F.col(VALUE).alias("_deflator"))
-    joined = attach(panel, index, keys, salt_by=[SERIES])
+    joined = with_flag(attach(panel, index, keys, salt_by=[SERIES]), nominal, "_nominal")
     scaled = F.try_divide(F.col(VALUE), F.col("_deflator")) * F.lit(100.0)
-    return joined.withColumn(VALUE, F.when(F.col(SERIES).isin(*nominal), scaled).otherwise(F.col(VALUE))).drop("_deflator")
+    return joined.withColumn(VALUE, F.when(F.col("_nominal"), scaled).otherwise(F.col(VALUE))).drop("_deflator", "_nominal")
 
 
-def log_transform(panel: DataFrame, logged: Sequence[str]) -> DataFrame:
-    return panel.withColumn(
-        VALUE, F.when(F.col(SERIES).isin(*logged), log100(F.col(VALUE))).otherwise(F.col(VALUE))
-    )
+def log_transform(panel: DataFrame, logged: Names) -> DataFrame:
+    flagged = with_flag(panel, logged, "_logged")
+    return flagged.withColumn(VALUE, F.when(F.col("_logged"), log100(F.col(VALUE))).otherwise(F.col(VALUE))).drop("_logged")
 
 
 def standardise(panel: DataFrame, *, keys: Sequence[str] = SERIES_KEY, column: str = VALUE) -> DataFrame:

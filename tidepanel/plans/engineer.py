@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.keys import PANEL, SERIES, SPLIT, TS, VALUE
@@ -155,6 +155,26 @@ def _per_model(scores: DataFrame) -> DataFrame:
     return scores.select(PANEL, F.explode("mse").alias("model", "mse"))
 
 
+def write_penalties(result: Engineered, path: str) -> None:
+    """Keep what the search found, one row per panel, for later scoring."""
+    result.penalties.select(PANEL, F.explode("penalties").alias("model", "value")).write.mode("overwrite").json(path)
+
+
+def read_penalties(spark: SparkSession, path: str) -> DataFrame:
+    """(panel, penalties) as ``engineer`` takes them, in place of those of its own search."""
+    rows = spark.read.schema(f"{PANEL} string, model string, value double").json(path)
+    return rows.groupBy(PANEL).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", "value")))).alias("penalties"))
+
+
+def with_noise(parts: DataFrame, probes: int, seed: int = 42) -> tuple[DataFrame, list[str]]:
+    """Long features and as many random ones, drawn from panel and date, with their names. A sweep over both shows
+    from which threshold on features that know nothing are dropped."""
+    names = [f"noise_{i}" for i in range(probes)]
+    dates = parts.select(PANEL, SPLIT, TS).distinct()
+    drawn = selection.noise_probe(dates, names, seed=seed, keys=(PANEL, TS)).unpivot([PANEL, SPLIT, TS], names, "feature", VALUE)
+    return parts.select(PANEL, SPLIT, TS, "feature", VALUE).unionByName(drawn), names
+
+
 def engineered_matrix(result: Engineered) -> DataFrame:
     """Long features of the final selection of each panel, with the split."""
     chosen = result.selected.select(PANEL, F.explode("features").alias("feature"))

@@ -495,6 +495,48 @@ def features_permutation_entropy_rolling(spark, d):
     return _columns(warehouse.scaled_nations(spark, d), {"permutation_entropy": calc.RECURSIVE["permutation_entropy"]}, ROLL_SHIFT)
 
 
+_FOURIER = """select panel_id, series_id, ts, k, sum(v * cos(2 * pi() * k * i / n)) as re, -sum(v * sin(2 * pi() * k * i / n)) as im
+              from roll, (select unnest(range(100)) as k) where k <= n // 2 group by 1, 2, 3, 4"""
+
+
+@query(
+    "features_fourier_rolling",
+    sql(
+        """select panel_id, ts, series_id || '__fft_coefficient__attr_"' || unnest(['real', 'imag', 'abs']) || '"__coeff_' || k as feature,
+                  round(unnest([re, im, sqrt(re * re + im * im)]), 6) + 0.0 as value
+           from (select distinct panel_id, series_id, ts, unnest(range(100)) as k from roll) left join z using (panel_id, series_id, ts, k)""",
+        "f1m",
+        **roll_sql("f1m", ROLL_SHIFT),
+        z=_FOURIER,
+    ),
+)
+def features_fourier_rolling(spark, d):
+    """Angles are left out: of a coefficient of 0 they are noise."""
+    found = _columns(warehouse.scaled_orders(spark, d), {"fft_coefficient": calc.SPECTRAL["fft_coefficient"]}, ROLL_SHIFT)
+    return found.where(~F.col("feature").contains("angle"))
+
+
+_SPECTRAL_MOMENTS = """select *, m2 - m1 * m1 as v from (select panel_id, series_id, ts, sum(y * k) / sum(y) as m1, sum(y * k * k) / sum(y) as m2,
+            sum(y * pow(k, 3)) / sum(y) as m3, sum(y * pow(k, 4)) / sum(y) as m4
+     from (select *, sqrt(re * re + im * im) as y from z) group by 1, 2, 3)"""
+
+
+@query(
+    "features_spectral_moments_rolling",
+    sql(
+        """select panel_id, ts, series_id || '__fft_aggregated__aggtype_"' || unnest(['centroid', 'variance', 'skew', 'kurtosis']) || '"' as feature,
+                  round(unnest([m1, v, case when v >= 0.5 then (m3 - 3 * m1 * v - pow(m1, 3)) / pow(v, 1.5) end,
+                                case when v >= 0.5 then (m4 - 4 * m1 * m3 + 6 * m2 * m1 * m1 - 3 * m1) / (v * v) end]), 6) + 0.0 as value from m""",
+        "f1m",
+        **roll_sql("f1m", 35),
+        z=_FOURIER,
+        m=_SPECTRAL_MOMENTS,
+    ),
+)
+def features_spectral_moments_rolling(spark, d):
+    return _columns(warehouse.scaled_orders(spark, d), {"fft_aggregated": calc.SPECTRAL["fft_aggregated"]}, 35)
+
+
 @query("features_numpy")
 def features_numpy(spark, d):
     _, names = features.calculators_for("efficient")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidepanel.functions.scalar import day_number, log100, tidy, to_number
 from tidepanel.keys import PANEL, SERIES, TS, VALUE
 from tidepanel.operators import align, clean, impute, split, stationarity, transform
+from tidepanel.plans import prepare as prepare_plan
+from tidepanel.plans.config import PrepareConfig
 from tidepanel.queries.panels_sql import month_grid_sql, split_sql, sql
 from tidepanel.session import ensure_checkpoint_dir
 from tidepanel.sources import panel_io, warehouse
@@ -436,6 +438,60 @@ def log_100(spark, d):
     return rounded(warehouse.events_by_user(spark, d).withColumn(VALUE, log100(F.col(VALUE) - 50)))
 
 
+def _mixed_catalog(spark) -> DataFrame:
+    """Frequencies and roles of the mixed series, and of one that has no data."""
+    return make_catalog(
+        spark,
+        (*warehouse.MIXED_SERIES, "rate_m"),
+        daily=["yield_d"],
+        quarterly=["output_q"],
+        nominal=["spend_m", "output_q", "rate_m"],
+        log=["spend_m", "output_q", "count_m"],
+        spline=["output_q", "yield_d"],
+    )
+
+
+@query(
+    "deflate_and_log_by_catalog",
+    sql(
+        """select panel_id, series_id, ts, round(case when series_id in ('spend_m', 'output_q', 'count_m')
+                  then case when v > 0 then 100 * ln(v) end else v end, 3) + 0.0 as value
+           from (select p.panel_id, p.series_id, p.ts, case when p.series_id in ('spend_m', 'output_q')
+                        then p.value / nullif(i.value, 0) * 100 else p.value end as v
+                 from g p left join g i on i.panel_id = p.panel_id and i.ts = p.ts and i.series_id = 'price_m')""",
+        "f4",
+        g=month_grid_sql("f4"),
+    ),
+)
+def deflate_and_log_by_catalog(spark, d):
+    """The roles are joined from the catalog, which may be as long as there are series."""
+    roles = prepare_plan.roles(_mixed_catalog(spark))
+    panel = align.month_grid(warehouse.mixed_frequencies(spark, d))
+    deflated = transform.deflate(panel, "price_m", roles["nominal"], check=False)
+    return rounded(transform.log_transform(deflated, roles["logged"]), 3)
+
+
+@query(
+    "skipped_series",
+    sql(
+        """select series_id from (values ('spend_m'), ('price_m'), ('count_m'), ('output_q'), ('yield_d'), ('rate_m')) c(series_id)
+           where series_id not in (select series_id from f4 where value is not null and ts >= date '1995-01-01' and ts < date '1996-01-01')""",
+        "f4",
+    ),
+)
+def skipped_series(spark, d):
+    panel = warehouse.mixed_frequencies(spark, d)
+    return prepare_plan.load_reported(panel, _mixed_catalog(spark), "output_q", start="1995-01-01", end="1995-12-31")[1]
+
+
+@query("prepare_choices")
+def prepare_choices(spark, d):
+    """The transform chosen for each series and split, with its statistic, after the whole preparation."""
+    cfg = PrepareConfig(target="output_q", deflator="price_m")
+    done = prepare_plan.prepare(warehouse.mixed_frequencies(spark, d), _mixed_catalog(spark), cfg)
+    return rounded(done.choices, 6, "adf_stat")
+
+
 _Z = """select s.panel_id, s.series_id, s.ts, s.split,
                (s.value - m) / case when sd = 0 then 1 else sd end as value
         from s join (select panel_id, series_id, avg(value) as m, stddev_pop(value) as sd

@@ -368,6 +368,15 @@ def threshold_sweep_scored(spark, d):
     return rounded(out, *engineer_plan.SWEEP_COLUMNS, digits=8)
 
 
+@query("threshold_sweep_noise")
+def threshold_sweep_noise(spark, d):
+    """The sweep over the series and three features that know nothing."""
+    parts, probes = engineer_plan.with_noise(gram.as_features(quarterly(spark, d)), 3)
+    names = (*NAMES, *probes)
+    sums = gram.product_sums(gram.design_matrix(parts, names, TARGET))
+    return rounded(engineer_plan.sweep(sums, names, names, PENALTIES), *engineer_plan.SWEEP_COLUMNS, digits=8)
+
+
 @query(
     "feature_union",
     sql(

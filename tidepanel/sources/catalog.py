@@ -13,9 +13,10 @@ DEFAULT_FREQ = "m"
 # The public identifiers of the default monthly macro panel, with
 # its date range, source frequencies and role lists.
 DEFAULT_SERIES = (
-    "FEDFUNDS GDP CPIAUCSL CUSR0000SAH1 CPILFESL PCE PRFI PNFI EXPGS HOUST DSPI DGS2 DGS5 DGS10 "
-    "AAA BAA WTISPLC IMPGS GCE FGCE GDPCTPI PCEPI PCEPILFE PAYEMS UNRATE INDPRO CUMFNS USREC"
-).split()
+    "FEDFUNDS", "GDP", "CPIAUCSL", "CUSR0000SAH1", "CPILFESL", "PCE", "PRFI", "PNFI", "EXPGS", "HOUST", "DSPI",
+    "DGS2", "DGS5", "DGS10", "AAA", "BAA", "WTISPLC", "IMPGS", "GCE", "FGCE", "GDPCTPI", "PCEPI", "PCEPILFE",
+    "PAYEMS", "UNRATE", "INDPRO", "CUMFNS", "USREC",
+)
 DEFAULT_START = "1976-01-01"
 DEFAULT_END = "2024-01-01"
 DAILY = ("DGS2", "DGS5", "DGS10")
