@@ -2,9 +2,10 @@
 
 The features of a text are its distinct words, the beginnings of longer words (many languages build words
 from a stem), and two signs of shouting. The loss is the logistic loss on labelled texts, a penalty
-on absolute weights, and the squared change of the score when the identity terms of a labelled text are
-swapped for others of their group. The swap leaves the label as it is, so what a group is called cannot
-carry weight in either direction, and neutral mentions are not flagged.
+on absolute weights, and the squared change of the score when identity terms are swapped for others of their
+group: in the labelled texts that have any, and in a template sentence for each term, so that the penalty acts
+on every term that becomes a feature, however rare it is in labelled texts. The swap leaves the label as it
+is, so what a group is called cannot carry weight in either direction, and neutral mentions are not flagged.
 
 The model is fitted on the driver, on a sample whose size is a parameter; every text is scored where it is.
 The classes of the sample are weighted to their shares of all labels for fitting, so that a score means the same
@@ -30,7 +31,11 @@ SAMPLE_TOXIC, SAMPLE_OTHER = 2_000, 4_000
 MIN_TEXTS, MAX_FEATURES = 3, 20_000
 #: And when its log odds between the classes are this many times what chance in that many texts gives.
 TELLING = 4.0
-L1, L2, COUNTERFACTUAL, STEPS = 0.0005, 0.00003, 1.0, 300
+L1, L2, COUNTERFACTUAL = 0.0005, 0.0003, 1.0
+#: The share of the counterfactual penalty that the template sentences have; the labelled texts have as much.
+TEMPLATES = 1.0
+#: Steps end when no weight would gain more than this by another, at the latest after so many.
+SETTLED, STEPS, NEWTON_STEPS = 1e-7, 20_000, 100
 THRESHOLD = 0.3
 #: Beginnings of words, in bytes, that are features, and the shares of a text's bytes that count as shouting.
 HEADS = (4, 6)
@@ -52,6 +57,21 @@ IDENTITY_TERMS = (
     ("african", "european", "american", "chinese", "indian", "mexican"),
     ("old", "young"),
     ("disabled", "deaf", "blind"),
+    ("frauen", "männer"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("femmes", "hommes"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("mujeres", "hombres"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
 )
 
 U64 = np.uint64
@@ -68,6 +88,17 @@ def swaps(groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> dict[int, int]:
     return {a: b for group in keyed for a, b in zip(group, group[1:] + group[:1])}
 
 
+def template_pairs(groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features that go and come when a term of a group takes the place of another in a sentence, beginnings of the
+    words included; each pair of a group once."""
+    of = lambda w: next(distinct_features(pa.array([w])))
+    out = []
+    for group in groups:
+        found = [of(w) for w in group]
+        out += [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for i, a in enumerate(found) for b in found[i + 1 :]]
+    return out
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(feature, text number) of each feature that a text has, as often as it has it: runs of letters, A-Z as
     a-z, their first bytes, and what shouting looks like."""
@@ -157,12 +188,19 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def fit(
-    bags: Sequence[np.ndarray], toxic: Sequence[int], pairs: dict[int, int], counts: tuple[int, int] | None = None
+    bags: Sequence[np.ndarray],
+    toxic: Sequence[int],
+    pairs: dict[int, int],
+    counts: tuple[int, int] | None = None,
+    templates: Sequence[tuple[np.ndarray, np.ndarray]] = (),
+    strength: float | None = None,
 ) -> Model:
-    """Proximal gradient steps with momentum. Texts of equal words count once.
+    """Proximal gradient steps with momentum pick the words, Newton steps fit those picked. Texts of equal words
+    count once.
 
     ``counts``: how many texts of class 0 and 1 the given ones stand for, where they are a sample of each class.
     """
+    strength = COUNTERFACTUAL if strength is None else strength
     seen = {(b.tobytes(), t) for b, t in zip(bags, toxic)}
     kept = [(np.frombuffer(b, U64), t) for b, t in sorted(seen, key=lambda x: (x[1], x[0]))]
     y = np.array([t for _, t in kept], float)
@@ -184,12 +222,22 @@ def fit(
     hit = changed_to[columns] != 0
     gone = _matrix(keys, names[columns][hit], rows[hit], len(kept))
     come = _matrix(keys, changed_to[columns][hit], rows[hit], len(kept))
-    weights, _ = _descend(x, gone, come, y, side, len(keys), L1, 0.0)
+    swapped = [_difference(gone, come, side, strength)]
+    if templates:
+        lists = [np.concatenate([t[k] for t in templates]) for k in (0, 1)]
+        of = [np.repeat(np.arange(len(templates)), [len(t[k]) for t in templates]) for k in (0, 1)]
+        one = [_matrix(keys, v, o, len(templates)) for v, o in zip(lists, of)]
+        swapped.append(_difference(*one, np.full(len(templates), TEMPLATES / len(templates)), strength))
+    weights = _pick(x, swapped, y, side, len(keys))
     # The penalty on absolute weights picks the words but also shrinks them: fit those picked once more.
     used = weights != 0
     place = np.cumsum(used) - 1
-    x, gone, come = ((m[0][used[m[1]]], place[m[1][used[m[1]]]], m[2]) for m in (x, gone, come))
-    weights, offset = _descend(x, gone, come, y, side, int(used.sum()), 0.0, L2)
+
+    def narrow(m):
+        some = used[m[1]]
+        return (m[0][some], place[m[1][some]], m[2], *[v[some] for v in m[3:]])
+
+    weights, offset = _fit_picked(narrow(x), [narrow(d) for d in swapped], y, side, int(used.sum()))
     return Model(keys[used], weights, offset)
 
 
@@ -201,40 +249,95 @@ def _matrix(keys: np.ndarray, values: np.ndarray, rows: np.ndarray, n: int) -> t
     return rows[hit], place[hit], n
 
 
-def _descend(x, gone, come, y, side, width: int, l1: float, l2: float) -> tuple[np.ndarray, float]:
-    """``side``: the weights of the texts, which add up to one."""
+def _difference(gone, come, weight: np.ndarray, strength: float):
+    """(rows, columns, number of rows, values) of what swapping changes, scaled so that half the sum of squares is
+    the penalty."""
+    rows = np.concatenate([gone[0], come[0]])
+    size = np.sqrt(2 * strength * weight)
+    values = np.concatenate([-size[gone[0]], size[come[0]]])
+    return rows, np.concatenate([gone[1], come[1]]), len(weight), values
+
+
+def _times(m, w: np.ndarray) -> np.ndarray:
+    values = w[m[1]] if len(m) == 3 else w[m[1]] * m[3]
+    return np.bincount(m[0], values, m[2]) if len(m[0]) else np.zeros(m[2])
+
 
-    def times(m, w):
-        return np.bincount(m[0], w[m[1]], m[2]) if len(m[0]) else np.zeros(m[2])
+def _back(m, r: np.ndarray, width: int) -> np.ndarray:
+    values = r[m[0]] if len(m) == 3 else r[m[0]] * m[3]
+    return np.bincount(m[1], values, width) if len(m[0]) else np.zeros(width)
 
-    def back(m, r):
-        return np.bincount(m[1], r[m[0]], width) if len(m[0]) else np.zeros(width)
 
-    n = len(y)
+def _slope(x, swapped, y, side, weights, offset) -> tuple[np.ndarray, float, np.ndarray]:
+    """Gradient by weights and offset of the smooth loss, and the scores."""
+    p = 1 / (1 + np.exp(-np.clip(_times(x, weights) + offset, -40, 40)))
+    error = side * (p - y)
+    gradient = _back(x, error, len(weights))
+    for d in swapped:
+        gradient = gradient + _back(d, _times(d, weights), len(weights))
+    return gradient, float(error.sum()), p
+
+
+def _pick(x, swapped, y, side, width: int) -> np.ndarray:
+    """Weights under the penalty on absolute weights, by proximal steps whose momentum starts anew when it points
+    uphill, until no weight would change."""
     weights, offset = np.zeros(width), 0.0
-    ahead, ahead_offset, t = weights.copy(), offset, 1.0
-    curvature = l2 + 0.25 * _top(x, side, times, back, width, n) + 4 * COUNTERFACTUAL * side.max() * max(1, len(gone[0]))
-    step = 1 / max(curvature, 1e-9)
+    ahead, ahead_offset, t = weights, offset, 1.0
+    step = 1 / max(0.25 * _top(x, side, width) + sum(_top_of(d, width) for d in swapped), 1e-9)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(times(x, ahead) + ahead_offset, -40, 40)))
-        error = side * (p - y)
-        change = (times(come, ahead) - times(gone, ahead)) * (2 * COUNTERFACTUAL * side)
-        gradient = back(x, error) + back(come, change) - back(gone, change) + l2 * ahead
+        gradient, by_offset, _ = _slope(x, swapped, y, side, ahead, ahead_offset)
         new = ahead - step * gradient
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        new_offset = ahead_offset - step * error.sum()
+        new = np.sign(new) * np.maximum(np.abs(new) - step * L1, 0)
+        new_offset = ahead_offset - step * by_offset
+        moved = max(np.abs(new - ahead).max(initial=0.0), abs(new_offset - ahead_offset))
+        if ((ahead - new) * (new - weights)).sum() + (ahead_offset - new_offset) * (new_offset - offset) > 0:
+            t = 1.0
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, ahead_offset = new + (t - 1) / t_new * (new - weights), new_offset + (t - 1) / t_new * (new_offset - offset)
+        push = (t - 1) / t_new
+        ahead, ahead_offset = new + push * (new - weights), new_offset + push * (new_offset - offset)
         weights, offset, t = new, new_offset, t_new
-    return weights, float(offset)
-
-
-def _top(x, side, times, back, width: int, n: int) -> float:
+        if moved <= SETTLED * step:
+            break
+    return weights
+
+
+def _fit_picked(x, swapped, y, side, width: int) -> tuple[np.ndarray, float]:
+    """Weights and offset of the smooth loss with a penalty on squares, by Newton steps on the few words picked,
+    halved while they do not lower it."""
+    dense = np.zeros((len(y), width + 1))
+    dense[x[0], x[1]] = 1
+    dense[:, width] = 1
+    fixed = np.diag(np.append(np.full(width, L2), 1e-12))
+    for d in swapped:
+        m = np.zeros((d[2], width + 1))
+        np.add.at(m, (d[0], d[1]), d[3])
+        fixed += m.T @ m
+
+    def loss(w: np.ndarray) -> float:
+        z = dense @ w
+        return float((side * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * w @ fixed @ w)
+
+    w, now = np.zeros(width + 1), np.inf
+    for _ in range(NEWTON_STEPS):
+        p = 1 / (1 + np.exp(-np.clip(dense @ w, -40, 40)))
+        gradient = dense.T @ (side * (p - y)) + fixed @ w
+        if np.abs(gradient).max() <= SETTLED * 1e-3:
+            break
+        hessian = dense.T @ (dense * (side * p * (1 - p))[:, None]) + fixed
+        move = np.linalg.solve(hessian + 1e-12 * np.eye(width + 1), gradient)
+        now, size = loss(w), 1.0
+        while loss(w - size * move) > now and size > 1e-6:
+            size /= 2
+        w = w - size * move
+    return w[:width], float(w[width])
+
+
+def _top(x, side, width: int) -> float:
     """The largest eigenvalue of the weighted Gram matrix with the offset, by power steps."""
     v, c, value = np.full(width, 1.0), 1.0, 1.0
     for _ in range(20):
-        r = side * (times(x, v) + c)
-        v, c = back(x, r), float(r.sum())
+        r = side * (_times(x, v) + c)
+        v, c = _back(x, r, width), float(r.sum())
         value = float(np.sqrt((v * v).sum() + c * c))
         if value == 0:
             return 1.0
@@ -242,10 +345,19 @@ def _top(x, side, times, back, width: int, n: int) -> float:
     return 1.1 * value
 
 
+def _top_of(d, width: int) -> float:
+    """A bound of the largest eigenvalue of a sparse matrix' Gram matrix: row sum times column sum."""
+    if not len(d[0]):
+        return 0.0
+    size = np.abs(d[3])
+    return float(np.bincount(d[0], size, d[2]).max() * np.bincount(d[1], size, width).max())
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows = sample(docs, labels, id_col, text_col).mapInArrow(_bags, "toxic int, bag binary").collect()
     counts = class_counts(labels, id_col)
-    return fit([np.frombuffer(r["bag"], U64) for r in rows], [r["toxic"] for r in rows], swaps(), counts)
+    bags = [np.frombuffer(r["bag"], U64) for r in rows]
+    return fit(bags, [r["toxic"] for r in rows], swaps(), counts, template_pairs())
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
