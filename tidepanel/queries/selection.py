@@ -416,21 +416,36 @@ def noise_probe(spark, d):
 # --- search -----------------------------------------------------------------------------------------
 
 
-def _draw_sql(model: str, dim: search.Dimension) -> str:
-    u = _U.format(text=f"'42|' || panel_id || '|{model}|' || trial || '|{dim.name}'")
-    if dim.kind == "int":
-        return f"floor(cast({dim.low} as double) + {u} * {dim.high - dim.low + 1})"
-    if dim.kind == "log":
-        return f"exp(ln(cast({dim.low!r} as double)) + {u} * (ln(cast({dim.high!r} as double)) - ln(cast({dim.low!r} as double))))"
-    return f"cast({dim.low} as double) + {u} * {dim.high - dim.low}"
+# The two parameter spaces once more, so that the SQL does not follow a wrong range in the library.
+_RANGES = {
+    "xgboost": (
+        ("max_depth", 3, 10, "int"), ("learning_rate", 1e-4, 1e-1, "log"), ("n_estimators", 50, 300, "int"),
+        ("min_child_weight", 1, 10, "int"), ("subsample", 0.5, 1.0, "float"), ("colsample_bytree", 0.5, 1.0, "float"),
+        ("reg_alpha", 1e-5, 1e1, "log"), ("reg_lambda", 1e-5, 1e1, "log"),
+    ),
+    "lightgbm": (
+        ("num_leaves", 20, 300, "int"), ("learning_rate", 1e-4, 1e-1, "log"), ("n_estimators", 50, 300, "int"),
+        ("max_depth", 3, 20, "int"), ("min_child_samples", 5, 100, "int"), ("subsample", 0.5, 1.0, "float"),
+        ("colsample_bytree", 0.5, 1.0, "float"), ("reg_alpha", 1e-5, 1e1, "log"), ("reg_lambda", 1e-5, 1e1, "log"),
+    ),
+}
+
+
+def _draw_sql(model: str, name: str, low: float, high: float, kind: str) -> str:
+    u = _U.format(text=f"'42|' || panel_id || '|{model}|' || trial || '|{name}'")
+    if kind == "int":
+        return f"floor(cast({low} as double) + {u} * {high - low + 1})"
+    if kind == "log":
+        return f"exp(ln(cast({low!r} as double)) + {u} * (ln(cast({high!r} as double)) - ln(cast({low!r} as double))))"
+    return f"cast({low} as double) + {u} * {high - low}"
 
 
 def _trials_sql() -> str:
     grid = "(select panel_id, unnest(range(0, 50)) as trial from (select distinct panel_id from f2m))"
     return " union all ".join(
-        f"select panel_id, '{m}' as model, trial, '{dim.name}' as name, {_draw_sql(m, dim)} as value from {grid}"
-        for m in search.MODELS
-        for dim in search.space_of(m)
+        f"select panel_id, '{m}' as model, trial, '{dim[0]}' as name, {_draw_sql(m, *dim)} as value from {grid}"
+        for m, space in _RANGES.items()
+        for dim in space
     )
 
 
