@@ -41,6 +41,8 @@ BUCKET_GRAMS = 400_000
 STAR = 512
 #: Members of a group that one task compares with each other; larger groups are compared block by block.
 BLOCK = 1024
+#: Counts of profiles that are compared at once.
+CELLS = 1 << 20
 #: Bits of the table that tells which rows' sets are needed for verification; more needed rows than bits only
 #: send sets that the join then drops.
 NEED_BITS = 26
@@ -367,9 +369,13 @@ def _hopeful(table: pa.Table) -> pa.Table:
     full = np.array([255 in p for p in profiles])  # counts that reached the largest number say nothing
     folded = {}
     for common in np.unique(length).tolist():
-        place = np.cumsum(length >= common) - 1
-        rows = [np.frombuffer(p, np.uint8).astype(np.int32).reshape(-1, common).sum(0) for p in profiles if len(p) >= common]
-        folded[common] = np.stack(rows), place
+        wide = length >= common
+        # The smallest numbers that hold a sum of that many counts up to 255.
+        kind = np.uint16 if length.max() // common * 255 < 1 << 16 else np.int32
+        rows = np.empty((int(wide.sum()), common), kind)
+        for at, i in enumerate(np.flatnonzero(wide).tolist()):
+            rows[at] = np.frombuffer(profiles[i], np.uint8).reshape(-1, common).sum(0, dtype=kind)
+        folded[common] = rows, np.cumsum(wide) - 1
     keep = np.zeros(len(sig), bool)
     for i in range(len(sig)):
         if sig[i] == hub:
@@ -379,9 +385,10 @@ def _hopeful(table: pa.Table) -> pa.Table:
             other &= block != block[i]
         other &= DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i])
         for common, (rows, place) in folded.items():
-            mine = np.flatnonzero(other & (np.minimum(length, length[i]) == common))
-            if len(mine):
-                most = np.minimum(rows[place[mine]], rows[place[i]]).sum(1)
+            near = np.flatnonzero(other & (np.minimum(length, length[i]) == common))
+            step = max(1, CELLS // common)
+            for mine in (near[k : k + step] for k in range(0, len(near), step)):
+                most = np.minimum(rows[place[mine]], rows[place[i]]).sum(1, dtype=np.int64)
                 mine = mine[(most >= -(-NUM * (n[i] + n[mine]) // (NUM + DEN))) | full[mine] | full[i]]
                 keep[mine] = True
                 keep[i] |= len(mine) > 0
