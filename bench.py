@@ -38,6 +38,10 @@ HEADLINE = (
     "features_order",
     "features_array_rolling",
     "features_change_quantiles",
+    "features_partial_autocorrelation",
+    "features_permutation_entropy_rolling",
+    "features_fourier_rolling",
+    "order_statistics_long",
     "add_one_scores",
     "drop_one_scores",
     "threshold_sweep",
