@@ -61,6 +61,12 @@ def delete(spark: SparkSession, paths) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs. Spark deletes them when the driver's garbage collection finds
+    that nothing refers to them any more, which a driver with room to spare may not start for long."""
+    spark._jvm.System.gc()
+
+
 #: Bits of the table in which ids are marked: 8 MB, however many there are.
 MARK_BITS = 26
 

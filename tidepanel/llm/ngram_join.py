@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import words
-from tidepanel.llm.common import by_mark, free_name, settle
+from tidepanel.llm.common import by_mark, free_name, release, settle
 from tidepanel.llm.graph import components
 
 GRAM = 5
@@ -477,7 +477,9 @@ def _roots(spark, rows: DataFrame, summaries: DataFrame, classes: DataFrame) ->
     buckets = max(8, -(-grams // 4 // BUCKET_GRAMS))
     dealt = rows.select("text").mapInArrow(_prefixes(ranks, buckets), "bucket int, records binary")
     found = settle(dealt.groupBy("bucket").applyInArrow(_candidates, FOUND_SQL), "gram-candidates")
+    release(spark)  # all prefixes were dealt: the largest shuffle
     links = _links(rows, classes, found.where("members is null").select("a", "b", "salt"), ranks)
+    release(spark)
     roots = components(links)
     groups = found.where("members is not null").select(F.col("a").alias("hub"), F.col("salt").alias("kind"), "members")
     member = groups.mapInArrow(_unpack, "hub long, kind int, sig long, n long").distinct()
@@ -493,6 +495,7 @@ def _roots(spark, rows: DataFrame, summaries: DataFrame, classes: DataFrame) ->
     pairs = pairs.select("hub", "kind", "p", "q", "block", "sig", "id", "root", "n", "profile")
     kept = "hub long, kind int, p int, q int, block int, sig long, id long, root long, n long"
     pairs = settle(pairs.groupBy("hub", "kind", "p", "q").applyInArrow(_hopeful, kept), "gram-open")
+    release(spark)
     if pairs.isEmpty():
         return roots
     pairs = pairs.join(_fetched(rows, pairs.select("sig", "id").distinct(), ranks), "sig")
