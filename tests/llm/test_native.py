@@ -51,6 +51,20 @@ def quality_texts():
     return [*texts, None, "", " ", "w " * 3000, "😀 " * 20]
 
 
+def test_quality_counts_make_each_window_once(spark):
+    """Windows are one column of one regex: no slice, look-up or translation per word, and none made again."""
+    long, run = "x" * 200_000, "a\vb\fc\rd  e "
+    texts = [run * 3 + long, f"{long} {long} " + run, "one two", " \x0b\n", None, "\n".join(["é à ü ö ß."] * 4)]
+    counted = quality.counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "translate(" not in plan
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"], r["n_ends"]) for r in counted.collect()}
+    assert got == {
+        0: (16, 15 + len(long), 15, 0, 0), 1: (7, 5 + 2 * len(long), 0, 0, 0), 2: (2, 6, 0, 0, 0), 3: (0, 0, 0, 0, 0),
+        4: (0, 0, 0, 0, 0), 5: (20, 24, 20, 3, 4),
+    }
+
+
 def test_quality_counts(spark):
     texts = quality_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import SPACE_RUN, SPACES, free_name, settle, whole_text
+from tidepanel.llm.common import SPACES, free_name, settle, whole_text
 
 SYMBOLS = "#*$%&|<>"
 ENDS = ".!?"
@@ -59,26 +59,29 @@ SMOOTH = 1.0
 THRESHOLD = 0.5
 
 
-def _windows(words: Column) -> Column:
-    """A 64-bit hash for each run of WINDOW words."""
-    starts = F.sequence(F.lit(1), F.size(words) - F.lit(WINDOW - 1))
-    some = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW))))
-    return F.when(F.size(words) >= WINDOW, some).otherwise(F.array().cast("array<long>"))
+#: A run of WINDOW words of a text with single spaces, of which the first is then passed over; nothing is tried inside
+#: a word, so that a long one is not read again from each of its characters.
+_RUN = f"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{WINDOW - 1}}}))[^ ]++"
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Words covered by windows that occur more than once: sort (window, place), keep those equal to a
-    neighbour, and add up what each of them, by place, covers before the next begins."""
-    placed = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    none = F.array(F.lit(None).cast("struct<w:bigint,i:int>"))
-    pairs = F.zip_with(
-        F.concat(none, placed), F.concat(placed, none),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b"), (a["w"] == b["w"]).alias("same")),
-    )
-    both = F.flatten(F.transform(F.filter(pairs, lambda p: p["same"]), lambda p: F.array(p["a"]["i"], p["b"]["i"])))
-    places = F.array_sort(F.array_distinct(both))
-    gaps = F.zip_with(places, F.slice(places, F.lit(2), F.size(places)), lambda a, b: F.coalesce(b - a, F.lit(WINDOW)))
-    return F.aggregate(gaps, F.lit(0), lambda s, g: s + F.least(g, F.lit(WINDOW)))
+def _placed(windows: Column) -> Column:
+    """(hash of the window, place), sorted, where windows occur more than once, else NULL."""
+    some = F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("w"), i.alias("i")))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(some))
+
+
+def _repeats(placed: str) -> Column:
+    """Places, ascending, of the windows that are equal to a neighbour."""
+    hash_at = lambda i: F.get(F.col(placed), i)["w"]
+    same = F.filter(placed, lambda p, i: F.coalesce((p["w"] == hash_at(i - 1)) | (p["w"] == hash_at(i + 1)), F.lit(False)))
+    return F.sort_array(F.transform(same, lambda p: p["i"]))
+
+
+def _covered(places: str) -> Column:
+    """Words that windows at ``places`` cover: each those before the next begins."""
+    ahead = F.slice(places, F.lit(2), F.size(places))
+    gaps = F.zip_with(places, ahead, lambda a, b: F.coalesce(b - a, F.lit(WINDOW)))
+    return F.coalesce(F.aggregate(gaps, F.lit(0), lambda s, g: s + F.least(g, F.lit(WINDOW))), F.lit(0))
 
 
 def _without(text: str, marks: str) -> Column:
@@ -92,29 +95,33 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Per row: ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_unique, n_ends
     (marks that end a sentence)."""
     body = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body"))
+    plain = F.regexp_replace("body", r"[\x09-\x0D]", " ")  # one-character patterns are split at without a regex
     split = body.select(
         "id",
-        F.length(F.translate("body", SPACES, "")).alias("word_chars"),
-        (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).alias("n_symbols"),
+        F.length(F.regexp_replace("body", f"[^{SYMBOLS}]+", "")).alias("n_symbols"),
         (F.octet_length("body") - F.octet_length(_without("body", ENDS))).alias("n_ends"),
-        F.filter(F.split("body", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"),
-        F.filter(F.split("body", SPACE_RUN), lambda w: w != "").alias("words"),
+        F.filter(F.split("body", "\n"), lambda x: F.ltrim(x, F.lit(SPACES)) != "").alias("lines"),
+        F.array_remove(F.split(plain, " "), "").alias("words"),
     )
-    hashed = split.select(
-        "id", "word_chars", "n_symbols", "n_ends",
+    joined = split.select(
+        "id", "n_symbols", "n_ends",
         F.size("words").alias("n_words"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.size(F.array_distinct("words")).alias("n_unique"),
-        _windows(F.col("words")).alias("windows"),
+        F.array_join("words", " ").alias("joined"),
     )
-    repeated = F.size(F.array_distinct("windows")) < F.size("windows")
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_unique", "n_ends")
-    return hashed.select(
-        F.col("id").alias(id_col),
-        *[F.col(c).cast("long").alias(c) for c in names],
-        F.when(repeated, _repeat_words(F.col("windows"))).otherwise(0).cast("long").alias("n_repeat_words"),
-    )
+    hashed = joined.select(
+        "id", "n_symbols", "n_ends", "n_words", "n_lines", "n_dup_lines", "n_unique",
+        (F.length("joined") - F.greatest(F.col("n_words") - 1, F.lit(0))).alias("word_chars"),
+        F.regexp_extract_all("joined", F.lit(_RUN), F.lit(1)).alias("windows"),
+    )
+    # Columns that are used more than once are steps of their own, as nothing else keeps them from being made again.
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_unique", "n_ends"]
+    placed = hashed.select("id", *names, _placed(F.col("windows")).alias("placed"))
+    places = placed.select("id", *names, _repeats("placed").alias("places"))
+    out = places.select("id", *names, _covered("places").alias("n_repeat_words"))
+    return out.select(F.col("id").alias(id_col), *[F.col(c).cast("long").alias(c) for c in [*names, "n_repeat_words"]])
 
 
 def base_failed() -> Column:
