@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,28 @@ def test_on_documents(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == wanted
 
 
+def test_hubs_are_the_same_in_any_number_of_buckets():
+    """A family whose n-grams are dealt over more buckets must not get more hubs: what is fetched grows with them."""
+    rng = random.Random(3)
+    texts = [t for _ in range(5) for t in family(rng, 30, 200, 4)]
+    ranks = SimpleNamespace(value=np.arange(1 << ngram_join.COUNT_BITS, dtype=np.uint32))
+
+    def groups(buckets):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+        out, pairs = defaultdict(set), set()
+        for dealt in pa.Table.from_batches(ngram_join._prefixes(ranks, buckets)([batch])).to_pylist():
+            found = ngram_join._candidates(pa.table({"records": pa.array([dealt["records"]], pa.binary())}))
+            for r in found.to_pylist():
+                if r["members"] is None:
+                    pairs.add((r["a"], r["b"]))
+                else:
+                    out[r["a"]].update(np.frombuffer(r["members"], ngram_join.MEMBER)["sig"].tolist())
+        return out, pairs
+
+    assert groups(1) == groups(64)
+    assert ngram_join.RECORD.itemsize <= 16
+
+
 def test_trie_links_equal_plain_overlaps():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -5,7 +5,7 @@
    order of all n-grams from rare to frequent.
 2. Two sets of the wanted similarity share an n-gram among the first quarter of each in that order. Those
    prefixes are dealt by n-gram to buckets of bounded size; classes that share one become candidates. In a
-   group of many, one class (the hub, in most groups of the bucket) stands for all at first.
+   group of many, one class (the hub, of the smallest number) stands for all at first.
 3. Candidates are verified on their whole sets. The sets to compare with one hub are kept in a trie
    under the same global order, frequent n-grams first, so that near copies share long paths; the tree is
    walked depth-first, an overlap counted on a shared path is counted once, and a branch is left as soon
@@ -48,7 +48,9 @@ CELLS = 1 << 20
 NEED_BITS = 26
 
 U64 = np.uint64
-RECORD = np.dtype([("gram", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("early", "<u4")])
+#: An n-gram of a prefix within its bucket: half of its hash (what two n-grams of one half suggest, the verification
+#: finds out), its set, and twice the set's size plus whether a partner that is not smaller may share it first.
+RECORD = np.dtype([("gram", "<u4"), ("sig", "<i8"), ("size", "<u4")])
 DOC = "id long, sig long, n long, profile binary, slice int, counts binary"
 
 
@@ -152,23 +154,23 @@ def _prefixes(ranks, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            parts = []
+            parts, hashes = [], []
             for grams in words.shingle_sets(batch.column(0), GRAM):
                 if not len(grams) or (sig := signature(grams)) in seen:
                     continue
                 seen.add(sig)
                 probe, index = prefix_lengths(len(grams))
+                hashes.append(words.mix(ordered(grams, ranks.value)[:probe]))
                 records = np.empty(probe, RECORD)
-                records["gram"] = ordered(grams, ranks.value)[:probe]
+                records["gram"] = hashes[-1] >> U64(32)
                 records["sig"] = sig
-                records["n"] = min(len(grams), 2**32 - 1)
-                records["early"] = np.arange(probe) < index
+                records["size"] = 2 * min(len(grams), 2**31 - 1) + (np.arange(probe) < index)
                 parts.append(records)
             if not parts:
                 continue
             records = np.concatenate(parts)
-            bucket = (words.mix(records["gram"]) % U64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            bucket = (np.concatenate(hashes) % U64(buckets)).astype(np.int32)
+            order = np.lexsort((records["gram"], bucket))
             records, bucket = records[order], bucket[order]
             starts = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(starts[1:], len(bucket))
@@ -196,7 +198,7 @@ def _candidates(table: pa.Table) -> pa.Table:
     """Candidate pairs (hub, partner, salt) of one bucket, and for groups of three or more their members, with
     the size class of the group in the place of the salt."""
     records = np.concatenate([np.frombuffer(x, RECORD) for x in table.column("records").to_pylist()])
-    order = np.lexsort((records["sig"], records["gram"]))
+    order = np.lexsort((records["sig"], records["gram"]))  # stable: of n-grams of one set and half, the first stays
     gram, sig = records["gram"][order], records["sig"][order]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (sig[1:] != sig[:-1])
@@ -205,20 +207,14 @@ def _candidates(table: pa.Table) -> pa.Table:
     sizes = np.diff(np.append(starts, len(gram)))
     two = starts[sizes == 2]
     x, y = records[two], records[two + 1]
-    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    ok = _close(n, m, x["early"], y["early"])
+    n, m = (x["size"] >> 1).astype(np.int64), (y["size"] >> 1).astype(np.int64)
+    ok = _close(n, m, x["size"] & 1, y["size"] & 1)
     pairs = np.unique(np.stack([x["sig"][ok], y["sig"][ok]], 1), axis=0) if ok.any() else np.empty((0, 2), np.int64)
     groups: dict[int, dict[int, int]] = {}
-    many = [(s, s + k) for s, k in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist())]
-    if many:
-        flat = np.concatenate([records["sig"][s:e] for s, e in many])
-        names, times = np.unique(flat, return_counts=True)
-        for s, e in many:
-            member, size = records["sig"][s:e], records["n"][s:e]
-            place = times[np.searchsorted(names, member)]
-            # Roughly the class in most groups, so that buckets that see parts of a family name the same one.
-            hub = int(member[np.lexsort((member, -np.log2(place).astype(np.int64)))[0]])
-            groups.setdefault((hub, _coarse(size)), {}).update(zip(member.tolist(), size.tolist()))
+    for s, k in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        # The smallest number: other n-grams of a family name the same class, whichever bucket they are in.
+        member, size = records["sig"][s : s + k], records["size"][s : s + k] >> 1
+        groups.setdefault((int(member[0]), _coarse(size)), {}).update(zip(member.tolist(), size.tolist()))
     a, b, salt = [pairs[:, 0]], [pairs[:, 1]], [np.zeros(len(pairs), np.int32)]
     hubs, kinds, lists = [], [], []
     for (hub, kind), members in groups.items():
@@ -329,7 +325,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, ranks) -> DataFrame:
     """The ``pairs`` (a, b, salt) that link, settled. What profiles rule out needs no sets."""
-    spark = rows.sparkSession
+    _, classes = by_mark(classes, "sig", pairs.select(F.explode(F.array("a", "b")).alias("id")))
     pairs = pairs.groupBy("a", "b").agg(F.max("salt").alias("salt"))
     pairs = pairs.join(classes.select(F.col("sig").alias("a"), F.col("id").alias("ida"), "n", F.col("profile").alias("p")), "a")
     pairs = pairs.join(
@@ -341,13 +337,12 @@ def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, ranks) -> Data
     partner = pairs.select("a", "salt", F.col("b").alias("sig"), F.col("idb").alias("id"))
     hubs = pairs.select("a", "salt", F.col("a").alias("sig"), F.col("ida").alias("id")).distinct()
     requests = settle(hubs.unionByName(partner), "gram-requests")
-    sets = _fetched(rows, requests.select("sig", "id").distinct(), ranks)
-    fetched = requests.join(sets, "sig").select("a", "salt", "sig", "grams")
+    fetched = _fetched(rows, requests, ranks).select("a", "salt", "sig", "grams")
     return settle(fetched.groupBy("a", "salt").applyInArrow(_verify, "a long, b long"), "gram-links")
 
 
 def _fetched(rows: DataFrame, wanted: DataFrame, ranks) -> DataFrame:
-    """(sig, grams): the sets of the rows ``wanted`` (sig, id), made from the texts again."""
+    """The rows of ``wanted`` (sig, id and others) with grams: the sets of those rows, made from the texts again."""
     bit = F.col("sig").bitwiseXOR(F.coalesce("id", F.lit(0))).bitwiseAND(F.lit((1 << NEED_BITS) - 1)) + 1
     marks = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k"))
     table = bytearray(1 << (NEED_BITS - 3))
@@ -356,8 +351,7 @@ def _fetched(rows: DataFrame, wanted: DataFrame, ranks) -> DataFrame:
     bits = rows.sparkSession.sparkContext.broadcast(bytes(table))
     sets = rows.mapInArrow(_sets(ranks, bits), "sig long, id long, grams binary")
     sets = sets.withColumn("id", F.coalesce("id", F.lit(0)))
-    asked = wanted.select("sig", F.coalesce("id", F.lit(0)).alias("id"))
-    return sets.join(asked, ["sig", "id"], "left_semi").select("sig", "grams")
+    return wanted.withColumn("id", F.coalesce("id", F.lit(0))).join(sets, ["sig", "id"])
 
 
 def _hopeful(table: pa.Table) -> pa.Table:
@@ -488,7 +482,9 @@ def _roots(spark, rows: DataFrame, summaries: DataFrame, classes: DataFrame) ->
     open_ = member.groupBy("hub", "kind").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
     open_ = open_.where("x < y").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
     left = member.join(open_.select("hub", "kind", "blocks"), ["hub", "kind"])
-    left = left.join(classes.select("sig", "id", "profile"), "sig")
+    left = settle(left, "gram-left")
+    _, asked = by_mark(classes, "sig", left.select(F.col("sig").alias("id")))
+    left = left.join(asked.select("sig", "id", "profile"), "sig")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
     pairs = left.withColumn("block", block).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumns({"p": F.least("block", "k"), "q": F.greatest("block", "k")})
@@ -498,7 +494,7 @@ def _roots(spark, rows: DataFrame, summaries: DataFrame, classes: DataFrame) ->
     release(spark)
     if pairs.isEmpty():
         return roots
-    pairs = pairs.join(_fetched(rows, pairs.select("sig", "id").distinct(), ranks), "sig")
+    pairs = _fetched(rows, pairs, ranks)
     more = settle(pairs.groupBy("hub", "kind", "p", "q").applyInArrow(_across, "a long, b long"), "gram-across")
     return roots if more.isEmpty() else components(links.unionByName(more))
 
