@@ -85,7 +85,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("slice", pa.int32()), ("counts", pa.binary()),
     ])
     counts = np.zeros(1 << COUNT_BITS, np.int32)
-    for batch in batches:
+    for batch in (p for b in batches for p in words.parts(b, 1)):
         sigs, sizes, profiles = [], [], []
         for grams in words.shingle_sets(batch.column(1), GRAM):
             sizes.append(len(grams))
@@ -153,7 +153,7 @@ def needed(n: int, m: int) -> int:
 def _prefixes(ranks, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (p for b in batches for p in words.parts(b, 0)):
             parts, hashes = [], []
             for grams in words.shingle_sets(batch.column(0), GRAM):
                 if not len(grams) or (sig := signature(grams)) in seen:
@@ -252,7 +252,7 @@ def _sets(ranks, bits):
     """(sig, id, grams) of the rows whose sets may be needed; numbers ascend from frequent to rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in words.parts(b, 1)):
             ids, sigs, blobs = [], [], []
             for row, grams in zip(batch.column(0).to_pylist(), words.shingle_sets(batch.column(1), GRAM)):
                 if not len(grams):

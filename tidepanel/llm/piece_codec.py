@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by Viterbi over shared prefixes.
 
-A text with its spaces marked falls apart into marked words that no piece spans. The distinct words of a
-batch are sorted, which lays them out as a trie, and the trie is walked depth-first: the forward table
+A text with its spaces marked falls apart into marked words that no piece spans. The distinct new words of a
+run of texts are sorted, which lays them out as a trie, and the trie is walked depth-first: the forward table
 over a common prefix is kept on a stack and used by every word below it.
 
 The lattice of a merge model allows a piece after another only when merging their joined text by the
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Rows that are encoded together, and words whose pieces a task remembers.
-CHUNK_ROWS, REMEMBERED = 2_000, 400_000
+#: Bytes of texts whose words are looked up together, and whose pieces are spelled out together. A longer text
+#: is taken alone.
+CHUNK_BYTES, SPELL_BYTES = 3 << 20, 1 << 19
+#: Bytes of words and pieces that a task remembers, and neighbours of pieces that a worker does.
+REMEMBERED_BYTES, NEIGHBOURS = 8 << 20, 400_000
 
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
@@ -43,13 +46,16 @@ class Vocabulary:
     spelled: list[bytes]
     _alone: dict[str, bool] = field(default_factory=dict)
     _beside: dict[str, dict[str, bool]] = field(default_factory=dict)
+    _neighbours: int = 0
     _lengths: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    _own: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         lengths: dict[str, set[int]] = {}
         for piece in self.ids:
             lengths.setdefault(piece[-1], {1}).add(len(piece))
         self._lengths = {c: tuple(sorted(x, reverse=True)) for c, x in lengths.items()}
+        self._own = {piece: piece for piece in self.ids}
         self.line_alone = not any("\n" in p and len(p) > 1 for p in self.ids)
 
     def merged(self, text: str) -> list[str]:
@@ -74,12 +80,16 @@ class Vocabulary:
         return known
 
     def beside(self, left: str) -> dict[str, bool]:
-        if len(self._beside) > 100_000:
-            self._beside.clear()
         return self._beside.setdefault(left, {})
 
     def follows(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == [left, right]
+        """Whether merging leaves the two pieces side by side; asked once, then found in ``beside(left)``."""
+        if self._neighbours >= NEIGHBOURS:
+            self._beside.clear()
+            self._neighbours = 0
+        self._neighbours += 1
+        fits = self.beside(left)[right] = self.merged(left + right) == [left, right]
+        return fits
 
     def piece_ids(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
@@ -109,11 +119,10 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(ids, scores, [byte_ids[b] for b in range(256)] if byte_ids else [], model.unk_id(), spelled)
 
 
-def encode_words(vocabulary: Vocabulary, distinct: Sequence[str]) -> dict[str, list[int]]:
-    """Ids of each word; ``distinct`` words need not be in order."""
-    out: dict[str, list[int]] = {}
+def encoded(vocabulary: Vocabulary, distinct: Sequence[str]) -> Iterator[tuple[str, list[int]]]:
+    """Each word with its ids, in the words' order; ``distinct`` words need not be in order."""
     before, last = "", [""]  # last[i]: the piece that ends the encoding of the first i characters
-    lengths, ids, beside, piece_ids = vocabulary._lengths, vocabulary.ids, vocabulary.beside, vocabulary.piece_ids
+    lengths, own, beside, ids = vocabulary._lengths, vocabulary._own, vocabulary.beside, vocabulary.ids
     for word in sorted(distinct):
         n = min(len(word), len(before))
         shared = n if word[:n] == before[:n] else _common(word, before)
@@ -122,15 +131,16 @@ def encode_words(vocabulary: Vocabulary, distinct: Sequence[str]) -> dict[str, l
             for k in lengths.get(word[end - 1], (1,)):
                 if k > end:
                     continue
-                piece = word[end - k : end]
-                if k > 1 and piece not in ids:
-                    continue
+                piece = own.get(word[end - k : end])
+                if piece is None:
+                    if k > 1:
+                        continue
+                    piece = word[end - 1]
                 left = last[end - k]
                 if left:
-                    known = beside(left)
-                    fits = known.get(piece)
+                    fits = beside(left).get(piece)
                     if fits is None:
-                        fits = known[piece] = vocabulary.follows(left, piece)
+                        fits = vocabulary.follows(left, piece)
                 else:
                     fits = vocabulary.alone(piece)
                 if fits:
@@ -142,9 +152,12 @@ def encode_words(vocabulary: Vocabulary, distinct: Sequence[str]) -> dict[str, l
         while at:
             pieces.append(last[at])
             at -= len(last[at])
-        out[word] = [i for p in reversed(pieces) for i in piece_ids(p)]
+        pieces.reverse()
+        try:
+            yield word, [ids[p] for p in pieces]
+        except KeyError:
+            yield word, [i for p in pieces for i in vocabulary.piece_ids(p)]
         before = word
-    return out
 
 
 def _common(a: str, b: str) -> int:
@@ -159,77 +172,81 @@ def _common(a: str, b: str) -> int:
 
 
 class Encoder:
-    """Encodes columns of texts, and remembers the words it has met last."""
+    """Encodes columns of texts, and remembers the words it has met last: as one Arrow array, with the ids
+    of all of them one after another and where each word's ids end."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, list[int]] = {}
-
-    def _ids_of(self, distinct: list[str]) -> list[list[int]]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [w for w in distinct if w not in self.known]
-        self.known.update(encode_words(self.vocabulary, new))
-        return [self.known[w] for w in distinct]
-
-    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, how many each text has)."""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.ends = pa.array([], pa.string()), np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """Where the words are among the known ones, to which the new ones are added."""
+        places = pc.index_in(distinct, value_set=self.known)
+        if places.null_count:
+            words, flat, sizes = [], array("i"), array("q")
+            for word, ids in encoded(self.vocabulary, distinct.filter(pc.is_null(places)).to_pylist()):
+                words.append(word)
+                flat.fromlist(ids)
+                sizes.append(len(ids))
+            self.known = pa.concat_arrays([self.known, pa.array(words, pa.string())])
+            self.flat = np.concatenate([self.flat, np.frombuffer(flat, np.int32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.frombuffer(sizes, np.int64))])
+            places = pc.index_in(distinct, value_set=self.known)
+        return places.to_numpy(zero_copy_only=False)
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the words of all texts one after another, how many each text has), until the next call."""
+        if self.known.nbytes + self.flat.nbytes + self.ends.nbytes > REMEMBERED_BYTES:
+            self._forget()
         texts = texts.fill_null("") if texts.null_count else texts
         odd = pc.or_(pc.match_substring_regex(texts, f"^ |  |\x01|{MARK}"), pc.equal(texts, ""))
         if not self.vocabulary.line_alone:
             odd = pa.array([True] * len(texts))
         odd = odd.to_numpy(zero_copy_only=False)
         # Texts in which every space ends a word: cut by Arrow; a line feed is a word's first character.
-        plain = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \x01")
-        lists = pc.split_pattern(plain, " ")
-        words = pc.list_flatten(lists).dictionary_encode()
-        per_text = np.zeros(len(texts), np.int64)
-        per_text[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        raw = words.dictionary.to_pylist()
-        chunks = [w[1:] if w[:1] == "\x01" else MARK + w for w in raw]
-        ids = self._ids_of(chunks)
-        if any(w[:1] == "\x01" for w in raw):
-            line = self.vocabulary.piece_ids("\n")
-            ids = [line + x if w[:1] == "\x01" else x for w, x in zip(raw, ids)]
-        flat, sizes = _flat(ids)
-        codes = words.indices.to_numpy(zero_copy_only=False)
-        plain_ids, plain_sizes = _gather(flat, sizes, codes, per_text[~odd])
-        if not odd.any():
-            return plain_ids, plain_sizes
-        odd_ids, odd_sizes = self._odd(texts.filter(pa.array(odd)).to_pylist())
+        lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \x01"), " ")
         counts = np.zeros(len(texts), np.int64)
-        counts[~odd], counts[odd] = plain_sizes, odd_sizes
-        out = np.empty(int(counts.sum()), np.int32)
-        mine = np.repeat(odd, counts)
-        out[~mine], out[mine] = plain_ids, odd_ids
+        counts[~odd] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        cut = pc.list_flatten(lists).dictionary_encode()
+        del lists
+        marked = pc.binary_join_element_wise(pa.scalar(MARK), cut.dictionary, pa.scalar(""))
+        plain = self._places(pc.replace_substring_regex(marked, f"^{MARK}\x01", "\n"))[cut.indices.to_numpy(zero_copy_only=False)]
+        if not odd.any():
+            return plain, counts
+        lists = [_CHUNKS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+        counts[odd] = [len(x) for x in lists]
+        cut = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
+        del lists
+        out, mine = np.empty(int(counts.sum()), plain.dtype), np.repeat(odd, counts)
+        out[~mine], out[mine] = plain, self._places(cut.dictionary)[cut.indices.to_numpy(zero_copy_only=False)]
         return out, counts
 
-    def _odd(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [_CHUNKS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = list(dict.fromkeys(c for x in cut for c in x))
-        place = {w: i for i, w in enumerate(distinct)}
-        flat, sizes = _flat(self._ids_of(distinct))
-        codes = np.array([place[c] for x in cut for c in x], np.int64)
-        return _gather(flat, sizes, codes, np.array([len(x) for x in cut], np.int64))
+    def spell(self, places: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their places, and how many of them each text has."""
+        starts = self.ends[places]
+        each = self.ends[places + 1] - starts
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(starts - (ends - each), each) + np.arange(total)
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(per_text))]
+        return self.flat[at], np.diff(bounds)
 
-
-def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    flat, sizes = array("i"), np.empty(len(ids), np.int64)
-    for i, x in enumerate(ids):
-        flat.extend(x)
-        sizes[i] = len(x)
-    return np.array(flat, np.int32), sizes
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each text has)."""
+        return self.spell(*self.words(texts))
 
 
-def _gather(flat, sizes, codes, per_text) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of words by their codes, and how many of them each text has."""
-    starts = np.cumsum(sizes) - sizes
-    each = sizes[codes]
-    ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    places = np.arange(total) - np.repeat(ends - each, each) + np.repeat(starts[codes], each)
-    bounds = np.append(0, ends)[np.append(0, np.cumsum(per_text))]
-    return flat[places].astype(np.int32), np.diff(bounds)
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Start and end of runs of rows whose sizes add up to ``most`` at most, or that are one row."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, end
+        start = end
 
 
 def decode_column(spelled: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -244,6 +261,15 @@ def _without_first(joined: pa.Array) -> list[bytes]:
     return [b[1:] if b[:1] == b" " else b for b in joined.to_pylist()]
 
 
+def _spelled_out(rows: pa.RecordBatch, ids: np.ndarray, counts: np.ndarray, spelled: pa.Array) -> pa.RecordBatch:
+    given = pc.fill_null(rows.column(1), "").cast(pa.large_binary())
+    again = decode_column(spelled, ids, counts)
+    wanted = pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), given, pa.scalar(b"", pa.large_binary()))
+    same = pc.if_else(pc.equal(pa.array(counts), 0), pc.equal(given, pa.scalar(b"", pa.large_binary())), pc.equal(again, wanted))
+    pieces = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids))
+    return pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts), pieces, same], names=["id", "n_pieces", "pieces", "round_trip"])
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """Per row of ``docs``: id_col, n_pieces, pieces, round_trip.
 
@@ -258,19 +284,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         encoder = Encoder(vocabulary.value)
         spelled = pa.array(vocabulary.value.spelled, pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(at, CHUNK_ROWS)
-                texts = part.column(1)
-                ids, counts = encoder.column(texts)
-                again = decode_column(spelled, ids, counts)
-                given = pc.fill_null(texts, "").cast(pa.large_binary())
-                wanted = pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), given, pa.scalar(b"", pa.large_binary()))
-                same = pc.if_else(pc.equal(pa.array(counts), 0), pc.equal(given, pa.scalar(b"", pa.large_binary())), pc.equal(again, wanted))
-                offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-                pieces = pa.ListArray.from_arrays(offsets, pa.array(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts), pieces, same], names=["id", "n_pieces", "pieces", "round_trip"]
-                )
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            for start, end in runs(sizes, CHUNK_BYTES):
+                places, counts = encoder.words(batch.column(1).slice(start, end - start))
+                ends = np.append(0, np.cumsum(counts))
+                for a, b in runs(sizes[start:end], SPELL_BYTES):
+                    part = batch.slice(start + a, b - a)
+                    yield _spelled_out(part, *encoder.spell(places[ends[a] : ends[b]], counts[a:b]), spelled)
+                places = part = None
+                pa.default_memory_pool().release_unused()
+            batch = None  # before the next one comes
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

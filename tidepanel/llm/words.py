@@ -18,7 +18,7 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
 _BASE = int(_RNG.integers(1, 2**62, dtype=np.int64)) * 2 + 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes worked on at once; longer words are taken whole.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -71,7 +71,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(column: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
     """The column in parts of about ``most`` bytes each, or of one longer text, so that what is made of a part
     stays small."""
-    _, ends = text_bytes(column)
+    ends = text_bytes(column)[1]
     at = 0
     while at < len(column):
         before = int(ends[at - 1]) if at else 0
@@ -80,6 +80,16 @@ def slices(column: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
         at = stop
 
 
+def parts(batch: pa.RecordBatch, texts: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts, as :func:`slices` cuts its column of texts. After each, Arrow's pool gives back
+    what is free in it, which a worker that is used again would keep."""
+    at = 0
+    for column in slices(batch.column(texts), most):
+        yield batch.slice(at, len(column))
+        at += len(column)
+        pa.default_memory_pool().release_unused()
+
+
 def word_hashes(data: np.ndarray, letter: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     """Hashes of the words of one text, in order: runs of bytes that ``breaks`` does not mark, each byte
     read as ``letter`` says."""
@@ -166,7 +176,7 @@ def _join(hashes: np.ndarray, n: int) -> np.ndarray:
 def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
     """For each text its distinct shingles of ``n`` words, A-Z as a-z, sorted; with fewer words one for the
     whole; none for a text without words."""
-    for part in slices(column):
+    for part in slices(column, 1 << 20):
         hashes, counts = words(part, LOWER)
         runs = _join(hashes, n) if len(hashes) >= n else np.empty(0, U64)
         at = 0
