@@ -42,6 +42,44 @@ def test_components(spark, monkeypatch, star):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
 
 
+def test_tasks_hold_few_bytes_of_sets(spark, monkeypatch):
+    """Sets of long texts are dealt by their bytes, not only by how many they are."""
+    most = 100_000
+    monkeypatch.setattr(ngram_join, "SET_BYTES", most, raising=False)
+    compared = spark.sparkContext.accumulator(0)
+
+    def bounded(step):
+        def run(table):
+            assert sum(len(g) for g in table.column("grams").to_pylist()) < 3 * most  # two blocks, dealt by hash
+            compared.add(1)
+            return step(table)
+
+        return run
+
+    for name in ("_verify", "_across"):
+        monkeypatch.setattr(ngram_join, name, bounded(getattr(ngram_join, name)))
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(900))
+    texts = [*family(rng, 60, 1000, 12), *family(rng, 60, 1000, 45)]
+    texts += [passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(100, 330))) for _ in range(90)]
+    rows = list(enumerate(texts))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert compared.value > 6
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
+
+
+def test_shares_and_blocks_follow_sets(spark):
+    """48 MB of sets are cut in three though they are few, 2,000 partners of small groups in four, and no row is lost."""
+    pairs = [(1, b, 0, 20_000) for b in range(300)] + [(2, b, 0, 10) for b in range(2000)] + [(3, 7, 0, 90), (3, 8, 1, 90)]
+    dealt = ngram_join._dealt(spark.createDataFrame(pairs, "a long, b long, salt int, m long")).collect()
+    assert sorted((r["a"], r["b"], r["salt"], r["m"]) for r in dealt) == sorted(pairs)
+    assert {a: {r["share"] for r in dealt if r["a"] == a} for a in (1, 2, 3)} == {1: {0, 1, 2}, 2: {0, 1, 2, 3}, 3: {0}}
+    members = [(1, 0, s, 20_000, s % 2) for s in range(300)] + [(2, 0, s, 10, s) for s in range(2000)]
+    members += [(3, 0, s, 90, s) for s in range(5)] + [(4, 0, s, 90, 1) for s in range(5)]
+    cut = ngram_join._cut(spark.createDataFrame(members, "hub long, kind int, sig long, n long, root long")).collect()
+    assert {(r["hub"], r["blocks"]) for r in cut} == {(1, 3), (2, 2), (3, 1)} and len(cut) == 2305
+
+
 def test_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     wanted = plain_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])

@@ -41,6 +41,8 @@ BUCKET_GRAMS = 400_000
 STAR = 512
 #: Members of a group that one task compares with each other; larger groups are compared block by block.
 BLOCK = 1024
+#: Bytes of sets, 8 an n-gram, of a hub's partners in a task or of a block, about: long texts are dealt more thinly.
+SET_BYTES = 16 << 20
 #: Counts of profiles that are compared at once.
 CELLS = 1 << 20
 #: Bits of the table that tells which rows' sets are needed for verification; more needed rows than bits only
@@ -320,7 +322,20 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, m, p, q = (batch.column(c).to_pylist() for c in ("n", "m", "p", "q"))
         keep = [overlap_bound(x, y) >= needed(i, j) for i, j, x, y in zip(n, m, p, q)]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "salt", "ida", "idb"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "salt", "ida", "idb", "m"])
+
+
+def _shares(size, grams, most: int):
+    """Into how many parts to cut ``size`` sets of ``grams`` n-grams in all."""
+    return F.ceil(F.greatest(size / F.lit(most), grams * 8 / F.lit(SET_BYTES))).cast("int")
+
+
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, salt, m: n-grams of b) with partners dealt over more salts where those of one (a, salt), of
+    whichever groups they come, are too many or too large for a task."""
+    heavy = pairs.groupBy("a", "salt").agg(_shares(F.count("*"), F.sum("m"), STAR).alias("shares")).where("shares > 1")
+    share = F.coalesce(F.pmod(F.xxhash64("b"), F.col("shares")), F.lit(0)).cast("int")
+    return pairs.join(heavy, ["a", "salt"], "left").withColumn("share", share).drop("shares")
 
 
 def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, ranks) -> DataFrame:
@@ -331,14 +346,15 @@ def _links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, ranks) -> Data
     pairs = pairs.join(
         classes.select(F.col("sig").alias("b"), F.col("id").alias("idb"), F.col("n").alias("m"), F.col("profile").alias("q")), "b"
     )
-    pairs = settle(pairs.mapInArrow(_possible, "a long, b long, salt int, ida long, idb long"), "gram-pairs")
+    pairs = settle(pairs.mapInArrow(_possible, "a long, b long, salt int, ida long, idb long, m long"), "gram-pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    partner = pairs.select("a", "salt", F.col("b").alias("sig"), F.col("idb").alias("id"))
-    hubs = pairs.select("a", "salt", F.col("a").alias("sig"), F.col("ida").alias("id")).distinct()
+    pairs = _dealt(pairs)
+    partner = pairs.select("a", "salt", "share", F.col("b").alias("sig"), F.col("idb").alias("id"))
+    hubs = pairs.select("a", "salt", "share", F.col("a").alias("sig"), F.col("ida").alias("id")).distinct()
     requests = settle(hubs.unionByName(partner), "gram-requests")
-    fetched = _fetched(rows, requests, ranks).select("a", "salt", "sig", "grams")
-    return settle(fetched.groupBy("a", "salt").applyInArrow(_verify, "a long, b long"), "gram-links")
+    fetched = _fetched(rows, requests, ranks).select("a", "salt", "share", "sig", "grams")
+    return settle(fetched.groupBy("a", "salt", "share").applyInArrow(_verify, "a long, b long"), "gram-links")
 
 
 def _fetched(rows: DataFrame, wanted: DataFrame, ranks) -> DataFrame:
@@ -479,10 +495,7 @@ def _roots(spark, rows: DataFrame, summaries: DataFrame, classes: DataFrame) ->
     member = groups.mapInArrow(_unpack, "hub long, kind int, sig long, n long").distinct()
     member = member.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     member = settle(member.withColumn("root", F.coalesce("root", "sig")), "gram-members")
-    open_ = member.groupBy("hub", "kind").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
-    open_ = open_.where("x < y").withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
-    left = member.join(open_.select("hub", "kind", "blocks"), ["hub", "kind"])
-    left = settle(left, "gram-left")
+    left = settle(_cut(member), "gram-left")
     _, asked = by_mark(classes, "sig", left.select(F.col("sig").alias("id")))
     left = left.join(asked.select("sig", "id", "profile"), "sig")
     block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
@@ -499,6 +512,13 @@ def _roots(spark, rows: DataFrame, summaries: DataFrame, classes: DataFrame) ->
     return roots if more.isEmpty() else components(links.unionByName(more))
 
 
+def _cut(member: DataFrame) -> DataFrame:
+    """The members (hub, kind, sig, n, root) of groups of several components, and in how many blocks the group is cut."""
+    shares = _shares(F.count("*"), F.sum("n"), BLOCK).alias("blocks")
+    open_ = member.groupBy("hub", "kind").agg(F.min("root").alias("x"), F.max("root").alias("y"), shares)
+    return member.join(open_.where("x < y").select("hub", "kind", "blocks"), ["hub", "kind"])
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for hub, kind, blob in zip(*(batch.column(c).to_pylist() for c in range(3))):
