@@ -3,6 +3,9 @@
 Each stage takes the rows that the stage before it kept, and all but the last return the columns of
 ``documents``; ``run`` writes them to the shared folder in between. A stage is given the written rows of the
 one before, so it first deletes the files that the operator of that one settled on its way.
+
+The stages set, for their session, how many bytes of rows Spark hands to Python at once (``BATCH_BYTES``), unless the
+session has a value of its own: rows are lazy, so nothing could set it back.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from tidepanel.llm.queries_native import FRACTION, LEVELS, SEED, WEIGHTS
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Files that the operator of the stage before settled, by session.
 _left: dict[str, list[str]] = {}
+#: Bytes in a batch of rows for Python, where Spark would take 64 MB or 10,000 rows. Each worker's batch is held by the
+#: JVM, outside its heap, and by the worker; the Python steps take runs of about this many bytes anyway.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", piece_codec.CHUNK_BYTES
 
 
 def stage(work: Stage) -> Stage:
@@ -26,6 +32,8 @@ def stage(work: Stage) -> Stage:
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         session = spark.sparkContext.applicationId
         delete(spark, _left.pop(session, []))
+        if spark.conf.get(BATCH_SETTING, None) is None:
+            spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
         with settling() as files:
             out = work(spark, docs, sf_dir)
         _left[session] = files
