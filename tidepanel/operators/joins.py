@@ -57,4 +57,5 @@ def with_flag(panel: DataFrame, names: Names, flag: str) -> DataFrame:
     if not isinstance(names, DataFrame):
         return panel.withColumn(flag, F.col(SERIES).isin(*names))
     table = names.select(SERIES).distinct().withColumn(flag, F.lit(True))
-    return attach(panel, table, [SERIES], salt_by=[PANEL, TS]).withColumn(flag, F.coalesce(flag, F.lit(False)))
+    joined = attach(panel, table, [SERIES], salt_by=[PANEL, TS])  # the key comes first there
+    return joined.select(*panel.columns, F.coalesce(flag, F.lit(False)).alias(flag))

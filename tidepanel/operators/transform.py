@@ -31,7 +31,7 @@ def deflate(panel: DataFrame, deflator: str, nominal: Names, *, check: bool = Tr
     index = panel.where(F.col(SERIES) == deflator).select(*keys, F.col(VALUE).alias("_deflator"))
     joined = with_flag(attach(panel, index, keys, salt_by=[SERIES]), nominal, "_nominal")
     scaled = F.try_divide(F.col(VALUE), F.col("_deflator")) * F.lit(100.0)
-    return joined.withColumn(VALUE, F.when(F.col("_nominal"), scaled).otherwise(F.col(VALUE))).drop("_deflator", "_nominal")
+    return joined.withColumn(VALUE, F.when(F.col("_nominal"), scaled).otherwise(F.col(VALUE))).select(*panel.columns)
 
 
 def log_transform(panel: DataFrame, logged: Names) -> DataFrame:
