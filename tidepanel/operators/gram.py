@@ -53,8 +53,10 @@ def product_sums(matrix: DataFrame) -> DataFrame:
 
     A panel without rows in either split has nothing to score and is left out.
 
-    Every task sums its rows per panel and split; the cells are then summed with
-    map-side combine, so a panel with most of the rows costs one matrix per task.
+    Every task sums its rows per panel and split, in the order of their dates; a panel
+    with most of the rows costs one matrix per task. The tasks' cells are then summed in
+    the order of their size, so rows that are dealt alike give the same sums to the last
+    digit, in whatever order they arrive.
     """
     schema = T.StructType(
         [
@@ -81,11 +83,14 @@ def product_sums(matrix: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    parts = matrix.select(PANEL, SPLIT, "x", "y").mapInPandas(partial, schema)
+    ordered = matrix.select(PANEL, SPLIT, TS, "x", "y").sortWithinPartitions(*ROW)
+    parts = ordered.drop(TS).mapInPandas(partial, schema)
+    # A task gives a panel and split once, or twice where it held too many.
     cells = (
         parts.select(PANEL, SPLIT, F.posexplode("cells").alias("_i", "_v"))
         .groupBy(PANEL, SPLIT, "_i")
-        .agg(F.sum("_v").alias("_v"))
+        .agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+        .select(PANEL, SPLIT, "_i", F.aggregate("_vs", F.lit(0.0), lambda s, v: s + v).alias("_v"))
     )
     # p is the number of columns a panel's fit uses, which bounds what is collected.
     flat = F.sort_array(F.collect_list(F.struct("_i", SPLIT, "_v")))
