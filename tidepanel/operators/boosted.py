@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tidepanel.keys import PANEL, SPLIT
 from tidepanel.operators.search import space_of
 from tidepanel.operators.split import TEST, TRAIN
+from tidepanel.session import cut_lineage
 
 # The published best parameters of the two profiles.
 DEFAULT_PARAMS: dict[str, dict[str, float]] = {
@@ -41,6 +42,12 @@ DEFAULT_PARAMS: dict[str, dict[str, float]] = {
     },
 }
 
+# A fit runs two stages per level of every tree, so its tasks follow its rows, not
+# the session's shuffle partitions. The rows that are drawn for a tree depend on how
+# they lie: up to so many partitions stay as they are.
+FIT_TASKS = 8
+ROWS_PER_TASK = 20_000
+
 SCORE_SCHEMA = T.StructType(
     [
         T.StructField(PANEL, T.StringType()),
@@ -84,24 +91,28 @@ def score_sets(
 ) -> DataFrame:
     """Hold-out error per named column set and model, for one panel.
 
-    Every fit is a distributed job over the rows; ``parallelism`` of them run at
-    a time. One number per fit reaches the driver.
+    Every fit is a chain of distributed jobs over the rows; ``parallelism`` of them
+    run at a time. Every one of its tasks is sent with the lineage of the rows, so that
+    is cut before. One number per fit reaches the driver.
     """
     params = params or DEFAULT_PARAMS
-    rows = matrix.where(F.col(PANEL) == panel).select(SPLIT, "x", "y").persist()
+    # Held, the rows keep the partitions they are made in.
+    held = matrix.where(F.col(PANEL) == panel).select(SPLIT, "x", "y").persist()
+    try:
+        rows = cut_lineage(held)
+    finally:
+        held.unpersist()
+    rows = rows.coalesce(max(FIT_TASKS, math.ceil(rows.count() / ROWS_PER_TASK)))
 
     def fit(job: tuple[str, str]) -> tuple[str, str, str, float | None]:
         name, model = job
         places = F.array(*[F.lit(int(i)) for i in sets[name]])
         picked = rows.withColumn("features", array_to_vector(F.transform(places, lambda i: F.get(F.col("x"), i))))
         train, test = (picked.where(F.col(SPLIT) == s).select("features", "y") for s in (TRAIN, TEST))
-        fitted = regressor(model, params[model], seed=seed).fit(train)
+        fitted = regressor(model, params[model], seed=seed).fit(cut_lineage(train))
         gap = F.col("y") - F.col("prediction")
         return panel, name, model, fitted.transform(test).agg(F.avg(gap * gap)).first()[0]
 
-    try:
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            results = list(pool.map(fit, [(n, m) for n in sets for m in params]))
-    finally:
-        rows.unpersist()
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        results = list(pool.map(fit, [(n, m) for n in sets for m in params]))
     return matrix.sparkSession.createDataFrame(results, SCORE_SCHEMA)
